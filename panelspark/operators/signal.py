@@ -298,9 +298,9 @@ def turnover_decomposition(daily: DataFrame) -> DataFrame:
 
 def step_summary(metrics: DataFrame, tail: int = 100) -> DataFrame:
     """Per tag of a (tag, step, value) log: last step, tail mean/deviation, extremes."""
-    w = Window.partitionBy("tag").orderBy(F.col("step").desc())
+    numbered = add_positions(metrics, ["tag"], [("step", False)], rn="_rn")
     recent = F.when(F.col("_rn") <= tail, F.col("value"))
-    return metrics.withColumn("_rn", F.row_number().over(w)).groupBy("tag").agg(
+    return numbered.groupBy("tag").agg(
         F.max("step").alias("last_step"), F.max_by("value", "step").alias("last_value"),
         F.avg(recent).alias("tail_mean"), F.stddev_pop(recent).alias("tail_std"),
         F.min("value").alias("min_value"), F.max("value").alias("max_value"))

@@ -10,8 +10,16 @@ KEYS = ("date", "time", "code")
 BAR_KEYS = ("StockCode", "Date", "MinuteIndex")
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "INT": T.IntegerType(), "BIGINT": T.LongType(), "FLOAT": T.FloatType(), "DOUBLE": T.DoubleType(),
+    "STRING": T.StringType(), "BOOLEAN": T.BooleanType(), "TIMESTAMP_NTZ": T.TimestampNTZType(),
+}
+
+
+def _schema(fields: str) -> T.StructType:
+    """Schema from "name TYPE" pairs; needs no running session."""
+    pairs = [f.split() for f in fields.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 BARS = _schema(

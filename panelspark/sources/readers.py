@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Sequence
 
-import yaml
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+try:
+    import yaml
+except ImportError:  # JSON manifests still load
+    yaml = None
+
 from ..functions import scalar as S
 from ..schema import (
     BARS, ContractError, DAILY, INFERENCE, NAME_HISTORY, PREDICTIONS, SYMBOLS, require_columns,
@@ -105,7 +110,8 @@ def manifest_paths(manifest: str, field: str = "chunk_files") -> list[str]:
     next to it. The listed files count, not whatever else lies in the folder.
     """
     with open(manifest, encoding="utf-8") as handle:
-        payload = yaml.safe_load(handle) or {}
+        text = handle.read()
+    payload = (yaml.safe_load(text) if yaml else json.loads(text)) or {}
     entries = payload.get(field) or []
     if not entries:
         raise ContractError(f"{manifest}: no entries under {field}")

@@ -8,7 +8,6 @@ import os
 from collections.abc import Callable, Sequence
 from typing import Any
 
-import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import EXECUTION_COLUMNS, INFERENCE, ContractError, require_columns
@@ -73,7 +72,8 @@ def write_predictions(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FI
         "date_min": None if stats["date_min"] is None else int(stats["date_min"]),
         "date_max": None if stats["date_max"] is None else int(stats["date_max"]),
     }
-    write_text(spark, f"{path}/manifest.yaml", yaml.safe_dump(manifest, sort_keys=False))
+    # JSON is valid YAML, so either parser reads the manifest.
+    write_text(spark, f"{path}/manifest.yaml", json.dumps(manifest, indent=1))
     return manifest
 
 
