@@ -20,7 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import MAX_GROUP_ROWS, SMALL_INPUT_BYTES, cut_lineage, estimated_bytes, int_conf
+from ..session import MAX_GROUP_ROWS, SMALL_INPUT_BYTES, cut_lineage, input_bytes, int_conf
 
 WINDOW, RANGED = "window", "ranged"
 DEFAULT_MAX_GROUP_ROWS = 4_000_000
@@ -35,7 +35,7 @@ def choose_plan(df: DataFrame, keys: Sequence[str], plan: str | None = None) ->
         return RANGED
     spark = df.sparkSession
     limit = int_conf(spark, MAX_GROUP_ROWS, DEFAULT_MAX_GROUP_ROWS)
-    size = estimated_bytes(df)
+    size = input_bytes(df)
     if size is not None and size <= int_conf(spark, SMALL_INPUT_BYTES, DEFAULT_SMALL_INPUT_BYTES):
         return WINDOW
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
@@ -203,7 +203,7 @@ def group_quantiles(
     """
     keys = list(keys)
     if plan is None:
-        size = estimated_bytes(df)
+        size = input_bytes(df)
         small = size is not None and size <= int_conf(df.sparkSession, SMALL_INPUT_BYTES, DEFAULT_SMALL_INPUT_BYTES)
         plan = WINDOW if small else choose_plan(df, keys)
     rows = df.where(F.col(value).isNotNull())

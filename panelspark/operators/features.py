@@ -163,7 +163,10 @@ def forward_label(df: DataFrame, horizon: int = 10, entry_lag: int = 1, name: st
 
 
 def with_short_keys(df: DataFrame) -> DataFrame:
-    """Add the evaluation keys date (yymmdd), time (hhmmss) and code."""
+    """Put the evaluation keys date (yymmdd), time (hhmmss) and code on bars.
+
+    Column names ignore case, so date takes the place of Date.
+    """
     return df.withColumns({
         "date": S.short_date("Date"), "time": S.minute_time("MinuteIndex"), "code": F.col("StockCode").cast("int"),
     })

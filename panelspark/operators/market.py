@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import scalar as S
 from ..schema import EXECUTION_COLUMNS
 from ..settings import MarketSettings
-from .features import SESSION, rolling_std, session_window
+from .features import SESSION, at_minute, rolling_std, session_window
 
 
 def attach_daily(bars: DataFrame, daily: DataFrame) -> DataFrame:
@@ -82,25 +82,54 @@ def intraday_sigma(df: DataFrame, window: int = 20, min_count: int = 5) -> DataF
             .withColumn("sigma_intraday", rolling_std("_ret", window, min_count, ddof=1)).drop("_ret"))
 
 
-def next_trade(df: DataFrame) -> DataFrame:
-    """Minute, open and VWAP of the next tradable bar, the current one included.
+def _next_tradable(trade: Column) -> Column:
+    """``trade`` of the next tradable bar, the current one included.
 
     A backward fill as a forward one over descending minutes: the running
     frame costs one step per row.
     """
-    trade = F.when(F.col("current_tradable"), F.struct(
-        F.col("MinuteIndex").alias("minute"), F.col("Open").cast("double").alias("open"), F.col("vwap").alias("vwap")))
     back = Window.partitionBy(*SESSION).orderBy(F.col("MinuteIndex").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_next", F.last(trade, ignorenulls=True).over(back)).withColumns({
+    return F.last(F.when(F.col("current_tradable"), trade), ignorenulls=True).over(back)
+
+
+def _own_trade() -> Column:
+    return F.struct(F.col("MinuteIndex").alias("minute"), F.col("Open").cast("double").alias("open"), F.col("vwap").alias("vwap"))
+
+
+def next_trade(df: DataFrame) -> DataFrame:
+    """Minute, open and VWAP of the next tradable bar."""
+    return df.withColumn("_next", _next_tradable(_own_trade())).withColumns({
         "next_trade_minute": F.col("_next.minute"), "next_trade_open": F.col("_next.open"),
         "next_trade_vwap": F.col("_next.vwap")}).drop("_next")
 
 
+def entry_and_exit(df: DataFrame, delay: int, holding: int) -> DataFrame:
+    """Execution of a signal at each bar: entry at the next tradable bar
+    ``delay`` minutes on, exit at the one ``holding`` minutes after the entry.
+
+    Seen from the entry bar the exit lies at a fixed offset, so each tradable
+    bar carries its own exit along and the signal bar finds both through one
+    keyed frame. No lookup join is needed.
+    """
+    rows = df.withColumn("_next", F.struct("next_trade_minute", "next_trade_open", "next_trade_vwap"))
+    rows = rows.withColumn("_exit", at_minute("_next", holding))
+    round_trip = F.struct(*[F.col(f"own.{c}") for c in ("minute", "open", "vwap")], F.col("_exit").alias("exit"))
+    rows = rows.withColumn("own", _own_trade()).withColumn("_trip", _next_tradable(round_trip))
+    rows = rows.withColumn("_entry", at_minute("_trip", delay))
+    return rows.withColumns({
+        "entry_schedule_minute": F.col("MinuteIndex") + delay,
+        "entry_exec_minute": F.col("_entry.minute"), "entry_open": F.col("_entry.open"), "entry_vwap": F.col("_entry.vwap"),
+        "exit_schedule_minute": F.col("_entry.minute") + holding,
+        "exit_exec_minute": F.col("_entry.exit.next_trade_minute"),
+        "exit_open": F.col("_entry.exit.next_trade_open"), "exit_vwap": F.col("_entry.exit.next_trade_vwap"),
+    }).drop("_next", "_exit", "_trip", "_entry", "own")
+
+
 def market_state(
     bars: DataFrame, daily: DataFrame, st_days: DataFrame | None = None, cfg: MarketSettings = MarketSettings(),
     adv: DataFrame | None = None,
 ) -> DataFrame:
-    """Bars with limits, trailing ADV, flags, sigma and the next tradable bar.
+    """Bars with limits, trailing ADV, flags, sigma, and entry and exit trades.
 
     The daily tables meet each other first, so the bars are shuffled once, on
     (code, Date), for the join and every window after it.
@@ -113,30 +142,36 @@ def market_state(
         side = side.join(st_days.select("code", "Date").withColumn("_st", F.lit(True)), ["code", "Date"], "full_outer")
         side = side.withColumn("is_st", F.coalesce("_st", F.lit(False))).drop("_st")
     out = attach_daily(bars, side).withColumns({
-        "is_st": F.coalesce("is_st", F.lit(False)), "vwap": S.vwap(), "time": S.minute_time("MinuteIndex"),
-        "date": S.short_date("Date")})
+        "is_st": F.coalesce("is_st", F.lit(False)), "vwap": S.vwap(), "time": S.minute_time("MinuteIndex")})
     out = locked_all_day(tradable_flags(out))
-    return next_trade(intraday_sigma(out, cfg.sigma_window, cfg.sigma_min_count))
+    out = next_trade(intraday_sigma(out, cfg.sigma_window, cfg.sigma_min_count))
+    return entry_and_exit(out, cfg.entry_delay, cfg.holding)
+
+
+LEG_COLUMNS = [
+    f"{leg}_{c}" for leg in ("entry", "exit") for c in ("schedule_minute", "exec_minute", "open", "vwap")]
 
 
 def universe(state: DataFrame) -> DataFrame:
-    """The signal-time columns of a market state."""
+    """The signal-time columns of a market state, keyed by (date, time, code)."""
     return state.select(
-        F.col("StockCode").cast("int").alias("code"), "Date", "date", "time", F.col("MinuteIndex").alias("base_minute"),
+        F.col("StockCode").cast("int").alias("code"), S.short_date("Date").alias("date"), "time",
+        F.col("MinuteIndex").alias("base_minute"),
         F.col("Open").alias("signal_open"), F.col("Close").alias("signal_close"), F.col("Vol").alias("signal_vol"),
         F.col("Amount").alias("signal_amount"), "adv_amount", "current_tradable", "sigma_intraday", "up_limit",
-        "down_limit", "is_limit_up_all_day", "is_limit_down_all_day")
+        "down_limit", "is_limit_up_all_day", "is_limit_down_all_day", *LEG_COLUMNS)
 
 
 def next_trade_table(state: DataFrame) -> DataFrame:
     """The execution lookup: next tradable bar at or after each minute."""
     return state.select(
-        F.col("StockCode").cast("int").alias("code"), "date", F.col("MinuteIndex").alias("schedule_minute"),
-        "next_trade_minute", "next_trade_open", "next_trade_vwap")
+        F.col("StockCode").cast("int").alias("code"), S.short_date("Date").alias("date"),
+        F.col("MinuteIndex").alias("schedule_minute"), "next_trade_minute", "next_trade_open", "next_trade_vwap")
 
 
 def next_trade_lookup(df: DataFrame, table: DataFrame, leg: str) -> DataFrame:
-    """Attach ``leg``_exec_minute/open/vwap at ``leg``_schedule_minute."""
+    """Attach ``leg``_exec_minute/open/vwap at ``leg``_schedule_minute, for
+    schedules that do not follow the fixed delay and holding of a state."""
     side = table.select(
         "code", "date", F.col("schedule_minute").alias(f"{leg}_schedule_minute"),
         F.col("next_trade_minute").alias(f"{leg}_exec_minute"),
@@ -175,16 +210,7 @@ def execution_returns(df: DataFrame) -> DataFrame:
 
 
 def execution_features(pred: DataFrame, state: DataFrame, cfg: MarketSettings = MarketSettings()) -> DataFrame:
-    """Scores joined to entry and exit executions: the fixed feature columns.
-
-    Entry is the next tradable bar after the delay; exit the next tradable bar
-    ``holding`` minutes after the actual entry.
-    """
-    table = next_trade_table(state)
-    rows = signal_left_join(allowed_times(universe(state), pred), pred).withColumns({
-        "minute_slot": S.minute_slot("base_minute", cfg.slot_mod),
-        "entry_schedule_minute": F.col("base_minute") + cfg.entry_delay})
-    rows = next_trade_lookup(rows, table, "entry").withColumn(
-        "exit_schedule_minute", F.col("entry_exec_minute") + cfg.holding)
-    rows = next_trade_lookup(rows, table, "exit")
+    """Scores joined to entry and exit executions: the fixed feature columns."""
+    rows = signal_left_join(allowed_times(universe(state), pred), pred).withColumn(
+        "minute_slot", S.minute_slot("base_minute", cfg.slot_mod))
     return limit_touch_flags(fillable_flags(execution_returns(rows))).select(*EXECUTION_COLUMNS)

@@ -39,10 +39,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df``; None where the session hides it."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Total size of the tables ``df`` reads; None where the session hides it.
+
+    The sum over the leaves of the optimised plan. Estimates further up
+    multiply the sides of a join and say little about rows.
+    """
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:
         return None
 

@@ -88,7 +88,7 @@ def cross_section_gaussianize(spark, sf):
 
 
 ZFIT = " UNION ALL ".join(
-    f"SELECT '{c}' AS field, " + ("0.0::DOUBLE AS mean, 1.0::DOUBLE AS std" if c == "minute_norm" else f"avg({c}) AS mean, stddev_pop({c}) AS std") + " FROM training"
+    f"SELECT '{c}' AS field, " + ("0.0::DOUBLE * count(*) AS mean, 1.0::DOUBLE + 0.0::DOUBLE * count(*) AS std" if c == "minute_norm" else f"avg({c}) AS mean, stddev_pop({c}) AS std") + " FROM training"
     for c in [*COLS, "label_ret"])
 
 

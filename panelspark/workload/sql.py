@@ -117,7 +117,7 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
                 add(name)
     seen.update(extra)
     parts = ",\n".join(f"{name} AS ({text})" for name, text in seen.items())
-    return f"WITH {parts}\n{body}" if parts else body
+    return f"WITH RECURSIVE {parts}\n{body}" if parts else body
 
 
 def oracle(body: str, floats: str = "", digits: int = 8, special: dict[str, int] | None = None, **ctes: str) -> str:
