@@ -38,13 +38,18 @@ def trailing_adv(daily: DataFrame, days: int = 20, keys: DataFrame | None = None
     ``daily``. A code has one row per date, so its window stays small.
     """
     amount = S.clean("daily_amount")
-    by_code = Window.partitionBy("code").orderBy("Date")
-    valid = (daily.select("code", "Date", F.when(amount > 0, amount).alias("_a")).where(F.col("_a").isNotNull())
-             .withColumn("_mean", F.avg("_a").over(by_code.rowsBetween(-(days - 1), 0))).select("code", "Date", "_mean"))
-    wanted = (daily if keys is None else keys).select("code", "Date").distinct().withColumn("_wanted", F.lit(True))
-    merged = wanted.join(valid, ["code", "Date"], "full_outer")
-    before = by_code.rowsBetween(Window.unboundedPreceding, -1)
-    return (merged.withColumn("adv_amount", F.last("_mean", ignorenulls=True).over(before))
+    rows = daily.select("code", "Date", F.when(amount > 0, amount).alias("_a"), F.lit(keys is None).alias("_wanted"))
+    if keys is not None:
+        asked = keys.select("code", "Date", F.lit(None).cast("double").alias("_a"), F.lit(True).alias("_wanted"))
+        rows = rows.unionByName(asked)
+    rows = rows.groupBy("code", "Date").agg(F.max("_a").alias("_a"), F.max("_wanted").alias("_wanted"))
+    by_date = Window.partitionBy("code").orderBy("Date")
+    # _seen counts valid days so far; a RANGE over it spans the last valid
+    # ones however many invalid days lie between.
+    rows = rows.withColumn("_seen", F.count("_a").over(by_date.rowsBetween(Window.unboundedPreceding, 0)))
+    latest = Window.partitionBy("code").orderBy("_seen").rangeBetween(-(days - 1), 0)
+    rows = rows.withColumn("_mean", F.avg("_a").over(latest))
+    return (rows.withColumn("adv_amount", F.lag("_mean").over(by_date))
             .where(F.col("_wanted")).select("code", "Date", "adv_amount"))
 
 

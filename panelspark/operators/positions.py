@@ -56,6 +56,16 @@ def number_bars(df: DataFrame, by: Sequence[str], name: str = "slot_bar_id", ord
     return df.join(bars.withColumn(name, F.row_number().over(w)), keys)
 
 
+def _numbered_terciles(rows: DataFrame, plan: str | None) -> DataFrame:
+    """Liquidity terciles and slot_bar_id of eligible rows.
+
+    Every cross-section has a row in its first tercile and every selection
+    keeps at least one row, so the bars are the same for all plans and are
+    numbered once, before rows are laid out per plan.
+    """
+    return liquidity_tercile(number_bars(rows, ["minute_slot"]), plan)
+
+
 def top_bottom_select(
     df: DataFrame, frac: Column, long_on: Column, short_on: Column, by: Sequence[str] = (), plan: str | None = None,
 ) -> DataFrame:
@@ -81,7 +91,8 @@ PLAN_COLUMNS = ("top_frac", "long_enabled", "short_enabled", "max_liq_bucket")
 
 
 def _positions(rows: DataFrame, by: Sequence[str], price: str, costs: CostSettings, plan: str | None) -> DataFrame:
-    """Selection, weights and fill rules; ``rows`` carry liq_bucket and the plan columns."""
+    """Selection, weights and fill rules; ``rows`` carry liq_bucket, the bar
+    number and the plan columns."""
     kept = rows.where(F.col("liq_bucket") <= F.col("max_liq_bucket"))
     kept = top_bottom_select(kept, F.col("top_frac"), F.col("long_enabled"), F.col("short_enabled"), by, plan)
     kept = kept.withColumns({
@@ -89,7 +100,7 @@ def _positions(rows: DataFrame, by: Sequence[str], price: str, costs: CostSettin
         "fillable": F.when(F.col("_at_low_end"), directional_fillable(SHORT, price)).otherwise(directional_fillable(LONG, price)),
         "simple_return": F.col(f"ret_{price}_exec_10").cast("double"),
     })
-    return number_bars(kept, [*by, "minute_slot"]).select(*by, *POSITIONS.fieldNames())
+    return kept.select(*by, *POSITIONS.fieldNames())
 
 
 def build_positions(
@@ -99,14 +110,13 @@ def build_positions(
     """Target positions of one trade plan.
 
     Order matters: liquidity terciles over all eligible names, then the
-    liquidity filter, then ranks among what is left, then bar numbers among
-    what is selected.
+    liquidity filter, then ranks among what is left.
     """
     if not (long_enabled or short_enabled):
         raise ValueError("at least one side must be enabled")
     rows = eligible_signals(features)
     plan = choose_plan(rows, CROSS_SECTION, plan)
-    rows = liquidity_tercile(rows, plan).withColumns({
+    rows = _numbered_terciles(rows, plan).withColumns({
         "top_frac": F.lit(top_frac), "long_enabled": F.lit(long_enabled), "short_enabled": F.lit(short_enabled),
         "max_liq_bucket": F.lit(max_liq_bucket)})
     return _positions(rows, [], price, costs, plan)
@@ -130,7 +140,7 @@ def build_position_variants(
     """Target positions of many trade plans in one job, keyed by ``variant``."""
     rows = eligible_signals(features)
     plan = choose_plan(rows, CROSS_SECTION, plan)
-    return _positions(lay_out_variants(liquidity_tercile(rows, plan), variants), ["variant"], price, costs, plan)
+    return _positions(lay_out_variants(_numbered_terciles(rows, plan), variants), ["variant"], price, costs, plan)
 
 
 # --- bands --------------------------------------------------------------------
@@ -146,8 +156,7 @@ def buffer_bands(
     """
     rows = eligible_signals(features)
     plan = choose_plan(rows, CROSS_SECTION, plan)
-    rows = lay_out_variants(liquidity_tercile(rows, plan), variants).where(F.col("liq_bucket") <= F.col("max_liq_bucket"))
-    rows = number_bars(rows, ["variant", "minute_slot"])
+    rows = lay_out_variants(_numbered_terciles(rows, plan), variants).where(F.col("liq_bucket") <= F.col("max_liq_bucket"))
     rows = add_positions(rows, ["variant", *CROSS_SECTION], ["prediction", "code"], rn="_rank", n="_n", plan=plan)
     enter, hold = keep_count(F.col("entry_frac"), F.col("_n")), keep_count(F.col("hold_frac"), F.col("_n"))
     from_top = F.col("_n") - F.col("_rank") + 1
@@ -165,10 +174,9 @@ def cost_bands(
     """
     rows = eligible_signals(features, positive_sigma=True)
     plan = choose_plan(rows, CROSS_SECTION, plan)
-    rows = liquidity_tercile(rows, plan).where(F.col("liq_bucket") <= max_liq_bucket)
+    rows = _numbered_terciles(rows, plan).where(F.col("liq_bucket") <= max_liq_bucket)
     rows = rows.withColumn("_cost", F.col("sigma_intraday") / F.sqrt("adv_amount"))
     rows = add_value_ranks(rows, CROSS_SECTION, "_cost", {"percent": "cost_pct", "n": "_n"}, plan)
-    rows = number_bars(rows, ["minute_slot"])
     rows = lay_out_variants(rows, variants)
     penalty = F.col("entry_cost_penalty") * F.col("cost_pct")
     rows = rows.withColumns({"_long": F.col("prediction") - penalty, "_short": F.col("prediction") + penalty})
@@ -265,7 +273,7 @@ def rebalance_step(
     p, t = F.coalesce("prev_weight", F.lit(0.0)), F.coalesce("target_weight", F.lit(0.0))
     small = F.col("prev_weight").isNotNull() & F.col("target_weight").isNotNull() & (F.abs(t - p) < band)
     gated = both.withColumns({"_prev": p, "_goal": F.when(small, p).otherwise(t)})
-    out = add_group_stats(gated, by, {"planned_turnover": 0.5 * F.sum(F.abs(F.col("_goal") - F.col("_prev")))}, plan)
+    out = add_group_stats(gated, by, {"planned_turnover": F.sum(0.5 * F.abs(F.col("_goal") - F.col("_prev")))}, plan)
     over = (F.lit(budget) > 0) & (F.col("planned_turnover") > budget)
     scale = F.when(over, F.lit(budget) / F.col("planned_turnover")).otherwise(1.0)
     weight = F.when(over, F.col("_prev") + scale * (F.col("_goal") - F.col("_prev"))).otherwise(F.col("_goal"))

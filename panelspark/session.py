@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under the shared checkpoint folder of the session."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/panelspark-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to a scratch folder and read it back.
+
+    For a table that several branches of a job read: it is computed once, each
+    branch prunes its own columns, and a lost executor loses nothing.
+    """
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def input_bytes(df: DataFrame) -> int | None:
     """Total size of the tables ``df`` reads; None where the session hides it.
 

@@ -6,7 +6,6 @@ over the same rows is the reference for a stream.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +14,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import stats
 from ..functions.scalar import is_finite
-from ..session import ensure_checkpoint_dir
 from ..sources.readers import DATE_COLUMN
 
 
@@ -26,6 +24,11 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
+def _event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermarked rows; a watermark needs a timestamp with time zone."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
 def run_available(
     df: DataFrame, out: str, checkpoint: str, partition_by: str | None = None, timeout: int | None = None,
 ) -> DataFrame:
@@ -45,11 +48,6 @@ def run_available(
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder of the session."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/panelspark-{uuid.uuid4().hex}"
-
-
 def ingest_days(
     spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, date: str = "Date",
     files_per_trigger: int = 64,
@@ -69,7 +67,7 @@ def bars_from_events(
     the ticks.
     """
     volume = F.lit(1.0) if size is None else size
-    bars = events.withWatermark(ts, delay).groupBy(F.col(code), F.window(ts, width)).agg(
+    bars = _event_time(events, ts, delay).groupBy(F.col(code), F.window(ts, width)).agg(
         F.min_by(price, ts).alias("Open"), F.max_by(price, ts).alias("Close"),
         F.max(price).alias("High"), F.min(price).alias("Low"),
         F.sum(volume).alias("Vol"), F.sum(F.col(price) * volume).alias("Amount"))
@@ -86,7 +84,7 @@ def running_ic(rows: DataFrame, ts: str = "ts", x: str = "prediction", y: str =
     whole.
     """
     both = is_finite(x) & is_finite(y)
-    out = rows.withWatermark(ts, delay).groupBy(F.window(ts, width)).agg(
+    out = _event_time(rows, ts, delay).groupBy(F.window(ts, width)).agg(
         stats.pearson(x, y).alias("ic"), F.count(F.when(both, 1)).alias("count"),
         F.avg(F.when(both, F.col(y))).alias("mean_target"), F.stddev_samp(F.when(both, F.col(y))).alias("std_target"))
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "ic", "count", "mean_target", "std_target")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import features as P, market as M
+from ..session import stored
 from ..settings import FeatureSettings, MarketSettings
 
 # Sessions of 16 minutes instead of 240; windows and horizons shrink alike.
@@ -62,12 +63,14 @@ def score() -> "F.Column":
     return mix.cast("double") / 50 - 0.5
 
 
-def pred(spark: SparkSession, sf: str) -> DataFrame:
-    return P.with_short_keys(bars(spark, sf)).select("date", "time", "code", score().alias("prediction"))
+def pred(spark: SparkSession, sf: str, source: DataFrame | None = None) -> DataFrame:
+    rows = bars(spark, sf) if source is None else source
+    return P.with_short_keys(rows).select("date", "time", "code", score().alias("prediction"))
 
 
-def daily(spark: SparkSession, sf: str) -> DataFrame:
-    return (bars(spark, sf).withColumnRenamed("StockCode", "code").groupBy("code", "Date").agg(
+def daily(spark: SparkSession, sf: str, source: DataFrame | None = None) -> DataFrame:
+    rows = bars(spark, sf) if source is None else source
+    return (rows.withColumnRenamed("StockCode", "code").groupBy("code", "Date").agg(
         F.max("High").alias("up_limit"), F.min("Low").alias("down_limit"), F.sum("Amount").alias("_s"))
         .select("code", "Date", "up_limit", "down_limit",
                 F.when((F.col("code") + F.col("Date")) % 11 == 0, 0.0).otherwise(F.round("_s", 6)).alias("daily_amount")))
@@ -98,13 +101,16 @@ def labeled(spark: SparkSession, sf: str) -> DataFrame:
             .where(F.col("target").isNotNull()))
 
 
-def state(spark: SparkSession, sf: str) -> DataFrame:
-    st = M.active_days(st_periods(spark), calendar(spark, sf))
-    return M.market_state(bars(spark, sf), daily(spark, sf), st, MARKET)
+def state(spark: SparkSession, sf: str, source: DataFrame | None = None) -> DataFrame:
+    rows = stored(bars(spark, sf)) if source is None else source
+    st = M.active_days(st_periods(spark), rows.select("Date").distinct())
+    return M.market_state(rows, daily(spark, sf, rows), st, MARKET)
 
 
 def feats(spark: SparkSession, sf: str) -> DataFrame:
-    return M.execution_features(pred(spark, sf), state(spark, sf), MARKET)
+    """Execution features, stored once as a backtest would store them."""
+    rows = stored(bars(spark, sf))
+    return stored(M.execution_features(pred(spark, sf, rows), state(spark, sf, rows), MARKET))
 
 
 def tidy(df: DataFrame, digits: int = 8, **special: int) -> DataFrame:

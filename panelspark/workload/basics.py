@@ -9,7 +9,7 @@ from ..functions.ranks import add_group_stats, add_positions, add_value_ranks, g
 from ..operators import datasets as D, features as P, market as M, quality as Q, signal as G
 from ..schema import duplicate_keys
 from ..sources import readers as R, writers as W
-from ..streaming.jobs import scratch
+from ..session import scratch
 from . import adapters as A
 from .adapters import tidy
 from .catalog import query

@@ -1 +1,69 @@
-"""pending"""
+"""Streaming jobs run to completion over what is there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..session import scratch, stored
+from ..streaming import jobs as X
+from . import adapters as A
+from .adapters import tidy
+from .bookkeeping import BAND
+from .catalog import query
+from .sql import oracle
+
+
+def _stream(spark, df, files=None):
+    """``df`` written as files and read back as a stream."""
+    path = scratch(spark)
+    df.write.parquet(path)
+    return X.read_stream(spark, path, df.schema, files)
+
+
+def _table_stream(spark, sf, name):
+    """A given table as a file stream."""
+    return X.read_stream(spark, f"{sf}/{name}.parquet", A.table(spark, sf, name).schema)
+
+
+@query("ingest_days", oracle("SELECT Date, count(*) AS row_count, sum(Vol) AS volume FROM bars GROUP BY Date", "volume"))
+def ingest_days(spark, sf):
+    bars = A.bars(spark, sf)
+    source, out = scratch(spark), scratch(spark)
+    bars.write.parquet(source)
+    X.ingest_days(spark, source, bars.schema, f"{out}/table", f"{out}/progress")
+    # A second run finds nothing new and appends nothing.
+    table = X.ingest_days(spark, source, bars.schema, f"{out}/table", f"{out}/progress")
+    return tidy(table.groupBy("Date").agg(F.count("*").alias("row_count"), F.sum("Vol").alias("volume")))
+
+
+@query("stream_bars", oracle(
+    """SELECT user_id AS "StockCode", strftime(b, '%Y-%m-%d %H:%M:%S') AS bar_start, min_by(value, ts) AS "Open", max_by(value, ts) AS "Close", max(value) AS "High", min(value) AS "Low",
+    CAST(count(*) AS DOUBLE) AS "Vol", sum(value) AS "Amount" FROM (SELECT *, date_trunc('hour', ts) AS b FROM events) GROUP BY user_id, b
+    HAVING b + INTERVAL 1 HOUR <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 10 MINUTE""", "Open Close High Low Vol Amount"))
+def stream_bars(spark, sf):
+    out = scratch(spark)
+    bars = X.bars_from_events(_table_stream(spark, sf, "events").select("ts", "user_id", "value"), width="1 hour")
+    done = X.run_available(bars, f"{out}/bars", f"{out}/progress")
+    return tidy(done.select("StockCode", F.date_format("bar_start", "yyyy-MM-dd HH:mm:ss").alias("bar_start"), "Open", "Close", "High", "Low", "Vol", "Amount"))
+
+
+@query("stream_ic", oracle(
+    """SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, CASE WHEN isfinite(corr(l_discount, l_tax)) THEN corr(l_discount, l_tax) END AS ic, count(*) AS count, avg(l_tax) AS mean_target,
+    stddev_samp(l_tax) AS std_target FROM lineitem GROUP BY l_shipdate HAVING l_shipdate + INTERVAL 1 DAY <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 1 DAY""",
+    "ic mean_target std_target"))
+def stream_ic(spark, sf):
+    rows = _table_stream(spark, sf, "lineitem").select(F.col("l_shipdate").alias("ts"), F.col("l_discount").alias("prediction"), F.col("l_tax").alias("target"))
+    out = scratch(spark)
+    done = X.run_available(X.running_ic(rows, width="1 day", delay="1 day"), f"{out}/ic", f"{out}/progress")
+    return tidy(done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "ic", "count", "mean_target", "std_target"))
+
+
+@query("stream_band_state", oracle("SELECT date, code, bar FROM band WHERE active", **BAND))
+def stream_band_state(spark, sf):
+    rows = A.pred(spark, sf).select(
+        "code", "date", F.floor((F.col("time") - 93000) / 100).cast("int").alias("bar"),
+        (F.col("prediction") >= 0.2).alias("enter"), (F.col("prediction") >= -0.2).alias("hold"))
+    ordered = stored(rows)
+    out = scratch(spark)
+    done = X.run_available(X.band_state_stream(_stream(spark, ordered.coalesce(4))), f"{out}/held", f"{out}/progress")
+    return done.select("date", "code", "bar")
