@@ -21,8 +21,8 @@ def _stream(spark, df, files=None):
 
 
 def _table_stream(spark, sf, name):
-    """A given table as a file stream."""
-    return X.read_stream(spark, f"{sf}/{name}.parquet", A.table(spark, sf, name).schema)
+    """A given table as a file stream; the pattern suits a file and a folder."""
+    return X.read_stream(spark, f"{sf}/{name}.parque[t]", A.table(spark, sf, name).schema)
 
 
 @query("ingest_days", oracle("SELECT Date, count(*) AS row_count, sum(Vol) AS volume FROM bars GROUP BY Date", "volume"))
