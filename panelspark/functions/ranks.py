@@ -55,6 +55,11 @@ def _order(order: Sequence[str | tuple[str, bool]]) -> list[Column]:
     return out
 
 
+def _whole(window):
+    """The whole group as a frame of an ordered window."""
+    return window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def _with_running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | tuple[str, bool]], weight: Column
 ) -> DataFrame:
@@ -113,10 +118,10 @@ def add_value_ranks(
     """
     keys = list(keys)
     if choose_plan(df, keys, plan) == WINDOW:
-        group = Window.partitionBy(*keys)
-        ordered = group.orderBy(F.col(value).asc_nulls_last())
-        ties = F.count("*").over(Window.partitionBy(*keys, value))
-        outputs = _rank_outputs(F.rank().over(ordered), ties, F.count(value).over(group), names)
+        # Frames of one ordered window: ranks, ties and size in a single pass.
+        ordered = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
+        ties = F.count("*").over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+        outputs = _rank_outputs(F.rank().over(ordered), ties, F.count(value).over(_whole(ordered)), names)
         return df.withColumns({name: F.when(F.col(value).isNotNull(), c) for name, c in outputs.items()})
 
     # Rank distinct values, so that a value held by most rows is one row here.
@@ -155,13 +160,12 @@ def add_positions(
     """
     keys, tiles = list(keys), tiles or {}
     if choose_plan(df, keys, plan) == WINDOW:
-        group = Window.partitionBy(*keys)
-        ordered = group.orderBy(*_order(order))
+        ordered = Window.partitionBy(*keys).orderBy(*_order(order))
         out = {name: F.ntile(k).over(ordered) for name, k in tiles.items()}
         if rn:
             out[rn] = F.row_number().over(ordered)
         if n:
-            out[n] = F.count("*").over(group)
+            out[n] = F.count("*").over(_whole(ordered))
         return df.withColumns(out)
     placed = _with_running_total(df, keys, order, F.lit(1).cast("bigint"))
     row, total = F.col("_before") + 1, F.col("_total")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import scalar as S
 from ..schema import EXECUTION_COLUMNS
 from ..settings import MarketSettings
-from .features import SESSION, at_minute, rolling_std, session_window
+from .features import SESSION
 
 
 def attach_daily(bars: DataFrame, daily: DataFrame) -> DataFrame:
@@ -30,27 +30,33 @@ def active_days(periods: DataFrame, calendar: DataFrame) -> DataFrame:
     return keyed.distinct().join(calendar.select("Date").distinct(), "Date", "left_semi").select("code", "Date")
 
 
-def trailing_adv(daily: DataFrame, days: int = 20, keys: DataFrame | None = None) -> DataFrame:
-    """(code, Date, adv_amount): mean of the last ``days`` valid daily amounts
-    strictly before the date, carried over gaps; NULL before the first.
+def with_trailing_adv(daily: DataFrame, days: int = 20) -> DataFrame:
+    """Add adv_amount: mean of the last ``days`` valid daily amounts strictly
+    before the date, carried over gaps; NULL before the first.
 
-    ``keys`` lists the (code, Date) pairs wanted; by default those of
-    ``daily``. A code has one row per date, so its window stays small.
+    A code has one row per date, so its windows stay small. All of them share
+    one shuffle on code, and there is no join.
     """
     amount = S.clean("daily_amount")
-    rows = daily.select("code", "Date", F.when(amount > 0, amount).alias("_a"), F.lit(keys is None).alias("_wanted"))
-    if keys is not None:
-        asked = keys.select("code", "Date", F.lit(None).cast("double").alias("_a"), F.lit(True).alias("_wanted"))
-        rows = rows.unionByName(asked)
-    rows = rows.groupBy("code", "Date").agg(F.max("_a").alias("_a"), F.max("_wanted").alias("_wanted"))
     by_date = Window.partitionBy("code").orderBy("Date")
+    rows = daily.withColumn("_a", F.when(amount > 0, amount))
     # _seen counts valid days so far; a RANGE over it spans the last valid
     # ones however many invalid days lie between.
     rows = rows.withColumn("_seen", F.count("_a").over(by_date.rowsBetween(Window.unboundedPreceding, 0)))
     latest = Window.partitionBy("code").orderBy("_seen").rangeBetween(-(days - 1), 0)
-    rows = rows.withColumn("_mean", F.avg("_a").over(latest))
-    return (rows.withColumn("adv_amount", F.lag("_mean").over(by_date))
-            .where(F.col("_wanted")).select("code", "Date", "adv_amount"))
+    return (rows.withColumn("_mean", F.avg("_a").over(latest))
+            .withColumn("adv_amount", F.lag("_mean").over(by_date)).drop("_a", "_seen", "_mean"))
+
+
+def trailing_adv(daily: DataFrame, days: int = 20, keys: DataFrame | None = None) -> DataFrame:
+    """(code, Date, adv_amount) of ``daily``, or at other (code, Date) ``keys``."""
+    rows = daily.select("code", "Date", F.col("daily_amount").cast("double"))
+    if keys is None:
+        return with_trailing_adv(rows, days).select("code", "Date", "adv_amount")
+    asked = keys.select("code", "Date", F.lit(None).cast("double").alias("daily_amount"), F.lit(True).alias("_wanted"))
+    rows = rows.withColumn("_wanted", F.lit(False)).unionByName(asked).groupBy("code", "Date").agg(
+        F.max("daily_amount").alias("daily_amount"), F.max("_wanted").alias("_wanted"))
+    return with_trailing_adv(rows, days).where(F.col("_wanted")).select("code", "Date", "adv_amount")
 
 
 # --- bar flags ----------------------------------------------------------------
@@ -67,43 +73,61 @@ def tradable_flags(df: DataFrame) -> DataFrame:
         "current_tradable", F.col("tradable_base") & ~F.col("is_one_price_limit"))
 
 
-def locked_all_day(df: DataFrame) -> DataFrame:
-    """Whether every bar of the session sits on a limit.
+# All session windows below run over descending minutes. Looking ahead then
+# means looking at rows already passed, which running frames do in one step
+# per row, and the whole chain needs a single sort.
 
-    The flag looks at the whole session, also past the current bar; it is a
-    conservative rule, not a tradable signal.
-    """
-    day = Window.partitionBy(*SESSION)
-    up = _equal("High", "up_limit") & _equal("Low", "up_limit")
-    down = _equal("High", "down_limit") & _equal("Low", "down_limit")
-    return df.withColumns({
-        "is_limit_up_all_day": F.bool_and(up).over(day), "is_limit_down_all_day": F.bool_and(down).over(day)})
+def _session():
+    return Window.partitionBy(*SESSION).orderBy(F.col("MinuteIndex").desc())
 
 
-def intraday_sigma(df: DataFrame, window: int = 20, min_count: int = 5) -> DataFrame:
-    """Trailing deviation (ddof 1) of one-bar simple returns."""
-    change = S.ratio(F.col("Close"), F.lag("Close").over(session_window())) - 1
-    return (df.withColumn("_ret", change)
-            .withColumn("sigma_intraday", rolling_std("_ret", window, min_count, ddof=1)).drop("_ret"))
+def _ahead(column: str, offset: int) -> Column:
+    """Value of the bar whose minute is exactly ``offset`` later."""
+    return F.last(column).over(_session().rangeBetween(-offset, -offset))
+
+
+def _locked(limit: str) -> Column:
+    day = _session().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.bool_and(_equal("High", limit) & _equal("Low", limit)).over(day)
+
+
+def _simple_return() -> Column:
+    return S.ratio(F.col("Close"), F.lead("Close").over(_session())) - 1
+
+
+def _trailing_std(column: str, window: int, min_count: int) -> Column:
+    frame = _session().rowsBetween(0, window - 1)
+    return F.when(F.count(column).over(frame) >= min_count, F.stddev_samp(column).over(frame))
 
 
 def _next_tradable(trade: Column) -> Column:
-    """``trade`` of the next tradable bar, the current one included.
+    """``trade`` of the next tradable bar, the current one included."""
+    passed = _session().rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(F.when(F.col("current_tradable"), trade), ignorenulls=True).over(passed)
+
+
+def _own_trade() -> list[Column]:
+    return [F.col("MinuteIndex").alias("minute"), F.col("Open").cast("double").alias("open"), F.col("vwap").alias("vwap")]
+
+
+def locked_all_day(df: DataFrame) -> DataFrame:
+    """Whether every bar of the session sits on a limit.
 
-    A backward fill as a forward one over descending minutes: the running
-    frame costs one step per row.
+    The flag looks at the whole session, also past the current bar; it is a
+    conservative rule, not a tradable signal.
     """
-    back = Window.partitionBy(*SESSION).orderBy(F.col("MinuteIndex").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return F.last(F.when(F.col("current_tradable"), trade), ignorenulls=True).over(back)
+    return df.withColumns({"is_limit_up_all_day": _locked("up_limit"), "is_limit_down_all_day": _locked("down_limit")})
 
 
-def _own_trade() -> Column:
-    return F.struct(F.col("MinuteIndex").alias("minute"), F.col("Open").cast("double").alias("open"), F.col("vwap").alias("vwap"))
+def intraday_sigma(df: DataFrame, window: int = 20, min_count: int = 5) -> DataFrame:
+    """Trailing deviation (ddof 1) of one-bar simple returns."""
+    return (df.withColumn("_ret", _simple_return())
+            .withColumn("sigma_intraday", _trailing_std("_ret", window, min_count)).drop("_ret"))
 
 
 def next_trade(df: DataFrame) -> DataFrame:
     """Minute, open and VWAP of the next tradable bar."""
-    return df.withColumn("_next", _next_tradable(_own_trade())).withColumns({
+    return df.withColumn("_next", _next_tradable(F.struct(*_own_trade()))).withColumns({
         "next_trade_minute": F.col("_next.minute"), "next_trade_open": F.col("_next.open"),
         "next_trade_vwap": F.col("_next.vwap")}).drop("_next")
 
@@ -114,43 +138,46 @@ def entry_and_exit(df: DataFrame, delay: int, holding: int) -> DataFrame:
 
     Seen from the entry bar the exit lies at a fixed offset, so each tradable
     bar carries its own exit along and the signal bar finds both through one
-    keyed frame. No lookup join is needed.
+    keyed frame. No lookup join is needed. ``_next`` is the struct of the next
+    tradable bar.
     """
-    rows = df.withColumn("_next", F.struct("next_trade_minute", "next_trade_open", "next_trade_vwap"))
-    rows = rows.withColumn("_exit", at_minute("_next", holding))
-    round_trip = F.struct(*[F.col(f"own.{c}") for c in ("minute", "open", "vwap")], F.col("_exit").alias("exit"))
-    rows = rows.withColumn("own", _own_trade()).withColumn("_trip", _next_tradable(round_trip))
-    rows = rows.withColumn("_entry", at_minute("_trip", delay))
+    rows = df.withColumn("_exit", _ahead("_next", holding))
+    rows = rows.withColumn("_trip", _next_tradable(F.struct(*_own_trade(), F.col("_exit").alias("exit"))))
+    rows = rows.withColumn("_entry", _ahead("_trip", delay))
     return rows.withColumns({
         "entry_schedule_minute": F.col("MinuteIndex") + delay,
         "entry_exec_minute": F.col("_entry.minute"), "entry_open": F.col("_entry.open"), "entry_vwap": F.col("_entry.vwap"),
         "exit_schedule_minute": F.col("_entry.minute") + holding,
-        "exit_exec_minute": F.col("_entry.exit.next_trade_minute"),
-        "exit_open": F.col("_entry.exit.next_trade_open"), "exit_vwap": F.col("_entry.exit.next_trade_vwap"),
-    }).drop("_next", "_exit", "_trip", "_entry", "own")
+        "exit_exec_minute": F.col("_entry.exit.minute"),
+        "exit_open": F.col("_entry.exit.open"), "exit_vwap": F.col("_entry.exit.vwap"),
+    }).drop("_exit", "_trip", "_entry")
 
 
 def market_state(
     bars: DataFrame, daily: DataFrame, st_days: DataFrame | None = None, cfg: MarketSettings = MarketSettings(),
-    adv: DataFrame | None = None,
 ) -> DataFrame:
     """Bars with limits, trailing ADV, flags, sigma, and entry and exit trades.
 
-    The daily tables meet each other first, so the bars are shuffled once, on
-    (code, Date), for the join and every window after it.
+    ADV is added to the daily table itself. The bars are shuffled once, on
+    (code, Date), for the joins and every window after them.
     """
-    adv = trailing_adv(daily, cfg.adv_days) if adv is None else adv
-    side = daily.select("code", "Date", "up_limit", "down_limit").join(adv, ["code", "Date"], "full_outer")
+    side = with_trailing_adv(daily, cfg.adv_days).select("code", "Date", "up_limit", "down_limit", "adv_amount")
+    out = attach_daily(bars, side)
     if st_days is None:
-        side = side.withColumn("is_st", F.lit(False))
+        out = out.withColumn("is_st", F.lit(False))
     else:
-        side = side.join(st_days.select("code", "Date").withColumn("_st", F.lit(True)), ["code", "Date"], "full_outer")
-        side = side.withColumn("is_st", F.coalesce("_st", F.lit(False))).drop("_st")
-    out = attach_daily(bars, side).withColumns({
-        "is_st": F.coalesce("is_st", F.lit(False)), "vwap": S.vwap(), "time": S.minute_time("MinuteIndex")})
-    out = locked_all_day(tradable_flags(out))
-    out = next_trade(intraday_sigma(out, cfg.sigma_window, cfg.sigma_min_count))
-    return entry_and_exit(out, cfg.entry_delay, cfg.holding)
+        flagged = st_days.select(F.col("code").alias("StockCode"), "Date", F.lit(True).alias("is_st"))
+        out = out.join(flagged, list(SESSION), "left").withColumn("is_st", F.coalesce("is_st", F.lit(False)))
+    out = tradable_flags(out.withColumns({"vwap": S.vwap(), "time": S.minute_time("MinuteIndex")}))
+    # Each withColumns is one window operator with several frames.
+    out = out.withColumns({
+        "is_limit_up_all_day": _locked("up_limit"), "is_limit_down_all_day": _locked("down_limit"),
+        "_ret": _simple_return(), "_next": _next_tradable(F.struct(*_own_trade()))})
+    out = out.withColumn("sigma_intraday", _trailing_std("_ret", cfg.sigma_window, cfg.sigma_min_count))
+    out = entry_and_exit(out, cfg.entry_delay, cfg.holding)
+    return out.withColumns({
+        "next_trade_minute": F.col("_next.minute"), "next_trade_open": F.col("_next.open"),
+        "next_trade_vwap": F.col("_next.vwap")}).drop("_ret", "_next")
 
 
 LEG_COLUMNS = [

@@ -6,16 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import scalar as S
 from ..operators import book as B, market as M, positions as P, returns as R
 from ..settings import CostSettings, MarketSettings
 
 
 def build_features(pred: DataFrame, bars: DataFrame, daily: DataFrame, st_days: DataFrame | None = None, cfg: MarketSettings = MarketSettings()) -> DataFrame:
-    """Execution features; the ADV history runs over the dates with scores only."""
-    scored = pred.select((F.col("date") + 20000000).cast("int").alias("Date")).distinct()
-    history = daily.join(scored, "Date", "left_semi")
-    adv = M.trailing_adv(history, cfg.adv_days)
-    return M.execution_features(pred, M.market_state(bars, daily, st_days, cfg, adv), cfg)
+    """Execution features; the ADV history runs over the dates with scores only.
+
+    Amounts of other dates are blanked: a missing amount never counts.
+    """
+    scored = pred.select(S.full_date("date").alias("Date")).distinct().withColumn("_scored", F.lit(True))
+    history = daily.join(scored, "Date", "left").withColumn(
+        "daily_amount", F.when(F.col("_scored"), F.col("daily_amount"))).drop("_scored")
+    return M.execution_features(pred, M.market_state(bars, history, st_days, cfg), cfg)
 
 
 def run_backtest(

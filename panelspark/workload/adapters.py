@@ -42,9 +42,14 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf: str) -> DataFrame:
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "px")
-    return trades(spark, sf).groupBy("StockCode", "Date", "MinuteIndex").agg(
-        F.min_by("px", order).alias("Open"), F.max_by("px", order).alias("Close"),
+    # The order of trades inside a bar as one number (day, order, line, price):
+    # a numeric key keeps min_by/max_by in hash aggregation.
+    line = F.shiftleft(F.col("l_orderkey") * 8 + F.col("l_linenumber"), 23)
+    order = (F.shiftleft(((F.day("l_shipdate") - 1) % 2).cast("bigint"), 62) + line
+             + F.floor((F.col("px") - 100) / 20 * 8388608).cast("bigint"))
+    rows = trades(spark, sf).withColumn("_order", order)
+    return rows.groupBy("StockCode", "Date", "MinuteIndex").agg(
+        F.min_by("px", "_order").alias("Open"), F.max_by("px", "_order").alias("Close"),
         F.max("px").alias("High"), F.min("px").alias("Low"), F.sum("qty").alias("Vol"),
         F.round(F.sum(F.col("px") * F.col("qty")), 6).alias("Amount"))
 
