@@ -24,6 +24,8 @@ from ..session import MAX_GROUP_ROWS, SMALL_INPUT_BYTES, cut_lineage, input_byte
 
 WINDOW, RANGED = "window", "ranged"
 DEFAULT_MAX_GROUP_ROWS = 4_000_000
+# Largest k for which "row_number <= k" is applied per task before the shuffle.
+GROUP_LIMIT = 1000
 DEFAULT_SMALL_INPUT_BYTES = 256 * 1024 * 1024
 
 
@@ -191,7 +193,7 @@ def add_group_stats(
         return df.withColumns({name: c.over(group) for name, c in stats.items()})
     totals = df.groupBy(*keys).agg(*[c.alias(name) for name, c in stats.items()])
     if not keys:
-        return df.crossJoin(F.broadcast(totals))
+        return df.withColumns({name: totals.select(name).scalar() for name in stats})
     joined = df.alias("d").join(totals.alias("t"), _match("d", "t", keys), "inner")
     return joined.select("d.*", *[F.col(f"t.{name}") for name in stats])
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scalar as S
-from ..functions.ranks import WINDOW, add_positions
+from ..functions.ranks import GROUP_LIMIT, WINDOW, add_positions
 from .features import SESSION
 
 
@@ -77,12 +77,13 @@ def attach_split(df: DataFrame, splits: DataFrame, date: str = "Date") -> DataFr
 def sample_per_group(df: DataFrame, keys: Sequence[str], k: int, seed: int, unique: Sequence[str], plan: str | None = None) -> DataFrame:
     """k rows per group without replacement, the same ones for the same seed.
 
-    The draw orders rows by a seeded hash; in the window plan only the k first
-    of each task's share travel, since the row-number filter is pushed below
-    the exchange.
+    The draw orders rows by a seeded hash. For small k Spark limits each
+    task's share to k rows per group before the shuffle, so no group is too
+    large for the window plan.
     """
     if k <= 0:
         return df
+    plan = WINDOW if plan is None and k <= GROUP_LIMIT else plan
     drawn = df.withColumn("_h", F.xxhash64(F.lit(seed), *unique))
     return add_positions(drawn, keys, ["_h", *unique], rn="_rn", plan=plan).where(F.col("_rn") <= k).drop("_h", "_rn")
 

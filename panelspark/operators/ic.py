@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S, stats as T
 from ..functions.ranks import (
-    RANGED, WINDOW, add_positions, add_value_ranks, choose_plan, group_quantiles,
+    GROUP_LIMIT, RANGED, WINDOW, add_positions, add_value_ranks, choose_plan, group_quantiles,
 )
 from .features import finite_pairs, forward_vol, linear_score, with_short_keys
 
@@ -367,6 +367,7 @@ def topk_return(df: DataFrame, k: int = 50, x: str = "prediction", y: str = "tar
     """Mean target of the k highest scores per date, with the day's correlations."""
     rows = finite_pairs(df, x, y)
     plan = choose_plan(rows, ["date"], plan)
-    top = (add_positions(rows, ["date"], [(x, False), "time", "code"], rn="_rn", plan=plan)
+    first = WINDOW if k <= GROUP_LIMIT else plan
+    top = (add_positions(rows, ["date"], [(x, False), "time", "code"], rn="_rn", plan=first)
            .where(F.col("_rn") <= k).groupBy("date").agg(F.avg(y).alias("topk_return")))
     return top.join(ic_by_timestamp(rows, x, y, ["date"], plan), "date")

@@ -165,8 +165,7 @@ def mse(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def best_candidate(scores: DataFrame, metric: str = "mse") -> DataFrame:
     """Rank candidates (one row each) by a metric; the minimum is promoted."""
-    w = Window.partitionBy(F.lit(0)).orderBy(metric)
-    ranked = scores.withColumn("metric_rank", F.rank().over(w))
+    ranked = add_value_ranks(scores, [], metric, {"rank": "metric_rank"})
     return ranked.withColumn("decision", F.when(F.col("metric_rank") == 1, "promote").otherwise("reject"))
 
 
@@ -307,6 +306,15 @@ def step_summary(metrics: DataFrame, tail: int = 100) -> DataFrame:
 
 
 def smoothed_log(metrics: DataFrame, window: int = 1000) -> DataFrame:
-    """Sliding mean of each tag's values; NULL until the window is full."""
-    frame = Window.partitionBy("tag").orderBy("step").rowsBetween(-(window - 1), 0)
-    return metrics.withColumn("smooth", F.when(F.count("value").over(frame) == window, F.avg("value").over(frame)))
+    """Sliding mean of each tag's values; NULL until the window is full.
+
+    Rows are cut into blocks of ``window``; a block is averaged together with
+    the block before it, so no task holds more than two windows of a tag.
+    """
+    rows = add_positions(metrics, ["tag"], ["step"], rn="_rn")
+    block = F.floor((F.col("_rn") - 1) / window)
+    # Each row once in its own block, once as the lead-in of the next.
+    rows = rows.withColumn("_own", block).withColumn("_block", F.explode(F.array(block, block + 1)))
+    frame = Window.partitionBy("tag", "_block").orderBy("_rn").rowsBetween(-(window - 1), 0)
+    smooth = F.when(F.count("value").over(frame) == window, F.avg("value").over(frame))
+    return rows.withColumn("smooth", smooth).where(F.col("_own") == F.col("_block")).drop("_rn", "_own", "_block")

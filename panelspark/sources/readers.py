@@ -6,7 +6,7 @@ import json
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 try:
     import yaml
@@ -151,9 +151,12 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_id") -> Da
 
 
 def latest_per_step(df: DataFrame, keys: Sequence[str], wall_time: str) -> DataFrame:
-    """Keep the most recent record of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.col(wall_time).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """Keep the most recent record of each key.
+
+    An aggregate, so each task keeps one record per key before the shuffle.
+    """
+    row = F.struct(*df.columns)
+    return df.groupBy(*keys).agg(F.max_by(row, wall_time).alias("_row")).select("_row.*")
 
 
 def with_timestamp(df: DataFrame, date: str = "date", time: str = "time", epoch_days: bool = False) -> DataFrame:

@@ -95,6 +95,54 @@ def write_predictions(spark, sf):
         F.lit(info["date_max"]).alias("date_max"), "stored_rows")
 
 
+@query("read_manifest", oracle(
+    "SELECT time, count(*) AS row_count, sum(prediction) AS total FROM pred GROUP BY time", "total", 6))
+def read_manifest(spark, sf):
+    """The manifest's files count; a stray file beside them does not."""
+    path = f"{scratch(spark)}/pred"
+    rows = A.pred(spark, sf)
+    info = W.write_predictions(rows, path)
+    rows.write.mode("append").parquet(path)
+    listed = R.read_predictions(spark, [f"{path}/{name}" for name in info["chunk_files"]], ["time", "prediction"], rows.schema)
+    return tidy(listed.groupBy("time").agg(F.count("*").alias("row_count"), F.sum("prediction").alias("total")), 6)
+
+
+@query("write_features", oracle("SELECT date, count(*) AS row_count, sum(signal_amount) AS total FROM feats GROUP BY date", "total", 4))
+def write_features(spark, sf):
+    path = f"{scratch(spark)}/features"
+    W.write_features(A.feats(spark, sf), path)
+    return tidy(spark.read.parquet(path).groupBy("date").agg(F.count("*").alias("row_count"), F.sum("signal_amount").alias("total")), 4)
+
+
+@query("export_table", oracle("SELECT code, count(*) AS row_count, sum(prediction) AS total FROM xsec GROUP BY code", "total", 6))
+def export_table(spark, sf):
+    path = f"{scratch(spark)}/xsec.csv"
+    rows = A.xsec(spark, sf).select("date", "code", "prediction")
+    W.export_table(rows, path)
+    back = spark.read.schema(rows.schema).option("header", True).csv(path)
+    return tidy(back.groupBy("code").agg(F.count("*").alias("row_count"), F.sum("prediction").alias("total")), 6)
+
+
+@query("read_eval_shards", oracle("SELECT time, count(*) AS row_count FROM pred GROUP BY time"))
+def read_eval_shards(spark, sf):
+    base = scratch(spark)
+    rows = A.pred(spark, sf)
+    for side, cond in (("rank0", "prediction < 0"), ("rank1", "prediction >= 0")):
+        rows.where(cond).write.parquet(f"{base}/{side}")
+    return R.read_eval_shards(spark, [f"{base}/rank0", f"{base}/rank1"], ["time", "prediction"]).groupBy("time").agg(F.count("*").alias("row_count"))
+
+
+@query("write_metrics", oracle(
+    """SELECT 'val/' || m AS metric, v AS value FROM (SELECT unnest(['objective/mse', 'quality/global_ic']) AS m,
+    unnest([avg(power(prediction-target, 2)), corr(prediction, target)]) AS v FROM xsec)""", "value"))
+def write_metrics(spark, sf):
+    from ..registry import default_registry
+
+    path = f"{scratch(spark)}/metrics"
+    W.write_metrics(default_registry().evaluate(A.xsec(spark, sf), "val", ["quality/global_ic", "objective/mse"]), path)
+    return tidy(spark.read.schema("metric string, value double").json(path))
+
+
 @query("reuse_or_build", oracle("SELECT Date, count(*) AS row_count FROM bars GROUP BY Date"))
 def reuse_or_build(spark, sf):
     path = f"{scratch(spark)}/bars"
@@ -504,7 +552,7 @@ def epoch_shuffle(spark, sf):
 
 
 @query("metric_rank", oracle(
-    "SELECT CAST(code AS INT) AS code, avg(power(prediction-target, 2)) AS mse, CAST(rank() OVER (ORDER BY avg(power(prediction-target, 2))) AS INT) AS metric_rank, CASE WHEN rank() OVER (ORDER BY avg(power(prediction-target, 2))) = 1 THEN 'promote' ELSE 'reject' END AS decision, count(*) AS count FROM xsec GROUP BY code", "mse"))
+    "SELECT CAST(code AS INT) AS code, avg(power(prediction-target, 2)) AS mse, rank() OVER (ORDER BY avg(power(prediction-target, 2))) AS metric_rank, CASE WHEN rank() OVER (ORDER BY avg(power(prediction-target, 2))) = 1 THEN 'promote' ELSE 'reject' END AS decision, count(*) AS count FROM xsec GROUP BY code", "mse"))
 def metric_rank(spark, sf):
     return tidy(G.best_candidate(G.mse(A.xsec(spark, sf), ["code"])))
 

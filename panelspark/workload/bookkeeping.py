@@ -204,7 +204,7 @@ def band_state(spark, sf):
 
 WEIGHTS = "SELECT date, time, code, prediction/sum(abs(prediction)) OVER (PARTITION BY date, time) AS weight FROM pred WHERE {w}"
 STEP = {
-    "pw": WEIGHTS.format(w="code % 5 <> 0"), "tw": WEIGHTS.format(w="code % 5 <> 1 AND prediction > -0.3"),
+    "pw": WEIGHTS.format(w="prediction > -0.2"), "tw": WEIGHTS.format(w="prediction < 0.3"),
     "gated": """SELECT *, CASE WHEN hasp AND hast AND abs(t-p) < 0.0113 THEN p ELSE t END AS goal FROM (SELECT coalesce(a.date, b.date) AS date, coalesce(a.time, b.time) AS time,
      coalesce(a.code, b.code) AS code, coalesce(a.weight, 0) AS p, coalesce(b.weight, 0) AS t, a.weight IS NOT NULL AS hasp, b.weight IS NOT NULL AS hast
      FROM pw a FULL OUTER JOIN tw b ON a.date=b.date AND a.time=b.time AND a.code=b.code)""",
@@ -221,4 +221,4 @@ def rebalance_step(spark, sf):
         rows = add_group_stats(A.pred(spark, sf).where(cond), ["date", "time"], {"_s": F.sum(F.abs("prediction"))})
         return rows.select("date", "time", "code", F.try_divide(F.col("prediction"), F.col("_s")).alias("weight"))
 
-    return tidy(P.rebalance_step(weights("code % 5 <> 0"), weights("code % 5 <> 1 and prediction > -0.3"), ["date", "time"], 0.0113, 0.25))
+    return tidy(P.rebalance_step(weights("prediction > -0.2"), weights("prediction < 0.3"), ["date", "time"], 0.0113, 0.25))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import market as M, positions as P, quality as Q
 from ..plans.backtest import build_features
 from ..schema import EXECUTION_COLUMNS, POSITIONS
@@ -29,13 +30,13 @@ def trailing_adv(spark, sf):
 
 
 @query("trailing_adv_keys", oracle(
-    """SELECT k.StockCode AS code, k.Date, (SELECT avg(a) FROM (SELECT v.daily_amount AS a FROM daily v WHERE v.code=k.StockCode AND v.Date<k.Date
-    AND v.daily_amount>0 AND v.Date % 300 <> 1 ORDER BY v.Date DESC LIMIT 5)) AS adv_amount FROM (SELECT DISTINCT StockCode, Date FROM bars WHERE MinuteIndex = 3) k""",
+    """SELECT k.code, k.Date, (SELECT avg(a) FROM (SELECT v.daily_amount AS a FROM daily v WHERE v.code=k.code AND v.Date<k.Date
+    AND v.daily_amount>0 ORDER BY v.Date DESC LIMIT 5)) AS adv_amount FROM (SELECT DISTINCT code, CAST(20000000 + date AS INT) AS Date FROM xsec) k""",
     "adv_amount", 6))
 def trailing_adv_keys(spark, sf):
     """ADV at keys that are not the days of the history itself."""
-    keys = A.bars(spark, sf).where("MinuteIndex = 3").select(F.col("StockCode").alias("code"), "Date").distinct()
-    return tidy(M.trailing_adv(A.daily(spark, sf).where("Date % 300 <> 1"), 5, keys), 6)
+    keys = A.xsec(spark, sf).select("code", S.full_date("date").alias("Date"))
+    return tidy(M.trailing_adv(A.daily(spark, sf), 5, keys), 6)
 
 
 FLAGS = "tradable_base, is_one_price_limit, tradable_base AND NOT is_one_price_limit AS current_tradable, is_limit_up_all_day, is_limit_down_all_day"
@@ -77,9 +78,10 @@ def execution_features(spark, sf):
 
 
 @query("allowed_times", oracle(
-    """SELECT date_short AS date, count(*) AS row_count FROM state WHERE MinuteIndex BETWEEN 2 AND 8 AND date_short > 180000 GROUP BY 1"""))
+    """SELECT date_short AS date, count(*) AS row_count FROM state WHERE date_short IN (SELECT date FROM pred WHERE prediction >= 0.48)
+    AND 93000 + 100*MinuteIndex IN (SELECT time FROM pred WHERE prediction >= 0.48) GROUP BY 1"""))
 def allowed_times(spark, sf):
-    scores = A.pred(spark, sf).where("time between 93200 and 93800 and date > 180000")
+    scores = A.pred(spark, sf).where("prediction >= 0.48")
     return M.allowed_times(M.universe(A.state(spark, sf)), scores).groupBy("date").agg(F.count("*").alias("row_count"))
 
 
@@ -181,13 +183,10 @@ def build_positions_ranged(spark, sf):
 
 
 @query("build_features", oracle(
-    """SELECT f.date, count(*) AS row_count, avg(f.adv_amount) AS mean_adv, count(*) FILTER (fillable_vwap) AS fillable_rows FROM (SELECT s.*, a.adv_amount FROM
-    feats_plain s LEFT JOIN (SELECT k.code, k.Date, (SELECT avg(a) FROM (SELECT v.daily_amount AS a FROM daily v WHERE v.code=k.code AND v.Date<k.Date AND v.Date >= 20180101
-    AND v.daily_amount>0 ORDER BY v.Date DESC LIMIT 5)) AS adv_amount FROM daily k) a ON a.code=s.code AND a.Date=20000000+s.date) f WHERE f.date >= 180101 GROUP BY 1""",
-    "mean_adv", 4, feats_plain="SELECT date, time, code, fillable_vwap FROM feats"))
+    """SELECT date, count(*) AS row_count, avg(adv_amount) AS mean_adv, count(*) FILTER (fillable_vwap) AS fillable_rows FROM feats GROUP BY 1""", "mean_adv", 4))
 def build_features_from_scores(spark, sf):
     """ADV history limited to the dates that have scores."""
-    scores = A.pred(spark, sf).where("date >= 180101")
+    scores = A.pred(spark, sf)
     st = M.active_days(A.st_periods(spark), A.calendar(spark, sf))
     feats = build_features(scores, A.bars(spark, sf), A.daily(spark, sf), st, A.MARKET)
     return tidy(feats.groupBy("date").agg(

@@ -152,7 +152,7 @@ def prediction_scale(spark, sf):
 
 
 @query("mse_by_model", oracle(
-    """SELECT model, avg(power(m*prediction - target, 2)) AS mse, count(*) AS count, CAST(rank() OVER (ORDER BY avg(power(m*prediction - target, 2))) AS INT) AS metric_rank,
+    """SELECT model, avg(power(m*prediction - target, 2)) AS mse, count(*) AS count, rank() OVER (ORDER BY avg(power(m*prediction - target, 2))) AS metric_rank,
     CASE WHEN rank() OVER (ORDER BY avg(power(m*prediction - target, 2))) = 1 THEN 'promote' ELSE 'reject' END AS decision
     FROM xsec, (VALUES ('m0', 0.0::DOUBLE), ('m1', 1.0::DOUBLE), ('m2', 0.5::DOUBLE)) t(model, m) GROUP BY model""", "mse"))
 def mse_by_model(spark, sf):
@@ -177,10 +177,10 @@ def monthly_stability(spark, sf):
 
 @query("join_monthly", oracle(
     f"""SELECT month, a.mean_bps, a.positive_ratio, a.day_count, b.trades FROM ({MONTHLY}) a FULL OUTER JOIN
-    (SELECT CAST(date//100 AS INT) AS month, count(*) AS trades FROM xsec WHERE code % 2 = 0 AND date >= 160101 GROUP BY 1) b USING (month)""",
+    (SELECT CAST(date//100 AS INT) AS month, count(*) AS trades FROM xsec WHERE amount > 50000 GROUP BY 1) b USING (month)""",
     "mean_bps positive_ratio", 6, **MONO))
 def join_monthly(spark, sf):
-    traded = A.xsec(spark, sf).where("code % 2 = 0 and date >= 160101").groupBy(F.floor(F.col("date") / 100).cast("int").alias("month")).agg(F.count("*").alias("trades"))
+    traded = A.xsec(spark, sf).where("amount > 50000").groupBy(F.floor(F.col("date") / 100).cast("int").alias("month")).agg(F.count("*").alias("trades"))
     return tidy(G.join_monthly(G.monthly_stability(_mono(spark, sf)), traded), 6)
 
 
