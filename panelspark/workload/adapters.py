@@ -99,9 +99,10 @@ def xsec(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.sum("l_extendedprice"), 2).alias("amount")).withColumn("time", F.lit(93000))
 
 
-def labeled(spark: SparkSession, sf: str) -> DataFrame:
+def labeled(spark: SparkSession, sf: str, source: DataFrame | None = None) -> DataFrame:
     """Scores with the forward label as target, for time-of-day operators."""
-    rows = P.forward_label(bars(spark, sf), FEATURES.horizon, FEATURES.entry_lag)
+    rows = bars(spark, sf) if source is None else source
+    rows = P.forward_label(rows, FEATURES.horizon, FEATURES.entry_lag)
     return (P.with_short_keys(rows).select("date", "time", "code", score().alias("prediction"), F.col("label_ret").alias("target"))
             .where(F.col("target").isNotNull()))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ic as I, features as P
 from ..registry import default_registry
+from ..session import stored
 from . import adapters as A
 from .adapters import tidy
 from .catalog import query
@@ -138,8 +139,8 @@ MEMBERS = """SELECT prediction, target, grp FROM (SELECT t.*, g.regime, cume_dis
 
 
 def _grouped(spark, sf, plan):
-    bars = A.bars(spark, sf)
-    rows = I.attach_group_labels(A.labeled(spark, sf), bars, 4)
+    bars = stored(A.bars(spark, sf))
+    rows = I.attach_group_labels(A.labeled(spark, sf, bars), bars, 4)
     return tidy(I.grouped_ic(rows, I.liquidity_regime(bars), plan))
 
 
