@@ -16,10 +16,12 @@ def pearson(x: ColumnLike, y: ColumnLike) -> Column:
     """Correlation over finite pairs; NULL below two pairs or at zero variance.
 
     Central moments keep a constant column at exactly zero variance; the
-    built-in ``corr`` raises there under ANSI mode.
+    built-in ``corr`` raises there under ANSI mode. A value that is zero up to
+    rounding is zero, so its sign does not hang on the order of summation.
     """
     a, b = _paired(x, y)
-    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    c = ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when(F.abs(c) < 1e-12, 0.0).otherwise(c)
 
 
 def pair_count(x: ColumnLike, y: ColumnLike) -> Column:

@@ -14,7 +14,7 @@ from .sql import oracle
 
 
 def _fin(e: str) -> str:
-    return f"CASE WHEN isfinite({e}) THEN {e} END"
+    return f"CASE WHEN abs({e}) < 1e-12 THEN 0.0 WHEN isfinite({e}) THEN {e} END"
 
 
 def ranked(source: str, keys: str, x: str = "prediction", y: str = "target") -> str:
@@ -264,7 +264,7 @@ BASE = {
     "rows_in": """SELECT t.Date AS date, t.MinuteIndex AS time, label_ret AS y, s.baseline, c.scope,
     CASE s.baseline WHEN 'ret_1m' THEN ret_1m WHEN 'ret_3m' THEN ret_3m ELSE ret_1m + 0.5*ret_2m + 0.25*ret_3m END AS x
     FROM training t, (VALUES ('ret_1m'), ('ret_3m'), ('ret_combo')) s(baseline), (VALUES ('all'), ('late')) c(scope) WHERE c.scope = 'all' OR MinuteIndex >= 6""",
-    "st": "SELECT scope, baseline, date, time, CASE WHEN isfinite(corr(x, y)) THEN corr(x, y) END AS ic FROM rows_in GROUP BY 1, 2, 3, 4",
+    "st": f"SELECT scope, baseline, date, time, {_fin('corr(x, y)')} AS ic FROM rows_in GROUP BY 1, 2, 3, 4",
     "dd": "SELECT scope, baseline, date, avg(ic) AS ic FROM st GROUP BY 1, 2, 3 HAVING avg(ic) IS NOT NULL",
 }
 

@@ -8,7 +8,7 @@ from ..operators import ic as I, signal as G
 from . import adapters as A
 from .adapters import tidy
 from .catalog import query
-from .evaluation import CURVE, _roll, ranked
+from .evaluation import CURVE, _fin, _roll, ranked
 from .sql import oracle
 
 BUCKETED = "SELECT *, CAST(ntile(10) OVER (PARTITION BY date, time ORDER BY prediction, code) AS INT) AS signal_bucket FROM xsec"
@@ -76,9 +76,9 @@ def decile_pivot(spark, sf):
 MONO = {
     **B, "bd": "SELECT date, signal_bucket AS b, mean_return_bps/1e4 AS v FROM bucket_daily",
     "br": ranked("bd", "date", "b", "v"),
-    "mono": """SELECT *, product(1 + top_minus_bottom) OVER (ORDER BY date) - 1 AS cum_top_minus_bottom FROM (
+    "mono": f"""SELECT *, product(1 + top_minus_bottom) OVER (ORDER BY date) - 1 AS cum_top_minus_bottom FROM (
     SELECT date, max(v) FILTER (b = 10) AS top_decile_return, max(v) FILTER (b = 1) AS bottom_decile_return,
-    max(v) FILTER (b = 10) - max(v) FILTER (b = 1) AS top_minus_bottom, CASE WHEN isfinite(corr(rx, ry)) THEN corr(rx, ry) END AS spearman_decile_return
+    max(v) FILTER (b = 10) - max(v) FILTER (b = 1) AS top_minus_bottom, {_fin('corr(rx, ry)')} AS spearman_decile_return
     FROM br GROUP BY date)""",
 }
 MONO_COLS = "top_decile_return bottom_decile_return top_minus_bottom spearman_decile_return cum_top_minus_bottom"
