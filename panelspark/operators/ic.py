@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S, stats as T
 from ..functions.ranks import (
-    GROUP_LIMIT, RANGED, WINDOW, add_positions, add_value_ranks, choose_plan, group_quantiles,
+    RANGED, WINDOW, add_positions, add_value_ranks, choose_plan, group_quantiles,
 )
+from ..session import stored
 from .features import finite_pairs, forward_vol, linear_score, with_short_keys
 
 CROSS_SECTION = ("date", "time")
@@ -105,7 +106,11 @@ def liquidity_regime(bars: DataFrame, days: int = 5) -> DataFrame:
 
 
 def quantile_cut(df: DataFrame, column: str, name: str, parts: int) -> DataFrame:
-    """Bucket 0..parts-1 by interpolated quantiles, right-closed."""
+    """Bucket 0..parts-1 by interpolated quantiles, right-closed.
+
+    For aggregated tables (days, curve points): stored, then read twice.
+    """
+    df = stored(df)
     points = {f"_q{i}": i / parts for i in range(1, parts)}
     edges = group_quantiles(df, [], column, points).select(F.array(*points)).scalar()
     bucket = F.lit(parts - 1)
@@ -253,18 +258,17 @@ def rolling_group_ic_rows(df: DataFrame, label: str, window: int = 2000, step: i
 
 def curve_summary(curve: DataFrame, x: str = "group_center_rank", y: str = "mean_ic", count: str = "count") -> DataFrame:
     """Range, extremes and first sign change of a curve (about 1000 points at most)."""
-    w = Window.partitionBy(F.lit(0)).orderBy(x)
-    defined = curve.where(F.col(y).isNotNull())
-    prev = F.lag(y).over(w)
+    before = Window.partitionBy(F.lit(0)).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    prev = F.last(y, ignorenulls=True).over(before)
     crossed = ((prev <= 0) & (F.col(y) > 0)) | ((prev >= 0) & (F.col(y) < 0))
-    marked = defined.withColumn("_cross", F.when(crossed, F.col(x)))
-    ends = curve.agg(F.min(x).alias("center_rank_min"), F.max(x).alias("center_rank_max"),
-                     F.sum(count).cast("bigint").alias("count_sum")).withColumn("_k", F.lit(0))
-    peaks = marked.agg(
-        F.max(y).alias("max_value"), F.max_by(x, F.struct(y, -F.col(x))).alias("max_rank"),
-        F.min(y).alias("min_value"), F.min_by(x, F.struct(y, x)).alias("min_rank"),
-        F.min("_cross").alias("first_sign_flip")).withColumn("_k", F.lit(0))
-    return ends.join(peaks, "_k").drop("_k")
+    marked = curve.withColumn("_cross", F.when(crossed, F.col(x)))
+    defined = F.col(y).isNotNull()
+    return marked.agg(
+        F.min(x).alias("center_rank_min"), F.max(x).alias("center_rank_max"),
+        F.sum(count).cast("bigint").alias("count_sum"),
+        F.max(y).alias("max_value"), F.max_by(x, F.when(defined, F.struct(F.col(y), -F.col(x)))).alias("max_rank"),
+        F.min(y).alias("min_value"), F.min_by(x, F.when(defined, F.struct(F.col(y), F.col(x)))).alias("min_rank"),
+        F.min("_cross").alias("first_sign_flip"))
 
 
 # --- turnover, residuals, deciles -------------------------------------------
@@ -299,6 +303,7 @@ def turnover_by_time(turnover: DataFrame) -> DataFrame:
 
 def turnover_summary(turnover: DataFrame) -> DataFrame:
     """One row: overall means and the times of lowest and highest turnover."""
+    turnover = stored(turnover)  # a row per timestamp, read twice
     overall = turnover.agg(
         F.count("*").alias("row_count"), F.avg("rank_corr").alias("mean_rank_corr"),
         F.avg("rank_turnover").alias("mean_rank_turnover"),
@@ -365,9 +370,6 @@ def baseline_ic(
 
 def topk_return(df: DataFrame, k: int = 50, x: str = "prediction", y: str = "target", plan: str | None = None) -> DataFrame:
     """Mean target of the k highest scores per date, with the day's correlations."""
-    rows = finite_pairs(df, x, y)
-    plan = choose_plan(rows, ["date"], plan)
-    first = WINDOW if k <= GROUP_LIMIT else plan
-    top = (add_positions(rows, ["date"], [(x, False), "time", "code"], rn="_rn", plan=first)
-           .where(F.col("_rn") <= k).groupBy("date").agg(F.avg(y).alias("topk_return")))
-    return top.join(ic_by_timestamp(rows, x, y, ["date"], plan), "date")
+    plan = choose_plan(df, ["date"], plan)
+    rows = add_positions(_ranked_pairs(df, ["date"], x, y, plan), ["date"], [(x, False), "time", "code"], rn="_rn", plan=plan)
+    return rows.groupBy("date").agg(*_ic_columns(x, y), F.avg(F.when(F.col("_rn") <= k, F.col(y))).alias("topk_return"))

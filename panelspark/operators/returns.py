@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S, stats as T
+from ..session import stored
 from .signal import BPS
 
 SUMMED = ("planned_turnover", "turnover", "spread_cost", "impact_coeff", "fee_cost")
@@ -53,25 +54,30 @@ def net_returns(daily: DataFrame, aums: Sequence[float]) -> DataFrame:
 
 def capacity(daily: DataFrame, budgets_bps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Capital at which the mean daily impact uses up each budget."""
-    coeff = F.avg("impact_coeff")
-    return daily.groupBy(*by).agg(*[
+    return daily.groupBy(*by).agg(*_capacities(F.avg("impact_coeff"), budgets_bps))
+
+
+def _capacities(coeff: Column, budgets_bps: Sequence[float]) -> list[Column]:
+    return [
         F.when(coeff > 0, F.pow(S.ratio(F.lit(b / BPS), coeff), F.lit(2.0))).alias(f"capacity_at_{int(b)}bps")
-        for b in budgets_bps])
+        for b in budgets_bps]
 
 
 def equity_curve(daily: DataFrame, value: str = "gross_return", by: Sequence[str] = ()) -> DataFrame:
     """(date, wealth, drawdown); the peak starts at the first wealth value."""
+    return _with_path(daily, value, by).select(*by, "date", "wealth", "drawdown")
+
+
+def _with_path(daily: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     keys = [F.col(c) for c in by] or [F.lit(0)]
     path = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return (daily.withColumn("wealth", F.product(1 + F.col(value)).over(path))
-            .withColumn("drawdown", F.col("wealth") / F.max("wealth").over(path) - 1)
-            .select(*by, "date", "wealth", "drawdown"))
+            .withColumn("drawdown", F.col("wealth") / F.max("wealth").over(path) - 1))
 
 
 def return_summary(daily: DataFrame, value: str = "gross_return", annual_days: int = 252, by: Sequence[str] = ()) -> DataFrame:
     """Mean, deviation, annualised figures, t-statistic, path figures, hit rate."""
-    path = equity_curve(daily.select(*by, "date", value), value, by)
-    rows = daily.select(*by, "date", F.col(value).alias("_v")).join(path, [*by, "date"])
+    rows = _with_path(daily.select(*by, "date", F.col(value).alias("_v")), "_v", by)
     mean, std = F.avg("_v"), F.stddev_samp("_v")
     wealth, days = F.max_by("wealth", "date"), F.count("_v")
     year = F.lit(float(annual_days))
@@ -95,21 +101,25 @@ def strategy_summary(
     annual_days: int = 252, by: Sequence[str] = (),
 ) -> DataFrame:
     """Return figures of the gross and each net series, with turnover,
-    execution and capacity figures alongside; one row per series."""
+    execution and capacity figures alongside; one row per series.
+
+    The daily table is a row per date and book but costs a whole backtest, so
+    it is stored before it is read twice.
+    """
+    daily = stored(daily)
     series = ["gross_return", *[net_name(a) for a in aums]]
     stacked = stack_series(net_returns(daily, aums), series, by)
     figures = return_summary(stacked, "value", annual_days, [*by, "series"])
     have = daily.columns
+    coeff = F.avg("impact_coeff")
     trading = daily.groupBy(*by).agg(
+        *_capacities(coeff, budgets_bps),
         *[F.avg(c).alias(f"mean_{c}") for c in ("planned_turnover", "turnover", *AVERAGED) if c in have],
         F.percentile("turnover", F.lit(0.5)).alias("p50_turnover"),
         F.percentile("turnover", F.lit(0.95)).alias("p95_turnover"))
-    caps = capacity(daily, budgets_bps, by)
     if by:
-        return figures.join(trading, list(by)).join(caps, list(by))
-    one = "_one"
-    return (figures.withColumn(one, F.lit(0)).join(trading.withColumn(one, F.lit(0)), one)
-            .join(caps.withColumn(one, F.lit(0)), one).drop(one))
+        return figures.join(trading, list(by))
+    return figures.withColumn("_one", F.lit(0)).join(trading.withColumn("_one", F.lit(0)), "_one").drop("_one")
 
 
 def rank_variants(summary: DataFrame, net_series: str, by: str = "variant") -> DataFrame:

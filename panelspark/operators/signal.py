@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S, stats as T
-from ..functions.ranks import add_positions, add_value_ranks, choose_plan, group_quantiles
+from ..functions.ranks import WINDOW, add_positions, add_value_ranks, choose_plan, group_quantiles
+from ..session import stored
 from ..settings import CostSettings
 from .features import finite_pairs
 from .ic import CROSS_SECTION, quantile_cut
@@ -62,6 +63,7 @@ def decile_daily(base: DataFrame) -> DataFrame:
 
 def decile_summary(daily: DataFrame) -> DataFrame:
     """Daily decile returns over all days; the t-statistic uses the number of dates."""
+    daily = stored(daily)
     days = daily.select(F.count_distinct("date")).scalar()
     out = daily.groupBy("signal_decile").agg(
         F.avg("mean_return").alias("mean_daily_return"), F.stddev_samp("mean_return").alias("std_daily_return"),
@@ -81,14 +83,16 @@ def decile_pivot(daily: DataFrame, bucket: str = "signal_decile", value: str = "
 def monotonicity(daily: DataFrame, bucket: str = "signal_decile", value: str = "mean_return", buckets: int = 10) -> DataFrame:
     """Per date: outer decile returns, their spread, the rank correlation of
     decile and return, and the compounded spread."""
-    ends = decile_pivot(daily, bucket, value, buckets).select(
-        "date", F.col(f"d{buckets}").alias("top_decile_return"), F.col("d1").alias("bottom_decile_return"),
-        (F.col(f"d{buckets}") - F.col("d1")).alias("top_minus_bottom"))
     rows = daily.where(F.col(value).isNotNull()).select("date", F.col(bucket).cast("double").alias("_b"), F.col(value).alias("_v"))
-    ranked = add_value_ranks(add_value_ranks(rows, ["date"], "_b", {"avg": "_rb"}), ["date"], "_v", {"avg": "_rv"})
-    corr = ranked.groupBy("date").agg(T.pearson("_rb", "_rv").alias("spearman_decile_return"))
+    # A date has one row per bucket: windows of ten rows.
+    ranked = add_value_ranks(rows, ["date"], "_b", {"avg": "_rb"}, WINDOW)
+    ranked = add_value_ranks(ranked, ["date"], "_v", {"avg": "_rv"}, WINDOW)
+    top, bottom = F.max(F.when(F.col("_b") == buckets, F.col("_v"))), F.max(F.when(F.col("_b") == 1, F.col("_v")))
+    out = ranked.groupBy("date").agg(
+        top.alias("top_decile_return"), bottom.alias("bottom_decile_return"), (top - bottom).alias("top_minus_bottom"),
+        T.pearson("_rb", "_rv").alias("spearman_decile_return"))
     path = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return ends.join(corr, "date").withColumn(
+    return out.withColumn(
         "cum_top_minus_bottom", F.product(1 + F.col("top_minus_bottom")).over(path) - 1)
 
 
