@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -118,11 +119,10 @@ def universe_first_n(df: DataFrame, n: int) -> DataFrame:
 # --- shuffling ------------------------------------------------------------
 
 def _coprime_step(n: int, start: int) -> int:
-    """Smallest odd step from ``start`` on without a common factor with n."""
-    step = max(1, start % max(n, 1)) | 1
-    while math.gcd(step, n) != 1:
-        step = step + 2 if step + 2 < n else 1
-    return step
+    """First odd number from ``start`` on, wrapping at n, without a common factor with n."""
+    first = start % n | 1
+    odd = itertools.chain(range(first, n, 2), range(1, first, 2))
+    return next((s for s in odd if math.gcd(s, n) == 1), 1)
 
 
 def epoch_permutation(n: int, seed: int, epoch: int) -> tuple[int, int]:
