@@ -509,12 +509,6 @@ def calendar_fields(spark, sf):
         S.session_minute("time").alias("session_minute"))
 
 
-@query("inverse_normal", None)
-def inverse_normal(spark, sf):
-    rows = add_value_ranks(A.xsec(spark, sf).select("date", "code", "target"), ["date"], "target", {"pct": "p"})
-    return tidy(rows.select("date", "code", "p", S.inverse_normal(S.clip("p", 1e-3, 1 - 1e-3)).alias("z")))
-
-
 # --- sampling and order ------------------------------------------------------------
 
 @query("top_by", oracle("SELECT * FROM (SELECT code, sum(amount) AS total FROM xsec GROUP BY code) ORDER BY total DESC, code LIMIT 8", "total", 2))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.ranks import add_positions
+from ..functions.ranks import add_positions, add_value_ranks
 from ..operators import datasets as D, features as P, ic as I, quality as Q
 from ..plans.dataset import split_training_rows
 from . import adapters as A
@@ -87,6 +87,14 @@ def cross_section_gaussianize(spark, sf):
     return tidy(P.cross_section_gaussianize(rows, ["log_vol", "hl"]).select(*KEYS, "log_vol_cs", "hl_cs"))
 
 
+@query("inverse_normal", oracle(
+    f"""SELECT date, code, p, {_normal_sql('q')} AS z FROM (SELECT *, least(greatest(p, 0.001), 0.999)::DOUBLE AS q FROM (SELECT date, code,
+    (rank() OVER (PARTITION BY date ORDER BY target) + (count(*) OVER (PARTITION BY date, target) - 1)/2.0)/count(*) OVER (PARTITION BY date) AS p FROM xsec))""", "p z"))
+def inverse_normal(spark, sf):
+    rows = add_value_ranks(A.xsec(spark, sf).select("date", "code", "target"), ["date"], "target", {"pct": "p"})
+    return tidy(rows.select("date", "code", "p", S.inverse_normal(S.clip("p", 1e-3, 1 - 1e-3)).alias("z")))
+
+
 ZFIT = " UNION ALL ".join(
     f"SELECT '{c}' AS field, " + ("0.0::DOUBLE * count(*) AS mean, 1.0::DOUBLE + 0.0::DOUBLE * count(*) AS std" if c == "minute_norm" else f"avg({c}) AS mean, stddev_pop({c}) AS std") + " FROM training"
     for c in [*COLS, "label_ret"])
