@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.session import ensure_checkpoint_dir, stored
 
-__all__ = ["WORD", "ensure_checkpoint_dir", "held_out", "lower_ascii", "stored", "table", "unit_hash"]
+__all__ = ["WORD", "ensure_checkpoint_dir", "held_out", "iterator_form", "lower_ascii", "stored", "table", "unit_hash"]
 
 # The word pattern and the letters that are folded.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,3 +33,13 @@ def unit_hash(*cols: Column) -> Column:
     """A number in [0, 1) that depends only on the values of ``cols``; SQL engines compute the same."""
     digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def iterator_form(function):
+    """Mark a generator over Arrow arrays for ``arrow_udf``, which reads its form from type hints."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    function.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return function

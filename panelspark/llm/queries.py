@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing
-from .common import table
+from . import ann, bpe, exact_dedup, labelled, langid, line_dedup, mixing, near_dedup, quality, suffix_dedup, toxicity
+from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,45 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
     return dict(QUERIES), dict(ORACLES)
 
 
+@query("op1_line_dedup", r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(parts, 1) AS unit, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
+), normal AS (
+  SELECT doc_id, unit, line, regexp_extract_all(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM lines
+), ranked AS (
+  SELECT *, len(words) >= 5 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, unit) > 1 AS gone
+  FROM normal
+), done AS (
+  SELECT doc_id, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n_spans, sum(CASE WHEN gone THEN length(line) ELSE 0 END) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (WHERE NOT gone), '') AS text
+  FROM ranked GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       done.text
+FROM documents d LEFT JOIN done USING (doc_id)
+""")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand earlier in the table, and how much it lost."""
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, u: n + u["end"] - u["start"])
+    return found.select("doc_id", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "text")
+
+
+@query("op2_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again, as digests."""
+    import public_tokenizers
+
+    coder = bpe.Bpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = table(spark, sf_dir, "documents").select("doc_id", coder.encode(F.col("text")).alias("ids"))
+    return encoded.select("doc_id", "ids", coder.decode(F.col("ids")).alias("bytes")).select(
+        "doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 @query("op3_source_mix", r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -65,6 +104,70 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op4_multiprobe_ann")
+def multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
+    found = ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op5_ordinal_quality")
+def ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of every document.
+
+    Grades from the labels: 0 for bad quality, 1 for good but toxic, 2 for
+    the rest. A document is kept where grade 1 or better is likelier than not.
+    """
+    docs = table(spark, sf_dir, "documents")
+    rating = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    sample = labelled.sample_labels(table(spark, sf_dir, "labels"), rating, ~held_out(F.col("doc_id")),
+                                    quality.MAX_EXAMPLES, "quality")
+    texts = quality.features_of(labelled.sample_texts(docs, sample)).select("doc_id", "label", "features")
+    rows = texts.orderBy("doc_id").collect()  # at most MAX_EXAMPLES labelled rows
+    model = quality.fit([(r["label"], r["features"]["at"], r["features"]["weight"]) for r in rows], grades=3)
+    found = quality.graded(docs.select("doc_id", "text"), model)
+    tails = F.col("quality.tails")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality.expected_grade").alias(
+        "expected_grade"), tails[0].alias("p_good"), tails[1].alias("p_best"), (tails[0] >= 0.5).alias("kept"))
+
+
+@query("op6_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(langid.training_rows(docs, ~held_out(F.col("doc_id"))))
+    found = langid.labelled(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+                        F.col("language.score").alias("score"), F.size("language.spans").alias("n_spans"))
+
+
+@query("op7_minhash_dedup")
+def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return near_dedup.cluster(table(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document with the labelled examples that speak for it."""
+    labels = table(spark, sf_dir, "labels")
+    sample = labelled.sample_labels(labels, F.col("toxic"), ~held_out(F.col("doc_id")), toxicity.MAX_EXAMPLES, "toxic")
+    found = toxicity.classify(table(spark, sf_dir, "documents"), sample)
+    score = F.col("toxicity.score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"),
+                        (score >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+                        F.col("toxicity.evidence").alias("evidence"))
+
+
+@query("op9_suffix_dedup")
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that strings of 400 bytes repeat, and a digest of what is left."""
+    found = suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.coalesce(F.sha2("kept", 256), F.col("text_sha256")).alias("kept_sha256"))
+
+
 @query("op10_exact_dedup", """
 WITH normal AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
