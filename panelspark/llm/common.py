@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.session import ensure_checkpoint_dir, stored
 
-__all__ = ["WORD", "ensure_checkpoint_dir", "held_out", "iterator_form", "lower_ascii", "stored", "table", "unit_hash"]
+__all__ = ["WORD", "ensure_checkpoint_dir", "held_out", "list_udf", "lower_ascii", "slices", "stored", "table", "unit_hash"]
 
 # The word pattern and the letters that are folded.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+SLICE = 256
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,6 +37,36 @@ def unit_hash(*cols: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def list_udf(setup, kind, returns: str):
+    """A column function in Python over lists of values.
+
+    ``setup()`` runs once for a task and gives the function from a list to a
+    list; ``kind`` is its Arrow and ``returns`` its Spark type. An Arrow batch
+    passes in slices of ``SLICE`` rows, so that few rows at a time are Python
+    objects.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def batches_of(batches):
+        own = setup()
+        for batch in batches:
+            parts = [pa.array(own(batch.slice(i, SLICE).to_pylist()), kind) for i in range(0, len(batch), SLICE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    # arrow_udf reads its form from type hints.
+    batches_of.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(batches_of, returns)
+
+
+def slices(batch):
+    """The columns of an Arrow record batch as lists, ``SLICE`` rows at a time."""
+    for i in range(0, batch.num_rows, SLICE):
+        part = batch.slice(i, SLICE)
+        yield [c.to_pylist() for c in part.columns]
+
+
 def iterator_form(function):
     """Mark a generator over Arrow arrays for ``arrow_udf``, which reads its form from type hints."""
     from collections.abc import Iterator

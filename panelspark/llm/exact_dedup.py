@@ -43,9 +43,9 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def _verified(low: str, high: str):
-    """The value both bounds share; an error where two texts hide behind one digest."""
-    return F.when(F.col(low) == F.col(high), F.col(low)).otherwise(
+def _verified(value: str):
+    """``value`` of a merged group; an error where two texts hide behind one digest."""
+    return F.when((F.col("b0") == F.col("b1")) & (F.col("p0") == F.col("p1")), F.col(value)).otherwise(
         F.raise_error(F.concat(F.lit("one digest for different texts: "), F.col("text_sha256"))).cast("long")
     )
 
@@ -59,8 +59,8 @@ def merge_runs(rows: DataFrame, keep: str = "largest", runs: int = RUNS, fan_in:
         level = level.groupBy("run", "text_sha256").agg(
             best("keep_id").alias("keep_id"), F.sum("n").alias("n"), F.min("n_bytes").alias("b0"),
             F.max("n_bytes").alias("b1"), F.min("proof").alias("p0"), F.max("proof").alias("p1"),
-        ).select("run", "text_sha256", "keep_id", "n", _verified("b0", "b1").alias("n_bytes"),
-                 _verified("p0", "p1").alias("proof"))
+        ).select("run", "text_sha256", "keep_id", _verified("n").alias("n"), F.col("b0").alias("n_bytes"),
+                 F.col("p0").alias("proof"))
         if runs == 1:
             return level.select("text_sha256", "keep_id", F.col("n").alias("group_size"))
         runs = -(-runs // fan_in)

@@ -10,8 +10,11 @@ document's, and its share of the letters (words without evidence count for
 one language among all) is the score.
 
 Most documents stay in one language. That is proven without walking the
-words: if no other language gains more than ``SWITCH`` over the best one on
-any run of words, no path that leaves it can win.
+words: if no other language gains more than ``SWITCH`` over the best one on any
+run of words, a path that leaves it and comes back, or begins or ends
+elsewhere, loses at least as much by its changes as it gains; and if the
+largest gains on a beginning and on an ending add up to no more than
+``SWITCH``, neither does a path that avoids it.
 
 Defined results:
 
@@ -28,10 +31,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import iterator_form, unit_hash
+from .common import list_udf, slices, unit_hash
 
 DOCS_PER_LANGUAGE = 2000
 MAX_GRAMS = 200_000
@@ -40,7 +44,7 @@ SWITCH = 8.0
 SMOOTH = 0.1
 WRONG_SCRIPT = -12.0
 SCRIPT_SHARE = 0.005
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 LONGEST_KEPT = 64
 UNKNOWN = "und"
 
@@ -55,14 +59,18 @@ SCRIPTS = (
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def script_of(letters: str) -> str:
-    code = ord(letters[0])
+@cache
+def script_of_code(code: int) -> str:
     for name, first, last in SCRIPTS:
         if first <= code <= last:
             return name
     return "other"
 
 
+def script_of(letters: str) -> str:
+    return script_of_code(ord(letters[0]))
+
+
 def letters_of(word: str) -> str:
     return "".join(LETTERS.findall(word)).lower()
 
@@ -98,8 +106,9 @@ def _count_batches(batches):
 
     for batch in batches:
         words: dict[str, Counter] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(text.split())
+        for langs, texts in slices(batch):
+            for lang, text in zip(langs, texts, strict=True):
+                words.setdefault(lang, Counter()).update(text.split())
         out: Counter = Counter()
         for lang, counted in words.items():
             for word, n in counted.items():
@@ -154,50 +163,48 @@ class Labeller:
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows, self.sizes, self.evident, self.stacked = [], [], [], 0
-
-    def score(self, word: str):
-        """(scores, number of letters, whether there is evidence) of a word."""
-        letters = letters_of(word)
-        if not letters:
-            return self.neutral, 0, False
-        mask = self.masks.get(script_of(letters))
-        grams = [g for x in grams_of(letters) if (g := self.model.grams.get(x)) is not None]
-        if mask is None or not grams:
-            return (self.neutral if mask is None else mask), len(letters), mask is not None and bool(mask.any())
-        return self.model.table[grams].sum(0) + mask, len(letters), True
-
-    def place(self, word: str) -> int:
-        scores, size, evident = self.score(word)
-        self.rows.append(scores)
-        self.sizes.append(size)
-        self.evident.append(evident)
-        if len(word) <= LONGEST_KEPT:
-            self.known[word] = len(self.rows) - 1
-        return len(self.rows) - 1
+        self.used, self.matrix = 0, self.np.zeros((1024, self.width + 2))
+
+    def rows_of(self, words: list[str]):
+        """For each word a row: its score under each language, its number of letters, whether there is evidence."""
+        np = self.np
+        masks, grams, ends, sizes = [], [], [], []
+        lookup = self.model.grams
+        for word in words:
+            letters = letters_of(word)
+            mask = self.masks.get(script_of(letters)) if letters else None
+            if mask is not None:
+                grams.extend([g for x in grams_of(letters) if (g := lookup.get(x)) is not None])
+            masks.append(self.neutral if mask is None else mask)
+            ends.append(len(grams))
+            sizes.append(len(letters))
+        totals = np.zeros((len(grams) + 1, self.width))
+        np.cumsum(self.model.table[grams], 0, out=totals[1:])
+        ends = np.array([0, *ends])
+        rows = np.empty((len(words), self.width + 2))
+        rows[:, :-2] = totals[ends[1:]] - totals[ends[:-1]] + np.array(masks)
+        rows[:, -2] = sizes
+        rows[:, -1] = (np.diff(ends) > 0) | np.array([bool(m.any()) for m in masks])
+        return rows
 
     def look_up(self, words: list[str]):
+        """The rows of a text's words; those met before are kept."""
         np = self.np
-        if len(self.rows) > KEPT_WORDS:
+        if self.used > KEPT_WORDS:
             self.reset()
-        places = [self.known.get(w) for w in words]
+        known = self.known
+        places = [known.get(w) for w in words]
         if None in places:
-            for i, p in enumerate(places):
-                if p is None:
-                    w = words[i]
-                    p = self.known.get(w)
-                    places[i] = self.place(w) if p is None else p
-        if self.stacked < len(self.rows):
-            room = max(1024, 1 << (len(self.rows) - 1).bit_length())
-            if self.stacked == 0 or room > len(self.matrix):
-                grown = np.zeros((room, self.width + 2))
-                if self.stacked:
-                    grown[:self.stacked] = self.matrix[:self.stacked]
+            fresh = list(dict.fromkeys([w for w, p in zip(words, places, strict=True) if p is None]))
+            if self.used + len(fresh) > len(self.matrix):
+                grown = np.zeros((1 << (self.used + len(fresh)).bit_length(), self.width + 2))
+                grown[:self.used] = self.matrix[:self.used]
                 self.matrix = grown
-            fresh = slice(self.stacked, len(self.rows))
-            self.matrix[fresh, :-2] = self.rows[fresh]
-            self.matrix[fresh, -2], self.matrix[fresh, -1] = self.sizes[fresh], self.evident[fresh]
-            self.stacked = len(self.rows)
+            self.matrix[self.used:self.used + len(fresh)] = self.rows_of(fresh)
+            own = dict(zip(fresh, range(self.used, self.used + len(fresh)), strict=True))
+            self.used += len(fresh)
+            known.update({w: p for w, p in own.items() if len(w) <= LONGEST_KEPT})
+            places = [own[w] if p is None else p for w, p in zip(words, places, strict=True)]
         return self.matrix[places]
 
     def path(self, scores):
@@ -206,7 +213,8 @@ class Labeller:
         best = int(scores.sum(0).argmax())
         gained = np.cumsum(scores - scores[:, best:best + 1], 0)
         low = np.minimum.accumulate(np.vstack([np.zeros(self.width), gained[:-1]]), 0)
-        if (gained - low).max() <= self.switch:
+        opening, closing = gained.max(), (gained[-1] - np.minimum(low.min(0), gained[-1])).max()
+        if (gained - low).max() <= self.switch and max(opening, 0.0) + closing <= self.switch:
             return np.full(len(scores), best)
         rows, value, back = scores.tolist(), [0.0] * self.width, []
         for row in rows:
@@ -256,15 +264,13 @@ def labelled(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
     """``docs`` with a struct column ``out``: lang, score, spans."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS rows
 
-    def label_batches(batches):
-        import pyarrow as pa
-
-        kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct(
-            [("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))])
+    def setup():
         labeller = Labeller(shared.value)
-        for batch in batches:
-            yield pa.array([labeller.label(t) for t in batch.to_pylist()], kind)
+        return lambda texts: [labeller.label(t) for t in texts]
+
+    import pyarrow as pa
 
-    udf = F.arrow_udf(iterator_form(label_batches),
-                      "lang string, score double, spans array<struct<start int, end int, lang string>>")
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct(
+        [("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))])
+    udf = list_udf(setup, kind, "lang string, score double, spans array<struct<start int, end int, lang string>>")
     return docs.withColumn(out, udf(F.col(f"`{text_col}`")))

@@ -30,7 +30,7 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import iterator_form, stored
+from .common import list_udf, stored
 
 MIN_WORDS = 5
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
@@ -50,14 +50,10 @@ def units_of(text: str, separator: str, min_words: int) -> list[dict]:
 
 
 def _units(separator: str, min_words: int):
-    def unit_batches(batches):
-        import pyarrow as pa
-
-        kind = pa.list_(pa.struct([("digest", pa.binary()), ("unit", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            yield pa.array([units_of(t, separator, min_words) if t else [] for t in batch.to_pylist()], kind)
+    import pyarrow as pa
 
-    return F.arrow_udf(iterator_form(unit_batches), UNIT)
+    kind = pa.list_(pa.struct([("digest", pa.binary()), ("unit", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    return list_udf(lambda: lambda texts: [units_of(t, separator, min_words) if t else [] for t in texts], kind, UNIT)
 
 
 def _without(separator: str):

@@ -67,9 +67,9 @@ def source_rates(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
                             W.partitionBy(F.lit(0)))
     # The level if this source and all after it in the order are not full.
     level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after)
-    filled = weighed.withColumn("level", level).withColumn(
-        "fits", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(whole))
-    target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("fits"), F.lit(0.0)) * F.col("weight"))
+    # It grows while sources fill up and shrinks from the first that does not, where it is right.
+    filled = weighed.withColumn("level", level).withColumn("right", F.max("level").over(whole))
+    target = F.least(F.col("cap").cast("double"), F.col("right") * F.col("weight"))
     return filled.select(
         "source", "source_size", target.alias("target"),
         F.when(F.col("source_size") > 0, F.least(target / F.col("source_size"), F.lit(float(limit))))

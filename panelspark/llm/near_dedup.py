@@ -44,7 +44,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import iterator_form, stored
+from .common import list_udf, stored
 from .components import components
 
 SHINGLE = 5
@@ -53,7 +53,7 @@ COORDINATES = 32
 MINIMA = 4
 MATCHES = 4
 PIVOT_SALTS = (1, 2)
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 LONGEST_KEPT = 64
 CHUNK = 4096
 
@@ -118,33 +118,34 @@ class Shingler:
         return self.mixed((low.reshape(self.coordinates, self.minima) * self.fold).sum(1, dtype=np.uint64) ^ self.base)
 
 
-def _sign_batches(batches):
-    import pyarrow as pa
-
-    kind = pa.struct([("n", pa.int64()), ("set_id", pa.binary()), ("coordinates", pa.list_(pa.int64()))])
+def _sign():
     own = Shingler()
-    for batch in batches:
-        rows = []
-        for text in batch.to_pylist():
-            found = own.shingles(text)
-            rows.append({"n": len(found), "set_id": own.set_id(found) if len(found) else None,
-                         "coordinates": own.signature(found).view("int64").tolist() if len(found) else None})
-        yield pa.array(rows, kind)
 
+    def sign(text: str | None) -> dict:
+        found = own.shingles(text)
+        some = len(found) > 0
+        return {"n": len(found), "set_id": own.set_id(found) if some else None,
+                "coordinates": own.signature(found).view("int64") if some else None}
 
-def _set_batches(batches):
-    import pyarrow as pa
+    return lambda texts: [sign(t) for t in texts]
 
-    kind = pa.struct([("set_id", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+
+def _sets():
     own = Shingler()
-    for batch in batches:
-        found = [own.shingles(t) for t in batch.to_pylist()]
-        yield pa.array([{"set_id": own.set_id(x), "shingles": x.view("int64")} for x in found], kind)
+
+    def full(text: str | None) -> dict:
+        found = own.shingles(text)
+        return {"set_id": own.set_id(found), "shingles": found.view("int64")}
+
+    return lambda texts: [full(t) for t in texts]
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n, set_id, coordinates of every document."""
-    udf = F.arrow_udf(iterator_form(_sign_batches), "n bigint, set_id binary, coordinates array<bigint>")
+    import pyarrow as pa
+
+    kind = pa.struct([("n", pa.int64()), ("set_id", pa.binary()), ("coordinates", pa.list_(pa.int64()))])
+    udf = list_udf(_sign, kind, "n bigint, set_id binary, coordinates array<bigint>")
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), udf(F.col(f"`{text_col}`")).alias("s")).select("doc_id", "s.*")
 
 
@@ -189,7 +190,10 @@ def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """v, shingles of the wanted (v, set_id); only texts that take part in a pair are exchanged."""
-    udf = F.arrow_udf(iterator_form(_set_batches), "set_id binary, shingles array<bigint>")
+    import pyarrow as pa
+
+    kind = pa.struct([("set_id", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+    udf = list_udf(_sets, kind, "set_id binary, shingles array<bigint>")
     texts = docs.select(F.col(f"`{id_col}`").alias("v"), F.col(f"`{text_col}`").alias("text"))
     found = texts.join(wanted.withColumnRenamed("set_id", "wanted_id"), "v").select("v", "wanted_id", udf("text").alias("s"))
     return found.where(F.col("wanted_id") == F.col("s.set_id")).groupBy("v", "wanted_id").agg(

@@ -19,20 +19,24 @@ Defined results:
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 import zlib
 from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import iterator_form
+from .common import list_udf
 
 MAX_EXAMPLES = 6000
 BUCKETS = 1 << 15
 STEPS = 300
 RATE = 0.1
 L2 = 2e-4
-KEPT_WORDS = 200_000
+MARK = 4.0
+BINS = (0.0, 0.01, 0.03, 0.1, 0.2, 0.4, 0.6, 0.8, 0.95)
+KEPT_WORDS = 100_000
 LONGEST_KEPT = 64
 
 
@@ -45,9 +49,13 @@ class Features:
     def bucket(self, name: str) -> int:
         return zlib.crc32(name.encode("utf-8", "surrogatepass")) % self.buckets
 
-    def of_word(self, word: str) -> tuple[int, int]:
-        shape = re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "0", re.sub(r"[^\W\d_]", "a", word)))
-        return self.bucket("w:" + re.sub(r"[\W_]+", "", word.lower())), self.bucket("s:" + shape[:LONGEST_KEPT])
+    def of_word(self, word: str) -> tuple[int, int, tuple[bool, bool, bool]]:
+        """Buckets of the word and its shape, and its marks: shouted, signed (more than one closing sign), wordless."""
+        letters = re.sub(r"[\W_]+", "", word)
+        folded = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
+        shape = re.sub(r"(.)\1+", r"\1", folded)[:LONGEST_KEPT]
+        marks = (len(letters) > 1 and letters.isupper(), bool(re.search(r"[^\w\s]{2,}", word)), not letters)
+        return self.bucket("w:" + letters.lower()), self.bucket("s:" + shape), marks
 
     def of_text(self, text: str | None):
         """(buckets, weights), weights of unit length."""
@@ -55,21 +63,27 @@ class Features:
 
         counts: Counter = Counter()
         words = text.split() if text else []
-        for word, n in Counter(words).items():
-            pair = self.known.get(word)
-            if pair is None:
-                pair = self.of_word(word)
+        once, marked = Counter(words), [0, 0, 0]
+        for word, n in once.items():
+            known = self.known.get(word)
+            if known is None:
+                known = self.of_word(word)
                 if len(word) <= LONGEST_KEPT:
                     if len(self.known) >= KEPT_WORDS:
                         self.known.clear()
-                    self.known[word] = pair
-            counts[pair[0]] += n
-            counts[pair[1]] += n
-        repeats = sum(map(str.__eq__, words, words[1:]))
-        if repeats:
-            counts[self.bucket("repeat")] += repeats
-        at = np.fromiter(counts, np.int64, len(counts))
-        weight = 1.0 + np.log(np.fromiter(counts.values(), float, len(counts)))
+                    self.known[word] = known
+            counts[known[0]] += n
+            counts[known[1]] += n
+            if any(known[2]):
+                marked = [m + n * k for m, k in zip(marked, known[2], strict=True)]
+        weights = {b: 1.0 + math.log(n) for b, n in counts.items()}
+        if words:
+            shares = (sum(map(str.__eq__, words, words[1:])), *marked, len(once))
+            for name, share in zip(("repeated", "shouted", "signed", "wordless", "distinct"), shares, strict=True):
+                b = self.bucket(f"{name}:{bisect.bisect_left(BINS, share / len(words))}")
+                weights[b] = weights.get(b, 0.0) + MARK
+        at = np.fromiter(weights, np.int64, len(weights))
+        weight = np.fromiter(weights.values(), float, len(weights))
         return at, weight / max(1e-12, float(np.sqrt((weight * weight).sum())))
 
 
@@ -81,25 +95,20 @@ class OrdinalModel:
 
     def tails(self, value: float) -> list[float]:
         """P(grade >= 1), P(grade >= 2), ... of a text whose features add up to ``value``."""
-        import math
-
         return [1.0 / (1.0 + math.exp(min(700.0, max(-700.0, t - value)))) for t in self.thresholds]
 
 
 def features_of(docs: DataFrame, buckets: int = BUCKETS, text_col: str = "text", out: str = "features") -> DataFrame:
     """``docs`` with a struct column ``out``: bucket and weight arrays, of at most ``buckets`` entries."""
 
-    def feature_batches(batches):
-        import pyarrow as pa
-
-        kind = pa.struct([("at", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32()))])
+    def setup():
         features = Features(buckets)
-        for batch in batches:
-            found = [features.of_text(t) for t in batch.to_pylist()]
-            yield pa.array([{"at": at, "weight": weight} for at, weight in found], kind)
+        return lambda texts: [dict(zip(("at", "weight"), features.of_text(t), strict=True)) for t in texts]
 
-    udf = F.arrow_udf(iterator_form(feature_batches), "at array<int>, weight array<float>")
-    return docs.withColumn(out, udf(F.col(f"`{text_col}`")))
+    import pyarrow as pa
+
+    kind = pa.struct([("at", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32()))])
+    return docs.withColumn(out, list_udf(setup, kind, "at array<int>, weight array<float>")(F.col(f"`{text_col}`")))
 
 
 def fit(rows: list[tuple[int, list[int], list[float]]], grades: int, buckets: int = BUCKETS,
@@ -142,18 +151,18 @@ def graded(docs: DataFrame, model: OrdinalModel, text_col: str = "text", out: st
     """``docs`` with a struct column ``out``: expected_grade and tails, P(grade >= k) for k = 1, 2, ..."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
 
-    def grade_batches(batches):
-        import pyarrow as pa
-
-        kind = pa.struct([("expected_grade", pa.float64()), ("tails", pa.list_(pa.float64()))])
-        model, features = shared.value, Features(shared.value.buckets)
-        for batch in batches:
-            rows = []
-            for text in batch.to_pylist():
-                at, weight = features.of_text(text)
-                tails = model.tails(float((model.weights[at] * weight).sum()))
-                rows.append({"expected_grade": float(sum(tails)), "tails": tails})
-            yield pa.array(rows, kind)
-
-    udf = F.arrow_udf(iterator_form(grade_batches), "expected_grade double, tails array<double>")
-    return docs.withColumn(out, udf(F.col(f"`{text_col}`")))
+    def setup():
+        model = shared.value
+        features = Features(model.buckets)
+
+        def grade_of(text: str | None) -> dict:
+            at, weight = features.of_text(text)
+            tails = model.tails(float((model.weights[at] * weight).sum()))
+            return {"expected_grade": float(sum(tails)), "tails": tails}
+
+        return lambda texts: [grade_of(t) for t in texts]
+
+    import pyarrow as pa
+
+    kind = pa.struct([("expected_grade", pa.float64()), ("tails", pa.list_(pa.float64()))])
+    return docs.withColumn(out, list_udf(setup, kind, "expected_grade double, tails array<double>")(F.col(f"`{text_col}`")))

@@ -89,7 +89,7 @@ WITH sized AS (
   FROM weighed WINDOW o AS (ORDER BY cap / weight, source ASC NULLS LAST)
 ), fitted AS (
   SELECT source, source_size,
-         least(CAST(cap AS DOUBLE), coalesce((SELECT min(level) FROM levels WHERE level <= cap / weight), 0.0) * weight) AS target
+         least(CAST(cap AS DOUBLE), (SELECT max(level) FROM levels) * weight) AS target
   FROM levels
 ), rated AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate FROM fitted

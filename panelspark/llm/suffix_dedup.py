@@ -42,7 +42,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import iterator_form, stored
+from .common import list_udf, slices, stored
 from .suffix_sort import neighbour_matches, suffix_array
 
 LENGTH = 400
@@ -116,17 +116,14 @@ class AnchorFinder:
         return hashes.view("int64").tolist(), np.array(own, np.uint64).view("int64").tolist(), places.tolist()
 
 
-def _anchor_batches(batches):
-    import pyarrow as pa
-
-    kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("pos", pa.int64())]))
+def _anchors():
     finder = AnchorFinder()
-    for batch in batches:
-        rows = []
-        for text in batch.to_pylist():
-            found = finder.anchors(text.encode("utf-8", "surrogatepass")) if text else ((), (), ())
-            rows.append([{"h": h, "c": c, "pos": p} for h, c, p in zip(*found, strict=True)])
-        yield pa.array(rows, kind)
+
+    def anchors_of(text: str | None) -> list[dict]:
+        found = finder.anchors(text.encode("utf-8", "surrogatepass")) if text else ((), (), ())
+        return [{"h": h, "c": c, "pos": p} for h, c, p in zip(*found, strict=True)]
+
+    return lambda texts: [anchors_of(t) for t in texts]
 
 
 def _context_batches(batches):
@@ -137,14 +134,15 @@ def _context_batches(batches):
     kind = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("lead", pa.int32()), ("context", pa.binary())])
     for batch in batches:
         rows: list[dict] = []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            for a in wanted:
-                rows.append({"h": a["h"], "c": a["c"], "lead": finder.left(a["pos"]),
-                             "context": finder.context(data, a["pos"])})
-                if len(rows) >= 4096:
-                    yield pa.RecordBatch.from_pylist(rows, kind)
-                    rows = []
+        for texts, wanted in slices(batch):
+            for text, anchors in zip(texts, wanted, strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                for a in anchors:
+                    rows.append({"h": a["h"], "c": a["c"], "lead": finder.left(a["pos"]),
+                                 "context": finder.context(data, a["pos"])})
+                    if len(rows) >= 4096:
+                        yield pa.RecordBatch.from_pylist(rows, kind)
+                        rows = []
         yield pa.RecordBatch.from_pylist(rows, kind)
 
 
@@ -218,12 +216,13 @@ def _group_batches(batches):
 
     key, group = None, []
     for batch in batches:
-        for h, c, lead, context in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-            if h != key:
-                if len(group) > 1:
-                    close(key, group)
-                key, group = h, []
-            group.append((c, lead, context))
+        for columns in slices(batch):
+            for h, c, lead, context in zip(*columns, strict=True):
+                if h != key:
+                    if len(group) > 1:
+                        close(key, group)
+                    key, group = h, []
+                group.append((c, lead, context))
         yield pa.RecordBatch.from_pylist(out, kind)
         out.clear()
     if len(group) > 1:
@@ -238,14 +237,18 @@ def _window_batches(batches):
 
     kind = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("low", pa.int32()), ("w", pa.int64())])
     for batch in batches:
-        for h, c, lead, context in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-            view = memoryview(context)
-            starts = range(0, min(lead, len(context) - LENGTH) + 1)
-            hashes = [xxhash.xxh3_64_intdigest(view[s:s + LENGTH]) for s in starts]
-            hashes = [x - (1 << 64) if x >> 63 else x for x in hashes]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([h] * len(hashes), pa.int64()), pa.array([c] * len(hashes), pa.int64()),
-                pa.array([s - lead for s in starts], pa.int32()), pa.array(hashes, pa.int64())], schema=kind)
+        for columns in slices(batch):
+            rows: list[list] = [[], [], [], []]
+            for h, c, lead, context in zip(*columns, strict=True):
+                view = memoryview(context)
+                starts = range(0, min(lead, len(context) - LENGTH) + 1)
+                hashes = [xxhash.xxh3_64_intdigest(view[s:s + LENGTH]) for s in starts]
+                rows[0] += [h] * len(hashes)
+                rows[1] += [c] * len(hashes)
+                rows[2] += [s - lead for s in starts]
+                rows[3] += [x - (1 << 64) if x >> 63 else x for x in hashes]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r, f.type) for r, f in zip(rows, kind, strict=True)], schema=kind)
 
 
 SPANS = "h bigint, c bigint, spans array<struct<low bigint, high bigint>>"
@@ -272,17 +275,18 @@ def _cut_batches(batches):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     kind = pa.schema([("key", pa.binary()), ("spans", span), ("kept", pa.binary())])
     for batch in batches:
-        rows = []
-        for key, text, spans in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            gone = united([(s["start"], s["end"]) for s in spans])
-            kept, at = [], 0
-            for start, end in gone:
-                kept.append(data[at:start])
-                at = end
-            kept.append(data[at:])
-            rows.append({"key": key, "spans": [{"start": a, "end": b} for a, b in gone], "kept": b"".join(kept)})
-        yield pa.RecordBatch.from_pylist(rows, kind)
+        for columns in slices(batch):
+            rows = []
+            for key, text, spans in zip(*columns, strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                gone = united([(s["start"], s["end"]) for s in spans])
+                kept, at = [], 0
+                for start, end in gone:
+                    kept.append(data[at:start])
+                    at = end
+                kept.append(data[at:])
+                rows.append({"key": key, "spans": [{"start": a, "end": b} for a, b in gone], "kept": b"".join(kept)})
+            yield pa.RecordBatch.from_pylist(rows, kind)
 
 
 def text_key(text: Column) -> Column:
@@ -298,7 +302,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
-    find = F.arrow_udf(iterator_form(_anchor_batches), ANCHORS)
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("pos", pa.int64())]))
+    find = list_udf(_anchors, kind, ANCHORS)
     sha = F.sha2(F.col("text").cast("binary"), 256)
     signed = stored(base.select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("text_sha256"),

@@ -1,8 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max index.
 
-Terms are lower-cased words. Those whose presence goes with the label in the
-sample (chi-square of the two-by-two table) span the space; a text without
-any of them is a neighbour of the examples without any. Document frequencies
+Terms are lower-cased words and the 4- and 5-letter pieces of words (with word
+ends), so that forms of a word are near each other. Those whose presence goes
+with the label in the sample (chi-square of the two-by-two table, and a rate of
+at least ``LEAST_LIFT`` times the sample's) span the space; a text without any
+of them is a neighbour of the examples without any. Document frequencies
 cover all documents. Examples are kept in blocks; an inverted index holds the
 postings of each term by block, with the largest weight in the block. A query
 adds these maxima to an upper bound for each block, visits blocks from the
@@ -30,12 +32,16 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import iterator_form, stored
+from .common import list_udf, slices, stored
 from .labelled import sample_texts
 
 MAX_EXAMPLES = 8192
 MAX_TERMS = 4096
-LEAST_CHI2 = 30.0
+LEAST_CHI2 = 20.0
+LEAST_LIFT = 3.0
+PIECES = (4, 5)
+KEPT_TOKENS = 100_000
+LONGEST_KEPT = 64
 LEAST_DOCS = 3
 NEIGHBOURS = 15
 PRIOR = 1.0
@@ -44,29 +50,61 @@ THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W_]+")
 
 
-def _distinct_terms(batches):
+def terms_of(token: str) -> list[str]:
+    """Words of a token without white space, and their pieces, as often as they occur."""
+    out = []
+    for word in WORDS.findall(token):
+        out.append(word)
+        padded = f"^{word}$"
+        for size in PIECES:
+            out.extend(padded[i:i + size] for i in range(len(padded) - size + 1))
+    return out
+
+
+def _term_counts(batches):
+    """(label, text) to (term, a, m): texts with the term and a label of 1, and all texts with it."""
     import pyarrow as pa
 
-    for batch in batches:
-        yield pa.array([sorted(set(WORDS.findall(t.lower()))) if t else [] for t in batch.to_pylist()],
-                       pa.list_(pa.string()))
+    kind = pa.schema([("term", pa.string()), ("a", pa.int64()), ("m", pa.int64())])
+    with_term, with_label = Counter(), Counter()
 
+    def flushed():
+        terms = list(with_term)
+        out = pa.RecordBatch.from_arrays([
+            pa.array(terms, pa.string()), pa.array([with_label[t] for t in terms], pa.int64()),
+            pa.array([with_term[t] for t in terms], pa.int64())], schema=kind)
+        with_term.clear()
+        with_label.clear()
+        return out
 
-def choose_terms(examples: DataFrame, limit: int = MAX_TERMS, least: float = LEAST_CHI2) -> list[str]:
+    for batch in batches:
+        for labels, texts in slices(batch):
+            for label, text in zip(labels, texts, strict=True):
+                terms = {x for w in set(text.lower().split()) for x in terms_of(w)} if text else ()
+                with_term.update(terms)
+                if label:
+                    with_label.update(terms)
+            if len(with_term) > KEPT_TOKENS:
+                yield flushed()
+    yield flushed()
+
+
+def choose_terms(examples: DataFrame, limit: int = MAX_TERMS, least: float = LEAST_CHI2,
+                 lift: float = LEAST_LIFT) -> list[str]:
     """Terms of a bounded table (doc_id, label, text) whose presence goes with the label, strongest first."""
-    udf = F.arrow_udf(iterator_form(_distinct_terms), "array<string>")
     sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return []
-    seen = examples.select("label", F.explode(udf("text")).alias("term")).groupBy("term").agg(
-        F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("m"))
+    seen = examples.select("label", "text").mapInArrow(_term_counts, "term string, a bigint, m bigint").groupBy("term").agg(
+        F.sum("a").cast("double").alias("a"), F.sum("m").cast("double").alias("m"))
     b = F.col("m") - F.col("a")
     n = float(n1 + n0)
     cross = F.col("a") * (n0 - b) - b * (n1 - F.col("a"))
     spread = F.col("m") * (n - F.col("m")) * float(n1) * float(n0)
     chi2 = F.when(spread > 0, n * cross * cross / spread).otherwise(0.0)
-    kept = seen.withColumn("chi2", chi2).where((F.col("m") >= LEAST_DOCS) & (F.col("chi2") >= least))
+    kept = seen.withColumn("chi2", chi2).where((F.col("m") >= LEAST_DOCS) & (F.col("chi2") >= least)
+                                               & (F.col("a") * n >= F.col("m") * lift * n1))
     return [r["term"] for r in kept.orderBy(F.desc("chi2"), "term").limit(limit).collect()]
 
 
@@ -74,21 +112,31 @@ def with_counts(docs: DataFrame, terms: list[str], text_col: str = "text", out:
     """``docs`` with array<struct<term: int, n: int>>: how often each chosen term occurs in the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})  # at most MAX_TERMS
 
-    def count_batches(batches):
-        import pyarrow as pa
+    def setup():
+        at, known = shared.value, {}
 
-        kind = pa.list_(pa.struct([("term", pa.int32()), ("n", pa.int32())]))
-        at = shared.value
-        lengths = {len(t) for t in at}
-        for batch in batches:
-            rows = []
-            for text in batch.to_pylist():
-                hits = Counter(w for w in WORDS.findall(text.lower()) if w in at) if text and lengths else {}
-                rows.append([{"term": t, "n": n} for t, n in sorted((at[w], n) for w, n in hits.items())])
-            yield pa.array(rows, kind)
+        def hits_of(token: str) -> tuple[int, ...]:
+            hits = tuple(at[x] for x in terms_of(token) if x in at)
+            if len(token) <= LONGEST_KEPT:
+                if len(known) >= KEPT_TOKENS:
+                    known.clear()
+                known[token] = hits
+            return hits
 
-    udf = F.arrow_udf(iterator_form(count_batches), "array<struct<term int, n int>>")
-    return docs.withColumn(out, udf(F.col(f"`{text_col}`")))
+        def counts_of(text: str | None) -> list[dict[str, int]]:
+            tokens = text.lower().split() if text and at else []
+            found = [known.get(w) for w in tokens]
+            if None in found:
+                found = [hits_of(w) if hits is None else hits for w, hits in zip(tokens, found, strict=True)]
+            counts = Counter(x for hits in found if hits for x in hits)
+            return [{"term": t, "n": n} for t, n in sorted(counts.items())]
+
+        return lambda texts: [counts_of(t) for t in texts]
+
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("term", pa.int32()), ("n", pa.int32())]))
+    return docs.withColumn(out, list_udf(setup, kind, "array<struct<term int, n int>>")(F.col(f"`{text_col}`")))
 
 
 class BlockMaxIndex:
@@ -162,26 +210,25 @@ def scored(counted: DataFrame, index: BlockMaxIndex, k: int = NEIGHBOURS, out: s
     """``counted`` with a struct column ``out``: score, evidence (id, cosine and label of the neighbours)."""
     shared = counted.sparkSession.sparkContext.broadcast(index)  # at most MAX_EXAMPLES vectors
 
-    def score_batches(batches):
-        import pyarrow as pa
-
-        kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct(
-            [("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))])
-        known: dict[tuple, dict] = {}
-        for batch in batches:
-            rows = []
-            for counts in batch.to_pylist():
-                key = tuple((x["term"], x["n"]) for x in counts or [])
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    score, near = shared.value.vote(dict(key), k)
-                    known[key] = {"score": score, "evidence": [{"doc_id": d, "cosine": s, "label": y} for s, d, y in near]}
-                rows.append(known[key])
-            yield pa.array(rows, kind)
-
-    udf = F.arrow_udf(iterator_form(score_batches),
-                      "score double, evidence array<struct<doc_id bigint, cosine double, label int>>")
+    def setup():
+        own, known = shared.value, {}
+
+        def score_of(counts) -> dict:
+            key = tuple((x["term"], x["n"]) for x in counts or [])
+            if key not in known:
+                if len(known) >= KEPT_TOKENS:
+                    known.clear()
+                score, near = own.vote(dict(key), k)
+                known[key] = {"score": score, "evidence": [{"doc_id": d, "cosine": s, "label": y} for s, d, y in near]}
+            return known[key]
+
+        return lambda rows: [score_of(r) for r in rows]
+
+    import pyarrow as pa
+
+    kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct(
+        [("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))])
+    udf = list_udf(setup, kind, "score double, evidence array<struct<doc_id bigint, cosine double, label int>>")
     return counted.withColumn(out, udf(F.col("term_counts")))
 
 
