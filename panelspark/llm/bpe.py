@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-A piece of bytes is halved down to single bytes; the encodings of two halves
-are joined by encoding a window around the boundary anew. The window starts
+A piece of bytes is halved down to leaves of a few bytes, which are merged
+directly; the encodings of two halves are joined by encoding a window around the boundary anew. The window starts
 with one token from each side and doubles on a side until the window's outer
 token there is the token that stood there before (or the side is used up).
 Then nothing outside can change: a sequence is the encoding of its bytes
@@ -38,15 +38,25 @@ import re
 
 from pyspark.sql import Column, SparkSession, functions as F
 
-from .common import iterator_form
+from .common import list_udf
 
-LONGEST_KEPT = 64
-KEPT_CHUNKS = 1 << 18
+LONGEST_KEPT = 48
+LEAF = 12
+LONGEST_WINDOW = 8
+KEPT = 1 << 17
+NO_RANK = 1 << 62
 SEGMENT = 1 << 20
 BLOCK = 1 << 16
 DIRECT = 48
 
 
+def keep(known: dict, key, value) -> None:
+    """Remember a result; a full table starts anew."""
+    if len(known) >= KEPT:
+        known.clear()
+    known[key] = value
+
+
 class Codec:
     """Encoder and decoder for one rank table and split pattern."""
 
@@ -62,29 +72,40 @@ class Codec:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.single = [bytes([b]) for b in range(256)]
         self.packed = {token: rank.to_bytes(4, "little") for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern)
         self.chunk = regex.compile(r"\s*\S+|\s+")
         self.cut = regex.compile(r"(?<=\S) ")
-        self.trees: dict[bytes, list[bytes]] = {}
+        # What this process has met: windows, pieces, words after a space.
+        self.windows: dict[bytes, list[bytes]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
 
     # Encoding of byte pieces.
 
     def merged(self, data: bytes) -> list[bytes]:
         """The encoding of a window: lowest rank first, leftmost first among equals."""
+        known = self.windows.get(data) if len(data) <= LONGEST_WINDOW else None
+        if known is not None:
+            return known
         if len(data) > DIRECT:
             return self._merged_long(data)
-        ranks, parts = self.ranks, [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        rank_of, parts = self.ranks.get, [self.single[b] for b in data]
+        ranks = [rank_of(data[i:i + 2], NO_RANK) for i in range(len(data) - 1)]  # of each part with the next
+        while ranks:
+            best = min(ranks)
+            if best == NO_RANK:
                 break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            i = ranks.index(best)
+            whole = parts[i] = parts[i] + parts.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank_of(whole + parts[i + 1], NO_RANK)
+            if i:
+                ranks[i - 1] = rank_of(parts[i - 1] + whole, NO_RANK)
+        if len(data) <= LONGEST_WINDOW:
+            keep(self.windows, data, parts)
         return parts
 
     def _merged_long(self, data: bytes) -> list[bytes]:
@@ -115,37 +136,36 @@ class Codec:
             return left or right
         a = b = 1
         while True:
-            a, b = min(a, len(left)), min(b, len(right))
-            window = self.merged(b"".join(left[-a:]) + b"".join(right[:b]))
-            stable_left = a == len(left) or window[0] == left[-a]
-            stable_right = b == len(right) or window[-1] == right[b - 1]
+            window = self.merged(b"".join(left[-a:] + right[:b]))
+            stable_left = window[0] == left[-a] or a == len(left)
+            stable_right = window[-1] == right[b - 1] or b == len(right)
             if stable_left and stable_right:
                 return left[:-a] + window + right[b:]
-            a, b = a if stable_left else 2 * a, b if stable_right else 2 * b
+            if not stable_left:
+                a = min(2 * a, len(left))
+            if not stable_right:
+                b = min(2 * b, len(right))
 
     def tree(self, data: bytes) -> list[bytes]:
-        known = self.trees.get(data)
-        if known is not None:
-            return known
-        if len(data) < 2:
-            return [data] if data else []
+        if len(data) <= LEAF:
+            return self.merged(data)
         middle = len(data) // 2
-        tokens = self.join(self.tree(data[:middle]), self.tree(data[middle:]))
-        if len(data) <= LONGEST_KEPT:
-            if len(self.trees) >= KEPT_CHUNKS:
-                self.trees.clear()
-            self.trees[data] = tokens
-        return tokens
-
-    def encode_piece(self, data: bytes) -> bytes:
+        return self.join(self.tree(data[:middle]), self.tree(data[middle:]))
+
+    def encode_piece(self, piece: str) -> bytes:
         """Packed ids of one match of the pattern; a piece that is a token is that token."""
-        whole = self.packed.get(data)
-        return whole if whole is not None else b"".join([self.packed[t] for t in self.tree(data)])
+        known = self.pieces.get(piece)
+        if known is None:
+            data = piece.encode("utf-8")
+            known = self.packed.get(data) or b"".join([self.packed[t] for t in self.tree(data)])
+            if len(piece) <= LONGEST_KEPT:
+                keep(self.pieces, piece, known)
+        return known
 
     # Encoding of texts.
 
     def encode_chunk(self, chunk: str) -> bytes:
-        return b"".join([self.encode_piece(m.encode("utf-8")) for m in self.split.findall(chunk)])
+        return b"".join([self.encode_piece(m) for m in self.split.findall(chunk)])
 
     def _encode_segment(self, text: str) -> bytes:
         """No match reaches from other characters into white space, so each such place may be cut."""
@@ -160,9 +180,7 @@ class Codec:
                     word = words[i + 1]
                     found[i] = known.get(word) or self.encode_chunk(" " + word)
                     if len(word) <= LONGEST_KEPT:
-                        if len(known) >= KEPT_CHUNKS:
-                            known.clear()
-                        known[word] = found[i]
+                        keep(known, word, found[i])
         return self.encode_chunk(words[0]) + b"".join(found)
 
     def encode(self, text: str | None) -> bytes:
@@ -213,31 +231,37 @@ class Bpe:
             self._table = spark.sparkContext.broadcast(file.read())
         self._pattern = pattern
 
-    def encode(self, text: Column) -> Column:
-        """Binary column of packed ids."""
+    def _udf(self, function, kind, returns: str):
         shared, pattern = self._table, self._pattern
 
-        def encode_batch(batches):
-            import pyarrow as pa
-
+        def setup():
             own = codec(shared.value, pattern)
-            for batch in batches:
-                yield pa.array([own.encode(t) for t in batch.to_pylist()], pa.binary())
+            return lambda values: [function(own, v) for v in values]
+
+        return list_udf(setup, kind, returns)
+
+    def encode(self, text: Column) -> Column:
+        """Binary column of packed ids."""
+        import pyarrow as pa
 
-        return F.arrow_udf(iterator_form(encode_batch), "binary")(text)
+        return self._udf(Codec.encode, pa.binary(), "binary")(text)
 
     def decode(self, ids: Column) -> Column:
         """Binary column of the bytes that packed ids stand for."""
-        shared, pattern = self._table, self._pattern
+        import pyarrow as pa
 
-        def decode_batch(batches):
-            import pyarrow as pa
+        return self._udf(Codec.decode, pa.binary(), "binary")(ids)
 
-            own = codec(shared.value, pattern)
-            for batch in batches:
-                yield pa.array([own.decode(i) for i in batch.to_pylist()], pa.binary())
+    def round_trip(self, text: Column) -> Column:
+        """Struct column: ids, and the bytes that decoding them gives, in one pass of the task's worker."""
+        import pyarrow as pa
+
+        def both(own: Codec, value: str | None) -> dict[str, bytes]:
+            ids = own.encode(value)
+            return {"ids": ids, "bytes": own.decode(ids)}
 
-        return F.arrow_udf(iterator_form(decode_batch), "binary")(ids)
+        kind = pa.struct([("ids", pa.binary()), ("bytes", pa.binary())])
+        return self._udf(both, kind, "ids binary, bytes binary")(text)
 
 
 def n_tokens(ids: Column) -> Column:

@@ -65,13 +65,3 @@ def slices(batch):
     for i in range(0, batch.num_rows, SLICE):
         part = batch.slice(i, SLICE)
         yield [c.to_pylist() for c in part.columns]
-
-
-def iterator_form(function):
-    """Mark a generator over Arrow arrays for ``arrow_udf``, which reads its form from type hints."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    function.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return function

@@ -65,10 +65,9 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     coder = bpe.Bpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    encoded = table(spark, sf_dir, "documents").select("doc_id", coder.encode(F.col("text")).alias("ids"))
-    return encoded.select("doc_id", "ids", coder.decode(F.col("ids")).alias("bytes")).select(
-        "doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"))
+    done = table(spark, sf_dir, "documents").select("doc_id", coder.round_trip(F.col("text")).alias("b"))
+    return done.select("doc_id", bpe.n_tokens(F.col("b.ids")).alias("n_tokens"), F.sha2("b.ids", 256).alias("ids_sha256"),
+                       F.sha2("b.bytes", 256).alias("decoded_sha256"))
 
 
 @query("op3_source_mix", r"""
