@@ -45,10 +45,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     coder = bpe.Bpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    encoded = docs.select("doc_id", "lang", "source", "text", coder.encode(F.col("text")).alias("ids"))
-    return encoded.select("*", coder.decode(F.col("ids")).alias("bytes")).select(
-        "doc_id", "lang", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids",
-        (F.col("bytes") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("round_trip"))
+    done = docs.select("doc_id", "lang", "source", "text", coder.round_trip(F.col("text")).alias("b"))
+    return done.select("doc_id", "lang", "source", bpe.n_tokens(F.col("b.ids")).alias("n_tokens"), F.col("b.ids").alias("ids"),
+                       (F.col("b.bytes") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("round_trip"))
 
 
 STAGES = [
