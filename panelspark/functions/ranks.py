@@ -1,16 +1,16 @@
 """Ranks, positions, totals and quantiles within groups, safe for huge groups.
 
-Every function has two physical plans with the same result:
+Every function has two physical plans with the same result and schema:
 
-* ``window`` - a window per group. Cheapest when groups are bounded, as a
-  cross-section of listed names is.
+* ``window`` - a window per group, for groups that are bounded by their
+  meaning: a cross-section or a session holds at most the names of a market or
+  the minutes of a day, however much data there is.
 * ``ranged`` - the ordered values are range-partitioned, so one group spreads
   over many tasks; each piece is ranked on its own and shifted by the totals
-  of the pieces before it.
+  of the pieces before it. For everything else: all rows, years, tags, groups.
 
-``choose_plan`` picks one: small inputs take the window; larger ones are
-counted per group first (a pre-aggregated count), and the ranged plan is used
-as soon as any group exceeds the bound.
+The keys decide, not the size of the input: keys with a date get the window.
+``plan`` overrides that.
 """
 
 from __future__ import annotations
@@ -20,28 +20,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import MAX_GROUP_ROWS, SMALL_INPUT_BYTES, cut_lineage, input_bytes, int_conf
+from ..session import cut_lineage
 
 WINDOW, RANGED = "window", "ranged"
-DEFAULT_MAX_GROUP_ROWS = 4_000_000
-# Largest k for which "row_number <= k" is applied per task before the shuffle.
-GROUP_LIMIT = 1000
-DEFAULT_SMALL_INPUT_BYTES = 256 * 1024 * 1024
+#: Key columns that bound a group by its meaning.
+BOUNDED_KEYS = frozenset({"date", "Date"})
 
 
-def choose_plan(df: DataFrame, keys: Sequence[str], plan: str | None = None) -> str:
-    """Decide between the window and the ranged plan for groups of ``keys``."""
+def choose_plan(keys: Sequence[str], plan: str | None = None) -> str:
+    """The plan for groups of ``keys``: window where a date bounds them, else ranged."""
     if plan is not None:
         return plan
-    if not keys:
-        return RANGED
-    spark = df.sparkSession
-    limit = int_conf(spark, MAX_GROUP_ROWS, DEFAULT_MAX_GROUP_ROWS)
-    size = input_bytes(df)
-    if size is not None and size <= int_conf(spark, SMALL_INPUT_BYTES, DEFAULT_SMALL_INPUT_BYTES):
-        return WINDOW
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return WINDOW if largest <= limit else RANGED
+    return WINDOW if BOUNDED_KEYS.intersection(keys) else RANGED
 
 
 def _match(left: str, right: str, names: Sequence[str]) -> Column:
@@ -119,7 +109,7 @@ def add_value_ranks(
     value are kept, unranked.
     """
     keys = list(keys)
-    if choose_plan(df, keys, plan) == WINDOW:
+    if choose_plan(keys, plan) == WINDOW:
         # Frames of one ordered window: ranks, ties and size in a single pass.
         ordered = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
         ties = F.count("*").over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
@@ -137,6 +127,39 @@ def add_value_ranks(
     return joined.select("d.*", *[F.col(f"r.{name}") for name in names.values()])
 
 
+def add_ranks_of(
+    df: DataFrame, keys: Sequence[str], names: dict[str, dict[str, str]], plan: str | None = None
+) -> DataFrame:
+    """:func:`add_value_ranks` for several double columns at once.
+
+    Ranged plan: the columns are laid out as (column, value) cells, so all of
+    them are ranked in one ranged pass and joined back once; the other columns
+    travel with the first cell of their row.
+    """
+    keys, values = list(keys), list(names)
+    if choose_plan(keys, plan) == WINDOW:
+        for value in values:
+            df = add_value_ranks(df, keys, value, names[value], WINDOW)
+        return df
+    rest = [c for c in df.columns if c not in keys and c not in values]
+    base = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    cell = F.array(*[F.col(v).cast("double") for v in values])
+    carried = F.when(F.col("_c") == 0, F.struct(F.lit(0).alias("_"), *rest)).alias("_rest")
+    cells = base.select("*", F.posexplode(cell).alias("_c", "_v")).select("_row", *keys, "_c", "_v", carried)
+    flavours = sorted({f for wanted in names.values() for f in wanted})
+    distinct = cells.where(F.col("_v").isNotNull()).groupBy(*keys, "_c", "_v").agg(F.count("*").alias("_ties"))
+    placed = _with_running_total(distinct, [*keys, "_c"], ["_v"], F.col("_ties"))
+    outputs = _rank_outputs(F.col("_before") + 1, F.col("_ties"), F.col("_total"), {f: f"_{f}" for f in flavours})
+    ranked = placed.select(*keys, "_c", "_v", F.struct(*[c.alias(n) for n, c in outputs.items()]).alias("_ranks"))
+    joined = cells.alias("d").join(ranked.alias("r"), _match("d", "r", [*keys, "_c", "_v"]), "left").select("d.*", "r._ranks")
+    at = lambda i, c: F.max(F.when(F.col("_c") == i, c))
+    made = [at(i, F.col(f"_ranks._{f}")).alias(out) for i, v in enumerate(values) for f, out in names[v].items()]
+    found = joined.groupBy("_row", *keys).agg(
+        *[at(i, F.col("_v")).alias(v) for i, v in enumerate(values)], F.first("_rest", ignorenulls=True).alias("_rest"), *made)
+    outs = [out for wanted in names.values() for out in wanted.values()]
+    return found.select(*[F.col(c) if c in keys or c in values else F.col(f"_rest.{c}").alias(c) for c in df.columns], *outs)
+
+
 def _tile(rn: Column, n: Column, k: int) -> Column:
     """ntile(k) from a row number: the first n mod k tiles hold one row more."""
     base = F.floor(n / k)
@@ -161,13 +184,13 @@ def add_positions(
     within a group so that the result does not depend on the partitioning.
     """
     keys, tiles = list(keys), tiles or {}
-    if choose_plan(df, keys, plan) == WINDOW:
+    if choose_plan(keys, plan) == WINDOW:
         ordered = Window.partitionBy(*keys).orderBy(*_order(order))
         out = {name: F.ntile(k).over(ordered) for name, k in tiles.items()}
         if rn:
-            out[rn] = F.row_number().over(ordered)
+            out[rn] = F.row_number().over(ordered).cast("bigint")
         if n:
-            out[n] = F.count("*").over(_whole(ordered))
+            out[n] = F.count("*").over(_whole(ordered)).cast("bigint")
         return df.withColumns(out)
     placed = _with_running_total(df, keys, order, F.lit(1).cast("bigint"))
     row, total = F.col("_before") + 1, F.col("_total")
@@ -188,7 +211,7 @@ def add_group_stats(
     broadcasts the small side or splits a skewed one.
     """
     keys = list(keys)
-    if choose_plan(df, keys, plan) == WINDOW:
+    if choose_plan(keys, plan) == WINDOW:
         group = Window.partitionBy(*keys)
         return df.withColumns({name: c.over(group) for name, c in stats.items()})
     totals = df.groupBy(*keys).agg(*[c.alias(name) for name, c in stats.items()])
@@ -208,30 +231,43 @@ def group_quantiles(
     values up by position instead and keeps no such state.
     """
     keys = list(keys)
-    if plan is None:
-        size = input_bytes(df)
-        small = size is not None and size <= int_conf(df.sparkSession, SMALL_INPUT_BYTES, DEFAULT_SMALL_INPUT_BYTES)
-        plan = WINDOW if small else choose_plan(df, keys)
     rows = df.where(F.col(value).isNotNull())
-    if plan == WINDOW:
+    if choose_plan(keys, plan) == WINDOW:
         return rows.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in points.items()])
-    distinct = rows.groupBy(*keys, value).agg(F.count("*").alias("_ties"))
-    placed = _with_running_total(distinct, keys, [value], F.col("_ties"))
+    distinct = rows.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_ties"))
+    placed = _with_running_total(distinct, keys, ["_v"], F.col("_ties"))
+    picks, made = _interpolated(points, F.lit(True))
+    return placed.groupBy(*keys).agg(*picks).select(*keys, *made)
+
+
+def column_quantiles(df: DataFrame, points: dict[str, dict[str, float]]) -> DataFrame:
+    """Exact quantiles of several columns over all rows, in one ranged pass; one row."""
+    columns = list(points)
+    cells = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("_c", "_v"))
+    distinct = cells.where(F.col("_v").isNotNull()).groupBy("_c", "_v").agg(F.count("*").alias("_ties"))
+    placed = _with_running_total(distinct, ["_c"], ["_v"], F.col("_ties"))
+    picks, made = [], []
+    for i, column in enumerate(columns):
+        own_picks, own_made = _interpolated(points[column], F.col("_c") == i)
+        picks, made = picks + own_picks, made + own_made
+    return placed.agg(*picks).select(*made)
+
+
+def _interpolated(points: dict[str, float], own: Column) -> tuple[list[Column], list[Column]]:
+    """Aggregates that pick the neighbours of each quantile among placed distinct values, and the quantiles."""
     last = F.col("_before") + F.col("_ties")
 
     def at(index: Column) -> Column:
-        return F.max(F.when((F.col("_before") <= index) & (index < last), F.col(value)))
+        return F.max(F.when(own & (F.col("_before") <= index) & (index < last), F.col("_v")))
 
-    picks = []
+    picks, made = [], []
     for name, p in points.items():
         place = F.lit(float(p)) * (F.col("_total") - 1)
         picks += [
             at(F.floor(place)).alias(f"_lo_{name}"),
             at(F.ceil(place)).alias(f"_hi_{name}"),
-            F.max(place - F.floor(place)).alias(f"_f_{name}"),
+            F.max(F.when(own, place - F.floor(place))).alias(f"_f_{name}"),
         ]
-    found = placed.groupBy(*keys).agg(*picks)
-    return found.select(*keys, *[
-        (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_f_{name}")).alias(name)
-        for name in points
-    ])
+        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        made.append((low + (high - low) * F.col(f"_f_{name}")).alias(name))
+    return picks, made

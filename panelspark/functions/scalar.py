@@ -206,3 +206,8 @@ def inverse_normal(p: ColumnLike) -> Column:
     return (F.when(F.abs(q) <= 0.425, q * _rational(F.lit(0.180625) - q * q, _CENTRAL))
             .when(tail <= 5.0, sign * _rational(tail - 1.6, _MIDDLE))
             .otherwise(sign * _rational(tail - 5.0, _FAR)))
+
+
+def seeded_hash(seed: int | str, *columns: str) -> Column:
+    """Hex digest of the seed and the columns' text; any SQL engine computes the same."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))

@@ -24,10 +24,6 @@ def pearson(x: ColumnLike, y: ColumnLike) -> Column:
     return F.when(F.abs(c) < 1e-12, 0.0).otherwise(c)
 
 
-def pair_count(x: ColumnLike, y: ColumnLike) -> Column:
-    return F.count(F.when(is_finite(x) & is_finite(y), 1))
-
-
 def spread(x: ColumnLike, ddof: int = 1) -> Column:
     return F.stddev_samp(col(x)) if ddof == 1 else F.stddev_pop(col(x))
 

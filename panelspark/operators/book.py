@@ -159,7 +159,7 @@ def hysteresis_book(features: DataFrame, variants: Sequence[dict], min_names: in
     rows = (features.where(F.col("prediction").isNotNull() & F.col(ret).isNotNull() & F.col("signal_amount").isNotNull()
                            & (F.col("minute_slot") % grid == 0))
             .select("date", "time", "code", "minute_slot", "prediction", F.col(ret).alias("simple_return"), "signal_amount"))
-    plan = choose_plan(rows, CROSS_SECTION, plan)
+    plan = choose_plan(CROSS_SECTION, plan)
     rows = complete_cross_sections(rows, min_names, plan=plan)
     rows = add_value_ranks(rows, CROSS_SECTION, "prediction", {"cume": "signal_pct"}, plan)
     rows = add_positions(rows, CROSS_SECTION, [("signal_amount", False), "code"], tiles={"liq_bucket": 3}, plan=plan)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scalar as S
-from ..functions.ranks import GROUP_LIMIT, WINDOW, add_positions
+from ..functions.ranks import WINDOW, add_positions
 from .features import SESSION
 
 
@@ -78,21 +76,17 @@ def attach_split(df: DataFrame, splits: DataFrame, date: str = "Date") -> DataFr
 def sample_per_group(df: DataFrame, keys: Sequence[str], k: int, seed: int, unique: Sequence[str], plan: str | None = None) -> DataFrame:
     """k rows per group without replacement, the same ones for the same seed.
 
-    The draw orders rows by a seeded hash. For small k Spark limits each
-    task's share to k rows per group before the shuffle, so no group is too
-    large for the window plan.
+    The draw orders rows by a seeded hash of their unique key.
     """
     if k <= 0:
         return df
-    plan = WINDOW if plan is None and k <= GROUP_LIMIT else plan
-    drawn = df.withColumn("_h", F.xxhash64(F.lit(seed), *unique))
+    drawn = df.withColumn("_h", S.seeded_hash(seed, *unique))
     return add_positions(drawn, keys, ["_h", *unique], rn="_rn", plan=plan).where(F.col("_rn") <= k).drop("_h", "_rn")
 
 
 def bounded_sample(df: DataFrame, n: int, seed: int, unique: Sequence[str]) -> DataFrame:
     """Uniform sample of n rows: top-n by seeded hash, n rows per task."""
-    h = F.xxhash64(F.lit(seed), *unique)
-    return df.withColumn("_h", h).orderBy("_h", *unique).limit(n).drop("_h")
+    return df.withColumn("_h", S.seeded_hash(seed, *unique)).orderBy("_h", *unique).limit(n).drop("_h")
 
 
 def evenly_spaced(df: DataFrame, order: Sequence[str], n: int, plan: str | None = None) -> DataFrame:
@@ -118,32 +112,15 @@ def universe_first_n(df: DataFrame, n: int) -> DataFrame:
 
 # --- shuffling ------------------------------------------------------------
 
-def _coprime_step(n: int, start: int) -> int:
-    """First odd number from ``start`` on, wrapping at n, without a common factor with n."""
-    first = start % n | 1
-    odd = itertools.chain(range(first, n, 2), range(1, first, 2))
-    return next((s for s in odd if math.gcd(s, n) == 1), 1)
+def epoch_shuffle(df: DataFrame, unique: Sequence[str], seed: int, epoch: int, world: int = 1) -> DataFrame:
+    """Add each row's sort key in one epoch's order and the shard it goes to.
 
-
-def epoch_permutation(n: int, seed: int, epoch: int) -> tuple[int, int]:
-    """(step, offset) of the affine bijection pos -> (pos * step + offset) mod n."""
-    # The multipliers of the epoch and offset mix.
-    step = _coprime_step(n, seed + epoch * 1009)
-    offset = (seed * 6364136223846793005 + epoch * 1442695040888963407) % n
-    return step, offset
-
-
-def epoch_shuffle(df: DataFrame, index: str, n: int, seed: int, epoch: int, world: int = 1) -> DataFrame:
-    """Add the place of each row in one epoch's order and the shard it goes to.
-
-    ``index`` is dense in 0..n-1. The place of row i is the inverse of the
-    affine map, so no row moves until somebody sorts or filters by it.
+    Both come from a seeded hash of the row's unique key: another epoch gives
+    another order, and no row moves until somebody sorts or filters by it.
     """
-    step, offset = epoch_permutation(n, seed, epoch)
-    inverse = pow(step, -1, n) if n > 1 else 0
-    back = F.pmod(F.col(index).cast("decimal(38,0)") - F.lit(offset).cast("decimal(38,0)"), F.lit(n).cast("decimal(38,0)"))
-    place = F.pmod(back * F.lit(inverse).cast("decimal(19,0)"), F.lit(n).cast("decimal(38,0)")).cast("bigint")
-    return df.withColumn("epoch_pos", place).withColumn("shard", (F.col("epoch_pos") % world).cast("int"))
+    key = S.seeded_hash(f"{seed}-{epoch}", *unique)
+    shard = F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") % world
+    return df.withColumn("epoch_key", key).withColumn("shard", shard.cast("int"))
 
 
 # --- complete runs and label perturbation ----------------------------------
@@ -170,7 +147,7 @@ def shuffle_labels(df: DataFrame, label: str, order: Sequence[str], seed: int, p
     """Deal the labels out again in a seeded random order: the i-th row in
     ``order`` gets the label of the i-th row in hash order."""
     rows = add_positions(df.drop(label), [], list(order), rn="_rn", plan=plan)
-    hashed = df.select(label, *order).withColumn("_h", F.xxhash64(F.lit(seed), *order))
+    hashed = df.select(label, *order).withColumn("_h", S.seeded_hash(seed, *order))
     dealt = add_positions(hashed, [], ["_h", *order], rn="_rn", plan=plan).select("_rn", label)
     return rows.join(dealt, "_rn").drop("_rn")
 

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S, stats as T
 from ..functions.ranks import (
-    RANGED, WINDOW, add_positions, add_value_ranks, choose_plan, group_quantiles,
+    RANGED, WINDOW, add_positions, add_ranks_of, add_value_ranks, choose_plan, group_quantiles,
 )
+from ..schema import unique_rows
 from ..session import stored
 from .features import finite_pairs, forward_vol, linear_score, with_short_keys
 
@@ -28,9 +29,7 @@ def _calendar_window():
 
 def _ranked_pairs(df: DataFrame, keys: Sequence[str], x: str, y: str, plan: str | None) -> DataFrame:
     pairs = finite_pairs(df, x, y).withColumns({x: F.col(x).cast("double"), y: F.col(y).cast("double")})
-    plan = choose_plan(pairs, keys, plan)
-    ranked = add_value_ranks(pairs, keys, x, {"avg": "_rx"}, plan)
-    return add_value_ranks(ranked, keys, y, {"avg": "_ry"}, plan)
+    return add_ranks_of(pairs, keys, {x: {"avg": "_rx"}, y: {"avg": "_ry"}}, plan)
 
 
 def _ic_columns(x: str, y: str) -> list[Column]:
@@ -132,7 +131,9 @@ def group_labels(bars: DataFrame, horizon: int) -> DataFrame:
 
 
 def attach_group_labels(pred: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
-    return pred.join(group_labels(bars, horizon), ["date", "time", "code"], "left")
+    """Group labels onto scores; a bar that repeats fails the job."""
+    keys = ["date", "time", "code"]
+    return pred.join(unique_rows(group_labels(bars, horizon), keys), keys, "left")
 
 
 GROUP_SPLITS = (
@@ -149,12 +150,12 @@ def grouped_ic(df: DataFrame, regime: DataFrame, plan: str | None = None) -> Dat
 
     ``df`` carries prediction, target and the group labels; ``regime`` one row
     per date. A row joins every group it belongs to through one explode; ranks
-    are then taken inside each group. The groups are few and large, so on big
-    inputs the plan switches to range-partitioned ranks.
+    are then taken inside each group. The groups are few and large, so their
+    ranks are range-partitioned.
     """
     rows = finite_pairs(df)
     rows = rows.withColumns({c: S.clean(c) for c, *_ in GROUP_SPLITS})
-    inner = choose_plan(rows, CROSS_SECTION, plan)
+    inner = choose_plan(CROSS_SECTION, plan)
     members = []
     for label, point, low, high in GROUP_SPLITS:
         rows = add_value_ranks(rows, CROSS_SECTION, label, {"cume": f"_c_{label}"}, inner)
@@ -193,9 +194,8 @@ def _rolling_windows(
     span, stride, middle = window // size, step // size, window // 2
     rows = finite_pairs(df).withColumns({c: S.clean(c) for c in ("prediction", "target", label)})
     rows = rows.where(F.col(label).isNotNull())
-    plan = choose_plan(rows, keys, plan)
-    rows = add_value_ranks(rows, keys, "prediction", {"avg": "_r"}, plan)
-    rows = add_value_ranks(rows, keys, "target", {"avg": "_s"}, plan)
+    plan = choose_plan(keys, plan)
+    rows = add_ranks_of(rows, keys, {"prediction": {"avg": "_r"}, "target": {"avg": "_s"}}, plan)
     rows = add_positions(rows, keys, [label, *order], rn="_rn", n="_n", plan=plan)
     # Ranks are centred: a correlation does not change, its rounding error does.
     x, y = F.col("prediction"), F.col("target")
@@ -257,7 +257,8 @@ def rolling_group_ic_rows(df: DataFrame, label: str, window: int = 2000, step: i
 
 
 def curve_summary(curve: DataFrame, x: str = "group_center_rank", y: str = "mean_ic", count: str = "count") -> DataFrame:
-    """Range, extremes and first sign change of a curve (about 1000 points at most)."""
+    """Range, extremes and first sign change of a binned curve: one point per
+    centre rank rounded to 0.001, so about 1000 points at most."""
     before = Window.partitionBy(F.lit(0)).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     prev = F.last(y, ignorenulls=True).over(before)
     crossed = ((prev <= 0) & (F.col(y) > 0)) | ((prev >= 0) & (F.col(y) < 0))
@@ -280,7 +281,7 @@ def rank_turnover(df: DataFrame, x: str = "prediction", plan: str | None = None)
     The previous score comes from a lag over (date, code), a group of one
     session at most, instead of a self-join.
     """
-    rows = df.withColumn(x, S.clean(x)).where(F.col(x).isNotNull()).select("date", "time", "code", x)
+    rows = stored(df.withColumn(x, S.clean(x)).where(F.col(x).isNotNull()).select("date", "time", "code", x))
     ordinal = Window.partitionBy("date").orderBy("time")
     times = rows.select("date", "time").distinct().withColumns({
         "_t": F.row_number().over(ordinal), "prev_time": F.lag("time").over(ordinal)})
@@ -344,23 +345,38 @@ def decile_curve(df: DataFrame, x: str = "prediction", y: str = "target", plan:
 
 def baseline_ic(
     df: DataFrame, specs: dict[str, dict[str, float]], scopes: dict[str, Column] | None = None,
-    target: str = "label_ret", ddof: int = 0, plan: str | None = None,
+    target: str = "label_ret", ddof: int = 0, source: str | None = None,
 ) -> DataFrame:
     """Pooled and daily Pearson IC of every baseline score in every scope.
 
     All (scope, spec) pairs run as one job: a row is laid out once per pair it
-    takes part in, and the pair joins every grouping key.
+    takes part in, and the pair joins every grouping key. ``source`` names a
+    column that keeps several data sources apart.
     """
+    extra = [source] if source else []
     scopes = scopes or {"all": F.lit(True)}
     cells = [
         F.when(cond, F.struct(F.lit(scope).alias("scope"), F.lit(name).alias("baseline"), linear_score(w).alias("score")))
         for scope, cond in scopes.items() for name, w in specs.items()
     ]
-    rows = df.select("date", "time", F.col(target).cast("double").alias("_y"), F.inline(F.array_compact(F.array(*cells))))
+    rows = df.select(*extra, "date", "time", F.col(target).cast("double").alias("_y"), F.inline(F.array_compact(F.array(*cells))))
     rows = finite_pairs(rows, "score", "_y")
-    by = ["scope", "baseline"]
-    pooled = rows.groupBy(*by).agg(F.count("*").alias("rows"), T.pearson("score", "_y").alias("pooled_ic"))
-    stamps = rows.groupBy(*by, "date", "time").agg(T.pearson("score", "_y").alias("ic"))
+    by = ["scope", "baseline", *extra]
+    # One pass over the rows; a pooled figure is the merge of its cross-sections' co-moments.
+    n, x, y = F.count("*").cast("double"), F.col("score"), F.col("_y")
+    stamps = stored(rows.groupBy(*by, "date", "time").agg(
+        T.pearson("score", "_y").alias("ic"), n.alias("_n"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"),
+        (F.var_pop(x) * n).alias("_xx"), (F.var_pop(y) * n).alias("_yy"), (F.covar_pop(x, y) * n).alias("_xy")))
+    c = F.col
+    centre = stamps.groupBy(*by).agg(
+        F.sum("_n").alias("_all"), (F.sum(c("_n") * c("_mx")) / F.sum("_n")).alias("_cx"),
+        (F.sum(c("_n") * c("_my")) / F.sum("_n")).alias("_cy"))
+    dx, dy = c("_mx") - c("_cx"), c("_my") - c("_cy")
+    merged = stamps.join(centre, by).groupBy(*by).agg(
+        F.first("_all").cast("bigint").alias("rows"), F.sum(c("_xx") + c("_n") * dx * dx).alias("_xx"),
+        F.sum(c("_yy") + c("_n") * dy * dy).alias("_yy"), F.sum(c("_xy") + c("_n") * dx * dy).alias("_xy"))
+    pooled = merged.select(*by, "rows", F.when(
+        (c("rows") > 1) & (c("_xx") > 0) & (c("_yy") > 0), c("_xy") / F.sqrt(c("_xx") * c("_yy"))).alias("pooled_ic"))
     days = stamps.groupBy(*by, "date").agg(F.avg("ic").alias("ic")).where(F.col("ic").isNotNull())
     daily = days.groupBy(*by).agg(
         F.avg("ic").alias("daily_ic_mean"), T.spread("ic", ddof).alias("daily_ic_std"),
@@ -370,6 +386,6 @@ def baseline_ic(
 
 def topk_return(df: DataFrame, k: int = 50, x: str = "prediction", y: str = "target", plan: str | None = None) -> DataFrame:
     """Mean target of the k highest scores per date, with the day's correlations."""
-    plan = choose_plan(df, ["date"], plan)
+    plan = choose_plan(["date"], plan)
     rows = add_positions(_ranked_pairs(df, ["date"], x, y, plan), ["date"], [(x, False), "time", "code"], rn="_rn", plan=plan)
     return rows.groupBy("date").agg(*_ic_columns(x, y), F.avg(F.when(F.col("_rn") <= k, F.col(y))).alias("topk_return"))

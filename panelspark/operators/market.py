@@ -5,29 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S
-from ..schema import EXECUTION_COLUMNS
+from ..schema import EXECUTION_COLUMNS, unique_rows
+from ..session import stored
 from ..settings import MarketSettings
 from .features import SESSION
 
 
 def attach_daily(bars: DataFrame, daily: DataFrame) -> DataFrame:
-    """Daily columns onto bars, by (code, Date); bars without a daily row stay."""
-    return bars.join(daily.withColumnRenamed("code", "StockCode"), list(SESSION), "left")
+    """Daily columns onto bars, by (code, Date); bars without a daily row stay.
+
+    A (code, Date) that repeats in ``daily`` fails the job.
+    """
+    return bars.join(unique_rows(daily.withColumnRenamed("code", "StockCode"), SESSION), list(SESSION), "left")
 
 
 def active_days(periods: DataFrame, calendar: DataFrame) -> DataFrame:
     """(code, Date) pairs on which an interval [start_date, end_date] is open.
 
     Intervals are cut at the last date of the calendar and laid out day by
-    day, which turns the range condition into an equality on Date.
+    day, which turns the range condition into an equality on Date. The
+    calendar is reduced to its dates once and stored.
     """
-    last = calendar.select(F.max(S.date_col("Date"))).scalar()
-    first = calendar.select(F.min(S.date_col("Date"))).scalar()
+    dates = stored(calendar.select("Date").distinct())
+    last = dates.select(F.max(S.date_col("Date"))).scalar()
+    first = dates.select(F.min(S.date_col("Date"))).scalar()
     start, end = F.greatest(S.date_col("start_date"), first), S.date_col(F.least("end_date", F.lit(99991231)))
     days = (periods.withColumns({"_a": start, "_b": F.least(end, last)}).where(F.col("_a") <= F.col("_b"))
             .select("code", F.explode(F.sequence("_a", "_b")).alias("_d")))
     keyed = days.select("code", (F.year("_d") * 10000 + F.month("_d") * 100 + F.dayofmonth("_d")).cast("int").alias("Date"))
-    return keyed.distinct().join(calendar.select("Date").distinct(), "Date", "left_semi").select("code", "Date")
+    return keyed.distinct().join(dates, "Date", "left_semi").select("code", "Date")
 
 
 def with_trailing_adv(daily: DataFrame, days: int = 20) -> DataFrame:
@@ -208,18 +214,27 @@ def next_trade_lookup(df: DataFrame, table: DataFrame, leg: str) -> DataFrame:
         "code", "date", F.col("schedule_minute").alias(f"{leg}_schedule_minute"),
         F.col("next_trade_minute").alias(f"{leg}_exec_minute"),
         F.col("next_trade_open").alias(f"{leg}_open"), F.col("next_trade_vwap").alias(f"{leg}_vwap"))
-    return df.join(side, ["code", "date", f"{leg}_schedule_minute"], "left")
+    keys = ["code", "date", f"{leg}_schedule_minute"]
+    return df.join(unique_rows(side, keys), keys, "left")
 
 
 def allowed_times(rows: DataFrame, pred: DataFrame) -> DataFrame:
-    """Rows on the dates and at the times the score table covers."""
-    return (rows.join(pred.select("time").distinct(), "time", "left_semi")
-            .join(pred.select("date").distinct(), "date", "left_semi"))
+    """Rows on the dates and at the times the score table covers.
+
+    The score table is read once, for its (date, time) pairs.
+    """
+    stamps = stored(pred.select("date", "time").distinct())
+    return (rows.join(stamps.select("time").distinct(), "time", "left_semi")
+            .join(stamps.select("date").distinct(), "date", "left_semi"))
 
 
 def signal_left_join(rows: DataFrame, pred: DataFrame) -> DataFrame:
-    """Scores onto the universe; rows without one stay and are flagged."""
-    return rows.join(pred.select("date", "time", "code", "prediction"), ["date", "time", "code"], "left").withColumn(
+    """Scores onto the universe; rows without one stay and are flagged.
+
+    A (date, time, code) that repeats among the scores fails the job.
+    """
+    keys = ["date", "time", "code"]
+    return rows.join(unique_rows(pred.select(*keys, "prediction"), keys), keys, "left").withColumn(
         "prediction_available", S.is_finite("prediction"))
 
 

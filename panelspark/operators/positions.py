@@ -115,7 +115,7 @@ def build_positions(
     if not (long_enabled or short_enabled):
         raise ValueError("at least one side must be enabled")
     rows = eligible_signals(features)
-    plan = choose_plan(rows, CROSS_SECTION, plan)
+    plan = choose_plan(CROSS_SECTION, plan)
     rows = _numbered_terciles(rows, plan).withColumns({
         "top_frac": F.lit(top_frac), "long_enabled": F.lit(long_enabled), "short_enabled": F.lit(short_enabled),
         "max_liq_bucket": F.lit(max_liq_bucket)})
@@ -139,7 +139,7 @@ def build_position_variants(
 ) -> DataFrame:
     """Target positions of many trade plans in one job, keyed by ``variant``."""
     rows = eligible_signals(features)
-    plan = choose_plan(rows, CROSS_SECTION, plan)
+    plan = choose_plan(CROSS_SECTION, plan)
     return _positions(lay_out_variants(_numbered_terciles(rows, plan), variants), ["variant"], price, costs, plan)
 
 
@@ -155,7 +155,7 @@ def buffer_bands(
     hold band are kept; no other row can be held.
     """
     rows = eligible_signals(features)
-    plan = choose_plan(rows, CROSS_SECTION, plan)
+    plan = choose_plan(CROSS_SECTION, plan)
     rows = lay_out_variants(_numbered_terciles(rows, plan), variants).where(F.col("liq_bucket") <= F.col("max_liq_bucket"))
     rows = add_positions(rows, ["variant", *CROSS_SECTION], ["prediction", "code"], rn="_rank", n="_n", plan=plan)
     enter, hold = keep_count(F.col("entry_frac"), F.col("_n")), keep_count(F.col("hold_frac"), F.col("_n"))
@@ -173,7 +173,7 @@ def cost_bands(
     percent_rank of sigma / sqrt(ADV) within the liquid names.
     """
     rows = eligible_signals(features, positive_sigma=True)
-    plan = choose_plan(rows, CROSS_SECTION, plan)
+    plan = choose_plan(CROSS_SECTION, plan)
     rows = _numbered_terciles(rows, plan).where(F.col("liq_bucket") <= max_liq_bucket)
     rows = rows.withColumn("_cost", F.col("sigma_intraday") / F.sqrt("adv_amount"))
     rows = add_value_ranks(rows, CROSS_SECTION, "_cost", {"percent": "cost_pct", "n": "_n"}, plan)
@@ -202,6 +202,9 @@ def _band_rows(rows: DataFrame, from_low: Column, from_top: Column, enter: Colum
         "long_entry", "long_hold", "short_entry", "short_hold")
 
 
+BAND_BLOCK = 256
+
+
 def _with_run(df: DataFrame, unit: Sequence[str], bar: str) -> DataFrame:
     """Tag gap-free runs of bars per unit (gaps and islands)."""
     w = Window.partitionBy(*unit).orderBy(bar)
@@ -225,22 +228,39 @@ def pair_band_state(df: DataFrame, unit: Sequence[str], bar: str) -> DataFrame:
 
     At each bar a unit keeps its side while that side's hold band contains it,
     else takes a long entry, else a short one, else is flat. Where the bands
-    overlap the next side depends on the last, so each gap-free run is folded
-    in order; a run holds at most one row per bar.
+    overlap the next side depends on the last, so a gap-free run is folded in
+    order, in blocks of ``BAND_BLOCK`` bars: each block is folded once for
+    every side it may start from, the resulting maps are composed along the
+    run, and each block is replayed from the side it does start from. No array
+    is longer than a block or than the number of blocks, and all steps share
+    the shuffle on the unit.
     """
     columns = df.columns
-    runs = _with_run(df, unit, bar).groupBy(*unit, "_run").agg(F.array_sort(F.collect_list(
+    place = Window.partitionBy(*unit, "_run").orderBy(bar)
+    runs = _with_run(df, unit, bar).withColumn("_block", F.floor((F.row_number().over(place) - 1) / BAND_BLOCK))
+    blocks = runs.groupBy(*unit, "_run", "_block").agg(F.array_sort(F.collect_list(
         F.struct(F.col(bar).alias("_bar"), *[F.col(c) for c in columns]))).alias("_rows"))
 
-    def step(acc: Column, row: Column) -> Column:
-        side = (F.when((acc["side"] == LONG) & row["long_hold"], LONG)
-                .when((acc["side"] == SHORT) & row["short_hold"], SHORT)
+    def following(side: Column, row: Column) -> Column:
+        return (F.when((side == LONG) & row["long_hold"], LONG).when((side == SHORT) & row["short_hold"], SHORT)
                 .when(row["long_entry"], LONG).when(row["short_entry"], SHORT).otherwise(0))
+
+    ends = ("flat", "long", "short")
+    start = F.struct(*[F.lit(side).alias(name) for name, side in zip(ends, (0, LONG, SHORT))])
+    mapped = blocks.withColumn("_ends", F.aggregate(
+        "_rows", start, lambda acc, row: F.struct(*[following(acc[name], row).alias(name) for name in ends])))
+    before = Window.partitionBy(*unit, "_run").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.aggregate(F.collect_list("_ends").over(before), F.lit(0), lambda side, ends_of: (
+        F.when(side == LONG, ends_of["long"]).when(side == SHORT, ends_of["short"]).otherwise(ends_of["flat"])))
+    begun = mapped.withColumn("_first", first)
+
+    def step(acc: Column, row: Column) -> Column:
+        side = following(acc["side"], row)
         return F.struct(side.alias("side"), F.concat(acc["path"], F.array(side)).alias("path"))
 
-    start = F.struct(F.lit(0).alias("side"), F.array().cast("array<int>").alias("path"))
-    sides = F.aggregate("_rows", start, step)["path"]
-    pairs = runs.select(F.explode(F.arrays_zip(F.col("_rows").alias("row"), sides.alias("side"))).alias("_p"))
+    replay = F.struct(F.col("_first").alias("side"), F.array().cast("array<int>").alias("path"))
+    sides = F.aggregate("_rows", replay, step)["path"]
+    pairs = begun.select(F.explode(F.arrays_zip(F.col("_rows").alias("row"), sides.alias("side"))).alias("_p"))
     out = pairs.select(*[F.col(f"_p.row.{c}").alias(c) for c in columns], F.col("_p.side").alias("side"))
     return out.where(F.col("side") != 0)
 

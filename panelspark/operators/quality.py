@@ -230,7 +230,3 @@ def complete_cross_sections(df: DataFrame, min_names: int, keys: Sequence[str] =
     """Rows of the cross-sections that hold at least ``min_names`` rows."""
     return (add_group_stats(df, keys, {"_n": F.count(F.lit(1))}, plan)
             .where(F.col("_n") >= min_names).drop("_n"))
-
-
-def kept_rows(df: DataFrame, cfg: FeatureSettings) -> DataFrame:
-    return keep_finite(df, cfg.feature_names)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S, stats as T
-from ..functions.ranks import WINDOW, add_positions, add_value_ranks, choose_plan, group_quantiles
+from ..functions.ranks import WINDOW, add_positions, add_value_ranks, choose_plan, column_quantiles, group_quantiles
 from ..session import stored
 from ..settings import CostSettings
 from .features import finite_pairs
@@ -48,7 +48,7 @@ def signal_base(features: DataFrame, min_names: int, grid: int = 10, ret: str =
     rows = (features.where(F.col("prediction").isNotNull() & F.col(ret).isNotNull() & F.col("signal_amount").isNotNull()
                            & (F.col("minute_slot") % grid == 0))
             .select("date", "time", "minute_slot", "code", "prediction", F.col(ret).alias("simple_return"), "signal_amount"))
-    plan = choose_plan(rows, CROSS_SECTION, plan)
+    plan = choose_plan(CROSS_SECTION, plan)
     rows = complete_cross_sections(rows, min_names, plan=plan)
     rows = add_positions(rows, CROSS_SECTION, ["prediction", "code"], tiles={"signal_decile": 10}, plan=plan)
     rows = add_positions(rows, CROSS_SECTION, [("signal_amount", False), "code"], tiles={"liq_bucket": 3}, plan=plan)
@@ -129,11 +129,13 @@ def best_worst_time(buckets: DataFrame, value: str = "mean_return_bps") -> DataF
 
 
 def extreme_target_profile(df: DataFrame, hi: float = 0.995, lo: float = 0.005, plan: str | None = None) -> DataFrame:
-    """Rows beyond the outer target quantiles and the deciles they sat in."""
-    base = _with_deciles(df, "signal_bucket", 10, plan)
-    pairs = finite_pairs(df)
-    edges = group_quantiles(pairs, [], "target", {"lo": lo, "hi": hi}).select(F.array("lo", "hi")).scalar()
-    total = pairs.select(F.count("*")).scalar()
+    """Rows beyond the outer target quantiles and the deciles they sat in.
+
+    The input is read once: the rows with their deciles are stored.
+    """
+    base = stored(_with_deciles(df, "signal_bucket", 10, plan).select("signal_bucket", F.col("target").cast("double")))
+    edges = column_quantiles(base, {"target": {"lo": lo, "hi": hi}}).select(F.array("lo", "hi")).scalar()
+    total = base.select(F.count("*")).scalar()
     target = F.col("target")
     kinds = F.array_compact(F.array(
         F.when(target >= F.element_at(edges, 2), F.lit("extreme_positive_target")),
@@ -149,16 +151,15 @@ def extreme_target_profile(df: DataFrame, hi: float = 0.995, lo: float = 0.005,
 
 def prediction_scale(df: DataFrame, ddof: int = 1) -> DataFrame:
     """One row: location, spread and tails of score and target, and the ratio
-    of their deviations."""
-    rows = finite_pairs(df).select(F.col("prediction").cast("double"), F.col("target").cast("double"))
+    of their deviations. The input is read once and stored for the two passes."""
+    rows = stored(finite_pairs(df).select(F.col("prediction").cast("double"), F.col("target").cast("double")))
     moments = rows.agg(*[
         e for c in ("prediction", "target") for e in (
             F.avg(c).alias(f"{c}_mean"), T.spread(c, ddof).alias(f"{c}_std"), F.avg(F.abs(c)).alias(f"{c}_abs_mean"))
     ]).withColumn("_k", F.lit(0))
-    for c in ("prediction", "target"):
-        points = {f"{c}_p01": 0.01, f"{c}_p50": 0.50, f"{c}_p99": 0.99}
-        moments = moments.join(group_quantiles(rows, [], c, points).withColumn("_k", F.lit(0)), "_k")
-    return moments.drop("_k").withColumn("std_ratio", S.ratio("prediction_std", "target_std"))
+    tails = column_quantiles(rows, {
+        c: {f"{c}_p01": 0.01, f"{c}_p50": 0.50, f"{c}_p99": 0.99} for c in ("prediction", "target")}).withColumn("_k", F.lit(0))
+    return moments.join(tails, "_k").drop("_k").withColumn("std_ratio", S.ratio("prediction_std", "target_std"))
 
 
 def mse(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -181,7 +182,7 @@ def bootstrap_ci(series: DataFrame, value: str, order: str = "date", samples: in
     """
     rows = add_positions(series.where(F.col(value).isNotNull()).select(order, value), [], [order], rn="_rn", n="_n")
     draws = rows.select("_rn", "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_b"))
-    picked = draws.select("_b", (F.pmod(F.xxhash64(F.lit(seed), "_b", "_rn"), F.col("_n")) + 1).alias("_pick"))
+    picked = draws.select("_b", (F.conv(F.substring(S.seeded_hash(seed, "_b", "_rn"), 1, 15), 16, 10).cast("bigint") % F.col("_n") + 1).alias("_pick"))
     means = (picked.join(rows.select(F.col("_rn").alias("_pick"), value), "_pick")
              .groupBy("_b").agg(F.avg(value).alias("_mean")))
     interval = means.agg(

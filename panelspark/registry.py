@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .functions import scalar as S, stats as T
-from .functions.ranks import add_value_ranks
+from .functions.ranks import add_ranks_of
 from .operators.features import finite_pairs
 from .operators.quality import fixed_histogram
 
@@ -44,7 +44,7 @@ class MetricRegistry:
             raise KeyError(f"unknown metrics: {unknown}")
         rows = finite_pairs(df).select(F.col("prediction").cast("double"), F.col("target").cast("double"))
         if any(n in self.rank_scalars for n in wanted):
-            rows = add_value_ranks(add_value_ranks(rows, [], "prediction", {"avg": "_rp"}), [], "target", {"avg": "_rt"})
+            rows = add_ranks_of(rows, [], {"prediction": {"avg": "_rp"}, "target": {"avg": "_rt"}})
         plain, ranked = (F.col("prediction"), F.col("target")), (F.col("_rp"), F.col("_rt"))
         aggs = [
             (self.scalars[n](*plain) if n in self.scalars else self.rank_scalars[n](*ranked)).cast("double").alias(n)

@@ -22,6 +22,7 @@ def _schema(fields: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
+# The columns of each table, by name and in order.
 BARS = _schema(
     "StockCode INT, DateTime TIMESTAMP_NTZ, Date INT, MinuteIndex INT, Open DOUBLE, Close DOUBLE, "
     "High DOUBLE, Low DOUBLE, Vol DOUBLE, Amount DOUBLE"
@@ -76,6 +77,20 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("row_count")).where("row_count > 1")
 
 
+def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` for the lookup side of a many-to-one join: repeated keys fail the job.
+
+    The check is part of the plan. It groups by the join keys, so the join
+    finds its rows already in place and nothing is read twice.
+    """
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    grouped = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(F.lit(0).alias("_"), *rest)).alias("_row"))
+    text = F.concat_ws(", ", F.lit("duplicate key"), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    row = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(text))
+    return grouped.select(*keys, row.alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
+
+
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Raise when ``keys`` repeat (the "m:1" check on a lookup side)."""
     found = duplicate_keys(df, keys).limit(1).collect()

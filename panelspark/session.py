@@ -1,4 +1,4 @@
-"""Session-level helpers: durable checkpoints and size estimates."""
+"""Session-level helpers: durable checkpoints and scratch tables."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_GROUP_ROWS = "spark.panelspark.maxGroupRows"
-SMALL_INPUT_BYTES = "spark.panelspark.smallInputBytes"
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
@@ -54,20 +50,3 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Total size of the tables ``df`` reads; None where the session hides it.
-
-    The sum over the leaves of the optimised plan. Estimates further up
-    multiply the sides of a join and say little about rows.
-    """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:
-        return None
-
-
-def int_conf(spark: SparkSession, key: str, default: int) -> int:
-    return int(spark.conf.get(key, str(default)))

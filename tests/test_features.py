@@ -109,13 +109,18 @@ def test_splits(spark):
     assert {(r["fold"], r["date"]): r["split"] for r in folds} == want
 
 
-def test_epoch_shuffle_is_a_permutation(spark):
-    for n, epoch in ((97, 0), (100, 1), (1, 3)):
-        df = spark.range(n).withColumnRenamed("id", "row_id")
-        got = D.epoch_shuffle(df, "row_id", n, 3, epoch, 4).collect()
-        step, offset = D.epoch_permutation(n, 3, epoch)
-        assert sorted(r["epoch_pos"] for r in got) == list(range(n))
-        assert all((r["epoch_pos"] * step + offset) % n == r["row_id"] for r in got)
+def test_epoch_shuffle_deals_every_epoch_anew(spark):
+    df = spark.range(400).withColumnRenamed("id", "row_id")
+    orders = []
+    for epoch in (0, 1, 0):
+        rows = D.epoch_shuffle(df.repartition(3 + epoch), ["row_id"], 3, epoch, 4).collect()
+        orders.append([r["row_id"] for r in sorted(rows, key=lambda r: r["epoch_key"])])
+        assert {r["shard"] for r in rows} == {0, 1, 2, 3} and len({r["epoch_key"] for r in rows}) == 400
+    assert orders[0] == orders[2] != orders[1] and orders[0] != sorted(orders[0])
+
+
+def test_zero_indicators_are_dropped_by_name():
+    assert P.drop_zero_indicators(["ret_1m", "ret_1m_is_zero", "oc"]) == ["ret_1m", "oc"]
 
 
 def test_sampling_is_repeatable(bars):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import ranks as R, stats as T
-from panelspark.session import MAX_GROUP_ROWS, SMALL_INPUT_BYTES
+from panelspark.operators import ic as I
 from tests.helpers import assert_same, avg_ranks, rows_of
 
 NAMES = {"rank": "rank", "avg": "avg", "pct": "pct", "cume": "cume", "percent": "percent", "n": "n"}
@@ -41,11 +41,53 @@ def test_value_ranks_against_counting(table):
 def test_positions_agree(table, keys):
     def run(plan):
         out = R.add_positions(table, keys, [("v", False), "id"], "rn", "n", {"t3": 3, "t10": 10}, plan)
-        return rows_of(out.withColumn("rn", F.col("rn").cast("bigint")), "id")
+        return rows_of(out, "id")
 
     assert_same(run("window"), run("ranged"))
 
 
+def test_plans_have_one_schema(table):
+    made = {
+        "ranks": lambda p: R.add_value_ranks(table, ["g"], "v", NAMES, p),
+        "many": lambda p: R.add_ranks_of(table, ["g"], {"v": NAMES}, p),
+        "positions": lambda p: R.add_positions(table, ["g"], [("v", False), "id"], "rn", "n", {"t": 3}, p),
+        "stats": lambda p: R.add_group_stats(table, ["g"], {"s": F.sum("v"), "c": F.count("v")}, p),
+        "quantiles": lambda p: R.group_quantiles(table, ["g"], "v", {"a": 0.5}, p),
+    }
+    for name, make in made.items():
+        assert make("window").dtypes == make("ranged").dtypes, name
+
+
+def test_ranks_of_several_columns(table):
+    df = table.withColumn("w", F.when(F.col("id") % 7 > 0, (F.col("id") % 13).cast("double"))).withColumn("tag", F.lit("x"))
+    names = {"v": {"avg": "av", "n": "nv"}, "w": {"avg": "aw", "pct": "pw"}}
+    for keys in (["g"], []):
+        one = df
+        for value in names:
+            one = R.add_value_ranks(one, keys, value, names[value], "ranged")
+        for plan in ("window", "ranged"):
+            got = R.add_ranks_of(df, keys, names, plan)
+            assert got.columns == one.columns
+            assert_same(rows_of(got, "id"), rows_of(one, "id"))
+
+
+def test_pooled_ic_ranks_both_columns_in_one_pass(table, monkeypatch):
+    passes = []
+    real = R._with_running_total
+    monkeypatch.setattr(R, "_with_running_total", lambda *a, **k: passes.append(1) or real(*a, **k))
+    df = table.select(F.col("v").alias("prediction"), (F.col("id") % 11).cast("double").alias("target"))
+    out = I.pooled_ic(df)
+    assert len(passes) == 1 and out.first()["count"] > 1000
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2  # cells with ranks, pieces with totals
+
+
+def test_quantiles_of_several_columns(table):
+    df = table.withColumn("w", (F.col("id") % 13).cast("double"))
+    got = R.column_quantiles(df, {"v": {"a": 0.1, "b": 0.5}, "w": {"c": 0.99}}).first()
+    want = [R.group_quantiles(df, [], c, {"x": p}, "window").first()["x"] for c, p in (("v", 0.1), ("v", 0.5), ("w", 0.99))]
+    assert list(got) == pytest.approx(want)
+
+
 def test_ntile_with_fewer_rows_than_tiles(spark):
     df = spark.range(4).withColumn("g", F.lit(1))
     for plan in ("window", "ranged"):
@@ -76,18 +118,10 @@ def test_empty_input(table):
         assert R.add_positions(none, [], ["id"], rn="rn", plan=plan).count() == 0
 
 
-def test_plan_choice_follows_group_size(spark, table):
-    assert R.choose_plan(table, []) == "ranged"
-    assert R.choose_plan(table, ["g"]) == "window"
-    spark.conf.set(SMALL_INPUT_BYTES, "0")
-    spark.conf.set(MAX_GROUP_ROWS, "100")
-    try:
-        assert R.choose_plan(table, ["g"]) == "ranged"
-        spark.conf.set(MAX_GROUP_ROWS, "5000")
-        assert R.choose_plan(table, ["g"]) == "window"
-    finally:
-        spark.conf.unset(SMALL_INPUT_BYTES)
-        spark.conf.unset(MAX_GROUP_ROWS)
+def test_keys_choose_the_plan():
+    assert R.choose_plan([]) == R.choose_plan(["year"]) == R.choose_plan(["tag"]) == "ranged"
+    assert R.choose_plan(["date", "time"]) == R.choose_plan(["Date", "StockCode"]) == "window"
+    assert R.choose_plan(["date"], "ranged") == "ranged" and R.choose_plan([], "window") == "window"
 
 
 def plan_text(df):
