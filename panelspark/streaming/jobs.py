@@ -6,14 +6,16 @@ over the same rows is the reference for a stream.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import stats
 from ..functions.scalar import is_finite
+from ..operators.positions import band_state
 from ..sources.readers import DATE_COLUMN
 
 
@@ -90,32 +92,100 @@ def running_ic(rows: DataFrame, ts: str = "ts", x: str = "prediction", y: str =
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "ic", "count", "mean_target", "std_target")
 
 
-def band_state_stream(rows: DataFrame, code: str = "code", date: str = "date", bar: str = "bar") -> DataFrame:
-    """Held rows of a one-sided band as rows arrive.
+def _watermark(rows: DataFrame, ts: str, delay: str) -> Column:
+    """Where the watermark stands after all of ``rows``."""
+    edge = rows.select(F.max(F.col(ts).cast("timestamp")).alias("_m")).select(F.expr(f"_m - INTERVAL {delay}"))
+    return F.date_trunc("millisecond", edge.scalar())
 
-    Input: code, date, bar (a gap-free bar number per date), enter, hold. A
-    code is held from an ``enter`` on while each following bar has ``hold``; a
-    missing bar or a new date ends it. The state per code is its last bar and
-    whether it was held. Rows at or before that bar are late and dropped.
+
+def close_windows(
+    done: DataFrame, rows: DataFrame, aggregate: Callable[[DataFrame], DataFrame], ts: str = "ts",
+    width: str = "1 minute", delay: str = "10 minutes",
+) -> DataFrame:
+    """``done`` with the windows that a finished stream has not emitted.
+
+    A stream emits a window once the watermark has passed it. When no more
+    rows will come, the windows still open are aggregated from the stored
+    rows; only rows of those windows are read.
+    """
+    edge = _watermark(rows, ts, delay)
+    open_rows = rows.where(F.window(F.col(ts).cast("timestamp"), width)["end"] > edge)
+    return done.unionByName(aggregate(open_rows))
+
+
+def _held(enter: np.ndarray, hold: np.ndarray, follows: np.ndarray, before: bool) -> np.ndarray:
+    """Which rows are held: from an entry on, while rows follow each other in the hold band.
+
+    ``before`` says whether the row ahead of the first was held.
+    """
+    at = np.arange(len(hold))
+    cut = np.maximum.accumulate(np.where(~follows | ~hold, at, -1))
+    entered = np.maximum.accumulate(np.where(enter & hold, at, 0 if before and len(at) and follows[0] and hold[0] else -2))
+    return hold & (entered >= np.maximum(cut, 0)) if len(at) else hold
+
+
+def band_state_stream(
+    rows: DataFrame, code: str = "code", date: str = "date", bar: str = "bar", ts: str = "ts",
+    delay: str = "10 minutes", width_ms: int = 60_000,
+) -> DataFrame:
+    """Held rows of a one-sided band, in order of event time, as rows arrive.
+
+    Input: code, date, bar (a gap-free bar number per date), ts (its time),
+    enter, hold. A code is held from an ``enter`` on while each following bar
+    has ``hold``; a missing bar or a new date ends it.
+
+    Rows wait in the state until the watermark has passed them, so files may
+    come in any order within ``delay``; only rows behind the watermark are
+    dropped. The state of a code is its last emitted bar and the waiting rows;
+    it expires when no row can follow that bar any more (``width_ms`` is the
+    length of a bar). ``close_bands`` adds what waits when a stream is over.
     """
     schema = f"{code} {rows.schema[code].dataType.simpleString()}, {date} int, {bar} int"
-    state_schema = "date int, bar int, held boolean"
+    state_schema = ("last_date int, last_bar int, held boolean, last_ts bigint, ts array<bigint>, date array<int>, "
+                    "bar array<int>, enter array<boolean>, hold array<boolean>")
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # One row per bar: a code's share of a micro-batch is a few days of bars.
-        rows = pd.concat(list(batches), ignore_index=True).sort_values([date, bar])
-        last_date, last_bar, held = state.get if state.exists else (0, 0, False)
-        out = []
-        for d, b, enter, hold in rows[[date, bar, "enter", "hold"]].itertuples(index=False):
-            if (d, b) <= (last_date, last_bar):
-                continue
-            kept = held and d == last_date and b == last_bar + 1
-            held = bool(hold) and (kept or bool(enter))
-            last_date, last_bar = int(d), int(b)
-            if held:
-                out.append((key[0], last_date, last_bar))
-        state.update((last_date, last_bar, held))
-        yield pd.DataFrame(out, columns=[code, date, bar])
-
-    return rows.groupBy(code).applyInPandasWithState(
-        advance, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+        mark = state.getCurrentWatermarkMs()
+        last_date, last_bar, held, last_ts, *waiting = state.get if state.exists else (0, 0, False, 0, [], [], [], [], [])
+        columns = [[np.array(w, kind)] for w, kind in zip(waiting, ("int64", "int64", "int64", bool, bool))]
+        if not state.hasTimedOut:
+            for batch in batches:
+                stamp = pd.to_datetime(batch[ts], utc=True).astype("datetime64[ms, UTC]").astype("int64")
+                for have, new in zip(columns, (stamp, batch[date], batch[bar], batch["enter"], batch["hold"])):
+                    have.append(new.to_numpy().astype(have[0].dtype))
+        stamps, dates, bars, enter, hold = (np.concatenate(c) for c in columns)
+        order = np.lexsort((bars, dates))
+        ready = stamps[order] < mark
+        now, later = order[ready], order[~ready]
+        if len(now):
+            d, b = dates[now], bars[now]
+            before_d, before_b = np.concatenate([[last_date], d[:-1]]), np.concatenate([[last_bar], b[:-1]])
+            on = _held(enter[now], hold[now], (d == before_d) & (b == before_b + 1), bool(held))
+            last_date, last_bar, held, last_ts = int(d[-1]), int(b[-1]), bool(on[-1]), int(stamps[now].max())
+            yield pd.DataFrame({code: [key[0]] * int(on.sum()), date: d[on], bar: b[on]})
+        if len(later) == 0 and mark > last_ts + width_ms:
+            if state.exists:
+                state.remove()
+            return
+        state.update((last_date, last_bar, held, last_ts, *[c[later].tolist() for c in (stamps, dates, bars, enter, hold)]))
+        wake = int(stamps[later].min()) if len(later) else last_ts + width_ms
+        state.setTimeoutTimestamp(max(wake, mark) + 1)
+
+    stamped = _event_time(rows, ts, delay)
+    return stamped.groupBy(code).applyInPandasWithState(
+        advance, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def close_bands(
+    done: DataFrame, rows: DataFrame, code: str = "code", date: str = "date", bar: str = "bar", ts: str = "ts",
+    delay: str = "10 minutes",
+) -> DataFrame:
+    """``done`` with the held rows that still waited when the stream ended.
+
+    Only the dates that reach past the watermark are folded again.
+    """
+    edge = _watermark(rows, ts, delay)
+    open_dates = rows.where(F.col(ts).cast("timestamp") >= edge).select(date).distinct()
+    again = band_state(rows.join(open_dates, date, "left_semi"), [date, code], bar, F.col("enter"), F.col("hold"))
+    keys = [code, date, bar]
+    return done.select(*keys).unionByName(again.select(*keys).join(done.select(*keys), keys, "left_anti"))

@@ -45,26 +45,60 @@ def test_running_ic_equals_batch(spark, tmp_path):
     assert_same(rows_of(got, "start"), rows_of(X.running_ic(df), "start"))
 
 
-def test_band_state_across_batches(spark, tmp_path):
+def band_rows(spark, seed=8):
     import random
 
-    rng = random.Random(8)
+    rng = random.Random(seed)
     rows = []
     for d in (1, 2):
         for b in range(1, 9):
             for c in range(6):
                 if rng.random() < 0.85:
                     s = rng.random()
-                    rows.append((c, d, b, s > 0.7, s > 0.35))
-    schema = "code int, date int, bar int, enter boolean, hold boolean"
+                    rows.append((c, d, b, dt.datetime(2024, 1, d, 9, 30) + dt.timedelta(minutes=b), s > 0.7, s > 0.35))
+    return rows, "code int, date int, bar int, ts timestamp_ntz, enter boolean, hold boolean"
+
+
+def run_bands(spark, tmp_path, parts, schema, delay, files=1):
     src, out, chk = (str(tmp_path / n) for n in ("src", "out", "chk"))
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
     empty = spark.createDataFrame([], schema)
-    # One file per pair of bars, each its own micro-batch.
-    for d in (1, 2):
-        for lo in (1, 3, 5, 7):
-            part = [r for r in rows if r[1] == d and r[2] in (lo, lo + 1)]
-            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
-            X.run_available(X.band_state_stream(X.read_stream(spark, src, empty.schema, 1)), out, chk)
-    got = spark.read.parquet(out)
+    done = X.run_available(X.band_state_stream(X.read_stream(spark, src, empty.schema, files), delay=delay), out, chk)
+    return done, X.close_bands(done, spark.read.schema(empty.schema).parquet(src), delay=delay)
+
+
+def assert_bands(spark, got, rows, schema):
     want = band_state(spark.createDataFrame(rows, schema), ["date", "code"], "bar", F.col("enter"), F.col("hold")).select("code", "date", "bar")
+    got = got.select("code", "date", "bar")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and want.count() > 5
+
+
+def test_band_state_in_any_file_order(spark, tmp_path):
+    rows, schema = band_rows(spark)
+    parts = [[r for r in rows if r[1] == d and r[2] in (lo, lo + 1)] for d in (1, 2) for lo in (1, 3, 5, 7)]
+    for name, order in (("forward", [0, 1, 2, 3, 4, 5, 6, 7]), ("reversed", [3, 2, 1, 0, 7, 6, 5, 4])):
+        folder = tmp_path / name
+        done, whole = run_bands(spark, folder, [parts[i] for i in order], schema, "10 minutes")
+        assert 0 < done.count() < whole.count()  # the stream itself emits what the watermark has passed
+        assert_bands(spark, whole, rows, schema)
+
+
+def test_band_state_whole_and_bar_by_bar(spark, tmp_path):
+    rows, schema = band_rows(spark, 3)
+    _, whole = run_bands(spark, tmp_path / "once", [rows], schema, "10 minutes", files=None)
+    assert_bands(spark, whole, rows, schema)
+    four = [(1, 1, b, dt.datetime(2024, 1, 1, 9, 30 + b), b == 1, True) for b in (1, 2, 3, 4)]
+    _, late = run_bands(spark, tmp_path / "late", [four[2:], four[:2]], schema, "10 minutes")
+    assert sorted(r["bar"] for r in late.collect()) == [1, 2, 3, 4]
+
+
+def test_finished_streams_are_closed(spark, tmp_path):
+    rows = [(at(m, s), float(s % 7), float((s * 3 + m) % 11)) for m in range(30) for s in range(0, 60, 7)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, prediction double, target double")
+    src = str(tmp_path / "src")
+    df.repartition(3).write.parquet(src)
+    done = X.run_available(X.running_ic(X.read_stream(spark, src, df.schema)), str(tmp_path / "out"), str(tmp_path / "chk"))
+    whole = X.close_windows(done, spark.read.schema(df.schema).parquet(src), X.running_ic)
+    assert done.count() < 30 and whole.count() == 30
+    assert_same(rows_of(whole, "start"), rows_of(X.running_ic(df), "start"))
