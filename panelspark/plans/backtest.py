@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalar as S
 from ..operators import book as B, market as M, positions as P, returns as R
+from ..session import stored
 from ..settings import CostSettings, MarketSettings
+from .variants import TRADE_PLANS, feature_groups, plan_parameters
 
 
 def build_features(pred: DataFrame, bars: DataFrame, daily: DataFrame, st_days: DataFrame | None = None, cfg: MarketSettings = MarketSettings()) -> DataFrame:
@@ -44,7 +48,28 @@ def compare_variants(
     costs: CostSettings = CostSettings(), plan: str | None = None,
 ) -> DataFrame:
     """One ranked row per trade plan, all from one job."""
-    ledger = B.run_variants(features, variants, price, costs, plan=plan)
+    return rank_ledgers(B.run_variants(features, variants, price, costs, plan=plan), aum, costs)
+
+
+def trade_plan_matrix(
+    pred: DataFrame, bars: DataFrame, daily: DataFrame, st_days: DataFrame | None = None,
+    plans: Sequence[dict] = TRADE_PLANS, aum: float = 10e6, cfg: MarketSettings = MarketSettings(),
+    costs: CostSettings = CostSettings(),
+) -> DataFrame:
+    """One ranked row per shipped trade plan.
+
+    Plans that share a holding time and a slot length share one stored table
+    of execution features; all ledgers are summarised and ranked together.
+    """
+    ledgers = []
+    for (holding, slots), group in feature_groups(plans).items():
+        features = stored(build_features(pred, bars, daily, st_days, replace(cfg, holding=holding, slot_mod=slots)))
+        ledgers.append(B.run_variants(features, plan_parameters(group), costs=costs))
+    return rank_ledgers(reduce(DataFrame.unionByName, ledgers), aum, costs)
+
+
+def rank_ledgers(ledger: DataFrame, aum: float = 10e6, costs: CostSettings = CostSettings()) -> DataFrame:
+    """One ranked row per variant of a bar ledger."""
     daily = R.combine_slots(R.slot_daily(ledger, ["variant"]), ["variant"])
     summary = R.strategy_summary(daily, [aum], annual_days=costs.annual_days, by=["variant"])
     return R.rank_variants(summary, R.net_name(aum))

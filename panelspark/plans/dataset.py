@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import datasets as D, features as P
 from ..settings import FeatureSettings
-from ..sources.writers import reuse_or_build
+from ..sources.writers import contract_hash, reuse_or_build
 
 
 def split_training_rows(bars: DataFrame, splits: DataFrame, cfg: FeatureSettings) -> DataFrame:
@@ -35,17 +35,24 @@ def normalised_splits(
 
 def build_dataset(
     bars: DataFrame, splits: DataFrame, out: str, cfg: FeatureSettings = FeatureSettings(),
-    sample_per_minute: int = 0, seed: int = 0, extra_contract: dict[str, Any] | None = None,
+    sample_per_minute: int = 0, seed: int = 0, extra_contract: dict[str, Any] | None = None, bars_id: str | None = None,
 ) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """Write (or reuse) the raw split table, then return it normalised.
 
+    The contract covers the features, the sample, every (date, split) and the
+    bars: their files, or ``bars_id`` (a path or version) where given. A table
+    built under another contract is refused.
+
     The features are stored before fitting, so the fit and every later reader
     scan Parquet instead of recomputing the windows.
     """
-    contract = {"features": asdict(cfg), "sample": sample_per_minute, "seed": seed, **(extra_contract or {})}
+    calendar = sorted((r["date"], r["split"]) for r in splits.select("date", "split").collect())  # one row per date
+    contract = {
+        "features": asdict(cfg), "sample": sample_per_minute, "seed": seed, "splits": contract_hash({"dates": calendar}),
+        "bars": bars_id or contract_hash({"files": sorted(bars.inputFiles())}), **(extra_contract or {})}
 
     def build() -> DataFrame:
         rows = split_training_rows(bars, splits, cfg)
-        return D.sample_per_group(rows, ["Date", "MinuteIndex"], sample_per_minute, seed, ["StockCode"])
+        return D.sample_per_group(rows, ["Date", "MinuteIndex"], sample_per_minute, seed, ["StockCode", "Date", "MinuteIndex"])
 
     return normalised_splits(reuse_or_build(bars.sparkSession, out, contract, build), cfg)

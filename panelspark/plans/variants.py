@@ -27,12 +27,19 @@ BUFFERS = tuple(
     for liq in (3, 2, 1))
 COST_AWARE = (
     {"variant": "equal_score_cost_sizing_liq1_buffer", "sizing_method": "equal", "entry_cost_penalty": 0.0},
-    *({"variant": f"entry_cost{code}_cost_sizing_liq1_buffer", "sizing_method": "cost_aware", "entry_cost_penalty": penalty}
-      for code, penalty in (("000", 0.0), ("025", 0.00025), ("050", 0.0005), ("100", 0.001), ("150", 0.0015))),
+    {"variant": "entry_cost000_cost_sizing_liq1_buffer", "sizing_method": "cost_aware", "entry_cost_penalty": 0.0},
+    {"variant": "entry_cost025_cost_sizing_liq1_buffer", "sizing_method": "cost_aware", "entry_cost_penalty": 0.00025},
+    {"variant": "entry_cost050_cost_sizing_liq1_buffer", "sizing_method": "cost_aware", "entry_cost_penalty": 0.0005},
+    {"variant": "entry_cost100_cost_sizing_liq1_buffer", "sizing_method": "cost_aware", "entry_cost_penalty": 0.001},
+    {"variant": "entry_cost150_cost_sizing_liq1_buffer", "sizing_method": "cost_aware", "entry_cost_penalty": 0.0015},
+)
+HYSTERESIS = (
+    {"variant": "q90_q80", "open_quantile": 0.90, "close_quantile": 0.80},
+    {"variant": "q90_q70", "open_quantile": 0.90, "close_quantile": 0.70},
+    {"variant": "q95_q85", "open_quantile": 0.95, "close_quantile": 0.85},
+    {"variant": "q95_q80", "open_quantile": 0.95, "close_quantile": 0.80},
+    {"variant": "q85_q75", "open_quantile": 0.85, "close_quantile": 0.75},
 )
-HYSTERESIS = tuple(
-    {"variant": f"q{round(100 * a)}_q{round(100 * b)}", "open_quantile": a, "close_quantile": b}
-    for a, b in ((0.90, 0.80), (0.90, 0.70), (0.95, 0.85), (0.95, 0.80), (0.85, 0.75)))
 
 
 def plan_parameters(plans=TRADE_PLANS) -> list[dict]:

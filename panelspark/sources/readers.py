@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+import posixpath
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -17,6 +17,7 @@ from ..functions import scalar as S
 from ..schema import (
     BARS, ContractError, DAILY, INFERENCE, NAME_HISTORY, PREDICTIONS, SYMBOLS, require_columns,
 )
+from .files import path_exists, read_text
 
 OPEN_END = 99991231
 DATE_COLUMN = "trade_date"
@@ -103,34 +104,35 @@ def read_inference(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     return df.select(*INFERENCE.fieldNames())
 
 
-def manifest_paths(manifest: str, field: str = "chunk_files") -> list[str]:
-    """The exact file list of a prediction manifest.
+def manifest_paths(spark: SparkSession, manifest: str, field: str = "chunk_files") -> list[str]:
+    """The exact file list of a prediction manifest, on any file system.
 
     Entries may be absolute, relative to the manifest's folder, or bare names
     next to it. The listed files count, not whatever else lies in the folder.
     """
-    with open(manifest, encoding="utf-8") as handle:
-        text = handle.read()
+    text = read_text(spark, manifest)
     payload = (yaml.safe_load(text) if yaml else json.loads(text)) or {}
     entries = payload.get(field) or []
     if not entries:
         raise ContractError(f"{manifest}: no entries under {field}")
-    root = os.path.dirname(os.path.abspath(manifest))
+    root = posixpath.dirname(manifest)
     out = []
     for entry in map(str, entries):
-        tried = [entry] if os.path.isabs(entry) or "://" in entry else [
-            os.path.join(root, entry), os.path.join(os.path.dirname(root), entry),
-            os.path.join(root, os.path.basename(entry)),
+        tried = [entry] if "://" in entry or posixpath.isabs(entry) else [
+            posixpath.join(root, entry), posixpath.join(posixpath.dirname(root), entry),
+            posixpath.join(root, posixpath.basename(entry)),
         ]
-        hit = next((p for p in tried if "://" in p or os.path.exists(p)), None)
+        hit = next((p for p in tried if path_exists(spark, p)), None)
         if hit is None:
             raise ContractError(f"{manifest}: file not found for {entry}")
         out.append(hit)
     return out
 
 
-def read_manifest(spark: SparkSession, manifest: str, columns: Sequence[str] | None = None) -> DataFrame:
-    return read_predictions(spark, manifest_paths(manifest), columns)
+def read_manifest(
+    spark: SparkSession, manifest: str, columns: Sequence[str] | None = None, schema: T.StructType = PREDICTIONS,
+) -> DataFrame:
+    return read_predictions(spark, manifest_paths(spark, manifest), columns, schema)
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
@@ -157,7 +159,3 @@ def latest_per_step(df: DataFrame, keys: Sequence[str], wall_time: str) -> DataF
     """
     row = F.struct(*df.columns)
     return df.groupBy(*keys).agg(F.max_by(row, wall_time).alias("_row")).select("_row.*")
-
-
-def with_timestamp(df: DataFrame, date: str = "date", time: str = "time", epoch_days: bool = False) -> DataFrame:
-    return df.withColumn("DateTime", S.timestamp_key(date, time, epoch_days))

@@ -4,45 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import EXECUTION_COLUMNS, INFERENCE, ContractError, require_columns
+from .files import list_files, path_exists, read_text, write_text
 from .readers import DATE_COLUMN
 
 ROWS_PER_FILE = 2_000_000
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _hadoop_path(spark, path)
-    return bool(fs.exists(p))
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Small side file on whatever file system ``path`` names."""
-    p, fs = _hadoop_path(spark, path)
-    stream = fs.create(p, True)
-    stream.write(bytearray(text, "utf-8"))
-    stream.close()
-
-
-def read_text(spark: SparkSession, path: str) -> str:
-    p, fs = _hadoop_path(spark, path)
-    reader = spark.sparkContext._jvm.java.util.Scanner(fs.open(p), "UTF-8").useDelimiter("\\A")
-    text = reader.next() if reader.hasNext() else ""
-    reader.close()
-    return text
-
-
 def write_bars(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Bars clustered by trade date, so date ranges prune files on read.
 
@@ -59,8 +32,11 @@ def write_predictions(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FI
     """Prediction table in files of bounded size, plus ``manifest.yaml``.
 
     The counts come from an observation on the write itself, not from a
-    second pass over the data.
+    second pass over the data. Appending is refused: a manifest describes the
+    files of one write.
     """
+    if mode == "append":
+        raise ValueError("a manifest describes one write; write to another folder instead of appending")
     from pyspark.sql import Observation
 
     seen = Observation()
@@ -68,8 +44,7 @@ def write_predictions(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FI
      .write.mode(mode).option("maxRecordsPerFile", rows_per_file).parquet(path))
     stats = seen.get
     spark = df.sparkSession
-    p, fs = _hadoop_path(spark, path)
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet"))
+    names = list_files(spark, path, ".parquet")
     manifest = {
         "chunk_files": names, "chunk_count": len(names), "columns": df.columns,
         "row_count": int(stats["row_count"]),
@@ -145,7 +120,3 @@ def reuse_or_build(
     build().write.mode("overwrite").parquet(path)
     write_text(spark, side, json.dumps({"hash": wanted, "contract": contract}, default=str))
     return spark.read.parquet(path)
-
-
-def local_name(path: str) -> str:
-    return os.path.basename(path.rstrip("/"))

@@ -70,3 +70,43 @@ def test_evaluation_tables(spark):
     assert {k: v.count() > 0 for k, v in tables.items()} == dict.fromkeys(tables, True)
     assert tables["join_validation"].first()["left_unmatched"] == 0
     assert "date" in FEATURE_SCHEMA
+
+
+def test_dataset_contract_covers_splits_and_bars(spark, bars, tmp_path):
+    from panelspark.plans.dataset import build_dataset
+    from panelspark.schema import ContractError
+    from panelspark.settings import FeatureSettings
+
+    cfg = FeatureSettings(return_lags=(1, 2), vol_window=3, mean_window=2, horizon=2, last_index=11, warmup=2)
+    dates = (20240102, 20240103, 20240104)
+
+    def splits(*names):
+        return spark.createDataFrame(list(zip(dates, names)), "date int, split string")
+
+    out = str(tmp_path / "set")
+    first = splits("train", "val", "test")
+    rows, _ = build_dataset(bars, first, out, cfg, bars_id="v1")
+    again, _ = build_dataset(bars, first, out, cfg, bars_id="v1")
+    assert rows.count() == again.count() > 0
+    with pytest.raises(ContractError):
+        build_dataset(bars, splits("train", "train", "test"), out, cfg, bars_id="v1")
+    with pytest.raises(ContractError):
+        build_dataset(bars, first, out, cfg, bars_id="v2")
+
+
+def test_long_band_runs_stay_cheap(spark):
+    from panelspark.operators.positions import pair_band_state
+
+    n = 100_000
+    rows = spark.range(n).select(
+        F.lit("v").alias("variant"), F.lit(1).alias("code"), F.col("id").alias("bar"),
+        (F.col("id") % 997 == 0).alias("long_entry"), (F.col("id") % 5003 != 5).alias("long_hold"),
+        (F.col("id") % 1301 == 1).alias("short_entry"), (F.col("id") % 3001 != 7).alias("short_hold"))
+    got = {r["bar"]: r["side"] for r in pair_band_state(rows, ["variant", "code"], "bar").collect()}
+    side, want = 0, {}
+    for i in range(n):
+        if not (side == 1 and i % 5003 != 5 or side == -1 and i % 3001 != 7):
+            side = 1 if i % 997 == 0 else -1 if i % 1301 == 1 else 0
+        if side:
+            want[i] = side
+    assert got == want

@@ -18,6 +18,8 @@ def test_feather_ingest(spark, tmp_path):
         feather.write_feather(table, str(tmp_path / f"{day}.feather"))
     df = read_feather(spark, str(tmp_path / "*.feather"))
     assert df.count() == 4 and df.schema["Close"].dataType.simpleString() == "double"
+    some = read_feather(spark, f"file:{tmp_path}/*.feather", columns=["Close", "Date"])
+    assert some.columns == ["Close", "Date"] and sorted(r["Close"] for r in some.collect())[0] == 1.5
     out = ingest_feather(spark, str(tmp_path / "*.feather"), str(tmp_path / "bars"))
     assert {r["trade_date"]: r["count"] for r in out.groupBy("trade_date").count().collect()} == {20240102: 2, 20240103: 2}
 
@@ -37,10 +39,23 @@ def test_manifest_lists_win_over_the_folder(spark, tmp_path):
     info = W.write_predictions(spark.range(10).select(F.lit(240101).alias("date"), F.col("id").cast("double").alias("prediction")).repartition(2), path)
     assert info["row_count"] == 10 and info["date_min"] == info["date_max"] == 240101 and info["chunk_count"] == 2
     spark.range(5).select(F.lit(240102).alias("date"), F.lit(0.0).alias("prediction")).write.mode("append").parquet(path)
-    assert spark.read.parquet(*R.manifest_paths(f"{path}/manifest.yaml")).count() == 10
+    assert spark.read.parquet(*R.manifest_paths(spark, f"{path}/manifest.yaml")).count() == 10
     (tmp_path / "bad.yaml").write_text(json.dumps({"chunk_files": ["nowhere.parquet"]}))
     with pytest.raises(ContractError):
-        R.manifest_paths(str(tmp_path / "bad.yaml"))
+        R.manifest_paths(spark, str(tmp_path / "bad.yaml"))
+    schema = "date int, prediction double"
+    assert R.read_manifest(spark, f"file:{path}/manifest.yaml", ["prediction"], spark.createDataFrame([], schema).schema).count() == 10
+    with pytest.raises(ValueError):
+        W.write_predictions(spark.range(1).select(F.lit(1).alias("date")), path, mode="append")
+
+
+def test_lookups_refuse_repeated_keys(spark):
+    from panelspark.schema import unique_rows
+
+    df = spark.createDataFrame([(1, "a", 2), (2, None, 3)], "k int, x string, y int")
+    assert sorted(map(tuple, unique_rows(df, ["k"]).collect())) == [(1, "a", 2), (2, None, 3)]
+    with pytest.raises(Exception, match="duplicate key"):
+        unique_rows(df.union(df), ["k"]).collect()
 
 
 def test_files_hold_at_most_the_asked_rows(spark, tmp_path):
