@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import book as B, returns as R, signal as G
-from ..plans.backtest import compare_variants
+from ..operators import book as B, market as M, returns as R, signal as G
+from ..plans import variants as SHIPPED
+from ..plans.backtest import compare_variants, trade_plan_matrix
+from ..session import stored
 from . import adapters as A
 from .adapters import tidy
 from .bookkeeping import BOOK, FAST, HYST, HYST_DAILY, hysteresis, positions
 from .catalog import query
-from .construction import POS, VARIANTS
-from .sql import oracle
+from .construction import PLAN_FIELDS, POS, VARIANTS, positions_sql, variants_sql
+from .sql import CTES, oracle
 
 SLOT_DAILY = """SELECT minute_slot, date, product(1+gross_return)-1 AS gross_return, sum(planned_turnover) AS planned_turnover, sum(turnover) AS turnover, sum(spread_cost) AS spread_cost,
  sum(impact_coeff) AS impact_coeff, avg(fill_ratio) AS fill_ratio, avg(executed_gross_exposure) AS executed_gross_exposure, avg(cash_buffer) AS cash_buffer,
@@ -110,17 +112,43 @@ V = {
 }
 
 
-@query("rank_variants", oracle(
-    """SELECT g.variant, g.mean_daily_return AS gross_daily_return, g.annualized_sharpe AS gross_sharpe, n.mean_daily_return AS net_daily_return, n.annualized_sharpe AS net_sharpe,
+RANKED = """SELECT g.variant, g.mean_daily_return AS gross_daily_return, g.annualized_sharpe AS gross_sharpe, n.mean_daily_return AS net_daily_return, n.annualized_sharpe AS net_sharpe,
     n.max_drawdown AS net_max_drawdown, n.positive_day_ratio, t.* EXCLUDE (variant) FROM gross g JOIN netted n USING (variant) JOIN (SELECT variant, avg(turnover) AS mean_turnover,
     avg(fill_ratio) AS mean_fill_ratio, avg(long_exposure) AS mean_long_exposure, avg(short_exposure) AS mean_short_exposure, quantile_cont(turnover, 0.5) AS p50_turnover,
-    quantile_cont(turnover, 0.95) AS p95_turnover, power(0.001/avg(impact_coeff), 2) AS capacity_at_10bps, power(0.002/avg(impact_coeff), 2) AS capacity_at_20bps FROM day GROUP BY 1) t USING (variant)""",
-    "gross_daily_return gross_sharpe net_daily_return net_sharpe net_max_drawdown positive_day_ratio mean_turnover mean_fill_ratio mean_long_exposure mean_short_exposure p50_turnover p95_turnover capacity_at_10bps capacity_at_20bps",
-    6, {"capacity_at_10bps": 3, "capacity_at_20bps": 3}, **V))
+    quantile_cont(turnover, 0.95) AS p95_turnover, power(0.001/avg(impact_coeff), 2) AS capacity_at_10bps, power(0.002/avg(impact_coeff), 2) AS capacity_at_20bps FROM day GROUP BY 1) t USING (variant)"""
+RANKED_COLS = "gross_daily_return gross_sharpe net_daily_return net_sharpe net_max_drawdown positive_day_ratio mean_turnover mean_fill_ratio mean_long_exposure mean_short_exposure p50_turnover p95_turnover capacity_at_10bps capacity_at_20bps"
+
+
+@query("rank_variants", oracle(RANKED, RANKED_COLS, 6, {"capacity_at_10bps": 3, "capacity_at_20bps": 3}, **V))
 def rank_variants(spark, sf):
     return tidy(compare_variants(A.feats(spark, sf), VARIANTS), 6, capacity_at_10bps=3, capacity_at_20bps=3)
 
 
+# The shipped trade plans on sessions of 16 minutes: holding times and slots are a fifth.
+SCALED = tuple(p | {"holding_bars": p["holding_bars"] // 5, "slot_mod_bars": p["slot_mod_bars"] // 5} for p in SHIPPED.TRADE_PLANS)
+
+
+def _matrix_ctes():
+    made, parts = {}, []
+    for (holding, slots), group in SHIPPED.feature_groups(SCALED).items():
+        feats = CTES["feats"].replace("exec_minute+4", f"exec_minute+{holding}").replace("MinuteIndex % 4", f"MinuteIndex % {slots}")
+        made[f"feats_{holding}"] = feats
+        made[f"eligible_{holding}"] = CTES["eligible"].replace("FROM feats", f"FROM feats_{holding}")
+        made[f"variants_{holding}"] = variants_sql(SHIPPED.plan_parameters(group), PLAN_FIELDS)
+        made[f"positions_{holding}"] = positions_sql().replace("FROM eligible e JOIN variants v", f"FROM eligible_{holding} e JOIN variants_{holding} v")
+        parts.append(f"SELECT * FROM positions_{holding}")
+    return made | {"positions": " UNION ALL ".join(parts)} | {k: v for k, v in V.items() if k not in ("variants", "positions")}
+
+
+@query("trade_plan_matrix", oracle(RANKED, RANKED_COLS, 6, {"capacity_at_10bps": 3, "capacity_at_20bps": 3}, **_matrix_ctes()))
+def run_trade_plan_matrix(spark, sf):
+    """All shipped trade plans from four feature tables, ranked."""
+    bars = stored(A.bars(spark, sf))
+    st = M.active_days(A.st_periods(spark), bars.select("Date"))
+    ranked = trade_plan_matrix(A.pred(spark, sf, bars), bars, A.daily(spark, sf, bars), st, SCALED, cfg=A.MARKET)
+    return tidy(ranked, 6, capacity_at_10bps=3, capacity_at_20bps=3)
+
+
 @query("alpha_per_turnover", oracle(
     """SELECT variant AS strategy_name, avg(gross_return) AS mean_gross_return, avg(net_return) AS mean_net_return, avg(turnover) AS mean_turnover, avg(spread_cost + fee_cost) AS mean_total_cost,
     sum(gross_return)/sum(turnover)*1e4 AS gross_bps_per_turnover, sum(net_return)/sum(turnover)*1e4 AS net_bps_per_turnover, sum(spread_cost + fee_cost)/sum(turnover)*1e4 AS cost_bps_per_turnover,

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import scalar as S, stats as T
 from ..functions.ranks import add_group_stats, add_positions, add_value_ranks, group_quantiles
 from ..operators import datasets as D, features as P, market as M, quality as Q, signal as G
-from ..schema import duplicate_keys
+from ..schema import ContractError, DAILY, NAME_HISTORY, duplicate_keys, unique_rows
 from ..sources import readers as R, writers as W
+from ..sources.feather import decode_feather, store_days
 from ..session import scratch
 from . import adapters as A
 from .adapters import tidy
@@ -38,9 +40,14 @@ def list_trade_dates(spark, sf):
     return R.list_trade_dates(A.calendar(spark, sf), 20160101, 20191231)
 
 
-def _symbols(spark, sf):
+def _symbol_file(spark, sf):
+    """The symbol list as a CSV file, as it arrives."""
     symbol = F.when(F.col("p_partkey") % 13 != 0, F.col("p_partkey").cast("string"))
-    return A.table(spark, sf, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("ts_code"), symbol.alias("symbol"))
+    path = f"{scratch(spark)}/symbols"
+    A.table(spark, sf, "part").select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("ts_code"), symbol.alias("symbol"),
+    ).write.option("header", True).csv(path)
+    return path
 
 
 SYMBOLS = "SELECT DISTINCT 'P'||p_partkey AS ts_code, CAST(p_partkey AS INT) AS code FROM part WHERE p_partkey % 13 <> 0"
@@ -48,7 +55,7 @@ SYMBOLS = "SELECT DISTINCT 'P'||p_partkey AS ts_code, CAST(p_partkey AS INT) AS
 
 @query("read_symbols", oracle(SYMBOLS))
 def read_symbols(spark, sf):
-    return R.clean_symbols(_symbols(spark, sf))
+    return R.read_symbols(spark, _symbol_file(spark, sf))
 
 
 @query("read_st_periods", oracle(
@@ -56,21 +63,46 @@ def read_symbols(spark, sf):
     CAST(CASE WHEN p_size % 5 = 0 THEN 99991231 ELSE 20160101 + p_size END AS INT) AS end_date
     FROM part JOIN symbols s ON s.ts_code = 'P'||p_partkey WHERE contains(p_type, 'ST')""", symbols=SYMBOLS))
 def read_st_periods(spark, sf):
-    names = A.table(spark, sf, "part").select(
-        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("ts_code"), F.col("p_type").alias("name"),
-        (F.col("p_size") + 20150101).cast("int").alias("start_date"),
-        F.when(F.col("p_size") % 5 != 0, F.col("p_size") + 20160101).cast("int").alias("end_date"))
-    return R.st_periods(names, R.clean_symbols(_symbols(spark, sf)))
+    path = f"{scratch(spark)}/names"
+    made = {
+        "ts_code": F.concat(F.lit("P"), F.col("p_partkey").cast("string")), "name": F.col("p_type"),
+        "start_date": (F.col("p_size") + 20150101).cast("int"),
+        "end_date": F.when(F.col("p_size") % 5 != 0, F.col("p_size") + 20160101).cast("int")}
+    A.table(spark, sf, "part").select(*[
+        made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in NAME_HISTORY.fields
+    ]).write.option("header", True).csv(path)
+    return R.read_st_periods(spark, path, R.read_symbols(spark, _symbol_file(spark, sf)))
 
 
 @query("read_daily", oracle(
     "SELECT s.code, d.Date, d.up_limit, d.down_limit, d.daily_amount FROM daily d JOIN symbols s ON s.code = d.code",
     "up_limit down_limit daily_amount", special={"daily_amount": 4}, symbols=SYMBOLS))
 def read_daily(spark, sf):
-    raw = A.daily(spark, sf).select(
-        F.concat(F.lit("P"), F.col("code").cast("string")).alias("ts_code"), "Date", "up_limit", "down_limit",
-        F.col("daily_amount").alias("amount"))
-    return tidy(R.clean_daily(raw, R.clean_symbols(_symbols(spark, sf))), daily_amount=4)
+    path = f"{scratch(spark)}/daily"
+    made = {"ts_code": F.concat(F.lit("P"), F.col("code").cast("string")), "amount": F.col("daily_amount")}
+    rows = A.daily(spark, sf)
+    rows.select(F.col("Date").alias(R.DATE_COLUMN), *[
+        (made[f.name] if f.name in made else F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in DAILY.fields]).write.partitionBy(R.DATE_COLUMN).parquet(path)
+    return tidy(R.read_daily(spark, path, R.read_symbols(spark, _symbol_file(spark, sf))), daily_amount=4)
+
+
+@query("ingest_feather", oracle("SELECT Date, count(*) AS row_count, sum(Close) AS total FROM bars GROUP BY Date", "total", 5))
+def ingest_feather(spark, sf):
+    """Bars encoded as one Arrow file a day, decoded again and stored by date."""
+    def one_file(day):
+        import pyarrow as pa
+
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_file(sink, day.schema) as writer:
+            writer.write_table(day)
+        return pa.table({"content": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    rows = A.bars(spark, sf)
+    files = rows.groupBy("Date").applyInArrow(one_file, "content binary")
+    wanted = StructType([rows.schema[c] for c in ("StockCode", "Date", "Close")])
+    days = store_days(decode_feather(files, wanted), f"{scratch(spark)}/days")
+    return tidy(days.groupBy("Date").agg(F.count("*").alias("row_count"), F.sum("Close").alias("total")), 5)
 
 
 @query("read_predictions", oracle(
@@ -101,9 +133,9 @@ def read_manifest(spark, sf):
     """The manifest's files count; a stray file beside them does not."""
     path = f"{scratch(spark)}/pred"
     rows = A.pred(spark, sf)
-    info = W.write_predictions(rows, path)
+    W.write_predictions(rows, path)
     rows.write.mode("append").parquet(path)
-    listed = R.read_predictions(spark, [f"{path}/{name}" for name in info["chunk_files"]], ["time", "prediction"], rows.schema)
+    listed = R.read_manifest(spark, f"{path}/manifest.yaml", ["time", "prediction"], rows.schema)
     return tidy(listed.groupBy("time").agg(F.count("*").alias("row_count"), F.sum("prediction").alias("total")), 6)
 
 
@@ -148,6 +180,12 @@ def reuse_or_build(spark, sf):
     path = f"{scratch(spark)}/bars"
     build = lambda: A.bars(spark, sf)
     W.reuse_or_build(spark, path, {"table": "bars", "version": 1}, build)
+    try:
+        W.reuse_or_build(spark, path, {"table": "bars", "version": 2}, build)
+    except ContractError:
+        pass
+    else:
+        raise AssertionError("a table was reused under another contract")
     again = W.reuse_or_build(spark, path, {"version": 1, "table": "bars"}, lambda: 1 / 0)
     return again.groupBy("Date").agg(F.count("*").alias("row_count"))
 
@@ -385,7 +423,7 @@ TILES = """SELECT date, code, row_number() OVER o AS rn, count(*) OVER (PARTITIO
 def _tiles(spark, sf, plan):
     rows = A.xsec(spark, sf).select("date", "code", "amount")
     out = add_positions(rows, ["date"], [("amount", False), "code"], "rn", "n", {"tercile": 3, "decile": 10}, plan)
-    return out.select("date", "code", F.col("rn").cast("bigint"), "n", "tercile", "decile")
+    return out.select("date", "code", "rn", "n", "tercile", "decile")
 
 
 @query("positions_and_tiles", oracle(TILES))
@@ -517,15 +555,17 @@ def top_by(spark, sf):
 
 
 @query("sample_per_group", oracle(
-    "SELECT Date, MinuteIndex, least(count(*), 3) AS sampled FROM bars GROUP BY 1, 2"))
+    """SELECT StockCode, Date, MinuteIndex FROM (SELECT *, row_number() OVER (PARTITION BY Date, MinuteIndex ORDER BY
+    md5('11|'||StockCode||'|'||Date||'|'||MinuteIndex), StockCode) AS k FROM bars) WHERE k <= 3"""))
 def sample_per_group(spark, sf):
-    rows = D.sample_per_group(A.bars(spark, sf), ["Date", "MinuteIndex"], 3, 11, ["StockCode"])
-    return rows.groupBy("Date", "MinuteIndex").agg(F.count("*").alias("sampled"))
+    rows = D.sample_per_group(A.bars(spark, sf), ["Date", "MinuteIndex"], 3, 11, ["StockCode", "Date", "MinuteIndex"])
+    return rows.select("StockCode", "Date", "MinuteIndex")
 
 
-@query("bounded_sample", None)
+@query("bounded_sample", oracle(
+    "SELECT date, code, prediction FROM xsec ORDER BY md5('3|'||date||'|'||code), date, code LIMIT 500", "prediction"))
 def bounded_sample(spark, sf):
-    return D.bounded_sample(A.xsec(spark, sf).select("date", "code", "prediction"), 500, 3, ["date", "code"])
+    return tidy(D.bounded_sample(A.xsec(spark, sf).select("date", "code", "prediction"), 500, 3, ["date", "code"]))
 
 
 @query("evenly_spaced", oracle(
@@ -536,13 +576,10 @@ def evenly_spaced(spark, sf):
 
 
 @query("epoch_shuffle", oracle(
-    """SELECT shard, count(*) AS row_count, min(pos) AS first_pos, max(pos) AS last_pos FROM
-    (SELECT (row_number() OVER (ORDER BY date, code) - 1) AS pos FROM xsec) , LATERAL (SELECT CAST(pos % 4 AS INT) AS shard) GROUP BY shard"""))
+    """SELECT date, code, epoch_key, CAST(CAST('0x'||substr(epoch_key, 1, 8) AS BIGINT) % 4 AS INT) AS shard
+    FROM (SELECT date, code, md5('5-2|'||date||'|'||code) AS epoch_key FROM xsec)"""))
 def epoch_shuffle(spark, sf):
-    rows = R.number_rows(A.xsec(spark, sf).select("date", "code"), ["date", "code"])
-    n = A.xsec(spark, sf).count()
-    return D.epoch_shuffle(rows, "row_id", n, seed=5, epoch=2, world=4).groupBy("shard").agg(
-        F.count("*").alias("row_count"), F.min("epoch_pos").alias("first_pos"), F.max("epoch_pos").alias("last_pos"))
+    return D.epoch_shuffle(A.xsec(spark, sf).select("date", "code"), ["date", "code"], seed=5, epoch=2, world=4)
 
 
 @query("metric_rank", oracle(
@@ -557,6 +594,15 @@ def find_duplicates(spark, sf):
     return duplicate_keys(A.lineitem(spark, sf), ["l_orderkey", "l_linenumber"])
 
 
+@query("unique_rows", oracle(
+    "SELECT l_orderkey, l_linenumber, l.l_suppkey, s.s_nationkey FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey"))
+def many_to_one_join(spark, sf):
+    """Line items with their supplier, the lookup side guarded against repeated keys."""
+    suppliers = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    lines = A.lineitem(spark, sf).select("l_orderkey", "l_linenumber", "l_suppkey")
+    return lines.join(unique_rows(suppliers, ["l_suppkey"]), "l_suppkey").select("l_orderkey", "l_linenumber", "l_suppkey", "s_nationkey")
+
+
 @query("union_of_groups", oracle(
     """SELECT grp AS "group", count(*) AS row_count, avg(target) AS mean_target FROM (
     SELECT 'high' AS grp, target FROM c WHERE k > 0.8 UNION ALL SELECT 'low', target FROM c WHERE k <= 0.2 UNION ALL SELECT 'all', target FROM c) GROUP BY grp""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import book as B, positions as P
+from ..plans import variants as SHIPPED
 from . import adapters as A
 from .adapters import tidy
 from .catalog import query
@@ -186,6 +187,37 @@ def hysteresis_daily(spark, sf):
     return tidy(B.hysteresis_daily(hysteresis(spark, sf)))
 
 
+# --- the shipped matrices ---------------------------------------------------------------
+
+SHIPPED_COSTED = COSTED.replace("WHERE lb <= 2", "WHERE lb <= 1")
+SHIPPED_BANDS = COST_BANDS.replace("ceil(0.2*nn)", "ceil(0.1*nn)").replace("ceil(0.4*nn)", "ceil(0.2*nn)")
+SHIPPED_COST = COST | {
+    "costed": SHIPPED_COSTED, "bands": SHIPPED_BANDS,
+    "variants": variants_sql(SHIPPED.COST_AWARE, ("variant", "sizing_method", "entry_cost_penalty"))}
+
+
+@query("cost_aware_matrix", oracle("SELECT * FROM band_ledger", BAND_LEDGER_COLS, 7, **SHIPPED_COST))
+def cost_aware_matrix(spark, sf):
+    return tidy(B.cost_aware_book(A.feats(spark, sf), SHIPPED.COST_AWARE), 7)
+
+
+SHIPPED_BUFFER = BUFFER_BOOK | {
+    "variants": variants_sql(SHIPPED.BUFFERS, ("variant", "entry_frac", "hold_frac", "max_liq_bucket"))}
+
+
+@query("buffer_matrix", oracle("SELECT * FROM band_ledger", BAND_LEDGER_COLS, **SHIPPED_BUFFER))
+def buffer_matrix(spark, sf):
+    return tidy(B.buffer_book(A.feats(spark, sf), SHIPPED.BUFFERS))
+
+
+SHIPPED_HYST = HYST | {"variants": variants_sql(SHIPPED.HYSTERESIS, ("variant", "open_quantile", "close_quantile"))}
+
+
+@query("hysteresis_matrix", oracle("SELECT * FROM hyst", "gross_return turnover spread_cost fee_cost gross_exposure", **SHIPPED_HYST))
+def hysteresis_matrix(spark, sf):
+    return tidy(B.hysteresis_book(A.feats(spark, sf), SHIPPED.HYSTERESIS, A.MIN_NAMES, A.GRID))
+
+
 BAND = {
     "scores": "SELECT *, prediction FROM pred",
     "hold_rows": "SELECT date, code, CAST((time - 93000)//100 AS INT) AS bar, prediction >= 0.2 AS enter FROM pred WHERE prediction >= -0.2",

@@ -278,6 +278,28 @@ def baseline_ic(spark, sf):
     return tidy(I.baseline_ic(rows, SPECS, {"all": F.lit(True), "late": F.col("MinuteIndex") >= 6}))
 
 
+SOURCED = {
+    "runs_in": """SELECT *, count(*) OVER (PARTITION BY StockCode, Date, island ORDER BY MinuteIndex) AS run FROM (
+    SELECT *, MinuteIndex - row_number() OVER (PARTITION BY StockCode, Date ORDER BY MinuteIndex) AS island FROM training)""",
+    "rows_in": BASE["rows_in"].replace("SELECT t.Date", "SELECT CASE WHEN StockCode % 2 = 0 THEN 'even' ELSE 'odd' END AS source, t.Date").replace(
+        "FROM training t", "FROM runs_in t").replace("('late')", "('endpoints')").replace("MinuteIndex >= 6", "run >= 3"),
+    "st": BASE["st"].replace("SELECT scope", "SELECT source, scope").replace("1, 2, 3, 4", "1, 2, 3, 4, 5"),
+    "dd": BASE["dd"].replace("SELECT scope", "SELECT source, scope").replace("1, 2, 3", "1, 2, 3, 4"),
+}
+
+
+@query("baseline_ic_sources", oracle(
+    """SELECT * FROM (SELECT source, scope, baseline, count(*) AS rows, corr(x, y) AS pooled_ic FROM rows_in GROUP BY 1, 2, 3) JOIN
+    (SELECT source, scope, baseline, avg(ic) AS daily_ic_mean, stddev_pop(ic) AS daily_ic_std, count(ic) AS daily_count, avg((ic > 0)::INT) AS daily_positive_ratio
+    FROM dd GROUP BY 1, 2, 3) USING (source, scope, baseline)""",
+    "pooled_ic daily_ic_mean daily_ic_std daily_positive_ratio", **SOURCED))
+def baseline_ic_sources(spark, sf):
+    """Baselines of two sources, over all rows and over the ends of sequences of three minutes."""
+    rows = P.contiguous_runs(P.training_table(A.bars(spark, sf), A.FEATURES))
+    rows = P.with_short_keys(rows).withColumn("source", F.when(F.col("code") % 2 == 0, "even").otherwise("odd"))
+    return tidy(I.baseline_ic(rows, SPECS, {"all": F.lit(True), "endpoints": F.col("run_len") >= 3}, source="source"))
+
+
 @query("topk_return", oracle(
     f"""SELECT date, ic, rank_ic, count, topk_return FROM (SELECT date, {IC} FROM r GROUP BY date) JOIN (SELECT date, avg(target) AS topk_return FROM
     (SELECT *, row_number() OVER (PARTITION BY date ORDER BY prediction DESC, time, code) AS k FROM xsec) WHERE k <= 5 GROUP BY date) USING (date)""",

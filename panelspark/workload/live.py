@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..session import scratch, stored
 from ..streaming import jobs as X
 from . import adapters as A
@@ -13,13 +14,6 @@ from .catalog import query
 from .sql import oracle
 
 
-def _stream(spark, df, files=None):
-    """``df`` written as files and read back as a stream."""
-    path = scratch(spark)
-    df.write.parquet(path)
-    return X.read_stream(spark, path, df.schema, files)
-
-
 def _table_stream(spark, sf, name):
     """A given table as a file stream; the pattern suits a file and a folder."""
     return X.read_stream(spark, f"{sf}/{name}.parque[t]", A.table(spark, sf, name).schema)
@@ -38,32 +32,48 @@ def ingest_days(spark, sf):
 
 @query("stream_bars", oracle(
     """SELECT user_id AS "StockCode", strftime(b, '%Y-%m-%d %H:%M:%S') AS bar_start, min_by(value, ts) AS "Open", max_by(value, ts) AS "Close", max(value) AS "High", min(value) AS "Low",
-    CAST(count(*) AS DOUBLE) AS "Vol", sum(value) AS "Amount" FROM (SELECT *, date_trunc('hour', ts) AS b FROM events) GROUP BY user_id, b
-    HAVING b + INTERVAL 1 HOUR <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 10 MINUTE""", "Open Close High Low Vol Amount"))
+    CAST(count(*) AS DOUBLE) AS "Vol", sum(value) AS "Amount" FROM (SELECT *, date_trunc('hour', ts) AS b FROM events) GROUP BY user_id, b""", "Open Close High Low Vol Amount"))
 def stream_bars(spark, sf):
+    """All bars: those the stream emits and, the stream being over, those still open."""
+    def bars(rows):
+        return X.bars_from_events(rows.select("ts", "user_id", "value"), width="1 hour")
+
     out = scratch(spark)
-    bars = X.bars_from_events(_table_stream(spark, sf, "events").select("ts", "user_id", "value"), width="1 hour")
-    done = X.run_available(bars, f"{out}/bars", f"{out}/progress")
-    return tidy(done.select("StockCode", F.date_format("bar_start", "yyyy-MM-dd HH:mm:ss").alias("bar_start"), "Open", "Close", "High", "Low", "Vol", "Amount"))
+    done = X.run_available(bars(_table_stream(spark, sf, "events")), f"{out}/bars", f"{out}/progress")
+    whole = X.close_windows(done, A.table(spark, sf, "events"), bars, width="1 hour")
+    return tidy(whole.select("StockCode", F.date_format("bar_start", "yyyy-MM-dd HH:mm:ss").alias("bar_start"), "Open", "Close", "High", "Low", "Vol", "Amount"))
 
 
 @query("stream_ic", oracle(
     """SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, CASE WHEN isfinite(corr(l_discount, l_tax)) THEN corr(l_discount, l_tax) END AS ic, count(*) AS count, avg(l_tax) AS mean_target,
-    stddev_samp(l_tax) AS std_target FROM lineitem GROUP BY l_shipdate HAVING l_shipdate + INTERVAL 1 DAY <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 1 DAY""",
-    "ic mean_target std_target"))
+    stddev_samp(l_tax) AS std_target FROM lineitem GROUP BY l_shipdate""", "ic mean_target std_target"))
 def stream_ic(spark, sf):
-    rows = _table_stream(spark, sf, "lineitem").select(F.col("l_shipdate").alias("ts"), F.col("l_discount").alias("prediction"), F.col("l_tax").alias("target"))
+    """All cross-sections: those the stream emits and, the stream being over, those still open."""
+    def shown(rows):
+        return rows.select(F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_discount").alias("prediction"), F.col("l_tax").alias("target"))
+
+    def ic(rows):
+        return X.running_ic(rows, width="1 day", delay="1 day")
+
     out = scratch(spark)
-    done = X.run_available(X.running_ic(rows, width="1 day", delay="1 day"), f"{out}/ic", f"{out}/progress")
-    return tidy(done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "ic", "count", "mean_target", "std_target"))
+    done = X.run_available(ic(shown(_table_stream(spark, sf, "lineitem"))), f"{out}/ic", f"{out}/progress")
+    whole = X.close_windows(done, shown(A.lineitem(spark, sf)), ic, width="1 day", delay="1 day")
+    return tidy(whole.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "ic", "count", "mean_target", "std_target"))
 
 
 @query("stream_band_state", oracle("SELECT date, code, bar FROM band WHERE active", **BAND))
 def stream_band_state(spark, sf):
-    rows = A.pred(spark, sf).select(
+    """Files of a year each arrive one by one and out of order, each pair reversed; nothing is lost."""
+    rows = stored(A.pred(spark, sf).select(
         "code", "date", F.floor((F.col("time") - 93000) / 100).cast("int").alias("bar"),
-        (F.col("prediction") >= 0.2).alias("enter"), (F.col("prediction") >= -0.2).alias("hold"))
-    ordered = stored(rows)
-    out = scratch(spark)
-    done = X.run_available(X.band_state_stream(_stream(spark, ordered.coalesce(4))), f"{out}/held", f"{out}/progress")
-    return done.select("date", "code", "bar")
+        S.timestamp_key("date", "time", False).alias("ts"),
+        (F.col("prediction") >= 0.2).alias("enter"), (F.col("prediction") >= -0.2).alias("hold")))
+    path, out = scratch(spark), scratch(spark)
+    year = F.floor(F.col("date") / 10000)  # dates are yymmdd; the first file has all years before, the last all after
+    bounds = {12: year <= 12, **{y: year == y for y in range(13, 19)}, 19: year >= 19}
+    for first in (12, 14, 16, 18):
+        for y in (first + 1, first):
+            rows.where(bounds[y]).coalesce(1).write.mode("append").parquet(path)
+    stream = X.band_state_stream(X.read_stream(spark, path, rows.schema, 1), delay="800 days")
+    done = X.run_available(stream, f"{out}/held", f"{out}/progress")
+    return X.close_bands(done, rows, delay="800 days").select("date", "code", "bar")

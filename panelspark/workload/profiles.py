@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ranks import column_quantiles
 from ..operators import ic as I, signal as G
+from ..session import stored
 from . import adapters as A
 from .adapters import tidy
 from .catalog import query
@@ -161,7 +163,13 @@ def mse_by_model(spark, sf):
     return tidy(G.best_candidate(G.mse(rows, ["model"])))
 
 
-@query("bootstrap_ci", None)
+@query("bootstrap_ci", oracle(
+    """SELECT avg(value) AS mean, stddev_samp(value) AS std, count(*) AS sample_count, any_value(i.ci_025) AS ci_025, any_value(i.ci_500) AS ci_500,
+    any_value(i.ci_975) AS ci_975, any_value(i.bootstrap_samples) AS bootstrap_samples FROM series, (
+    SELECT quantile_cont(m, 0.025) AS ci_025, quantile_cont(m, 0.5) AS ci_500, quantile_cont(m, 0.975) AS ci_975, count(*) AS bootstrap_samples FROM (
+    SELECT b, avg(s.value) AS m FROM (SELECT b, CAST('0x'||substr(md5('7|'||b||'|'||k), 1, 15) AS BIGINT) % n + 1 AS pick FROM series, range(500) t(b)) d
+    JOIN series s ON s.k = d.pick GROUP BY b)) i""", "mean std ci_025 ci_500 ci_975",
+    series="""SELECT *, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS n FROM (SELECT date, avg(target) AS value FROM xsec GROUP BY date)"""))
 def bootstrap_ci(spark, sf):
     daily = A.xsec(spark, sf).groupBy("date").agg(F.avg("target").alias("value"))
     return tidy(G.bootstrap_ci(daily, "value", samples=500))
@@ -233,8 +241,11 @@ SIDE = "SELECT unnest(['mean', 'std', 'p50']) AS metric, unnest([avg({c}), stdde
     FROM a FULL OUTER JOIN b USING (metric)""", "baseline experiment absolute_change relative_change", 7,
     a=SIDE.format(c="prediction"), b=SIDE.format(c="target")))
 def compare_to_parent(spark, sf):
+    rows = stored(A.xsec(spark, sf).select("prediction", "target"))
+    middle = column_quantiles(rows, {c: {c: 0.5} for c in rows.columns})
+
     def side(c):
-        row = A.xsec(spark, sf).agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.percentile(c, F.lit(0.5)).alias("p50"))
+        row = rows.agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")).withColumn("p50", middle.select(c).scalar())
         return G.to_metrics(row)
 
     return tidy(G.compare_to_parent(side("prediction"), side("target")), 7)
