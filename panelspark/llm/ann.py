@@ -35,7 +35,7 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import stored, unit_hash
+from .common import share, stored, unit_hash
 
 TABLES = 8
 WIDTH = 2.0
@@ -155,7 +155,7 @@ def _indexed(shared):
         import numpy as np
         import pyarrow as pa
 
-        hashing = shared.value
+        hashing = shared()
         for batch in batches:
             vectors = _numbers(batch.column(1), hashing.dim)
             names = hashing.bucket(np.floor(hashing.projected(vectors)).astype(np.int64))
@@ -172,7 +172,7 @@ def _probed(shared):
         import numpy as np
         import pyarrow as pa
 
-        hashing = shared.value
+        hashing = shared()
         for batch in batches:
             vectors = _numbers(batch.column(1), hashing.dim)
             places = hashing.projected(vectors)
@@ -253,7 +253,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     sample = np.array([r["vec"] for r in drawn.select("vec").collect()])  # at most SAMPLE vectors
     n = entries.count()
     hashing = fit(sample, n, k)
-    shared = spark.sparkContext.broadcast(hashing)
+    shared = share(spark, hashing)
 
     members = stored(entries.select("uid", "vec").mapInArrow(_indexed(shared), "bucket bigint, uid bigint, vec binary"))
     wide = stored(members.groupBy("bucket").count().where(F.col("count") > BLOCK).select(

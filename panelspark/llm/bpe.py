@@ -38,7 +38,7 @@ import re
 
 from pyspark.sql import Column, SparkSession, functions as F
 
-from .common import list_udf
+from .common import list_udf, share
 
 LONGEST_KEPT = 48
 LEAF = 12
@@ -228,14 +228,14 @@ class Bpe:
 
     def __init__(self, spark: SparkSession, ranks_path: str, pattern: str):
         with open(ranks_path, "rb") as file:
-            self._table = spark.sparkContext.broadcast(file.read())
+            self._table = share(spark, file.read())
         self._pattern = pattern
 
     def _udf(self, function, kind, returns: str):
         shared, pattern = self._table, self._pattern
 
         def setup():
-            own = codec(shared.value, pattern)
+            own = codec(shared(), pattern)
             return lambda values: [function(own, v) for v in values]
 
         return list_udf(setup, kind, returns)

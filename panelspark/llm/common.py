@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.session import ensure_checkpoint_dir, stored
 
-__all__ = ["WORD", "ensure_checkpoint_dir", "held_out", "list_udf", "lower_ascii", "slices", "stored", "table", "unit_hash"]
+__all__ = ["WORD", "ensure_checkpoint_dir", "held_out", "list_udf", "lower_ascii", "share", "slices", "stored", "table", "unit_hash"]
 
 # The word pattern and the letters that are folded.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,6 +61,12 @@ def list_udf(setup, kind, returns: str):
     return F.arrow_udf(batches_of, returns)
 
 
+def share(spark: SparkSession, value):
+    """Broadcast a bounded object; the function returned gives it to a task."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(held.value)
+
+
 def slices(batch):
     """The columns of an Arrow record batch as lists, ``SLICE`` rows at a time."""
     for i in range(0, batch.num_rows, SLICE):

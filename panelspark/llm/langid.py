@@ -31,11 +31,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import list_udf, slices, unit_hash
+from .common import list_udf, share, slices, unit_hash
 
 DOCS_PER_LANGUAGE = 2000
 MAX_GRAMS = 200_000
@@ -59,18 +58,14 @@ SCRIPTS = (
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-@cache
-def script_of_code(code: int) -> str:
+def script_of(letters: str) -> str:
+    code = ord(letters[0])
     for name, first, last in SCRIPTS:
         if first <= code <= last:
             return name
     return "other"
 
 
-def script_of(letters: str) -> str:
-    return script_of_code(ord(letters[0]))
-
-
 def letters_of(word: str) -> str:
     return "".join(LETTERS.findall(word)).lower()
 
@@ -262,10 +257,10 @@ class Labeller:
 
 def labelled(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with a struct column ``out``: lang, score, spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS rows
+    shared = share(docs.sparkSession, model)  # at most MAX_GRAMS rows
 
     def setup():
-        labeller = Labeller(shared.value)
+        labeller = Labeller(shared())
         return lambda texts: [labeller.label(t) for t in texts]
 
     import pyarrow as pa

@@ -189,7 +189,7 @@ def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """v, shingles of the wanted (v, set_id); only texts that take part in a pair are exchanged."""
+    """v, shingles of the wanted (v, set_id)."""
     import pyarrow as pa
 
     kind = pa.struct([("set_id", pa.binary()), ("shingles", pa.list_(pa.int64()))])
@@ -200,11 +200,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
         F.first("s.shingles").alias("shingles")).select("v", "shingles")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
-    nodes = pairs.select(F.col("x").alias("v")).union(pairs.select(F.col("y").alias("v"))).distinct()
-    wanted = sets.select("v", "set_id").join(nodes, "v")
-    full = stored(shingle_sets(docs, wanted, id_col, text_col))
     side = lambda c: full.select(F.col("v").alias(c), F.col("shingles").alias(f"s{c}"))
     joined = pairs.join(side("y"), "y").join(side("x"), "x").withColumn(
         "common", F.size(F.array_intersect("sx", "sy")).cast("long"))
@@ -223,11 +220,14 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lists = posts.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     shared = stored(posts.join(lists, "token"))
     first = stored(_matching(_pairs_by_pivot(shared), sets))
-    links = stored(_confirmed(first, sets, docs, id_col, text_col))
+    # Full sets of the documents that share a coordinate with another: one pass over their texts for both merges.
+    wanted = sets.select("v", "set_id").join(shared.select("v").distinct(), "v")
+    full = stored(shingle_sets(docs, wanted, id_col, text_col))
+    links = stored(_confirmed(first, full))
     labels = components(links)
     second = stored(_matching(_pairs_across(shared, labels).join(first, ["x", "y"], "left_anti"), sets))
     if second.limit(1).count():
-        links = links.union(_confirmed(second, sets, docs, id_col, text_col))
+        links = links.union(_confirmed(second, full))
         labels = components(links)
     named = stored(sets.join(labels, F.col("v") == F.col("node"), "left").select(
         "set_id", F.coalesce("component", "v").alias("component")))

@@ -27,7 +27,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import list_udf
+from .common import list_udf, share
 
 MAX_EXAMPLES = 6000
 BUCKETS = 1 << 15
@@ -149,10 +149,10 @@ def fit(rows: list[tuple[int, list[int], list[float]]], grades: int, buckets: in
 
 def graded(docs: DataFrame, model: OrdinalModel, text_col: str = "text", out: str = "quality") -> DataFrame:
     """``docs`` with a struct column ``out``: expected_grade and tails, P(grade >= k) for k = 1, 2, ..."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
+    shared = share(docs.sparkSession, model)  # BUCKETS weights
 
     def setup():
-        model = shared.value
+        model = shared()
         features = Features(model.buckets)
 
         def grade_of(text: str | None) -> dict:

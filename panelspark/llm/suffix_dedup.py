@@ -314,10 +314,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     long_rows = signed.where(F.col("n_bytes") >= LENGTH)
     copies = stored(long_rows.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").select("key"))
 
-    places = long_rows.select("key", "n_bytes", "anchors").groupBy("key").agg(
-        F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors")).select(
-        "key", "n_bytes", F.explode("anchors").alias("a")).select("key", "n_bytes", "a.h", "a.c", "a.pos")
-    places = stored(places)
+    places = long_rows.select("key", "n_bytes", F.explode("anchors").alias("a")).select("key", "n_bytes", "a.h", "a.c", "a.pos")
     often = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     met = stored(places.join(often, "h"))
     contexts = met.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("key", "pos")).alias("at"))
@@ -338,12 +335,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         _context_batches, "h bigint, c bigint, lead int, context binary"))
     stretches = _stretches(fetched, large)
 
+    met = met.join(copies, "key", "left_anti")
     lead, tail = F.least("pos", F.lit(LENGTH - GRAM)), F.least(F.col("n_bytes") - F.col("pos"), F.lit(LENGTH))
     whole = met.join(contexts.where("m > 1").select("h", "c"), ["h", "c"]).where(lead + tail >= LENGTH).select(
         "key", (F.col("pos") - lead).alias("start"), (F.col("pos") + tail).alias("end"))
     part = met.join(stretches, ["h", "c"]).select("key", "pos", F.explode("spans").alias("s")).select(
         "key", (F.col("pos") + F.col("s.low")).alias("start"), (F.col("pos") + F.col("s.high")).alias("end"))
-    spans = whole.union(part).join(copies, "key", "left_anti").groupBy("key").agg(
+    spans = whole.union(part).groupBy("key").agg(
         F.collect_set(F.struct("start", "end")).alias("spans"))
     cut = texts.where("alone").join(spans, "key").select("key", "text", "spans").mapInArrow(
         _cut_batches, "key binary, spans array<struct<start bigint, end bigint>>, kept binary")

@@ -32,7 +32,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import list_udf, slices, stored
+from .common import list_udf, share, slices, stored
 from .labelled import sample_texts
 
 MAX_EXAMPLES = 8192
@@ -110,10 +110,10 @@ def choose_terms(examples: DataFrame, limit: int = MAX_TERMS, least: float = LEA
 
 def with_counts(docs: DataFrame, terms: list[str], text_col: str = "text", out: str = "term_counts") -> DataFrame:
     """``docs`` with array<struct<term: int, n: int>>: how often each chosen term occurs in the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})  # at most MAX_TERMS
+    shared = share(docs.sparkSession, {t: i for i, t in enumerate(terms)})  # at most MAX_TERMS
 
     def setup():
-        at, known = shared.value, {}
+        at, known = shared(), {}
 
         def hits_of(token: str) -> tuple[int, ...]:
             hits = tuple(at[x] for x in terms_of(token) if x in at)
@@ -208,10 +208,10 @@ def build_index(counted: DataFrame, sample: DataFrame, n_terms: int) -> BlockMax
 
 def scored(counted: DataFrame, index: BlockMaxIndex, k: int = NEIGHBOURS, out: str = "toxicity") -> DataFrame:
     """``counted`` with a struct column ``out``: score, evidence (id, cosine and label of the neighbours)."""
-    shared = counted.sparkSession.sparkContext.broadcast(index)  # at most MAX_EXAMPLES vectors
+    shared = share(counted.sparkSession, index)  # at most MAX_EXAMPLES vectors
 
     def setup():
-        own, known = shared.value, {}
+        own, known = shared(), {}
 
         def score_of(counts) -> dict:
             key = tuple((x["term"], x["n"]) for x in counts or [])
