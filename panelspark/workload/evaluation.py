@@ -289,7 +289,7 @@ SOURCED = {
 
 
 @query("baseline_ic_sources", oracle(
-    """SELECT * FROM (SELECT source, scope, baseline, count(*) AS rows, corr(x, y) AS pooled_ic FROM rows_in GROUP BY 1, 2, 3) JOIN
+    """SELECT * FROM (SELECT source, scope, baseline, count(*) AS rows, corr(x, y) AS pooled_ic FROM rows_in GROUP BY 1, 2, 3) LEFT JOIN
     (SELECT source, scope, baseline, avg(ic) AS daily_ic_mean, stddev_pop(ic) AS daily_ic_std, count(ic) AS daily_count, avg((ic > 0)::INT) AS daily_positive_ratio
     FROM dd GROUP BY 1, 2, 3) USING (source, scope, baseline)""",
     "pooled_ic daily_ic_mean daily_ic_std daily_positive_ratio", **SOURCED))
