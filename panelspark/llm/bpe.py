@@ -32,7 +32,6 @@ Defined results:
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import re
 
@@ -208,17 +207,6 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def codec(table: bytes, pattern: str) -> Codec:
-    """The codec of this process for a rank table; one is kept for each table and pattern."""
-    key = hashlib.sha256(table + pattern.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS[key] = Codec(table, pattern)
-    return _CODECS[key]
-
-
 class Bpe:
     """Column functions for one vocabulary: ``Bpe(spark, path, pattern).encode(col)``.
 
@@ -235,7 +223,7 @@ class Bpe:
         shared, pattern = self._table, self._pattern
 
         def setup():
-            own = codec(shared(), pattern)
+            own = Codec(shared(), pattern)  # a task's own, freed with it
             return lambda values: [function(own, v) for v in values]
 
         return list_udf(setup, kind, returns)

@@ -55,6 +55,7 @@ def list_udf(setup, kind, returns: str):
         for batch in batches:
             parts = [pa.array(own(batch.slice(i, SLICE).to_pylist()), kind) for i in range(0, len(batch), SLICE)]
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+        del own  # what the task kept must not outlive it in a worker that is used again
 
     # arrow_udf reads its form from type hints.
     batches_of.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -168,23 +168,36 @@ def _pairs_by_pivot(shared: DataFrame) -> DataFrame:
         F.least("v", "pv").alias("x"), F.greatest("v", "pv").alias("y")).distinct()
 
 
-def _pairs_across(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(x, y) of entries of one posting list in different components."""
+def _equal(a: str, b: str):
+    """Which coordinates of two signatures agree."""
+    return F.zip_with(a, b, lambda x, y: x == y)
+
+
+def _pairs_across(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y) of entries of one posting list in different components that agree in ``MATCHES`` coordinates.
+
+    A pair is taken from the list of the first coordinate it agrees in and
+    skipped in all others, so it comes out once.
+    """
     entries = shared.join(labels.withColumnRenamed("node", "v"), "v", "left").select(
-        "token", "v", "n", F.coalesce("component", "v").alias("c"))
+        "token", "at", "v", "n", F.coalesce("component", "v").alias("c"))
     largest = entries.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(
         F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("top")).where("parts > 1")
-    open_lists = stored(entries.join(largest.select("token", F.col("top.c").alias("top")), "token"))
-    minor = open_lists.where("c <> top").select("token", F.col("v").alias("av"), F.col("n").alias("an"), F.col("c").alias("ac"))
-    return minor.join(open_lists, "token").where(
-        (F.col("ac") != F.col("c")) & _close_sizes("an", "n") & ((F.col("c") == F.col("top")) | (F.col("av") < F.col("v")))
-    ).select(F.least("av", "v").alias("x"), F.greatest("av", "v").alias("y")).distinct()
+    open_lists = entries.join(largest.select("token", F.col("top.c").alias("top")), "token")
+    open_lists = stored(open_lists.join(sets.select("v", F.col("coordinates").alias("s")), "v"))
+    minor = open_lists.where("c <> top").select("token", *[F.col(c).alias(f"a{c}") for c in ("v", "n", "c", "s")])
+    equal = _equal("as", "s")
+    met = (F.col("ac") != F.col("c")) & ((F.col("c") == F.col("top")) | (F.col("av") < F.col("v"))) & _close_sizes("an", "n")
+    first = F.array_position(equal, True) == F.col("at") + 1
+    enough = F.size(F.filter(equal, lambda e: e)) >= MATCHES
+    return minor.join(open_lists.withColumnRenamed("token", "_token"), (F.col("token") == F.col("_token")) & met & first & enough).select(
+        F.least("av", "v").alias("x"), F.greatest("av", "v").alias("y")).distinct()
 
 
 def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs that agree in at least ``MATCHES`` coordinates."""
     side = lambda c: sets.select(F.col("v").alias(c), F.col("coordinates").alias(f"s{c}"))
-    equal = F.aggregate(F.zip_with("sx", "sy", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, e: n + e)
+    equal = F.size(F.filter(_equal("sx", "sy"), lambda e: e))
     return pairs.join(side("x"), "x").join(side("y"), "y").where(equal >= MATCHES).select("x", "y")
 
 
@@ -216,7 +229,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("coordinates").alias("coordinates")
     ).where("v is not null"))
     prefix = COORDINATES - MATCHES + 1
-    posts = sets.select("v", "n", F.explode(F.slice("coordinates", 1, prefix)).alias("token"))
+    posts = sets.select("v", "n", F.posexplode(F.slice("coordinates", 1, prefix)).alias("at", "token"))
     lists = posts.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     shared = stored(posts.join(lists, "token"))
     first = stored(_matching(_pairs_by_pivot(shared), sets))
@@ -225,7 +238,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     full = stored(shingle_sets(docs, wanted, id_col, text_col))
     links = stored(_confirmed(first, full))
     labels = components(links)
-    second = stored(_matching(_pairs_across(shared, labels).join(first, ["x", "y"], "left_anti"), sets))
+    second = stored(_pairs_across(shared, labels, sets).join(first, ["x", "y"], "left_anti"))
     if second.limit(1).count():
         links = links.union(_confirmed(second, full))
         labels = components(links)

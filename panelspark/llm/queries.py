@@ -161,10 +161,13 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_dedup")
 def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that strings of 400 bytes repeat, and a digest of what is left."""
-    found = suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+    rows, cuts = suffix_dedup.cut_texts(table(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-                        F.coalesce(F.sha2("kept", 256), F.col("text_sha256")).alias("kept_sha256"))
+    losses = cuts.select("key", gone.alias("gone"), F.size("spans").cast("long").alias("parts"), F.sha2("kept", 256).alias("sha"))
+    none = F.lit(0).cast("long")
+    return rows.join(losses, "key", "left").select(
+        "doc_id", "n_bytes", F.coalesce("gone", none).alias("n_removed"), F.coalesce("parts", none).alias("n_spans"),
+        F.coalesce("sha", "text_sha256").alias("kept_sha256"))
 
 
 @query("op10_exact_dedup", """

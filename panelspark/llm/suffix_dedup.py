@@ -18,10 +18,12 @@ around that share nothing:
    (``suffix_sort``); the longest match of a suffix with its neighbours is
    the longest string from there that occurs in another context, so matches
    of LENGTH bytes or more are exactly the repeated stretches.
-4. Anchors with more than ``LARGE`` different contexts (a passage a third of
-   all documents share has as many at its edges) are not one group: their
-   contexts send a hash of each LENGTH bytes that hold the anchor, equal
-   hashes are counted, and stretches follow from those that repeat.
+4. Anchors with more than ``LARGE`` different contexts (a passage that many
+   documents share has as many at its edges) would make long symbol texts: of
+   their contexts each LENGTH bytes that hold the anchor are hashed, and
+   stretches follow from the hashes that repeat. Up to ``HUGE`` contexts this
+   is done for the anchor at once; beyond that the hashes themselves are
+   exchanged and counted, so that no anchor is ever too large for a task.
 
 Spans are united per text, and equal texts share one result.
 
@@ -47,7 +49,8 @@ from .suffix_sort import neighbour_matches, suffix_array
 
 LENGTH = 400
 GRAM = 128
-LARGE = 200
+LARGE = 24
+HUGE = 8192
 SEGMENT = 1 << 20
 ANCHORS = "array<struct<h bigint, c bigint, pos bigint>>"
 
@@ -201,6 +204,35 @@ def repeated_in_group(contexts: list[tuple[int, bytes]], length: int = LENGTH) -
     return [united(spans) for spans in found]
 
 
+def repeated_in_large_group(contexts: list[tuple[int, bytes]], length: int = LENGTH, gram: int = GRAM) -> list[list[tuple[int, int]]]:
+    """As :func:`repeated_in_group` for stretches that hold the anchor's gram, by hashes of all strings of ``length``."""
+    import numpy as np
+
+    reach = length - gram
+    random = np.random.default_rng(20240609)
+    letters = random.integers(0, 1 << 64, 257, dtype=np.uint64)
+    powers = np.cumprod(np.full(reach + length, random.integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)), dtype=np.uint64)
+    table = np.full((len(contexts), reach + length), 256, np.uint16)  # aligned at the anchor, 256 outside the context
+    for row, (lead, context) in zip(table, contexts, strict=True):
+        row[reach - lead:reach - lead + len(context)] = np.frombuffer(context, np.uint8)
+    sums = np.zeros((len(contexts), reach + length + 1), np.uint64)
+    np.cumsum(letters[table] * powers, 1, out=sums[:, 1:])
+    lead = np.array([x for x, _ in contexts])
+    tail = np.array([len(c) - x for x, c in contexts])
+    found: list[list[tuple[int, int]]] = [[] for _ in contexts]
+    for low in range(-reach, 1):
+        rows = np.flatnonzero((lead >= -low) & (tail >= low + length))
+        hashes = sums[rows, reach + low + length] - sums[rows, reach + low]
+        _, names, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        for k in rows[counts[names] > 1].tolist():
+            own = found[k]
+            if own and low <= own[-1][1]:
+                own[-1] = (own[-1][0], low + length)
+            else:
+                own.append((low, low + length))
+    return found
+
+
 def _group_batches(batches):
     """Rows (h, c, lead, context) in the order of h to (h, c, stretches); a group may span batches."""
     import pyarrow as pa
@@ -210,7 +242,8 @@ def _group_batches(batches):
     out: list[dict] = []
 
     def close(key, group):
-        for (c, _, _), spans in zip(group, repeated_in_group([(lead, x) for _, lead, x in group]), strict=True):
+        repeated = repeated_in_group if len(group) <= LARGE else repeated_in_large_group
+        for (c, _, _), spans in zip(group, repeated([(lead, x) for _, lead, x in group]), strict=True):
             if spans:
                 out.append({"h": key, "c": c, "spans": [{"low": a, "high": b} for a, b in spans]})
 
@@ -254,12 +287,12 @@ def _window_batches(batches):
 SPANS = "h bigint, c bigint, spans array<struct<low bigint, high bigint>>"
 
 
-def _stretches(contexts: DataFrame, large: DataFrame) -> DataFrame:
+def _stretches(contexts: DataFrame, huge: DataFrame) -> DataFrame:
     """(h, c, spans) of the contexts that share LENGTH bytes or more with another context of their anchor."""
     n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = contexts.join(large, "h", "left_anti").repartition(n, "h").sortWithinPartitions("h")
+    small = contexts.join(huge, "h", "left_anti").repartition(n, "h").sortWithinPartitions("h")
     sorted_groups = small.select("h", "c", "lead", "context").mapInArrow(_group_batches, SPANS)
-    wide = contexts.join(large, "h", "left_semi").select("h", "c", "lead", "context")
+    wide = contexts.join(huge, "h", "left_semi").select("h", "c", "lead", "context")
     windows = stored(wide.mapInArrow(_window_batches, "h bigint, c bigint, low int, w bigint"))
     again = windows.groupBy("h", "low", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "low", "w")
     low = F.col("low").cast("long")
@@ -300,6 +333,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``kept`` holds the bytes that are left where something was removed; it is
     null where the text stays as it is.
     """
+    rows, cuts = cut_texts(docs, id_col, text_col)
+    return rows.join(cuts, "key", "left").select(
+        "doc_id", "n_bytes", "text_sha256", F.coalesce("spans", F.array().cast(CUT)).alias("spans"), "kept")
+
+
+CUT = "array<struct<start bigint, end bigint>>"
+
+
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(documents, texts): key, doc_id, n_bytes, text_sha256 of every document, and key, spans, kept of each
+    text that loses something, once for all its copies."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
     import pyarrow as pa
@@ -310,9 +354,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     signed = stored(base.select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("text_sha256"),
         F.unhex(F.substring(sha, 1, 32)).alias("key"), find("text").alias("anchors")))
-    rows = signed.select("doc_id", "n_bytes", "text_sha256", "key")
+    rows = signed.select("key", "doc_id", "n_bytes", "text_sha256")
     long_rows = signed.where(F.col("n_bytes") >= LENGTH)
-    copies = stored(long_rows.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").select("key"))
+    copies = stored(long_rows.groupBy("key").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")).where(
+        "copies > 1").select("key", "n_bytes"))
 
     places = long_rows.select("key", "n_bytes", F.explode("anchors").alias("a")).select("key", "n_bytes", "a.h", "a.c", "a.pos")
     often = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -320,7 +365,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     contexts = met.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("key", "pos")).alias("at"))
     per_anchor = contexts.groupBy("h").agg(F.count("*").alias("parts"))
     contexts = stored(contexts.join(per_anchor, "h").select("h", "c", "m", "parts", "at.key", "at.pos"))
-    large = stored(contexts.where(F.col("parts") > LARGE).select("h").distinct())
+    huge = stored(contexts.where(F.col("parts") > HUGE).select("h").distinct())
 
     # Texts that share an anchor with another place, once each, for contexts and for the cut.
     own_key = text_key(F.col("text"))
@@ -333,9 +378,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = contexts.where("parts > 1").groupBy("key").agg(F.collect_list(F.struct("h", "c", "pos")).alias("wanted"))
     fetched = stored(once.join(wanted, "key").select("text", "wanted").mapInArrow(
         _context_batches, "h bigint, c bigint, lead int, context binary"))
-    stretches = _stretches(fetched, large)
+    stretches = _stretches(fetched, huge)
 
-    met = met.join(copies, "key", "left_anti")
+    met = met.join(copies.select("key"), "key", "left_anti")
     lead, tail = F.least("pos", F.lit(LENGTH - GRAM)), F.least(F.col("n_bytes") - F.col("pos"), F.lit(LENGTH))
     whole = met.join(contexts.where("m > 1").select("h", "c"), ["h", "c"]).where(lead + tail >= LENGTH).select(
         "key", (F.col("pos") - lead).alias("start"), (F.col("pos") + tail).alias("end"))
@@ -345,11 +390,5 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.collect_set(F.struct("start", "end")).alias("spans"))
     cut = texts.where("alone").join(spans, "key").select("key", "text", "spans").mapInArrow(
         _cut_batches, "key binary, spans array<struct<start bigint, end bigint>>, kept binary")
-    all_gone = copies.withColumn("copied", F.lit(True))
-    joined = rows.join(cut, "key", "left").join(all_gone, "key", "left")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    none = F.array().cast("array<struct<start bigint, end bigint>>")
-    return joined.select(
-        "doc_id", "n_bytes", "text_sha256",
-        F.when(F.col("copied"), everything).otherwise(F.coalesce("spans", none)).alias("spans"),
-        F.when(F.col("copied"), F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept"))
+    return rows, cut.union(copies.select("key", everything.alias("spans"), F.lit("").cast("binary").alias("kept")))

@@ -2,9 +2,10 @@
 
 Terms are lower-cased words and the 4- and 5-letter pieces of words (with word
 ends), so that forms of a word are near each other. Those whose presence goes
-with the label in the sample (chi-square of the two-by-two table, and a rate of
-at least ``LEAST_LIFT`` times the sample's) span the space; a text without any
-of them is a neighbour of the examples without any. Document frequencies
+with the label in the sample span the space: a rate of at least ``LEAST_LIFT``
+times the sample's, and a likelihood ratio of at least ``LEAST_EVIDENCE`` in
+logarithms. A text without any of them is a neighbour of the examples without
+any. Document frequencies
 cover all documents. Examples are kept in blocks; an inverted index holds the
 postings of each term by block, with the largest weight in the block. A query
 adds these maxima to an upper bound for each block, visits blocks from the
@@ -37,12 +38,11 @@ from .labelled import sample_texts
 
 MAX_EXAMPLES = 8192
 MAX_TERMS = 4096
-LEAST_CHI2 = 20.0
+LEAST_EVIDENCE = 8.0
 LEAST_LIFT = 3.0
 PIECES = (4, 5)
 KEPT_TOKENS = 100_000
 LONGEST_KEPT = 64
-LEAST_DOCS = 3
 NEIGHBOURS = 15
 PRIOR = 1.0
 BLOCK = 64
@@ -89,7 +89,7 @@ def _term_counts(batches):
     yield flushed()
 
 
-def choose_terms(examples: DataFrame, limit: int = MAX_TERMS, least: float = LEAST_CHI2,
+def choose_terms(examples: DataFrame, limit: int = MAX_TERMS, least: float = LEAST_EVIDENCE,
                  lift: float = LEAST_LIFT) -> list[str]:
     """Terms of a bounded table (doc_id, label, text) whose presence goes with the label, strongest first."""
     sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
@@ -98,14 +98,11 @@ def choose_terms(examples: DataFrame, limit: int = MAX_TERMS, least: float = LEA
         return []
     seen = examples.select("label", "text").mapInArrow(_term_counts, "term string, a bigint, m bigint").groupBy("term").agg(
         F.sum("a").cast("double").alias("a"), F.sum("m").cast("double").alias("m"))
-    b = F.col("m") - F.col("a")
-    n = float(n1 + n0)
-    cross = F.col("a") * (n0 - b) - b * (n1 - F.col("a"))
-    spread = F.col("m") * (n - F.col("m")) * float(n1) * float(n0)
-    chi2 = F.when(spread > 0, n * cross * cross / spread).otherwise(0.0)
-    kept = seen.withColumn("chi2", chi2).where((F.col("m") >= LEAST_DOCS) & (F.col("chi2") >= least)
-                                               & (F.col("a") * n >= F.col("m") * lift * n1))
-    return [r["term"] for r in kept.orderBy(F.desc("chi2"), "term").limit(limit).collect()]
+    rate, own, rest = n1 / (n1 + n0), F.col("a") / F.col("m"), F.col("m") - F.col("a")
+    # Log likelihood of the term's labels at its own rate against the sample's rate.
+    evidence = F.col("a") * F.log(own / rate) + F.when(rest > 0, rest * F.log((1 - own) / (1 - rate))).otherwise(0.0)
+    kept = seen.where(own >= lift * rate).withColumn("evidence", evidence).where(F.col("evidence") >= least)
+    return [r["term"] for r in kept.orderBy(F.desc("evidence"), "term").limit(limit).collect()]
 
 
 def with_counts(docs: DataFrame, terms: list[str], text_col: str = "text", out: str = "term_counts") -> DataFrame:

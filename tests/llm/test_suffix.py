@@ -64,9 +64,10 @@ def texts(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,large", [(1, 200), (2, 3)])
-def test_repeats_against_brute_force(spark, monkeypatch, seed, large):
+@pytest.mark.parametrize("seed,large,huge", [(1, 200, 8192), (2, 3, 8192), (3, 3, 5)])
+def test_repeats_against_brute_force(spark, monkeypatch, seed, large, huge):
     monkeypatch.setattr(suffix_dedup, "LARGE", large)
+    monkeypatch.setattr(suffix_dedup, "HUGE", huge)
     check(spark, texts(seed))
 
 
