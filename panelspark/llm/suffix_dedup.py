@@ -384,7 +384,9 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     lead, tail = F.least("pos", F.lit(LENGTH - GRAM)), F.least(F.col("n_bytes") - F.col("pos"), F.lit(LENGTH))
     whole = met.join(contexts.where("m > 1").select("h", "c"), ["h", "c"]).where(lead + tail >= LENGTH).select(
         "key", (F.col("pos") - lead).alias("start"), (F.col("pos") + tail).alias("end"))
-    part = met.join(stretches, ["h", "c"]).select("key", "pos", F.explode("spans").alias("s")).select(
+    # A context with one place: others are whole already, however many places they have.
+    single = contexts.where("m = 1").select("h", "c", "key", "pos")
+    part = single.join(stretches, ["h", "c"]).select("key", "pos", F.explode("spans").alias("s")).select(
         "key", (F.col("pos") + F.col("s.low")).alias("start"), (F.col("pos") + F.col("s.high")).alias("end"))
     spans = whole.union(part).groupBy("key").agg(
         F.collect_set(F.struct("start", "end")).alias("spans"))
