@@ -1,15 +1,18 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
-A document is the set of its distinct 5-word shingles. Its signature has
-``COORDINATES`` values, each mixed from ``MINIMA`` independent minima over the
-set, so two sets of Jaccard similarity J agree in a coordinate with
+A document is the set of its distinct 5-word shingles; two are near copies at
+a Jaccard similarity of ``percent`` or more (85 unless stated). Its signature
+has a number of coordinates, each mixed from ``MINIMA`` independent minima over
+the set, so two sets of Jaccard similarity J agree in a coordinate with
 probability J**MINIMA; a passage that makes up a share s of two documents
 makes a coordinate collide with about s**MINIMA only.
 
 Sets are posted under each coordinate-value pair. To be kept, a pair must
-agree in at least ``MATCHES`` coordinates, so it meets in the first
-``COORDINATES - MATCHES + 1`` of them and only that prefix is posted (at the
-threshold a pair is missed with a probability of about 4e-7). Posting lists
+agree in at least ``MATCHES`` coordinates, so it meets in all but the last
+``MATCHES - 1`` of them and only that prefix is posted. The number of
+coordinates follows from the threshold: the least with which a pair at the
+threshold is missed with a probability of at most ``MISSED`` (32 coordinates
+for 85 percent, 44 for 80). Posting lists
 are merged by skipping rather than by listing their pairs:
 
 1. equal sets are one entry from the start, lists with one entry are dropped;
@@ -41,6 +44,7 @@ Shingles are compared as 64-bit hashes of five 64-bit word hashes.
 from __future__ import annotations
 
 import hashlib
+from math import comb
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -49,15 +53,28 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 85
-COORDINATES = 32
 MINIMA = 4
 MATCHES = 4
+MISSED = 4.5e-7
 PIVOT_SALTS = (1, 2)
 KEPT_WORDS = 200_000
 LONGEST_KEPT = 64
 CHUNK = 4096
 
 
+def coordinates_for(percent: int) -> int:
+    """The least number of coordinates, in fours, that misses a pair at the threshold with at most ``MISSED``."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be above 0 and at most 100, not {percent}")
+    agree, count = (percent / 100) ** MINIMA, MATCHES
+    while sum(comb(count, k) * agree**k * (1 - agree) ** (count - k) for k in range(MATCHES)) > MISSED:
+        count += 4
+    return count
+
+
+COORDINATES = coordinates_for(PERCENT)
+
+
 class Shingler:
     """Shingle sets and signatures of texts; keeps the hashes of words it has met."""
 
@@ -118,8 +135,8 @@ class Shingler:
         return self.mixed((low.reshape(self.coordinates, self.minima) * self.fold).sum(1, dtype=np.uint64) ^ self.base)
 
 
-def _sign():
-    own = Shingler()
+def _sign(coordinates: int):
+    own = Shingler(coordinates)
 
     def sign(text: str | None) -> dict:
         found = own.shingles(text)
@@ -140,21 +157,21 @@ def _sets():
     return lambda texts: [full(t) for t in texts]
 
 
-def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES) -> DataFrame:
     """doc_id, n, set_id, coordinates of every document."""
     import pyarrow as pa
 
     kind = pa.struct([("n", pa.int64()), ("set_id", pa.binary()), ("coordinates", pa.list_(pa.int64()))])
-    udf = list_udf(_sign, kind, "n bigint, set_id binary, coordinates array<bigint>")
+    udf = list_udf(lambda: _sign(coordinates), kind, "n bigint, set_id binary, coordinates array<bigint>")
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), udf(F.col(f"`{text_col}`")).alias("s")).select("doc_id", "s.*")
 
 
-def _close_sizes(a: str, b: str):
+def _close_sizes(a: str, b: str, percent: int):
     """The length bound: the smaller set has at least the threshold's share of the larger."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _pairs_by_pivot(shared: DataFrame) -> DataFrame:
+def _pairs_by_pivot(shared: DataFrame, percent: int) -> DataFrame:
     """(x, y) of every entry of a posting list with the list's pivots."""
     entry = F.struct("v", "n")
     pivots = shared.groupBy("token").agg(
@@ -164,7 +181,7 @@ def _pairs_by_pivot(shared: DataFrame) -> DataFrame:
         "p0", *[F.col(f"p{s}.e") for s in PIVOT_SALTS])).alias("pivots")))
     met = shared.join(pivots, "token").select("v", "n", F.explode("pivots").alias("p"))
     met = met.select("v", "n", F.col("p.v").alias("pv"), F.col("p.n").alias("pn"))
-    return met.where((F.col("v") != F.col("pv")) & _close_sizes("n", "pn")).select(
+    return met.where((F.col("v") != F.col("pv")) & _close_sizes("n", "pn", percent)).select(
         F.least("v", "pv").alias("x"), F.greatest("v", "pv").alias("y")).distinct()
 
 
@@ -173,7 +190,7 @@ def _equal(a: str, b: str):
     return F.zip_with(a, b, lambda x, y: x == y)
 
 
-def _pairs_across(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _pairs_across(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(x, y) of entries of one posting list in different components that agree in ``MATCHES`` coordinates.
 
     A pair is taken from the list of the first coordinate it agrees in and
@@ -187,7 +204,8 @@ def _pairs_across(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
     open_lists = stored(open_lists.join(sets.select("v", F.col("coordinates").alias("s")), "v"))
     minor = open_lists.where("c <> top").select("token", *[F.col(c).alias(f"a{c}") for c in ("v", "n", "c", "s")])
     equal = _equal("as", "s")
-    met = (F.col("ac") != F.col("c")) & ((F.col("c") == F.col("top")) | (F.col("av") < F.col("v"))) & _close_sizes("an", "n")
+    apart = (F.col("ac") != F.col("c")) & ((F.col("c") == F.col("top")) | (F.col("av") < F.col("v")))
+    met = apart & _close_sizes("an", "n", percent)
     first = F.array_position(equal, True) == F.col("at") + 1
     enough = F.size(F.filter(equal, lambda e: e)) >= MATCHES
     return minor.join(open_lists.withColumnRenamed("token", "_token"), (F.col("token") == F.col("_token")) & met & first & enough).select(
@@ -213,34 +231,35 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
         F.first("s.shingles").alias("shingles")).select("v", "shingles")
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
     side = lambda c: full.select(F.col("v").alias(c), F.col("shingles").alias(f"s{c}"))
     joined = pairs.join(side("y"), "y").join(side("x"), "x").withColumn(
         "common", F.size(F.array_intersect("sx", "sy")).cast("long"))
     union = F.size("sx") + F.size("sy") - F.col("common")
-    return joined.where(F.col("common") * 100 >= union * PERCENT).select("x", "y").distinct()
+    return joined.where(F.col("common") * 100 >= union * percent).select("x", "y").distinct()
 
 
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    rows = stored(signed(docs, id_col, text_col))
+    coordinates = coordinates_for(percent)
+    rows = stored(signed(docs, id_col, text_col, coordinates))
     sets = stored(rows.where("n > 0").groupBy("set_id").agg(
         F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("coordinates").alias("coordinates")
     ).where("v is not null"))
-    prefix = COORDINATES - MATCHES + 1
+    prefix = coordinates - MATCHES + 1
     posts = sets.select("v", "n", F.posexplode(F.slice("coordinates", 1, prefix)).alias("at", "token"))
     lists = posts.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     shared = stored(posts.join(lists, "token"))
-    first = stored(_matching(_pairs_by_pivot(shared), sets))
+    first = stored(_matching(_pairs_by_pivot(shared, percent), sets))
     # Full sets of the documents that share a coordinate with another: one pass over their texts for both merges.
     wanted = sets.select("v", "set_id").join(shared.select("v").distinct(), "v")
     full = stored(shingle_sets(docs, wanted, id_col, text_col))
-    links = stored(_confirmed(first, full))
+    links = stored(_confirmed(first, full, percent))
     labels = components(links)
-    second = stored(_pairs_across(shared, labels, sets).join(first, ["x", "y"], "left_anti"))
+    second = stored(_pairs_across(shared, labels, sets, percent).join(first, ["x", "y"], "left_anti"))
     if second.limit(1).count():
-        links = links.union(_confirmed(second, full))
+        links = links.union(_confirmed(second, full, percent))
         labels = components(links)
     named = stored(sets.join(labels, F.col("v") == F.col("node"), "left").select(
         "set_id", F.coalesce("component", "v").alias("component")))
@@ -250,8 +269,8 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                         F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with all their columns."""
-    gone = cluster(docs, id_col, text_col).where("not kept and doc_id is not null").select(
+    gone = cluster(docs, id_col, text_col, percent).where("not kept and doc_id is not null").select(
         F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")

@@ -145,3 +145,31 @@ def test_lines_on_awkward_rows(spark):
     paragraphs = documents(spark, [(1, "a b c d e\nf\n\nx", "en", "s"), (2, "A  b c d E\nF\n\ny", "en", "s")])
     assert {r["doc_id"]: r["text"] for r in rows_of(line_dedup.dedup(paragraphs, "paragraph"))} == {1: "a b c d e\nf\n\nx", 2: "y"}
     assert rows_of(line_dedup.dedup(nothing(spark))) == []
+
+
+def test_threshold_reaches_bounds_and_exact_check(spark):
+    """Pairs of similarity 0.80 to 0.85, and the components of whole families, at 80 percent."""
+    assert near_dedup.coordinates_for(85) == 32 and near_dedup.coordinates_for(80) == 44
+    base = [f"w{i}" for i in range(94)]  # 90 shingles
+    pair = [(1, " ".join(base)), (2, " ".join([*base[:92 - 10], *[f"x{i}" for i in range(12)]])), (3, " ".join(base[:94 - 16]))]
+    rows = pair + [(10 + i, t) for i, t in families(3)]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows])
+    sets = {i: shingles(t) for i, t in rows}
+    joined, parent = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]), {i: i for i in sets}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and joined(a, b):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert find(3) == 1 and 100 * len(sets[1] & sets[3]) < 85 * len(sets[1] | sets[3])
+    found = {r["doc_id"]: r["component_id"] for r in rows_of(near_dedup.cluster(docs, percent=80))}
+    assert found == {i: find(i) for i in sets}
+    left = [r["doc_id"] for r in near_dedup.drop_near(docs, percent=80).collect()]
+    assert sorted(left) == sorted(i for i in sets if find(i) == i)
+    assert 3 in {r["doc_id"] for r in near_dedup.drop_near(docs).collect()}
