@@ -2,8 +2,9 @@
 
 Terms are lower-cased words and the 4- and 5-letter pieces of words (with word
 ends), so that forms of a word are near each other. Those whose presence goes
-with the label in the sample span the space: a rate of at least ``LEAST_LIFT``
-times the sample's, and a likelihood ratio of at least ``LEAST_EVIDENCE`` in
+with either label in the sample span the space: odds of the label of at least
+``LEAST_ODDS`` times the sample's (odds have no ceiling, so this holds for any
+share of labels), and a likelihood ratio of at least ``LEAST_EVIDENCE`` in
 logarithms. A text without any of them is a neighbour of the examples without
 any. Document frequencies
 cover all documents. Examples are kept in blocks; an inverted index holds the
@@ -39,7 +40,7 @@ from .labelled import sample_texts
 MAX_EXAMPLES = 8192
 MAX_TERMS = 4096
 LEAST_EVIDENCE = 8.0
-LEAST_LIFT = 3.0
+LEAST_ODDS = 4.25
 PIECES = (4, 5)
 KEPT_TOKENS = 100_000
 LONGEST_KEPT = 64
@@ -90,8 +91,8 @@ def _term_counts(batches):
 
 
 def choose_terms(examples: DataFrame, limit: int = MAX_TERMS, least: float = LEAST_EVIDENCE,
-                 lift: float = LEAST_LIFT) -> list[str]:
-    """Terms of a bounded table (doc_id, label, text) whose presence goes with the label, strongest first."""
+                 odds: float = LEAST_ODDS) -> list[str]:
+    """Terms of a bounded table (doc_id, label, text) whose presence goes with either label, strongest first."""
     sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -100,8 +101,10 @@ def choose_terms(examples: DataFrame, limit: int = MAX_TERMS, least: float = LEA
         F.sum("a").cast("double").alias("a"), F.sum("m").cast("double").alias("m"))
     rate, own, rest = n1 / (n1 + n0), F.col("a") / F.col("m"), F.col("m") - F.col("a")
     # Log likelihood of the term's labels at its own rate against the sample's rate.
-    evidence = F.col("a") * F.log(own / rate) + F.when(rest > 0, rest * F.log((1 - own) / (1 - rate))).otherwise(0.0)
-    kept = seen.where(own >= lift * rate).withColumn("evidence", evidence).where(F.col("evidence") >= least)
+    evidence = F.when(F.col("a") > 0, F.col("a") * F.log(own / rate)).otherwise(0.0) + F.when(
+        rest > 0, rest * F.log((1 - own) / (1 - rate))).otherwise(0.0)
+    with_one, with_zero = F.col("a") * n0, rest * n1  # their ratio is that of the odds
+    kept = seen.where((with_one >= odds * with_zero) | (with_zero >= odds * with_one)).withColumn("evidence", evidence).where(F.col("evidence") >= least)
     return [r["term"] for r in kept.orderBy(F.desc("evidence"), "term").limit(limit).collect()]
 
 

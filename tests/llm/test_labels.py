@@ -153,3 +153,19 @@ def test_toxicity_on_awkward_rows(spark):
     none = labelled.sample_labels(labels.where("false"), F.col("toxic"), F.lit(True), 100, "t")
     assert {r["toxicity"]["score"] for r in rows_of(toxicity.classify(docs, none))} == {0.0}
     assert rows_of(toxicity.classify(nothing(spark), sample)) == []
+
+
+@pytest.mark.parametrize("share", [0.5, 0.8])
+def test_toxicity_with_balanced_and_mostly_toxic_labels(spark, share):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    plain, foul, kind = [word() for _ in range(400)], [word() for _ in range(3)], [word() for _ in range(3)]
+    rows = []
+    for i in range(300):
+        toxic = int(r.random() < share)
+        rows.append((i, " ".join(r.choices(plain, k=20) + r.choices(foul if toxic else kind, k=2)), toxic))
+    docs = documents(spark, [(i, t, "en", "s") for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i < 200], "doc_id bigint, toxic int")
+    sample = labelled.sample_labels(labels, F.col("toxic"), F.lit(True), 1000, "t")
+    score = {r["doc_id"]: r["toxicity"]["score"] for r in rows_of(toxicity.classify(docs, sample))}
+    assert all((score[i] >= toxicity.THRESHOLD) == bool(y) for i, _, y in rows if i >= 200)
