@@ -1,7 +1,8 @@
 """Language identification: spans of mixed text by a Viterbi path over word scores.
 
 Learning counts letter trigrams (with word ends) per language over a bounded
-sample of labelled rows. A word is scored under each language as the sum of
+sample of labelled rows; every trigram of the sample and every language counts.
+A word is scored under each language as the sum of
 its trigrams' log probabilities; the ranges its letters lie in (Latin, Greek,
 Cyrillic, ...) narrow the candidates to languages whose sample was written in
 that script. The best path through the words, paying ``SWITCH`` for each
@@ -37,13 +38,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import list_udf, share, slices, unit_hash
 
 DOCS_PER_LANGUAGE = 2000
-MAX_GRAMS = 200_000
-MAX_LANGUAGES = 1000
 SWITCH = 8.0
 SMOOTH = 0.1
 WRONG_SCRIPT = -12.0
 SCRIPT_SHARE = 0.005
 KEPT_WORDS = 200_000
+KEPT_CELLS = 4_000_000
 LONGEST_KEPT = 64
 UNKNOWN = "und"
 
@@ -76,10 +76,16 @@ def grams_of(letters: str) -> list[str]:
 
 
 class Model:
-    """Languages, their scripts, and a row of log probabilities for each trigram."""
+    """Languages, their scripts, and log probabilities of trigrams.
 
-    def __init__(self, languages, scripts, grams, table):
-        self.languages, self.scripts, self.grams, self.table = languages, scripts, grams, table
+    ``unseen`` has the log probability of a trigram that a language's sample
+    lacks. Entries ``first[g]`` to ``first[g + 1]`` of ``at`` and ``gain`` are
+    the languages that have trigram g and what it is worth above ``unseen``.
+    """
+
+    def __init__(self, languages, scripts, grams, unseen, first, at, gain):
+        self.languages, self.scripts, self.grams = languages, scripts, grams
+        self.unseen, self.first, self.at, self.gain = unseen, first, at, gain
 
 
 def training_rows(docs: DataFrame, is_training: Column, lang_col: str = "lang", per_language: int = DOCS_PER_LANGUAGE,
@@ -88,11 +94,9 @@ def training_rows(docs: DataFrame, is_training: Column, lang_col: str = "lang",
     labelled = docs.where(is_training & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
         F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"),
         unit_hash(F.lit("lang"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).alias("draw"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return labelled.select("lang", "text").limit(0)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
-    return labelled.where(F.col("draw") < F.element_at(share, F.col("lang"))).select("lang", "text")
+    rates = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("rate"))
+    # One row a language; texts stay in place.
+    return labelled.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where("draw < rate").select("lang", "text")
 
 
 def _count_batches(batches):
@@ -117,31 +121,30 @@ def _count_batches(batches):
             pa.schema([("lang", pa.string()), ("script", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))
 
 
-def fit(sample: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
+def fit(sample: DataFrame) -> Model:
     """Learn from a bounded table (lang, text); counting runs in Spark, the driver gets the counts."""
     import numpy as np
 
     counts = sample.select("lang", "text").mapInArrow(_count_batches, "lang string, script string, gram string, n long")
-    counts = counts.groupBy("lang", "script", "gram").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "lang", "script", "gram").limit(max_grams).collect()
-    languages = sorted({r["lang"] for r in rows})
+    rows = counts.groupBy("lang", "script", "gram").agg(F.sum("n").alias("n")).toArrow()
+    of_gram = np.array(rows["gram"].is_valid(), bool)
+    words = rows.filter(~of_gram).select(["lang", "script", "n"]).to_pylist()
+    languages = sorted({r["lang"] for r in words})
     at = {lang: i for i, lang in enumerate(languages)}
-    words = Counter()
-    for r in rows:
-        if r["script"]:
-            words[r["lang"]] += r["n"]
+    total = Counter()
+    for r in words:
+        total[r["lang"]] += r["n"]
     scripts: dict[str, list[bool]] = {}
-    for r in rows:
-        if r["script"] and r["n"] >= SCRIPT_SHARE * words[r["lang"]]:
+    for r in words:
+        if r["n"] >= SCRIPT_SHARE * total[r["lang"]]:
             scripts.setdefault(r["script"], [False] * len(languages))[at[r["lang"]]] = True
+    rows = rows.filter(of_gram).select(["gram", "lang", "n"]).sort_by([("gram", "ascending"), ("lang", "ascending")])
     grams: dict[str, int] = {}
-    found = [(grams.setdefault(r["gram"], len(grams)), at[r["lang"]], r["n"]) for r in rows if r["gram"]]
-    table = np.full((len(grams), len(languages)), SMOOTH)
-    for gram, lang, n in found:
-        table[gram, lang] += n
-    if len(grams):
-        table = np.log(table / table.sum(0))
-    return Model(languages, scripts, grams, table)
+    gram = np.array([grams.setdefault(g, len(grams)) for g in rows["gram"].to_pylist()], np.int64)
+    lang = np.array([at[x] for x in rows["lang"].to_pylist()], np.int32)
+    n = rows["n"].to_numpy().astype(float)
+    unseen = np.log(SMOOTH / np.maximum(np.bincount(lang, n, len(languages)) + SMOOTH * len(grams), SMOOTH))
+    return Model(languages, scripts, grams, unseen, np.searchsorted(gram, np.arange(len(grams) + 1)), lang, np.log(n / SMOOTH + 1))
 
 
 class Labeller:
@@ -152,6 +155,7 @@ class Labeller:
 
         self.np, self.model, self.switch = np, model, switch
         self.width = len(model.languages)
+        self.kept = min(KEPT_WORDS, KEPT_CELLS // (self.width + 2))
         self.neutral = np.zeros(self.width)
         self.masks = {s: np.where(ok, 0.0, WRONG_SCRIPT) for s, ok in model.scripts.items()}
         self.reset()
@@ -173,19 +177,22 @@ class Labeller:
             masks.append(self.neutral if mask is None else mask)
             ends.append(len(grams))
             sizes.append(len(letters))
-        totals = np.zeros((len(grams) + 1, self.width))
-        np.cumsum(self.model.table[grams], 0, out=totals[1:])
-        ends = np.array([0, *ends])
+        model, grams = self.model, np.array(grams, np.int64)
+        found = np.diff([0, *ends])  # known trigrams of each word
+        first, many = model.first[grams], model.first[grams + 1] - model.first[grams]
+        entries = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+        cells = np.repeat(np.repeat(np.arange(len(words)), found), many) * self.width + model.at[entries]
+        gains = np.bincount(cells, model.gain[entries], len(words) * self.width).reshape(len(words), self.width)
         rows = np.empty((len(words), self.width + 2))
-        rows[:, :-2] = totals[ends[1:]] - totals[ends[:-1]] + np.array(masks)
+        rows[:, :-2] = gains + found[:, None] * model.unseen + np.array(masks)
         rows[:, -2] = sizes
-        rows[:, -1] = (np.diff(ends) > 0) | np.array([bool(m.any()) for m in masks])
+        rows[:, -1] = (found > 0) | np.array([bool(m.any()) for m in masks])
         return rows
 
     def look_up(self, words: list[str]):
         """The rows of a text's words; those met before are kept."""
         np = self.np
-        if self.used > KEPT_WORDS:
+        if self.used > self.kept:
             self.reset()
         known = self.known
         places = [known.get(w) for w in words]
@@ -257,7 +264,7 @@ class Labeller:
 
 def labelled(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with a struct column ``out``: lang, score, spans."""
-    shared = share(docs.sparkSession, model)  # at most MAX_GRAMS rows
+    shared = share(docs.sparkSession, model)  # the trigrams of the bounded sample
 
     def setup():
         labeller = Labeller(shared())

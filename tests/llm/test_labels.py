@@ -169,3 +169,26 @@ def test_toxicity_with_balanced_and_mostly_toxic_labels(spark, share):
     sample = labelled.sample_labels(labels, F.col("toxic"), F.lit(True), 1000, "t")
     score = {r["doc_id"]: r["toxicity"]["score"] for r in rows_of(toxicity.classify(docs, sample))}
     assert all((score[i] >= toxicity.THRESHOLD) == bool(y) for i, _, y in rows if i >= 200)
+
+
+def test_no_language_is_starved_by_others(spark):
+    """More trigrams than a model once held, and two languages with one short row each, one in a script of its own."""
+    han = "".join(chr(c) for c in range(0x4E00, 0x9F00))
+    r = random.Random(12)
+    rows = [(i, " ".join("".join(r.choices(han, k=100)) for _ in range(30)), "zh", "s") for i in range(70)] * 2
+    rows += [(500, "ilunabarrean etxera", "eu", "s"), (501, "სახლი ხე", "ka", "s")]
+    model = langid.fit(langid.training_rows(documents(spark, rows), F.lit(True)))
+    assert len(model.grams) > 200_000
+    own = langid.Labeller(model)
+    found = [own.label(t) for t in ("etxera ilunabarrean", "ხე სახლი")]
+    assert [(x["lang"], x["score"]) for x in found] == [("eu", 1.0), ("ka", 1.0)]
+
+
+def test_every_labelled_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[i // 26**k % 26] * 3 for k in range(3))
+    rows = [(i, word(i), f"l{i:04}", "s") for i in range(1100)]
+    model = langid.fit(langid.training_rows(documents(spark, rows), F.lit(True)))
+    assert model.languages == [f"l{i:04}" for i in range(1100)]
+    own = langid.Labeller(model)
+    assert [own.label(word(i))["lang"] for i in (0, 555, 1099)] == ["l0000", "l0555", "l1099"]
