@@ -19,6 +19,11 @@ A bucket with more than ``BLOCK`` entries is split into blocks that are
 searched side by side, and buckets travel in bundles of about ``BUNDLE``
 entries; a bundle returns at most k + 1 candidates for a query.
 
+The number of probes is one figure for all queries, so the buckets of an
+isolated vector may hold fewer than k others. Queries that end with fewer
+neighbours than there are other ids (k at most) are searched again, exactly,
+against all vectors in blocks.
+
 Defined results:
 
 * vectors that are null, zero, hold null or non-finite components, or differ
@@ -227,6 +232,44 @@ def _search(dim: int, k: int):
     return search_bundle
 
 
+def _exact(k: int):
+    def search_block(members, queries):
+        """The k + 1 nearest ids of a block of (id, vec) for each query of a block."""
+        import numpy as np
+        import pandas as pd
+
+        if members.empty or queries.empty:
+            return pd.DataFrame({"quid": np.empty(0, np.int64), "id": np.empty(0, np.int64), "distance": np.empty(0)})
+        members, parts = members.sort_values("id"), []
+        ids, first = np.unique(members.id.to_numpy(), return_index=True)
+        vectors, asked, quids = np.stack(members.vec), np.stack(queries.qvec), queries.quid.to_numpy()
+        step = max(1, 4_000_000 // vectors.size)
+        for start in range(0, len(asked), step):
+            distance = np.sqrt(((asked[start:start + step, None, :] - vectors[None]) ** 2).sum(-1))
+            distance = np.minimum.reduceat(distance, first, axis=1)  # an id counts at its nearest vector
+            if len(ids) > k + 1:
+                row, col = np.nonzero(distance <= np.partition(distance, k, axis=1)[:, k:k + 1])
+            else:
+                row, col = np.indices(distance.shape).reshape(2, -1)
+            found = pd.DataFrame({"quid": quids[start + row], "id": ids[col], "distance": distance[row, col]})
+            parts.append(found.sort_values(["quid", "distance", "id"]).groupby("quid").head(k + 1))
+        return pd.concat(parts)
+
+    return search_block
+
+
+def _against_all(short: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """quid, id, distance: the k + 1 nearest ids in each block of all entries, for every short (quid, vec)."""
+    members = entries.select(F.explode("ids").alias("id"), "vec")
+    blocks, qblocks = max(1, -(-members.count() // BUNDLE)), max(1, -(-short.count() // BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("qblock", every(qblocks))
+    queries = short.select("quid", F.col("vec").alias("qvec"), F.pmod(F.xxhash64("quid"), F.lit(qblocks)).cast("int").alias(
+        "qblock")).withColumn("block", every(blocks))
+    return members.groupBy("block", "qblock").cogroup(queries.groupBy("block", "qblock")).applyInPandas(
+        _exact(k), "quid bigint, id bigint, distance double")
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, id, score: the k nearest other rows of every query row, by Euclidean distance."""
     spark = vectors.sparkSession
@@ -273,7 +316,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     best = found.groupBy("quid", "uid").agg(F.min("distance").alias("distance")).withColumn(
         "at", F.row_number().over(by_entry)).where(F.col("at") <= k + 1)
     near = best.join(entries.select("uid", "ids"), "uid").select("quid", "distance", F.explode("ids").alias("id"))
-    listed = asked.select("query_id", "quid").join(near, "quid").where("query_id <> id").groupBy("query_id", "id").agg(
-        F.min("distance").alias("score"))
+    asks = asked.select("query_id", "quid")
+    listed = stored(_listed(asks, near, k))
+    others = rows.select("id").distinct().limit(k + 1).count() - 1
+    enough = listed.where(F.col("rank") == others).select("query_id")
+    missing = stored(asked.join(enough, "query_id", "left_anti")) if others else asked.limit(0)
+    if missing.limit(1).count() == 0:
+        return listed
+    again = _against_all(missing.select("quid", "vec").dropDuplicates(["quid"]), entries, k)
+    return listed.join(enough, "query_id", "left_semi").union(_listed(missing.select("query_id", "quid"), again, k))
+
+
+def _listed(asks: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, id, score of the k nearest other ids from near (quid, id, distance)."""
+    listed = asks.join(near, "quid").where("query_id <> id").groupBy("query_id", "id").agg(F.min("distance").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "id"))
     return listed.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

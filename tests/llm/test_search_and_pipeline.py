@@ -103,3 +103,28 @@ def test_stages_on_awkward_rows(spark):
     for make in (awkward, nothing):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, make(spark), SF2).collect()
+
+
+def test_isolated_queries_have_their_neighbours(spark):
+    """Dense clusters reach the target with few probes; vectors far from them, and ids with many vectors, get k others too."""
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(8, 8)) * 50
+    rows = [(i, (centres[i % 8] + r.normal(size=8) * 0.01).tolist()) for i in range(1, 2400)]
+    far = {10_000 * (j + 1): (r.normal(size=8) * 400).tolist() for j in range(6)}
+    rows += list(far.items())
+    rows += [(50_001, [900.0 + x / 100] * 8) for x in range(1, 30)] + [(50_000, [900.0] * 8)]
+    rows = [(i, v) for i, v in rows if not (i == 50_000 and v != [900.0] * 8)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = {}
+    for x in rows_of(ann.search(table, F.col("vec_id") % 10_000 == 0)):
+        found.setdefault(x["query_id"], []).append((x["rank"], x["id"], x["score"]))
+    assert set(found) == {i for i, _ in rows if i % 10_000 == 0}
+    for q, mine in found.items():
+        own, nearest = np.array(dict(rows)[q]), {}
+        for i, v in rows:
+            if i != q:
+                d = float(np.sqrt(((np.array(v) - own) ** 2).sum()))
+                nearest[i] = min(d, nearest.get(i, d))
+        best = sorted((d, i) for i, d in nearest.items())[:10]
+        assert [k for k, _, _ in sorted(mine)] == list(range(1, 11))
+        assert [i for _, i, _ in sorted(mine)] == [i for _, i in best]
