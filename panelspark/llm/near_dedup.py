@@ -32,10 +32,12 @@ Defined results:
 * null and empty texts and texts without words have an empty set, are linked
   with nothing and stay;
 * fewer than five words are one shingle of the whole sequence;
-* rows with a null id belong to the component of their set without naming
-  it; without any id in the component it is null and they stay;
-* rows that repeat an id share its component, and so connect their texts;
-* ties need no rule: a component is named by its smallest id;
+* every row is judged with its own text, also where an id repeats: rows that
+  share nothing but an id are in components of their own, maybe of one name;
+* a component is named by its smallest id, null only if it has no other; the
+  row kept is the one with the smallest (id, digest of the text), nulls last;
+* rows that repeat id and text carry the same decision in :func:`cluster`;
+  :func:`drop_near` keeps one of them (all, if their set is empty);
 * only the id and text columns are read; an empty table gives an empty one.
 
 Shingles are compared as 64-bit hashes of five 64-bit word hashes.
@@ -150,20 +152,21 @@ def _sign(coordinates: int):
 def _sets():
     own = Shingler()
 
-    def full(text: str | None) -> dict:
-        found = own.shingles(text)
-        return {"set_id": own.set_id(found), "shingles": found.view("int64")}
+    return lambda texts: [own.shingles(t).view("int64") for t in texts]
+
 
-    return lambda texts: [full(t) for t in texts]
+def _digest(text_col: str):
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256))
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES) -> DataFrame:
-    """doc_id, n, set_id, coordinates of every document."""
+    """doc_id, sha, n, set_id, coordinates of every document."""
     import pyarrow as pa
 
     kind = pa.struct([("n", pa.int64()), ("set_id", pa.binary()), ("coordinates", pa.list_(pa.int64()))])
     udf = list_udf(lambda: _sign(coordinates), kind, "n bigint, set_id binary, coordinates array<bigint>")
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), udf(F.col(f"`{text_col}`")).alias("s")).select("doc_id", "s.*")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), _digest(text_col).alias("sha"), udf(F.col(f"`{text_col}`")).alias("s")
+                       ).select("doc_id", "sha", "s.*")
 
 
 def _close_sizes(a: str, b: str, percent: int):
@@ -220,15 +223,14 @@ def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """v, shingles of the wanted (v, set_id)."""
+    """v, shingles of the wanted (v, doc_id, sha); the text is found by id and digest."""
     import pyarrow as pa
 
-    kind = pa.struct([("set_id", pa.binary()), ("shingles", pa.list_(pa.int64()))])
-    udf = list_udf(_sets, kind, "set_id binary, shingles array<bigint>")
-    texts = docs.select(F.col(f"`{id_col}`").alias("v"), F.col(f"`{text_col}`").alias("text"))
-    found = texts.join(wanted.withColumnRenamed("set_id", "wanted_id"), "v").select("v", "wanted_id", udf("text").alias("s"))
-    return found.where(F.col("wanted_id") == F.col("s.set_id")).groupBy("v", "wanted_id").agg(
-        F.first("s.shingles").alias("shingles")).select("v", "shingles")
+    kind = pa.list_(pa.int64())
+    udf = list_udf(_sets, kind, "array<bigint>")
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), _digest(text_col).alias("_sha"), F.col(f"`{text_col}`").alias("text"))
+    found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_sha") == F.col("sha")))
+    return found.select("v", udf("text").alias("shingles")).groupBy("v").agg(F.first("shingles").alias("shingles"))
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -242,18 +244,25 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    return _judged(docs, id_col, text_col, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """One row per document: doc_id, sha, n_shingles, component_id, kept."""
     coordinates = coordinates_for(percent)
     rows = stored(signed(docs, id_col, text_col, coordinates))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")
+    # v numbers the sets; it is stored before anything else reads it.
     sets = stored(rows.where("n > 0").groupBy("set_id").agg(
-        F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("coordinates").alias("coordinates")
-    ).where("v is not null"))
+        F.min(first).alias("first"), F.first("n").alias("n"), F.first("coordinates").alias("coordinates")
+    ).withColumn("v", F.monotonically_increasing_id()))
     prefix = coordinates - MATCHES + 1
     posts = sets.select("v", "n", F.posexplode(F.slice("coordinates", 1, prefix)).alias("at", "token"))
     lists = posts.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     shared = stored(posts.join(lists, "token"))
     first = stored(_matching(_pairs_by_pivot(shared, percent), sets))
     # Full sets of the documents that share a coordinate with another: one pass over their texts for both merges.
-    wanted = sets.select("v", "set_id").join(shared.select("v").distinct(), "v")
+    wanted = sets.select("v", "first.doc_id", "first.sha").join(shared.select("v").distinct(), "v")
     full = stored(shingle_sets(docs, wanted, id_col, text_col))
     links = stored(_confirmed(first, full, percent))
     labels = components(links)
@@ -262,15 +271,28 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         links = links.union(_confirmed(second, full, percent))
         labels = components(links)
     named = stored(sets.join(labels, F.col("v") == F.col("node"), "left").select(
-        "set_id", F.coalesce("component", "v").alias("component")))
-    by_id = rows.select("doc_id", "n", "set_id").join(named, "set_id", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return by_id.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                        F.col("doc_id").eqNullSafe(component).alias("kept"))
+        "set_id", "first", F.coalesce("component", "v").alias("component")))
+    # Sets without links name themselves; only linked ones meet.
+    chosen = stored(sets.select("v", "first").join(labels, F.col("v") == F.col("node")).groupBy("component").agg(
+        F.min("first").alias("chosen")))
+    named = named.join(chosen, "component", "left").select("set_id", F.coalesce("chosen", "first").alias("chosen"))
+    judged = rows.select("doc_id", "sha", "n", "set_id").join(named, "set_id", "left")
+    own = F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("sha") == F.col("chosen.sha"))
+    return judged.select("doc_id", "sha", F.col("n").alias("n_shingles"),
+                         F.when(F.col("n") > 0, F.col("chosen.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                         F.when(F.col("n") > 0, own).otherwise(True).alias("kept"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with all their columns."""
-    gone = cluster(docs, id_col, text_col, percent).where("not kept and doc_id is not null").select(
-        F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    judged = stored(_judged(docs, id_col, text_col, percent).where("n_shingles > 0"))
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("sha").alias("_gone_sha")).distinct()
+    own = docs.withColumn("_own_sha", _digest(text_col))
+    here = lambda side: F.col(f"`{id_col}`").eqNullSafe(F.col(f"_{side}_id")) & (F.col("_own_sha") == F.col(f"_{side}_sha"))
+    left = own.join(gone, here("gone"), "left_anti")
+    twice = stored(judged.where("kept").groupBy(F.col("doc_id").alias("_twice_id"), F.col("sha").alias("_twice_sha")).agg(
+        F.count("*").alias("_rows")).where("_rows > 1"))
+    if twice.limit(1).count():
+        repeated = left.join(twice, here("twice"), "left_semi").dropDuplicates([id_col, "_own_sha"])
+        left = left.join(twice, here("twice"), "left_anti").union(repeated)
+    return left.drop("_own_sha")

@@ -173,3 +173,18 @@ def test_threshold_reaches_bounds_and_exact_check(spark):
     left = [r["doc_id"] for r in near_dedup.drop_near(docs, percent=80).collect()]
     assert sorted(left) == sorted(i for i in sets if find(i) == i)
     assert 3 in {r["doc_id"] for r in near_dedup.drop_near(docs).collect()}
+
+
+def test_repeated_and_null_ids_keep_each_text_once(spark):
+    r = random.Random(14)
+    x, y, z, w = ([f"{c}{r.randrange(10**6)}" for _ in range(120)] for c in "xyzw")
+    near = lambda words: " ".join([*words[:-1], "changed"])
+    rows = [(3, " ".join(x)), (5, " ".join(x)), (5, " ".join(y)), (None, near(x)), (None, " ".join(z)), (None, near(z)),
+            (7, " ".join(w)), (7, " ".join(w)), (8, near(w)), (9, ""), (9, "")]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows])
+    left = [(r["doc_id"], r["text"]) for r in near_dedup.drop_near(docs).collect()]
+    fixed = [p for p in left if p[0] is not None]
+    assert sorted(fixed) == [(3, " ".join(x)), (5, " ".join(y)), (7, " ".join(w)), (9, ""), (9, "")]
+    assert len(left) == len(fixed) + 1 and {t for i, t in left if i is None} <= {" ".join(z), near(z)}
+    by = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows_of(near_dedup.cluster(docs)) if r["doc_id"] in (3, 5, 8))
+    assert by == [(3, 3, True), (5, 3, False), (5, 5, True), (8, 7, False)]
