@@ -5,13 +5,16 @@ ends), so that forms of a word are near each other. Those whose presence goes
 with either label in the sample span the space: odds of the label of at least
 ``LEAST_ODDS`` times the sample's (odds have no ceiling, so this holds for any
 share of labels), and a likelihood ratio of at least ``LEAST_EVIDENCE`` in
-logarithms. A text without any of them is a neighbour of the examples without
-any. Document frequencies
+logarithms. An example without any of them, toxic or clean, adds its own
+``OWN_TERMS`` strongest terms, so that every example with words is in the index
+and can be found. A text without any term of the space gets the rate of the
+sample. Document frequencies
 cover all documents. Examples are kept in blocks; an inverted index holds the
 postings of each term by block, with the largest weight in the block. A query
 adds these maxima to an upper bound for each block, visits blocks from the
 highest bound down, scores their postings exactly, and stops when no block
-left can reach the k-th best cosine. The neighbours vote with their cosine as
+left can reach the k-th best cosine; a query that meets many blocks in many
+terms is scored over whole lists at once instead. The neighbours vote with their cosine as
 weight, smoothed towards the rate of the sample:
 
     score = (sum of weight * label + PRIOR * rate) / (sum of weight + PRIOR)
@@ -31,8 +34,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import list_udf, share, slices, stored
 from .labelled import sample_texts
@@ -41,6 +45,8 @@ MAX_EXAMPLES = 8192
 MAX_TERMS = 4096
 LEAST_EVIDENCE = 8.0
 LEAST_ODDS = 4.25
+OWN_TERMS = 8
+WHOLE_LISTS = 512
 PIECES = (4, 5)
 KEPT_TOKENS = 100_000
 LONGEST_KEPT = 64
@@ -92,7 +98,7 @@ def _term_counts(batches):
 
 def choose_terms(examples: DataFrame, limit: int = MAX_TERMS, least: float = LEAST_EVIDENCE,
                  odds: float = LEAST_ODDS) -> list[str]:
-    """Terms of a bounded table (doc_id, label, text) whose presence goes with either label, strongest first."""
+    """Terms of a bounded table (doc_id, label, text) whose presence goes with either label, strongest first, then own terms."""
     sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -104,13 +110,39 @@ def choose_terms(examples: DataFrame, limit: int = MAX_TERMS, least: float = LEA
     evidence = F.when(F.col("a") > 0, F.col("a") * F.log(own / rate)).otherwise(0.0) + F.when(
         rest > 0, rest * F.log((1 - own) / (1 - rate))).otherwise(0.0)
     with_one, with_zero = F.col("a") * n0, rest * n1  # their ratio is that of the odds
-    kept = seen.where((with_one >= odds * with_zero) | (with_zero >= odds * with_one)).withColumn("evidence", evidence).where(F.col("evidence") >= least)
-    return [r["term"] for r in kept.orderBy(F.desc("evidence"), "term").limit(limit).collect()]
+    seen = stored(seen.select("term", "m", evidence.alias("evidence"), with_one.alias("with_one"), with_zero.alias("with_zero")))
+    telling = (F.col("with_one") >= odds * F.col("with_zero")) | (F.col("with_zero") >= odds * F.col("with_one"))
+    kept = seen.where(telling & (F.col("evidence") >= least))
+    chosen = [r["term"] for r in kept.orderBy(F.desc("evidence"), "term").limit(limit).collect()]
+    return chosen + _own_terms(examples, seen, chosen)
+
+
+def _own_terms(examples: DataFrame, seen: DataFrame, chosen: list[str]) -> list[str]:
+    """The strongest terms of every example that has none of the chosen ones; rarer ones first among equals."""
+    shared = share(examples.sparkSession, frozenset(chosen))
+
+    def lacking(batches):
+        import pyarrow as pa
+
+        have, kind = shared(), pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("term", pa.string())])
+        for batch in batches:
+            for ids, labels, texts in slices(batch):
+                for doc, label, text in zip(ids, labels, texts, strict=True):
+                    terms = {x for w in set(text.lower().split()) for x in terms_of(w)} if text else set()
+                    if terms and have.isdisjoint(terms):
+                        yield pa.RecordBatch.from_arrays([pa.array([doc] * len(terms), pa.int64()), pa.array(
+                            [label] * len(terms), pa.int32()), pa.array(sorted(terms), pa.string())], schema=kind)
+
+    own = examples.select("doc_id", "label", "text").mapInArrow(lacking, "doc_id bigint, label int, term string").join(seen, "term")
+    agrees = (F.col("with_one") > F.col("with_zero")) == (F.col("label") == 1)
+    order = W.partitionBy("doc_id").orderBy(agrees.desc(), F.desc("evidence"), "m", "term")
+    best = own.withColumn("at", F.row_number().over(order)).where(F.col("at") <= OWN_TERMS)
+    return sorted(r["term"] for r in best.select("term").distinct().collect())  # OWN_TERMS for an example at most
 
 
 def with_counts(docs: DataFrame, terms: list[str], text_col: str = "text", out: str = "term_counts") -> DataFrame:
     """``docs`` with array<struct<term: int, n: int>>: how often each chosen term occurs in the whole text."""
-    shared = share(docs.sparkSession, {t: i for i, t in enumerate(terms)})  # at most MAX_TERMS
+    shared = share(docs.sparkSession, {t: i for i, t in enumerate(terms)})  # at most MAX_TERMS and OWN_TERMS an example
 
     def setup():
         at, known = shared(), {}
@@ -142,7 +174,7 @@ def with_counts(docs: DataFrame, terms: list[str], text_col: str = "text", out:
 class BlockMaxIndex:
     """Examples as unit TF-IDF vectors, in blocks, with the largest weight of each term in each block."""
 
-    def __init__(self, examples: list[tuple[int, int, dict[int, int]]], idf: list[float], block: int = BLOCK):
+    def __init__(self, examples: Iterable[tuple[int, int, dict[int, int]]], idf: list[float], block: int = BLOCK):
         self.idf, self.block = idf, block
         vectors = [(doc, label, self.unit(counts)) for doc, label, counts in examples]
         empty = [label for _, label, v in vectors if not v]
@@ -155,6 +187,7 @@ class BlockMaxIndex:
             for term, weight in vector.items():
                 self.postings.setdefault(term, {}).setdefault(i // block, []).append((i, weight))
         self.maxima = {t: {b: max(w for _, w in hits) for b, hits in blocks.items()} for t, blocks in self.postings.items()}
+        self.lists: dict[int, tuple] = {}  # those that queries have met, as arrays
         n = len(vectors)
         self.rate = sum(label for _, label, _ in vectors) / n if n else 0.0
         self.rate_without_terms = (sum(empty) + PRIOR * self.rate) / (len(empty) + PRIOR) if n else 0.0
@@ -167,6 +200,8 @@ class BlockMaxIndex:
     def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int, int]]:
         """(cosine, id, label) of the k examples of largest cosine, all above 0; ties to the smaller id."""
         query = self.unit(counts)
+        if sum(len(self.maxima.get(t, ())) for t in query) > WHOLE_LISTS:
+            return self._over_lists(query, k, without)
         bounds: dict[int, float] = {}
         for term, weight in query.items():
             for b, top in self.maxima.get(term, {}).items():
@@ -183,6 +218,20 @@ class BlockMaxIndex:
             best = sorted(best + found)[:k]
         return [(-s, doc, label) for s, doc, label in best]
 
+    def _over_lists(self, query: dict[int, float], k: int, without: int | None) -> list[tuple[float, int, int]]:
+        import numpy as np
+
+        for t in query.keys() & self.postings.keys() - self.lists.keys():
+            at, own = zip(*[hit for hits in self.postings[t].values() for hit in hits], strict=True)
+            self.lists[t] = np.array(at, np.int32), np.array(own)
+        met = [(*self.lists[t], w) for t, w in query.items() if t in self.lists]
+        scores = np.bincount(np.concatenate([at for at, _, _ in met]), np.concatenate([own * w for _, own, w in met]), len(self.ids))
+        scores = np.round(scores, 12)
+        least = np.partition(scores, -k - 1)[-k - 1] if len(scores) > k + 1 else 0.0  # one more, for ``without``
+        found = [(-float(scores[i]), self.ids[i], self.labels[i]) for i in np.flatnonzero((scores >= least) & (scores > 0))
+                 if self.ids[i] != without]
+        return [(-s, doc, label) for s, doc, label in sorted(found)[:k]]
+
     def vote(self, counts: dict[int, int], k: int = NEIGHBOURS, without: int | None = None):
         """(score, neighbours) of a text with these term counts."""
         near = self.nearest(counts, k, without) if counts else []
@@ -196,14 +245,18 @@ def build_index(counted: DataFrame, sample: DataFrame, n_terms: int) -> BlockMax
     """Index the bounded sample (doc_id, label); ``counted`` (doc_id, term_counts) has all documents."""
     n_docs = counted.count()
     df = {r["term"]: r["n"] for r in counted.select(F.explode("term_counts.term").alias("term")).groupBy("term").agg(
-        F.count("*").alias("n")).collect()}  # at most MAX_TERMS rows
+        F.count("*").alias("n")).collect()}  # one row a term
     idf = [math.log((1 + n_docs) / (1 + df.get(t, 0))) + 1.0 for t in range(n_terms)]
     rows = counted.withColumnRenamed("doc_id", "_id").join(
-        F.broadcast(sample), F.col("_id") == F.col("doc_id")).select("doc_id", "label", "term_counts").collect()
-    seen = {}
-    for r in sorted(rows, key=lambda r: (r["doc_id"], str(r["term_counts"]))):
-        seen.setdefault(r["doc_id"], (r["doc_id"], r["label"], {x["term"]: x["n"] for x in r["term_counts"]}))
-    return BlockMaxIndex(list(seen.values()), idf)
+        F.broadcast(sample), F.col("_id") == F.col("doc_id")).select(
+        "doc_id", "label", F.col("term_counts.term").alias("terms"), F.col("term_counts.n").alias("counts")).toArrow()
+    seen: dict[int, int] = {}
+    part = lambda i: tuple(zip(rows["terms"][i].as_py(), rows["counts"][i].as_py(), strict=True))
+    for i, doc in enumerate(rows["doc_id"].to_pylist()):
+        if doc not in seen or part(i) < part(seen[doc]):  # of rows that repeat an id, one whatever their order
+            seen[doc] = i
+    # One example at a time is Python objects.
+    return BlockMaxIndex(((doc, rows["label"][i].as_py(), dict(part(i))) for doc, i in sorted(seen.items())), idf)
 
 
 def scored(counted: DataFrame, index: BlockMaxIndex, k: int = NEIGHBOURS, out: str = "toxicity") -> DataFrame:

@@ -192,3 +192,33 @@ def test_every_labelled_language_is_learned(spark):
     assert model.languages == [f"l{i:04}" for i in range(1100)]
     own = langid.Labeller(model)
     assert [own.label(word(i))["lang"] for i in (0, 555, 1099)] == ["l0000", "l0555", "l1099"]
+
+
+def test_whole_lists_give_the_same_neighbours(monkeypatch):
+    r = random.Random(15)
+    idf = [r.uniform(1, 5) for _ in range(30)]
+    index = toxicity.BlockMaxIndex([(i, i % 2, {r.randrange(30): r.randint(1, 4) for _ in range(r.randint(0, 6))}) for i in range(300)], idf)
+    for _ in range(50):
+        counts = {r.randrange(30): r.randint(1, 4) for _ in range(4)}
+        monkeypatch.setattr(toxicity, "WHOLE_LISTS", 10**6)
+        by_blocks = index.nearest(counts, 15, 7)
+        monkeypatch.setattr(toxicity, "WHOLE_LISTS", 0)
+        found = index.nearest(counts, 15, 7)
+        assert [round(s, 9) for s, _, _ in found] == [round(s, 9) for s, _, _ in by_blocks] and 7 not in {d for _, d, _ in found}
+
+
+def test_every_labelled_example_can_be_found(spark):
+    """Words of one toxic example only are too little evidence to be chosen; its copy finds it all the same."""
+    r = random.Random(16)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    plain = [word(6) for _ in range(200)]
+    rows = [(i, " ".join(r.choices(plain, k=20)), 0) for i in range(180)]
+    rows += [(i, " ".join([word(9) for _ in range(10)]), 1) for i in range(180, 200)]
+    copies = [(1000 + i, t, y) for i, t, y in rows[170:]]
+    docs = documents(spark, [(i, t, "en", "s") for i, t, _ in rows + copies])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    sample = labelled.sample_labels(labels, F.col("toxic"), F.lit(True), 1000, "t")
+    found = {r["doc_id"]: r["toxicity"] for r in rows_of(toxicity.classify(docs, sample))}
+    for i, _, y in copies:
+        assert i - 1000 in {e["doc_id"] for e in found[i]["evidence"] if e["cosine"] > 0.999}
+        assert (found[i]["score"] >= toxicity.THRESHOLD) == bool(y)
