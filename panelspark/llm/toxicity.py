@@ -50,6 +50,7 @@ WHOLE_LISTS = 512
 PIECES = (4, 5)
 KEPT_TOKENS = 100_000
 LONGEST_KEPT = 64
+LONGEST_KEY = 4
 NEIGHBOURS = 15
 PRIOR = 1.0
 BLOCK = 64
@@ -268,12 +269,15 @@ def scored(counted: DataFrame, index: BlockMaxIndex, k: int = NEIGHBOURS, out: s
 
         def score_of(counts) -> dict:
             key = tuple((x["term"], x["n"]) for x in counts or [])
-            if key not in known:
+            if key in known:
+                return known[key]
+            score, near = own.vote(dict(key), k)
+            found = {"score": score, "evidence": [{"doc_id": d, "cosine": s, "label": y} for s, d, y in near]}
+            if len(key) <= LONGEST_KEY:
                 if len(known) >= KEPT_TOKENS:
                     known.clear()
-                score, near = own.vote(dict(key), k)
-                known[key] = {"score": score, "evidence": [{"doc_id": d, "cosine": s, "label": y} for s, d, y in near]}
-            return known[key]
+                known[key] = found
+            return found
 
         return lambda rows: [score_of(r) for r in rows]
 
