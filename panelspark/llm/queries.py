@@ -10,9 +10,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, exact_dedup, labelled, langid, line_dedup, mixing, near_dedup, quality, suffix_dedup, toxicity
+from . import (
+    ann, bpe, decontaminate, exact_dedup, labelled, langid, line_dedup, mixing, near_dedup, quality, runs, suffix_dedup, toxicity,
+)
 from .common import held_out, table
 
+#: CRC-32 (polynomial 0xEDB88320, as a number below) of an ASCII string, bit by bit.
+CRC32_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])),
+    lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)), CAST(4294967295 AS BIGINT))"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +189,92 @@ FROM normal n JOIN grouped g USING (text_sha256)
 """)
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op11_periodic_runs", r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, """ + CRC32_SQL.format("CAST(doc_id AS VARCHAR)") + r""" AS h
+  FROM documents
+), placed AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n, h // 10 AS g FROM split
+), tailed AS (
+  SELECT *, CASE WHEN n > 0 THEN g % n END AS a, 1 + (n - CASE WHEN n > 0 THEN g % n ELSE 0 END) // (3 + g % 8) AS p FROM placed
+), damaged AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END])
+                    ELSE w END AS w
+  FROM tailed
+), words AS (
+  SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM damaged
+), grams AS (
+  SELECT doc_id, unnest(range(n - 3)) AS i, unnest(list_transform(range(1, n - 2), lambda j: array_to_string(w[j:j + 3], ' '))) AS gram
+  FROM damaged WHERE n > 3
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS p FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i
+), stretches AS (
+  SELECT doc_id, p, min(i) AS start, count(*) + 3 + p AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM pairs) GROUP BY doc_id, p, island
+), runs AS (
+  SELECT doc_id, start, length, min(p) AS period FROM stretches WHERE length >= greatest(12, 2 * p) GROUP BY doc_id, start, length
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+         arg_min([start, length, period], [-length, start, period]) AS best
+  FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text
+  FROM words v WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = v.doc_id AND v.i >= r.start + r.period AND v.i < r.start + r.length)
+  GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period,
+       1000 * best[2] // best[3] AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, after a tenth of them was given a tail that repeats."""
+    docs = table(spark, sf_dir, "documents")
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = runs.add_runs(runs.repeat_tails(docs, F.floor(number / 10), number % 10 == 0)).select("doc_id", "periodic")
+    every = F.col("periodic.runs")
+    best = F.array_max(F.transform(every, lambda r: F.struct(r["length"], -r["start"], -r["period"], r.alias("run"))))["run"]
+    lines = F.array_join(F.transform(every, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size(every).cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size(every) > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("periodic.collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_decontamination", r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), item_windows AS (
+  SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, least(10, len(w)) AS width,
+         unnest(list_transform(range(0, len(w) - least(10, len(w)) + 1), lambda s: array_to_string(w[s + 1:s + least(10, len(w))], ' '))) AS win
+  FROM item_words WHERE len(w) > 0
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), doc_windows AS (
+  SELECT doc_id, width, unnest(range(0, len(w) - width + 1)) AS s,
+         unnest(list_transform(range(0, len(w) - width + 1), lambda s: array_to_string(w[s + 1:s + width], ' '))) AS win
+  FROM doc_words CROSS JOIN (SELECT DISTINCT width FROM item_windows) WHERE len(w) >= width
+), found AS (
+  SELECT d.doc_id, d.s, d.width, i.item FROM doc_windows d JOIN item_windows i USING (win)
+), hit AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + width)) AS word FROM found) GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
+""")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark items cover, and the items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.mark(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contamination.*")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
