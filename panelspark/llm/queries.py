@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    ann, bpe, decontaminate, exact_dedup, labelled, langid, line_dedup, mixing, near_dedup, quality, runs, suffix_dedup, toxicity,
+    ann, bpe, decontaminate, exact_dedup, labelled, langid, line_dedup, mixing, near_dedup, quality, repair, runs, suffix_dedup, toxicity,
 )
 from .common import held_out, table
 
@@ -278,3 +278,102 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def _best(*candidates: str) -> str:
+    """SQL: the least of the structs (k: cost and audit, t: repaired lines) that are not null."""
+    return f"list_sort(list_filter([{', '.join(candidates)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _step(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    """SQL: a state after one edit."""
+    text = f"{state}.t" if line is None else f"list_append({state}.t, {line})"
+    key = f"lpad(CAST(CAST(substr({state}.k, 1, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({state}.k, 13) || '{letter}'"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'k': {key}, 't': {text}}} END"
+
+
+def _inserted(names: list[str]) -> str:
+    """SQL: the states (nothing, s, u, a) after inserting rows where that is cheaper."""
+    once = {2: ["user:", (0, 1, 3)], 3: ["assistant:", (2,)]}
+    cells = {}
+    for q, (line, sources) in once.items():
+        cells[q] = _best(names[q], *[_step(names[p], "5", "I", f"'{line}'") for p in sources])
+    return f"{names[0]} AS p0, {names[1]} AS p1, {cells[2]} AS p2, {cells[3]} AS p3"
+
+
+def _repair_sql() -> str:
+    keep = "CASE WHEN NOT must AND initial = '{}' THEN {} END"
+    role = "CASE WHEN NOT must THEN {} END"
+    line, extra = "role || ':' || text", "CASE WHEN truncated THEN 5 ELSE 0 END"
+    s = [f"s{q}" for q in range(4)]
+    more = f"1 + {extra}"
+    user, assistant = "'user:' || text", "'assistant:' || text"
+    after = {
+        0: [_step("s0", "2", "D")],
+        1: [_step("s1", "2", "D"), keep.format("s", _step("s0", extra, "K", line))],
+        2: [_step("s2", "2", "D")] + [keep.format("u", _step(p, extra, "K", line)) for p in ("s0", "s1", "s3")]
+           + [role.format(_step(p, more, "R", user)) for p in ("s0", "s1", "s3")],
+        3: [_step("s3", "2", "D"), keep.format("a", _step("s2", extra, "K", line)), role.format(_step("s2", more, "R", assistant))],
+    }
+    none = "CAST(NULL AS STRUCT(k VARCHAR, t VARCHAR[]))"
+    return r"""
+WITH RECURSIVE damaged AS (
+  SELECT conv_id, turn, copy, CASE WHEN c = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE WHEN c = 1 THEN '' WHEN c = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
+  FROM (SELECT *, """ + CRC32_SQL.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')") + r""" % 20 AS c
+        FROM conversations), (SELECT unnest([1, 2]) AS copy)
+  WHERE c <> 0 AND (copy = 1 OR c = 3)
+), placed AS (
+  SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS said,
+         coalesce(lag(role) OVER w, '') AS before, left(role, 1) AS initial
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), faulty AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank FROM placed
+), judged AS (
+  SELECT *, NOT blank AND said > 1 AS duplicate, blank OR said > 1 AS must,
+         NOT blank AND said = 1 AND NOT regexp_matches(text, '[.!?][ 	-]*\z') AS truncated,
+         i > 1 AND left(before, 1) || initial NOT IN ('su', 'ua', 'au') AS illegal
+  FROM faulty
+), counted AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(CAST(blank AS INT)) AS blank,
+         sum(CAST(duplicate AS INT)) AS duplicate, sum(CAST(truncated AS INT)) AS truncated, sum(CAST(illegal AS INT)) AS illegal
+  FROM judged GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {'k': '000000000000', 't': CAST([] AS VARCHAR[])} AS s0, """ + f"{none} AS s1, {none} AS s2, {none} AS s3" + r"""
+  FROM counted
+  UNION ALL
+  SELECT conv_id, i, """ + ", ".join(f"{_best(*after[q])} AS s{q}" for q in range(4)) + r"""
+  FROM (SELECT q.conv_id, j.i, p0 AS s0, p1 AS s1, q.p2 AS s2, q.p3 AS s3, j.role, j.text, j.must, j.truncated, j.initial
+        FROM (SELECT conv_id, i, """ + _inserted([f"p{q}" for q in range(4)]) + r"""
+              FROM (SELECT conv_id, i, """ + _inserted(s) + r""" FROM walk)) q
+        JOIN judged j ON j.conv_id IS NOT DISTINCT FROM q.conv_id AND j.i = q.i + 1)
+), ended AS (
+  SELECT conv_id, i, """ + _best("p0", "p3") + r""" AS best
+  FROM (SELECT conv_id, i, """ + _inserted([f"p{q}" for q in range(4)]) + r""" FROM (SELECT conv_id, i, """ + _inserted(s) + r""" FROM walk))
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(substr(best.k, 1, 12), '0') AS BIGINT) AS cost,
+       coalesce(substr(best.k, 13), '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id AND e.i = c.n
+"""
+
+
+@query("op13_conversation_repair", _repair_sql())
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repair of every conversation, after a fifth of the rows were damaged."""
+    talks = table(spark, sf_dir, "conversations")
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat_ws(":", text_of("conv_id"), text_of("turn")).cast("binary")) % 20
+    rows = talks.select("conv_id", "turn", text_of("role").alias("role"), text_of("text").alias("text"), fault.alias("fault")).where("fault <> 0")
+    damaged = rows.select(
+        "conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+    found = repair.repair(damaged)
+    every = talks.select("conv_id").distinct()
+    none = {**{c: F.lit(0).cast("bigint") for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")},
+            "audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return every.join(found, every["conv_id"].eqNullSafe(found["conv_id"]), "left").select(
+        every["conv_id"], *[F.coalesce(found[c], other).alias(c) for c, other in none.items()])
