@@ -160,6 +160,34 @@ def add_ranks_of(
     return found.select(*[F.col(c) if c in keys or c in values else F.col(f"_rest.{c}").alias(c) for c in df.columns], *outs)
 
 
+def add_member_ranks(df: DataFrame, values: dict[str, str], members: Sequence[str]) -> DataFrame:
+    """Add the average ranks of ``values`` (column: output) inside each of several overlapping groups, as arrays.
+
+    ``members`` are boolean columns, one a group; a rank is NULL where the row is not in the group. Ranged plan: the
+    distinct values of all columns are placed in one pass with a running count for each group, and a row is never
+    copied. ``df`` is read once for each value and once for itself, so it should be stored.
+    """
+    ties = [f"_t{i}" for i in range(len(members))]
+    counts = [F.sum(F.col(m).cast("bigint")).alias(t) for m, t in zip(members, ties)]
+    distinct = reduce(DataFrame.unionByName, [
+        df.where(F.col(v).isNotNull()).groupBy(F.lit(i).alias("_c"), F.col(v).cast("double").alias("_v")).agg(*counts)
+        for i, v in enumerate(values)])
+    pieces = cut_lineage(distinct.repartitionByRange("_c", "_v").withColumn("_pid", F.spark_partition_id()))
+    inside = Window.partitionBy("_pid", "_c").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per column and piece.
+    ahead = Window.partitionBy("_c").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = pieces.groupBy("_pid", "_c").agg(*[F.sum(t).alias(t) for t in ties])
+    offsets = totals.select("_pid", "_c", *[F.coalesce(F.sum(t).over(ahead), F.lit(0)).alias(f"_o{t}") for t in ties])
+    local = pieces.select("_pid", "_c", "_v", *ties, *[F.coalesce(F.sum(t).over(inside), F.lit(0)).alias(f"_l{t}") for t in ties])
+    first = [F.when(F.col(t) > 0, F.col(f"_l{t}") + F.col(f"_o{t}") + (F.col(t) + 1) / 2).cast("double") for t in ties]
+    ranked = local.join(offsets, ["_pid", "_c"]).select("_c", "_v", F.array(*first).alias("_ranks"))
+    for i, (value, name) in enumerate(values.items()):
+        own = F.array(*[F.when(F.col(m), F.get("_ranks", F.lit(k))) for k, m in enumerate(members)])
+        found = ranked.where(F.col("_c") == i).drop("_c")
+        df = df.join(found, df[value].cast("double") == found["_v"], "left").select(*[df[c] for c in df.columns], own.alias(name))
+    return df
+
+
 def _tile(rn: Column, n: Column, k: int) -> Column:
     """ntile(k) from a row number: the first n mod k tiles hold one row more."""
     base = F.floor(n / k)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import scalar as S
 from ..functions.ranks import WINDOW, add_positions
 from .features import SESSION
+from .windows import score_blocks, window_blocks
 
 
 def _numbered_dates(dates: DataFrame, descending: bool = False) -> DataFrame:
@@ -169,14 +170,21 @@ def shift_labels_one_run(df: DataFrame, label: str) -> DataFrame:
 # --- scoring --------------------------------------------------------------
 
 def batch_score(
-    df: DataFrame, score: Callable[[pd.DataFrame], pd.Series], keys: Sequence[str] = ("date", "time", "code"),
-    label_scale: tuple[float, float] | None = None,
+    df: DataFrame, score: Callable, keys: Sequence[str] = ("date", "time", "code"),
+    label_scale: tuple[float, float] | None = None, columns: Sequence[str] | None = None, length: int = 1,
 ) -> DataFrame:
     """Apply a user model to Arrow batches and emit a prediction table.
 
     ``score`` maps a batch of feature rows to one number per row; with
     ``label_scale`` = (mean, std) the output is brought back to label units.
+    With ``length`` over 1 the model reads windows: ``score`` maps an array of
+    windows x length x ``columns`` to one number per window, and rows that end no
+    gap-free window get no prediction.
     """
+    if length > 1:
+        if not columns:
+            raise ValueError("a model of windows needs the columns it reads")
+        return score_blocks(window_blocks(df, columns, length, keys), score, length, label_scale)
     kept = list(keys)
     fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept)
 

@@ -7,13 +7,12 @@ A cross-section is one (date, time). Ranks inside it follow ``plan``, see
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S, stats as T
 from ..functions.ranks import (
-    RANGED, WINDOW, add_positions, add_ranks_of, add_value_ranks, choose_plan, group_quantiles,
+    RANGED, add_group_stats, add_member_ranks, add_positions, add_ranks_of, add_value_ranks, choose_plan, group_quantiles,
 )
 from ..schema import unique_rows
 from ..session import stored
@@ -149,36 +148,41 @@ def grouped_ic(df: DataFrame, regime: DataFrame, plan: str | None = None) -> Dat
     """Pooled correlations inside overlapping groups of rows.
 
     ``df`` carries prediction, target and the group labels; ``regime`` one row
-    per date. A row joins every group it belongs to through one explode; ranks
-    are then taken inside each group. The groups are few and large, so their
-    ranks are range-partitioned.
+    per date. Groups are flags of a row, never copies of it: ranks inside all
+    groups come from one ranged pass over the distinct values with a running
+    count for each group.
     """
     rows = finite_pairs(df)
     rows = rows.withColumns({c: S.clean(c) for c, *_ in GROUP_SPLITS})
     inner = choose_plan(CROSS_SECTION, plan)
-    members = []
+    members = {}
     for label, point, low, high in GROUP_SPLITS:
         rows = add_value_ranks(rows, CROSS_SECTION, label, {"cume": f"_c_{label}"}, inner)
         place = F.col(f"_c_{label}")
-        members.append(F.when(place <= point, F.lit(low)).when(place > point, F.lit(high)))
+        members |= {low: place <= point, high: place > point}
     rows = rows.join(regime.select("date", "regime"), "date", "left")
-    names = F.array(*[F.lit(n) for n in REGIME_NAMES])
-    members.append(F.when(F.col("regime").isNotNull(), F.element_at(names, F.col("regime") + 1)))
-    # array_compact keeps the groups a row is in; no row is read twice.
-    spread = rows.select("prediction", "target", F.explode(F.array_compact(F.array(*members))).alias("group"))
-    return ic_by_timestamp(spread, keys=["group"], plan=plan)
+    members |= {name: F.col("regime") == i for i, name in enumerate(REGIME_NAMES)}
+    names = list(members)
+    flags = [F.coalesce(c, F.lit(False)).alias(f"_in{i}") for i, c in enumerate(members.values())]
+    slim = stored(rows.select(F.col("prediction").cast("double"), F.col("target").cast("double"), *flags))
+    inside = [f"_in{i}" for i in range(len(names))]
+    ranked = add_member_ranks(slim, {"prediction": "_rx", "target": "_ry"}, inside)
+    # Laid out by group only inside a task: what leaves it is one partial sum a group.
+    cells = [F.when(F.col(f), F.struct(F.lit(name).alias("group"), "prediction", "target", F.get("_rx", F.lit(i)).alias("_rx"),
+                                       F.get("_ry", F.lit(i)).alias("_ry"))) for i, (f, name) in enumerate(zip(inside, names))]
+    return ranked.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("group").agg(*_ic_columns("prediction", "target"))
 
 
 # --- rolling groups ---------------------------------------------------------
 
-_MOMENTS = ("n", "x", "y", "xx", "yy", "xy", "r", "s", "rr", "ss", "rs")
+#: Rows of a piece of the two-level scan.
+SCAN_PIECE = 4096
 
 
 def _corr(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
-    """Correlation from raw sums; NULL where a variance is only rounding noise."""
+    """Correlation from raw sums of columns that vary."""
     vx, vy = n * xx - x * x, n * yy - y * y
-    real = (vx > n * xx * 1e-12) & (vy > n * yy * 1e-12)
-    return F.when(real, S.ratio(n * xy - x * y, F.sqrt(vx * vy)))
+    return F.when((vx > 0) & (vy > 0), S.ratio(n * xy - x * y, F.sqrt(vx) * F.sqrt(vy)))
 
 
 def _rolling_windows(
@@ -187,52 +191,82 @@ def _rolling_windows(
 ) -> DataFrame:
     """One row per window of ``window`` rows stepping ``step`` along ``label``.
 
-    Rows are cut into blocks of gcd(window, step) and reduced to sums first;
-    a window is then a sum of whole blocks. Nothing is re-read per window.
+    A window is the difference of two prefix sums, so its cost depends on
+    neither its length nor the step. The scan has two levels: running sums
+    inside pieces of ``SCAN_PIECE`` consecutive rows, and the totals of the pieces
+    before, one row a piece. Only rows that begin, halve or end a window go on,
+    each once for each part. Values are centred first; that a column is constant
+    in a window is told by counting its changes, exactly, not by a small variance.
     """
-    size = gcd(window, step)
-    span, stride, middle = window // size, step // size, window // 2
+    middle = window // 2
     rows = finite_pairs(df).withColumns({c: S.clean(c) for c in ("prediction", "target", label)})
     rows = rows.where(F.col(label).isNotNull())
     plan = choose_plan(keys, plan)
     rows = add_ranks_of(rows, keys, {"prediction": {"avg": "_r"}, "target": {"avg": "_s"}}, plan)
     rows = add_positions(rows, keys, [label, *order], rn="_rn", n="_n", plan=plan)
-    # Ranks are centred: a correlation does not change, its rounding error does.
-    x, y = F.col("prediction"), F.col("target")
+    rows = add_group_stats(rows, keys, {"_mx": F.avg("prediction"), "_my": F.avg("target")}, plan)
+    # Correlations do not change when values and ranks are centred; their rounding errors do.
+    x, y = F.col("prediction") - F.col("_mx"), F.col("target") - F.col("_my")
     r, s = F.col("_r") - (F.col("_n") + 1) / 2, F.col("_s") - (F.col("_n") + 1) / 2
     place = F.col("_rn") - 1
+    piece = F.floor(place / SCAN_PIECE) if plan == RANGED else F.lit(0).cast("bigint")
     products = {"x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y, "r": r, "s": s, "rr": r * r, "ss": s * s, "rs": r * s}
-    blocks = (rows.where(F.col("_n") >= window).withColumn("_block", F.floor(place / size)).groupBy(*keys, "_n", "_block").agg(
-        F.count("*").cast("double").alias("n"), *[F.sum(c).alias(name) for name, c in products.items()],
-        F.min(label).alias("_first"), F.max(label).alias("_last"),
-        F.max(F.when(place % size == middle % size, F.col(label))).alias("_mid")))
-    fits = (F.col("_start") % stride == 0) & (F.col("_start") * size + window <= F.col("_n"))
-    if plan == WINDOW:
-        frame = Window.partitionBy(*keys).orderBy("_block")
-        ahead = frame.rowsBetween(0, span - 1)
-        out = (blocks.withColumn("_start", F.col("_block")).withColumns({
-            **{m: F.sum(m).over(ahead) for m in _MOMENTS},
-            "label_left": F.col("_first"), "label_right": F.last("_last").over(ahead),
-            "label_center": F.first("_mid").over(frame.rowsBetween(middle // size, middle // size)),
-        }).where(fits))
+    rows = rows.where(F.col("_n") >= window).select(
+        *keys, "_n", place.alias("_place"), piece.alias("_piece"), F.col(label).alias("_label"), "prediction", "target",
+        *[c.alias(name) for name, c in products.items()])
+    inside = Window.partitionBy(*keys, "_piece").orderBy("_place")
+    running = inside.rowsBetween(Window.unboundedPreceding, 0)
+
+    def changed(value: str, window_spec=inside) -> Column:
+        """1 where a value differs from the one before it; 0 for the first."""
+        return F.coalesce((F.lag(value).over(window_spec) != F.col(value)).cast("bigint"), F.lit(0).cast("bigint"))
+
+    rows = rows.withColumns({"dx": changed("prediction"), "dy": changed("target")})
+    sums = [*products, "dx", "dy"]
+    if plan == RANGED:
+        rows = stored(rows)
+        across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_piece")
+        totals = rows.groupBy(*keys, "_piece").agg(
+            *[F.sum(c).alias(c) for c in sums], *[F.min_by(v, "_place").alias(f"_first_{v}") for v in ("prediction", "target")],
+            *[F.max_by(v, "_place").alias(f"_last_{v}") for v in ("prediction", "target")])
+        # The change from one piece to the next counts with the first row of the later one.
+        entering = {c: F.coalesce((F.lag(f"_last_{v}").over(across) != F.col(f"_first_{v}")).cast("bigint"), F.lit(0).cast("bigint"))
+                    for c, v in (("dx", "prediction"), ("dy", "target"))}
+        totals = totals.withColumns({f"_e_{c}": e for c, e in entering.items()})
+        earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*keys, "_piece", *[
+            (F.coalesce(F.sum(F.col(c) + (F.col(f"_e_{c}") if c in entering else F.lit(0))).over(earlier), F.lit(0))
+             + (F.col(f"_e_{c}") if c in entering else F.lit(0))).alias(f"_o_{c}") for c in sums])
+        scanned = rows.withColumns({f"_p_{c}": F.sum(c).over(running) for c in sums}).join(offsets, [*keys, "_piece"])
+        upto = {c: F.col(f"_p_{c}") + F.col(f"_o_{c}") for c in sums}
     else:
-        # Each block goes to the few windows it is part of; no ordered scan.
-        starts = F.sequence(F.greatest(F.col("_block") - (span - 1), F.lit(0)), F.col("_block"))
-        sent = blocks.withColumn("_start", F.explode(starts)).where(fits)
-        offset = F.col("_block") - F.col("_start")
-        out = sent.groupBy(*keys, "_n", "_start").agg(
-            *[F.sum(m).alias(m) for m in _MOMENTS],
-            F.max(F.when(offset == 0, F.col("_first"))).alias("label_left"),
-            F.max(F.when(offset == span - 1, F.col("_last"))).alias("label_right"),
-            F.max(F.when(offset == middle // size, F.col("_mid"))).alias("label_center"))
+        scanned = rows.withColumns({f"_p_{c}": F.sum(c).over(running) for c in sums})
+        upto = {c: F.col(f"_p_{c}") for c in sums}
+
     c = F.col
-    first = c("_start") * size
+
+    def part(at: int, exclusive: bool) -> Column:
+        """What row ``at`` of a window adds to it: prefix sums without it, or with it, and its label."""
+        start = c("_place") - at
+        fits = (start >= 0) & (start % step == 0) & (start + window <= c("_n"))
+        # Changes are counted from the second row of a window on.
+        values = [(upto[m] - c(m) if exclusive and m not in ("dx", "dy") else upto[m]).alias(m) for m in sums]
+        return F.when(fits, F.struct(start.alias("_start"), F.lit(at).alias("_at"), c("_label"), *values))
+
+    parts = F.array_compact(F.array(part(0, True), part(middle, False), part(window - 1, False)))
+    sent = scanned.select(*keys, "_n", F.explode(parts).alias("_part")).select(*keys, "_n", "_part.*")
+    at = lambda place, value: F.max(F.when(c("_at") == place, c(value)))
+    out = sent.groupBy(*keys, "_n", "_start").agg(
+        *[(at(window - 1, m) - at(0, m)).alias(m) for m in sums], at(0, "_label").alias("label_left"),
+        at(middle, "_label").alias("label_center"), at(window - 1, "_label").alias("label_right"))
+    varies = (c("dx") > 0) & (c("dy") > 0)
+    n = F.lit(float(window))
     return out.select(
-        *keys, first.alias("window_start"), (first + window - 1).alias("window_end"),
-        ((first + window * 0.5) / c("_n")).alias("group_center_rank"),
+        *keys, c("_start").alias("window_start"), (c("_start") + window - 1).alias("window_end"),
+        ((c("_start") + window * 0.5) / c("_n")).alias("group_center_rank"),
         "label_left", "label_center", "label_right",
-        _corr(c("n"), c("x"), c("y"), c("xx"), c("yy"), c("xy")).alias("ic"),
-        _corr(c("n"), c("r"), c("s"), c("rr"), c("ss"), c("rs")).alias("rank_ic"))
+        F.when(varies, _corr(n, c("x"), c("y"), c("xx"), c("yy"), c("xy"))).alias("ic"),
+        F.when(varies, _corr(n, c("r"), c("s"), c("rr"), c("ss"), c("rs"))).alias("rank_ic"))
 
 
 def rolling_group_ic(df: DataFrame, label: str, window: int = 2000, step: int = 50, unique: str = "code", plan: str | None = None) -> DataFrame:
@@ -377,7 +411,9 @@ def baseline_ic(
         F.sum(c("_yy") + c("_n") * dy * dy).alias("_yy"), F.sum(c("_xy") + c("_n") * dx * dy).alias("_xy"))
     pooled = merged.select(*by, "rows", F.when(
         (c("rows") > 1) & (c("_xx") > 0) & (c("_yy") > 0), c("_xy") / F.sqrt(c("_xx") * c("_yy"))).alias("pooled_ic"))
-    days = stamps.groupBy(*by, "date").agg(F.avg("ic").alias("ic")).where(F.col("ic").isNotNull())
+    # Correlations of a day that cancel leave a mean of rounding errors; its sign must not count.
+    mean = F.avg("ic")
+    days = stamps.groupBy(*by, "date").agg(F.when(F.abs(mean) < 1e-12, 0.0).otherwise(mean).alias("ic")).where(F.col("ic").isNotNull())
     daily = days.groupBy(*by).agg(
         F.avg("ic").alias("daily_ic_mean"), T.spread("ic", ddof).alias("daily_ic_std"),
         F.count("ic").alias("daily_count"), T.positive_ratio("ic").alias("daily_positive_ratio"))

@@ -190,6 +190,15 @@ def rolling_group_ic_rows(spark, sf):
     return tidy(I.rolling_group_ic_rows(A.xsec(spark, sf), "amount", A.ROLL_WINDOW, A.ROLL_STEP), 5)
 
 
+@query("rolling_group_ic_any_step", oracle(
+    """SELECT k - 1 AS window_start, k + 6 AS window_end, (k - 1 + 4.0)/n AS group_center_rank, amount AS label_left, label_center, label_right,
+    ic AS mean_ic, ric AS mean_rank_ic, CAST(8 AS BIGINT) AS count FROM rolled WHERE (k - 1) % 3 = 0 AND k - 1 + 8 <= n""",
+    "group_center_rank label_left label_center label_right mean_ic mean_rank_ic", 5, **_roll("", "amount, date, code")))
+def rolling_group_ic_any_step(spark, sf):
+    """A step that has no divisor in common with the window."""
+    return tidy(I.rolling_group_ic_rows(A.xsec(spark, sf), "amount", A.ROLL_WINDOW, 3), 5)
+
+
 @query("curve_summary", oracle(
     """SELECT min(x) AS center_rank_min, max(x) AS center_rank_max, CAST(sum(count) AS BIGINT) AS count_sum, max(y) AS max_value, min(y) AS min_value,
     arg_max(x, y) AS max_rank, arg_min(x, y) AS min_rank, min(x) FILTER ((p <= 0 AND y > 0) OR (p >= 0 AND y < 0)) AS first_sign_flip
@@ -265,7 +274,7 @@ BASE = {
     CASE s.baseline WHEN 'ret_1m' THEN ret_1m WHEN 'ret_3m' THEN ret_3m ELSE ret_1m + 0.5*ret_2m + 0.25*ret_3m END AS x
     FROM training t, (VALUES ('ret_1m'), ('ret_3m'), ('ret_combo')) s(baseline), (VALUES ('all'), ('late')) c(scope) WHERE c.scope = 'all' OR MinuteIndex >= 6""",
     "st": f"SELECT scope, baseline, date, time, {_fin('corr(x, y)')} AS ic FROM rows_in GROUP BY 1, 2, 3, 4",
-    "dd": "SELECT scope, baseline, date, avg(ic) AS ic FROM st GROUP BY 1, 2, 3 HAVING avg(ic) IS NOT NULL",
+    "dd": "SELECT scope, baseline, date, CASE WHEN abs(avg(ic)) < 1e-12 THEN 0.0 ELSE avg(ic) END AS ic FROM st GROUP BY 1, 2, 3 HAVING avg(ic) IS NOT NULL",
 }
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.ranks import add_positions, add_value_ranks
-from ..operators import datasets as D, features as P, ic as I, quality as Q
+from ..operators import datasets as D, features as P, ic as I, quality as Q, windows as window_tables
 from ..plans.dataset import split_training_rows
+from ..session import stored
 from . import adapters as A
 from .adapters import tidy
 from .catalog import query
@@ -169,6 +170,29 @@ def batch_score(spark, sf):
     return tidy(D.batch_score(rows, lambda b: 2.0 * b["ret_1m"] - b["ret_2m"], ["Date", "MinuteIndex", "StockCode"], label_scale=(0.1, 0.5)))
 
 
+@query("batch_score_windows", oracle(
+    """SELECT Date, MinuteIndex, StockCode, ((c0 + c1 + c2) / 3 - v1) * 0.5 + 0.1 AS prediction FROM
+    (SELECT *, CAST(CAST(Close AS FLOAT) AS DOUBLE) AS c0, lag(CAST(CAST(Close AS FLOAT) AS DOUBLE)) OVER s AS c1,
+     lag(CAST(CAST(Close AS FLOAT) AS DOUBLE), 2) OVER s AS c2, lag(CAST(CAST(Vol AS FLOAT) AS DOUBLE)) OVER s AS v1 FROM runs
+     WINDOW s AS (PARTITION BY StockCode, Date ORDER BY MinuteIndex)) WHERE run_len >= 3""", "prediction", 4, runs=RUNS))
+def batch_score_windows(spark, sf):
+    """A model of windows of three minutes and two columns, over blocks with their lead-in rows."""
+    score = lambda w: w[:, :, 0].astype("float64").mean(axis=1) - w[:, 1, 1]
+    return tidy(D.batch_score(A.bars(spark, sf), score, ["Date", "MinuteIndex", "StockCode"], (0.1, 0.5), ["Close", "Vol"], 3), 4)
+
+
+@query("window_blocks", oracle(
+    """SELECT StockCode, Date, CAST(count(*) AS BIGINT) AS windows, CAST(sum(run_len + 0) AS BIGINT) AS places FROM runs WHERE run_len >= 3 GROUP BY ALL""",
+    runs=RUNS))
+def window_blocks(spark, sf):
+    """Blocks of at most four windows of three minutes, written and read back: their windows by session."""
+    bars = P.contiguous_runs(A.bars(spark, sf)).withColumnRenamed("run_len", "place").drop("run_id")
+    blocks = stored(window_tables.window_blocks(bars, ["Close", "Vol"], 3, ["StockCode", "Date", "place"], block=4))
+    whole = blocks.where(F.size("steps") == 2 * (F.size("ends") + 2))
+    return whole.select(F.explode("ends").alias("e")).groupBy("e.StockCode", "e.Date").agg(
+        F.count("*").alias("windows"), F.sum("e.place").alias("places"))
+
+
 # --- splits --------------------------------------------------------------------------------
 
 DATES = "SELECT Date AS date, row_number() OVER (ORDER BY Date) - 1 AS i, count(*) OVER () AS n FROM calendar"
