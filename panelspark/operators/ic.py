@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S, stats as T
 from ..functions.ranks import (
-    RANGED, add_group_stats, add_member_ranks, add_positions, add_ranks_of, add_value_ranks, choose_plan, group_quantiles,
+    RANGED, WINDOW, add_group_stats, add_member_ranks, add_positions, add_ranks_of, add_value_ranks, choose_plan, group_quantiles,
 )
 from ..schema import unique_rows
 from ..session import stored
@@ -110,7 +110,7 @@ def quantile_cut(df: DataFrame, column: str, name: str, parts: int) -> DataFrame
     """
     df = stored(df)
     points = {f"_q{i}": i / parts for i in range(1, parts)}
-    edges = group_quantiles(df, [], column, points).select(F.array(*points)).scalar()
+    edges = group_quantiles(df, [], column, points, WINDOW).select(F.array(*points)).scalar()
     bucket = F.lit(parts - 1)
     for i in range(parts - 1, 0, -1):
         bucket = F.when(F.col(column) <= F.element_at(edges, i), i - 1).otherwise(bucket)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import datasets as D, features as P
 from ..settings import FeatureSettings
+from ..sources.files import file_versions
 from ..sources.writers import contract_hash, reuse_or_build
 
 
@@ -40,8 +41,8 @@ def build_dataset(
     """Write (or reuse) the raw split table, then return it normalised.
 
     The contract covers the features, the sample, every (date, split) and the
-    bars: their files, or ``bars_id`` (a path or version) where given. A table
-    built under another contract is refused.
+    bars: their files with sizes and times of change, or ``bars_id`` (a version)
+    where given. A table built under another contract is refused.
 
     The features are stored before fitting, so the fit and every later reader
     scan Parquet instead of recomputing the windows.
@@ -49,7 +50,7 @@ def build_dataset(
     calendar = sorted((r["date"], r["split"]) for r in splits.select("date", "split").collect())  # one row per date
     contract = {
         "features": asdict(cfg), "sample": sample_per_minute, "seed": seed, "splits": contract_hash({"dates": calendar}),
-        "bars": bars_id or contract_hash({"files": sorted(bars.inputFiles())}), **(extra_contract or {})}
+        "bars": bars_id or contract_hash({"files": file_versions(bars.sparkSession, bars.inputFiles())}), **(extra_contract or {})}
 
     def build() -> DataFrame:
         rows = split_training_rows(bars, splits, cfg)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import SparkSession
 
 
@@ -35,3 +37,17 @@ def read_text(spark: SparkSession, path: str) -> str:
     text = reader.next() if reader.hasNext() else ""
     reader.close()
     return text
+
+
+def file_versions(spark: SparkSession, files: Sequence[str]) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of the last change) of files, by path. Each folder is listed once."""
+    wanted = set(files)
+    found = []
+    for folder in sorted({f.rsplit("/", 1)[0] for f in wanted}):
+        p, fs = hadoop_path(spark, folder)
+        names = {f.rsplit("/", 1)[1]: f for f in wanted if f.rsplit("/", 1)[0] == folder}
+        for status in fs.listStatus(p):
+            name = status.getPath().toUri().getRawPath().rsplit("/", 1)[1]
+            if name in names:
+                found.append((names[name], int(status.getLen()), int(status.getModificationTime())))
+    return sorted(found)

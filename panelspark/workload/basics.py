@@ -11,6 +11,7 @@ from ..operators import datasets as D, features as P, market as M, quality as Q,
 from ..schema import ContractError, DAILY, NAME_HISTORY, duplicate_keys, unique_rows
 from ..sources import readers as R, writers as W
 from ..sources.feather import decode_feather, store_days
+from ..sources.feather_source import FeatherSource, write_feather
 from ..session import scratch
 from . import adapters as A
 from .adapters import tidy
@@ -105,6 +106,18 @@ def ingest_feather(spark, sf):
     return tidy(days.groupBy("Date").agg(F.count("*").alias("row_count"), F.sum("Close").alias("total")), 5)
 
 
+@query("feather_source", oracle("SELECT Date, count(*) AS row_count, sum(Close) AS total FROM bars GROUP BY Date", "total", 5))
+def feather_source(spark, sf):
+    """Bars written as Feather files by the tasks and read again as a data source, three columns of them."""
+    path = f"{scratch(spark)}/feather"
+    rows = A.bars(spark, sf)
+    write_feather(rows, path).agg(F.sum("rows")).collect()
+    spark.dataSource.register(FeatherSource)
+    wanted = StructType([rows.schema[c] for c in ("StockCode", "Date", "Close")])
+    back = spark.read.format("panel_feather").schema(wanted).option("batches", 1).load(path)
+    return tidy(back.groupBy("Date").agg(F.count("*").alias("row_count"), F.sum("Close").alias("total")), 5)
+
+
 @query("read_predictions", oracle(
     "SELECT date, count(*) AS row_count, avg(prediction) AS mean_prediction FROM pred GROUP BY date", "mean_prediction"))
 def read_predictions(spark, sf):

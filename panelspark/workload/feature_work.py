@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.ranks import add_positions, add_value_ranks
-from ..operators import datasets as D, features as P, ic as I, quality as Q, windows as window_tables
+from ..operators import datasets as D, features as P, ic as I, partials, quality as Q, windows as window_tables
 from ..plans.dataset import split_training_rows
-from ..session import stored
+from ..session import scratch, stored
 from . import adapters as A
 from .adapters import tidy
 from .catalog import query
@@ -142,6 +142,42 @@ def lagged_returns(spark, sf):
         *KEYS, "ret_1m_current", "ret_1m_previous", "ret_2m_current", "ret_2m_previous", "target_A", "target_B", "target_C"))
 
 
+@query("drop_zero_indicators", oracle(
+    f"SELECT StockCode, Date, MinuteIndex, {', '.join(c for c in COLS if 'is_zero' not in c)} FROM feature_rows",
+    " ".join(c for c in COLS if "is_zero" not in c)))
+def drop_zero_indicators(spark, sf):
+    return tidy(P.bar_features(A.bars(spark, sf), A.FEATURES).select(*KEYS, *P.drop_zero_indicators(COLS)))
+
+
+STATES = """SELECT field, value, Date FROM (SELECT Date, unnest(['Close', 'Vol', 'ret']) AS field, unnest([Close, Vol, Close/Open - 1]) AS value FROM bars)
+ WHERE isfinite(value)"""
+
+
+@query("stored_moments", oracle(
+    """SELECT field, count(*) AS count, any_value(m) AS mean, sqrt(avg(power(value - m, 2))) AS std,
+    avg(power(value - m, 3)) / power(avg(power(value - m, 2)), 1.5) AS skew, avg(power(value - m, 4)) / power(avg(power(value - m, 2)), 2) - 3 AS kurtosis,
+    min(value) AS least, max(value) AS greatest FROM (SELECT *, avg(value) OVER (PARTITION BY field) AS m FROM states) GROUP BY field""",
+    "mean std skew kurtosis least greatest", 6, states=STATES))
+def stored_moments(spark, sf):
+    """States of all days but the last, a wrong version of one of them replaced, the last day added: as if computed at once."""
+    return tidy(partials.moments(_states(spark, sf)), 6)
+
+
+@query("stored_histogram", oracle(
+    """SELECT field, CAST(least(greatest(floor((value + 5) / 0.125) + 1, 1), 80) AS INT) AS bin, count(*) AS count FROM states GROUP BY 1, 2""", states=STATES))
+def stored_histogram(spark, sf):
+    return partials.histogram(_states(spark, sf))
+
+
+def _states(spark, sf):
+    bars = stored(A.bars(spark, sf).withColumn("ret", F.col("Close") / F.col("Open") - 1))
+    ends = bars.agg(F.min("Date").alias("a"), F.max("Date").alias("b")).first()
+    fields, path = ["Close", "Vol", "ret"], f"{scratch(spark)}/states"
+    wrong = bars.withColumn("Close", F.when(F.col("Date") == ends["a"], F.lit(0.0)).otherwise(F.col("Close")))
+    partials.update_states(partials.day_states(wrong.where(F.col("Date") < ends["b"]), fields), path)
+    return partials.update_states(partials.day_states(bars.where(F.col("Date").isin(ends["a"], ends["b"])), fields), path)
+
+
 # --- sequences ---------------------------------------------------------------------------
 
 RUNS = """SELECT *, CAST(row_number() OVER (PARTITION BY StockCode, Date, g ORDER BY MinuteIndex) AS INT) AS run_len FROM
