@@ -42,11 +42,15 @@ def merge(states: DataFrame, by: Sequence[str]) -> DataFrame:
     centre = states.groupBy(*keys).agg(F.sum(n).alias("_n"), (F.sum(n * c("mean")) / F.sum(n)).alias("_mean"))
     d = c("mean") - c("_mean")
     parts = states.join(centre, keys)
-    return parts.groupBy(*keys).agg(
+    merged = parts.groupBy(*keys).agg(
         F.sum(n).cast("bigint").alias("n"), F.first("_mean").alias("mean"), F.sum(c("m2") + n * d * d).alias("m2"),
         F.sum(c("m3") + 3 * d * c("m2") + n * d * d * d).alias("m3"),
         F.sum(c("m4") + 4 * d * c("m3") + 6 * d * d * c("m2") + n * d * d * d * d).alias("m4"),
         F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    # A constant has no variance, not even one of rounding errors.
+    varies = c("least") < c("greatest")
+    return merged.withColumns({"mean": F.when(varies, c("mean")).otherwise(c("least"))} | {
+        m: F.when(varies, c(m)).otherwise(0.0) for m in ("m2", "m3", "m4")})
 
 
 def moments(states: DataFrame, by: Sequence[str] = ("field",)) -> DataFrame:
