@@ -18,6 +18,8 @@ from panelspark.llm import bpe, exact_dedup, langid, mixing, near_dedup
 from panelspark.llm.common import held_out, stored
 
 LEAST_LANGUAGE_SHARE = 0.5
+#: Documents that share this part of their shingles are near copies.
+NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near(docs)
+    return near_dedup.drop_near(docs, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

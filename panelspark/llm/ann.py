@@ -284,7 +284,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     rows = rows.where(F.size("vec") == dim)
     # Equal vectors: one entry with its smallest ids. The window keeps k + 1 rows before it exchanges any.
     smallest = W.partitionBy("vec").orderBy("id")
-    firsts = rows.select("id", "vec").withColumn("at", F.row_number().over(smallest)).where(F.col("at") <= k + 1)
+    # Rows that repeat an id at one vector are one row first, else they would take the places of others.
+    firsts = rows.select("id", "vec").distinct().withColumn("at", F.row_number().over(smallest)).where(F.col("at") <= k + 1)
     entries = stored(firsts.groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(
         F.col("ids")[0].alias("uid"), "vec", "ids"))
     asked = stored(rows.where("asks").select(F.col("id").alias("query_id"), "vec").distinct().join(

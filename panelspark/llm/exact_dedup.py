@@ -87,15 +87,20 @@ def mark(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_co
 
 
 def drop_copies(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, one for each text, with all their columns.
 
     Only the ids to drop are joined back. Where an id repeats, each of its
-    rows is judged with its own text.
+    rows is judged with its own text, and of rows that repeat both one stays.
     """
-    gone = mark(docs, keep, id_col, text_col).where("not kept").select(
-        F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    judged = stored(mark(docs, keep, id_col, text_col).where("group_size > 1"))
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
     own = docs.withColumn("_own_sha", F.sha2(
         lower_ascii(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("binary"), 256))
-    return own.join(
-        gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")) & (F.col("_own_sha") == F.col("_gone_sha")), "left_anti"
-    ).drop("_own_sha")
+    here = lambda side: F.col(f"`{id_col}`").eqNullSafe(F.col(f"_{side}_id")) & (F.col("_own_sha") == F.col(f"_{side}_sha"))
+    left = own.join(gone, here("gone"), "left_anti")
+    twice = stored(judged.where("kept").groupBy(F.col("doc_id").alias("_twice_id"), F.col("text_sha256").alias("_twice_sha")).agg(
+        F.count("*").alias("_rows")).where("_rows > 1"))
+    if twice.limit(1).count():
+        repeated = left.join(twice, here("twice"), "left_semi").dropDuplicates([id_col, "_own_sha"])
+        left = left.join(twice, here("twice"), "left_anti").union(repeated)
+    return left.drop("_own_sha")

@@ -55,7 +55,6 @@ SCRIPTS = (
     ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF),
     ("hangul", 0xAC00, 0xD7AF),
 )
-LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def script_of(letters: str) -> str:
@@ -67,7 +66,7 @@ def script_of(letters: str) -> str:
 
 
 def letters_of(word: str) -> str:
-    return "".join(LETTERS.findall(word)).lower()
+    return (word if word.isalpha() else "".join(filter(str.isalpha, word))).lower()
 
 
 def grams_of(letters: str) -> list[str]:
