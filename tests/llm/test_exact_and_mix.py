@@ -46,7 +46,7 @@ def test_drop_copies_keeps_columns(spark):
     docs = awkward(spark)
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns
-    assert sorted(r["doc_id"] for r in left.collect()) == [2, 4, 4, 5, 6, 7, 8, 9, 10, 11, 12]
+    assert sorted(r["doc_id"] for r in left.collect()) == [2, 4, 5, 6, 7, 8, 9, 10, 11, 12]  # of the two equal rows of 4 one stays
 
 
 def fixed_point(sizes, limit=3):

@@ -222,3 +222,7 @@ def test_every_labelled_example_can_be_found(spark):
     for i, _, y in copies:
         assert i - 1000 in {e["doc_id"] for e in found[i]["evidence"] if e["cosine"] > 0.999}
         assert (found[i]["score"] >= toxicity.THRESHOLD) == bool(y)
+
+
+def test_numerals_are_no_letters():
+    assert [langid.letters_of(w) for w in ("½", "²①", "x²y", "Été,", "_a1b")] == ["", "", "xy", "été", "ab"]

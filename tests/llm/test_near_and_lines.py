@@ -16,7 +16,7 @@ def shingles(text):
     return {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """doc_id -> (set size, smallest id of its component)."""
     sets, parent = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
 
@@ -31,7 +31,7 @@ def brute(rows):
         for s in sets[i]:
             posted[s].append(i)
         for j, n in common.items():
-            if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in sets}

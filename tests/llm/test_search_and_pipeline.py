@@ -84,7 +84,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     for r in known:
         largest[lower(r["text"])] = max(r["doc_id"], largest.get(lower(r["text"]), -1))
     assert sorted(r["doc_id"] for r in distinct) == sorted(largest.values())
-    named = brute([(r["doc_id"], r["text"]) for r in distinct])
+    named = brute([(r["doc_id"], r["text"]) for r in distinct], percent=80)
     assert sorted(r["doc_id"] for r in apart) == sorted(i for i, (_, c) in named.items() if i == c)
     frame = spark.createDataFrame([(r["doc_id"], r["text"], r["source"]) for r in apart], "doc_id bigint, text string, source string")
     copies = {r["doc_id"]: r["copies"] for r in rows_of(mixing.plan_mix(frame))}
@@ -128,3 +128,10 @@ def test_isolated_queries_have_their_neighbours(spark):
         best = sorted((d, i) for i, d in nearest.items())[:10]
         assert [k for k, _, _ in sorted(mine)] == list(range(1, 11))
         assert [i for _, i, _ in sorted(mine)] == [i for _, i in best]
+
+
+def test_repeated_rows_of_an_id_take_one_place(spark):
+    rows = [(100, [1.0, 0.0])] + [(5, [1.0, 0.1])] * 12 + [(6, [1.0, 0.1]), (7, [1.0, 0.1])] + [(10 + i, [9.0, float(i)]) for i in range(10)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = {x["rank"]: x["id"] for x in rows_of(ann.search(table, F.col("vec_id") % 100 == 0))}
+    assert [found[r] for r in range(1, 11)] == [5, 6, 7, 10, 11, 12, 13, 14, 15, 16]
