@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import list_udf, stored
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 UNIT = "array<struct<digest binary, unit int, start int, end int>>"
 

@@ -48,7 +48,7 @@ WITH lines AS (
     translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
   FROM lines
 ), ranked AS (
-  SELECT *, len(words) >= 5 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, unit) > 1 AS gone
+  SELECT *, len(words) >= 1 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, unit) > 1 AS gone
   FROM normal
 ), done AS (
   SELECT doc_id, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n_spans, sum(CASE WHEN gone THEN length(line) ELSE 0 END) AS n_removed,
@@ -328,10 +328,12 @@ WITH RECURSIVE damaged AS (
          coalesce(lag(role) OVER w, '') AS before, left(role, 1) AS initial
   FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
 ), faulty AS (
-  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank FROM placed
+  SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank FROM placed
 ), judged AS (
   SELECT *, NOT blank AND said > 1 AS duplicate, blank OR said > 1 AS must,
-         NOT blank AND said = 1 AND NOT regexp_matches(text, '[.!?][ 	-]*\z') AS truncated,
+         NOT blank AND said = 1 AND NOT regexp_matches(text, '[.!?][ 	-
+]*\z') AS truncated,
          i > 1 AND left(before, 1) || initial NOT IN ('su', 'ua', 'au') AS illegal
   FROM faulty
 ), counted AS (
