@@ -13,8 +13,7 @@ cover all documents. Examples are kept in blocks; an inverted index holds the
 postings of each term by block, with the largest weight in the block. A query
 adds these maxima to an upper bound for each block, visits blocks from the
 highest bound down, scores their postings exactly, and stops when no block
-left can reach the k-th best cosine; a query that meets many blocks in many
-terms is scored over whole lists at once instead. The neighbours vote with their cosine as
+left can reach the k-th best cosine. The neighbours vote with their cosine as
 weight, smoothed towards the rate of the sample:
 
     score = (sum of weight * label + PRIOR * rate) / (sum of weight + PRIOR)
@@ -34,26 +33,26 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import list_udf, share, slices, stored
+from .common import SLICE, share, slices, stored
 from .labelled import sample_texts
 
 MAX_EXAMPLES = 8192
-MAX_TERMS = 4096
 LEAST_EVIDENCE = 8.0
 LEAST_ODDS = 4.25
 OWN_TERMS = 8
-WHOLE_LISTS = 512
 PIECES = (4, 5)
 KEPT_TOKENS = 100_000
 LONGEST_KEPT = 64
-LONGEST_KEY = 4
 NEIGHBOURS = 15
 PRIOR = 1.0
 BLOCK = 64
+CELLS = 1 << 21
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W_]+")
 
@@ -61,11 +60,11 @@ WORDS = re.compile(r"[^\W_]+")
 def terms_of(token: str) -> list[str]:
     """Words of a token without white space, and their pieces, as often as they occur."""
     out = []
-    for word in WORDS.findall(token):
+    for word in (token,) if token.isalnum() else WORDS.findall(token):
         out.append(word)
         padded = f"^{word}$"
         for size in PIECES:
-            out.extend(padded[i:i + size] for i in range(len(padded) - size + 1))
+            out += [padded[i:i + size] for i in range(len(padded) - size + 1)]
     return out
 
 
@@ -97,8 +96,7 @@ def _term_counts(batches):
     yield flushed()
 
 
-def choose_terms(examples: DataFrame, limit: int = MAX_TERMS, least: float = LEAST_EVIDENCE,
-                 odds: float = LEAST_ODDS) -> list[str]:
+def choose_terms(examples: DataFrame, least: float = LEAST_EVIDENCE, odds: float = LEAST_ODDS) -> list[str]:
     """Terms of a bounded table (doc_id, label, text) whose presence goes with either label, strongest first, then own terms."""
     sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -114,7 +112,7 @@ def choose_terms(examples: DataFrame, limit: int = MAX_TERMS, least: float = LEA
     seen = stored(seen.select("term", "m", evidence.alias("evidence"), with_one.alias("with_one"), with_zero.alias("with_zero")))
     telling = (F.col("with_one") >= odds * F.col("with_zero")) | (F.col("with_zero") >= odds * F.col("with_one"))
     kept = seen.where(telling & (F.col("evidence") >= least))
-    chosen = [r["term"] for r in kept.orderBy(F.desc("evidence"), "term").limit(limit).collect()]
+    chosen = [r["term"] for r in kept.orderBy(F.desc("evidence"), "term").collect()]  # bounded by the sample
     return chosen + _own_terms(examples, seen, chosen)
 
 
@@ -143,103 +141,158 @@ def _own_terms(examples: DataFrame, seen: DataFrame, chosen: list[str]) -> list[
 
 def with_counts(docs: DataFrame, terms: list[str], text_col: str = "text", out: str = "term_counts") -> DataFrame:
     """``docs`` with array<struct<term: int, n: int>>: how often each chosen term occurs in the whole text."""
-    shared = share(docs.sparkSession, {t: i for i, t in enumerate(terms)})  # at most MAX_TERMS and OWN_TERMS an example
+    shared = share(docs.sparkSession, {t: i for i, t in enumerate(terms)})  # bounded by the sample
+
+    def count_all(batches):
+        import pyarrow as pa
 
-    def setup():
         at, known = shared(), {}
 
         def hits_of(token: str) -> tuple[int, ...]:
-            hits = tuple(at[x] for x in terms_of(token) if x in at)
+            hits = tuple([at[x] for x in terms_of(token) if x in at])
             if len(token) <= LONGEST_KEPT:
                 if len(known) >= KEPT_TOKENS:
                     known.clear()
                 known[token] = hits
             return hits
 
-        def counts_of(text: str | None) -> list[dict[str, int]]:
+        def counts_of(text: str | None) -> list[tuple[int, int]]:
             tokens = text.lower().split() if text and at else []
             found = [known.get(w) for w in tokens]
             if None in found:
                 found = [hits_of(w) if hits is None else hits for w, hits in zip(tokens, found, strict=True)]
-            counts = Counter(x for hits in found if hits for x in hits)
-            return [{"term": t, "n": n} for t, n in sorted(counts.items())]
+            return sorted(Counter(chain.from_iterable(found)).items())
 
-        return lambda texts: [counts_of(t) for t in texts]
+        for batch in batches:
+            ends, terms, counts = [0], [], []
+            for i in range(0, len(batch), SLICE):
+                for text in batch.slice(i, SLICE).to_pylist():
+                    if pairs := counts_of(text):
+                        own, times = zip(*pairs, strict=True)
+                        terms.extend(own)
+                        counts.extend(times)
+                    ends.append(len(terms))
+            flat = pa.StructArray.from_arrays([pa.array(terms, pa.int32()), pa.array(counts, pa.int32())], ["term", "n"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
     import pyarrow as pa
 
-    kind = pa.list_(pa.struct([("term", pa.int32()), ("n", pa.int32())]))
-    return docs.withColumn(out, list_udf(setup, kind, "array<struct<term int, n int>>")(F.col(f"`{text_col}`")))
+    # arrow_udf reads its form from type hints.
+    count_all.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    udf = F.arrow_udf(count_all, "array<struct<term int, n int>>")
+    return docs.withColumn(out, udf(F.col(f"`{text_col}`")))
 
 
 class BlockMaxIndex:
-    """Examples as unit TF-IDF vectors, in blocks, with the largest weight of each term in each block."""
+    """Examples as unit TF-IDF vectors in blocks, as flat arrays.
 
-    def __init__(self, examples: Iterable[tuple[int, int, dict[int, int]]], idf: list[float], block: int = BLOCK):
-        self.idf, self.block = idf, block
+    For each term a list of (block, largest weight in it); for each block its
+    postings (example, term, weight), ordered by term. Queries are answered
+    many at a time. ``visited`` has the number of blocks that each query of the
+    last search scored.
+    """
+
+    def __init__(self, examples: Iterable[tuple[int, int, dict[int, int]]], idf: Sequence[float], block: int = BLOCK):
+        self.idf, self.block = np.asarray(idf, np.float64), block
+        self.dense, self.visited = None, np.zeros(0, np.int64)
         vectors = [(doc, label, self.unit(counts)) for doc, label, counts in examples]
         empty = [label for _, label, v in vectors if not v]
         # Alike examples share a block, so that bounds are tight.
         filled = sorted((x for x in vectors if x[2]), key=lambda x: (sorted(x[2], key=lambda t: -x[2][t]), x[0]))
-        self.ids, self.labels = [x[0] for x in filled], [x[1] for x in filled]
+        self.ids = np.array([x[0] for x in filled], np.int64)
+        self.labels = np.array([x[1] for x in filled], np.int32)
         self.n_blocks = -(-len(filled) // block)
-        self.postings: dict[int, dict[int, list[tuple[int, float]]]] = {}
-        for i, (_, _, vector) in enumerate(filled):
-            for term, weight in vector.items():
-                self.postings.setdefault(term, {}).setdefault(i // block, []).append((i, weight))
-        self.maxima = {t: {b: max(w for _, w in hits) for b, hits in blocks.items()} for t, blocks in self.postings.items()}
-        self.lists: dict[int, tuple] = {}  # those that queries have met, as arrays
+        rows = np.repeat(np.arange(len(filled), dtype=np.int32), [len(x[2]) for x in filled])
+        terms = np.array([t for x in filled for t in x[2]], np.int32)
+        weights = np.array([w for x in filled for w in x[2].values()], np.float64)
+        order = np.lexsort((rows, terms, rows // block))
+        self.rows, self.terms, self.weights = rows[order], terms[order], weights[order]
+        self.block_at = np.searchsorted(self.rows // block, np.arange(self.n_blocks + 1))
+        # A list entry is a run of one term in one block; the lists are then laid out by term.
+        at = self.rows // block
+        starts = np.flatnonzero(np.r_[True, (np.diff(self.terms) != 0) | (np.diff(at) != 0)]) if len(at) else np.zeros(0, np.int64)
+        tops = np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0)
+        by_term = np.lexsort((at[starts], self.terms[starts]))
+        self.list_blocks, self.list_tops = at[starts][by_term], tops[by_term]
+        self.list_at = np.searchsorted(self.terms[starts][by_term], np.arange(len(self.idf) + 1))
         n = len(vectors)
         self.rate = sum(label for _, label, _ in vectors) / n if n else 0.0
         self.rate_without_terms = (sum(empty) + PRIOR * self.rate) / (len(empty) + PRIOR) if n else 0.0
 
+    def _weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        raw = (1.0 + np.log(counts)) * self.idf[terms]
+        norm = math.sqrt(float(raw @ raw))
+        return raw / norm if norm > 0 else raw
+
     def unit(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1.0 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()} if norm > 0 else {}
+        terms = np.fromiter(counts, np.int64, len(counts))
+        found = self._weights(terms, np.fromiter(counts.values(), np.float64, len(counts)))
+        return dict(zip(counts, found.tolist(), strict=True)) if found.any() else {}
+
+    def _maxima(self) -> np.ndarray:
+        """terms x blocks: the largest weight of each term in each block; laid out once in a task."""
+        if self.dense is None:
+            self.dense = np.zeros((len(self.idf), self.n_blocks))
+            self.dense[np.repeat(np.arange(len(self.idf)), np.diff(self.list_at)), self.list_blocks] = self.list_tops
+        return self.dense
+
+    def _score(self, queries: np.ndarray, wanted: np.ndarray, scores: np.ndarray) -> None:
+        """Exact cosines of the wanted (query, block) pairs; each block is opened once for all its queries."""
+        for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+            part = slice(self.block_at[b], self.block_at[b + 1])
+            first, last = b * self.block, min((b + 1) * self.block, len(self.ids))
+            terms, column = np.unique(self.terms[part], return_inverse=True)
+            opened = np.zeros((len(terms), last - first))
+            opened[column, self.rows[part] - first] = self.weights[part]
+            asked = np.flatnonzero(wanted[:, b])
+            scores[asked, first:last] = np.round(queries[np.ix_(asked, terms)] @ opened, 12)
+
+    def search(self, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS):
+        """For each query i, with the terms ends[i] to ends[i + 1]: cosines and positions of its k nearest examples.
+
+        All cosines are above 0, ties go to the smaller id. Every query first
+        visits its blocks of highest bound, enough for k examples twice, and
+        then those whose bound reaches its k-th best cosine so far.
+        """
+        n = len(ends) - 1
+        queries = np.zeros((n, len(self.idf)))
+        for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            queries[i, terms[a:b]] = self._weights(terms[a:b], counts[a:b])
+        scores, none = np.zeros((n, len(self.ids))), (np.zeros(0), np.zeros(0, np.int64))
+        self.visited = np.zeros(n, np.int64)
+        if not self.n_blocks:
+            return [none] * n
+        bounds = queries @ self._maxima()
+        first = min(self.n_blocks, 2 * -(-k // self.block))
+        wanted = np.zeros(bounds.shape, bool)
+        np.put_along_axis(wanted, np.argpartition(-bounds, first - 1, axis=1)[:, :first], True, axis=1)
+        wanted &= bounds > 0
+        self._score(queries, wanted, scores)
+        k = min(k, len(self.ids))
+        least = np.partition(scores, -k, axis=1)[:, -k]
+        rest = (bounds > 0) & (bounds >= least[:, None] - 1e-9) & ~wanted
+        self._score(queries, rest, scores)
+        self.visited = (wanted | rest).sum(axis=1)
+        least = np.partition(scores, -k, axis=1)[:, -k]
+        out = []
+        for own, floor in zip(scores, least, strict=True):
+            at = np.flatnonzero((own >= floor) & (own > 0))
+            at = at[np.lexsort((self.ids[at], -own[at]))[:k]]
+            out.append((own[at], at))
+        return out
 
     def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int, int]]:
-        """(cosine, id, label) of the k examples of largest cosine, all above 0; ties to the smaller id."""
-        query = self.unit(counts)
-        if sum(len(self.maxima.get(t, ())) for t in query) > WHOLE_LISTS:
-            return self._over_lists(query, k, without)
-        bounds: dict[int, float] = {}
-        for term, weight in query.items():
-            for b, top in self.maxima.get(term, {}).items():
-                bounds[b] = bounds.get(b, 0.0) + weight * top
-        best: list[tuple[float, int, int]] = []
-        for b, bound in sorted(bounds.items(), key=lambda x: (-x[1], x[0])):
-            if len(best) == k and bound < -best[-1][0] - 1e-9:
-                break
-            scores: dict[int, float] = {}
-            for term, weight in query.items():
-                for i, w in self.postings.get(term, {}).get(b, ()):
-                    scores[i] = scores.get(i, 0.0) + weight * w
-            found = [(-round(s, 12), self.ids[i], self.labels[i]) for i, s in scores.items() if self.ids[i] != without]
-            best = sorted(best + found)[:k]
-        return [(-s, doc, label) for s, doc, label in best]
-
-    def _over_lists(self, query: dict[int, float], k: int, without: int | None) -> list[tuple[float, int, int]]:
-        import numpy as np
-
-        for t in query.keys() & self.postings.keys() - self.lists.keys():
-            at, own = zip(*[hit for hits in self.postings[t].values() for hit in hits], strict=True)
-            self.lists[t] = np.array(at, np.int32), np.array(own)
-        met = [(*self.lists[t], w) for t, w in query.items() if t in self.lists]
-        scores = np.bincount(np.concatenate([at for at, _, _ in met]), np.concatenate([own * w for _, own, w in met]), len(self.ids))
-        scores = np.round(scores, 12)
-        least = np.partition(scores, -k - 1)[-k - 1] if len(scores) > k + 1 else 0.0  # one more, for ``without``
-        found = [(-float(scores[i]), self.ids[i], self.labels[i]) for i in np.flatnonzero((scores >= least) & (scores > 0))
-                 if self.ids[i] != without]
-        return [(-s, doc, label) for s, doc, label in sorted(found)[:k]]
-
-    def vote(self, counts: dict[int, int], k: int = NEIGHBOURS, without: int | None = None):
-        """(score, neighbours) of a text with these term counts."""
-        near = self.nearest(counts, k, without) if counts else []
-        if not near:
-            return self.rate_without_terms, near
-        weight = sum(s for s, _, _ in near)
-        return (sum(s * label for s, _, label in near) + PRIOR * self.rate) / (weight + PRIOR), near
+        """(cosine, id, label) of the k examples of largest cosine, of a text with these term counts."""
+        terms, values = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+        [(scores, at)] = self.search(np.array([0, len(counts)]), terms, values, k + (without is not None))
+        found = zip(scores.tolist(), self.ids[at].tolist(), self.labels[at].tolist(), strict=True)
+        return [x for x in found if x[1] != without][:k]
+
+    def vote(self, scores: np.ndarray, at: np.ndarray) -> float:
+        """The score of a text with these neighbours."""
+        if not len(at):
+            return self.rate_without_terms
+        return (float(scores @ self.labels[at]) + PRIOR * self.rate) / (float(scores.sum()) + PRIOR)
 
 
 def build_index(counted: DataFrame, sample: DataFrame, n_terms: int) -> BlockMaxIndex:
@@ -264,28 +317,26 @@ def scored(counted: DataFrame, index: BlockMaxIndex, k: int = NEIGHBOURS, out: s
     """``counted`` with a struct column ``out``: score, evidence (id, cosine and label of the neighbours)."""
     shared = share(counted.sparkSession, index)  # at most MAX_EXAMPLES vectors
 
-    def setup():
-        own, known = shared(), {}
-
-        def score_of(counts) -> dict:
-            key = tuple((x["term"], x["n"]) for x in counts or [])
-            if key in known:
-                return known[key]
-            score, near = own.vote(dict(key), k)
-            found = {"score": score, "evidence": [{"doc_id": d, "cosine": s, "label": y} for s, d, y in near]}
-            if len(key) <= LONGEST_KEY:
-                if len(known) >= KEPT_TOKENS:
-                    known.clear()
-                known[key] = found
-            return found
+    def score_all(batches):
+        import pyarrow as pa
 
-        return lambda rows: [score_of(r) for r in rows]
+        own = shared()
+        step = max(1, min(SLICE, CELLS // max(len(own.idf), len(own.ids), 1)))  # so that a group's tables stay small
+        for batch in batches:
+            ends = batch.offsets.to_numpy().astype(np.int64)
+            terms = batch.values.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = batch.values.field(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            found = [x for i in range(0, len(batch), step) for x in own.search(ends[i:i + step + 1], terms, counts, k)]
+            cosines, at = (np.concatenate([np.zeros(0, x), *[f[i] for f in found]]) for i, x in enumerate((np.float64, np.int64)))
+            sizes = np.cumsum([0, *[len(f[1]) for f in found]]).astype(np.int32)
+            evidence = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays(
+                [pa.array(own.ids[at]), pa.array(cosines), pa.array(own.labels[at])], ["doc_id", "cosine", "label"]))
+            yield pa.StructArray.from_arrays([pa.array([own.vote(*f) for f in found], pa.float64()), evidence], ["score", "evidence"])
 
     import pyarrow as pa
 
-    kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct(
-        [("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))])
-    udf = list_udf(setup, kind, "score double, evidence array<struct<doc_id bigint, cosine double, label int>>")
+    score_all.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    udf = F.arrow_udf(score_all, "score double, evidence array<struct<doc_id bigint, cosine double, label int>>")
     return counted.withColumn(out, udf(F.col("term_counts")))
 
 

@@ -1,16 +1,18 @@
 """Language, quality and toxicity: held-out accuracy on the whole small table, and defined results."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import labelled, langid, quality, toxicity
+from panelspark.llm import common, labelled, langid, quality, toxicity
 from panelspark.llm.common import held_out, table
 from panelspark.llm.queries import QUERIES
 
-from .helpers import SF2, awkward, documents, in_test, nothing, rows_of
+from .helpers import SF, SF2, awkward, documents, in_test, nothing, rows_of
 
 
 def held(spark, name, *columns):
@@ -194,17 +196,53 @@ def test_every_labelled_language_is_learned(spark):
     assert [own.label(word(i))["lang"] for i in (0, 555, 1099)] == ["l0000", "l0555", "l1099"]
 
 
-def test_whole_lists_give_the_same_neighbours(monkeypatch):
+def test_block_bounds_skip_blocks_and_lose_nothing():
+    """Families of alike examples: the search of one family's text leaves most blocks out, with the neighbours of a full scan."""
     r = random.Random(15)
-    idf = [r.uniform(1, 5) for _ in range(30)]
-    index = toxicity.BlockMaxIndex([(i, i % 2, {r.randrange(30): r.randint(1, 4) for _ in range(r.randint(0, 6))}) for i in range(300)], idf)
+    idf = [r.uniform(1, 5) for _ in range(400)]
+    families = [r.sample(range(400), 12) for _ in range(40)]
+    examples = [(i, i % 2, {t: r.randint(1, 4) for t in r.sample(families[i % 40], 8)}) for i in range(2000)]
+    small, whole = toxicity.BlockMaxIndex(examples, idf, 16), toxicity.BlockMaxIndex(examples, idf, 2000)
+    visited = []
     for _ in range(50):
-        counts = {r.randrange(30): r.randint(1, 4) for _ in range(4)}
-        monkeypatch.setattr(toxicity, "WHOLE_LISTS", 10**6)
-        by_blocks = index.nearest(counts, 15, 7)
-        monkeypatch.setattr(toxicity, "WHOLE_LISTS", 0)
-        found = index.nearest(counts, 15, 7)
-        assert [round(s, 9) for s, _, _ in found] == [round(s, 9) for s, _, _ in by_blocks] and 7 not in {d for _, d, _ in found}
+        counts = {t: r.randint(1, 4) for t in r.sample(families[r.randrange(40)], 8)}
+        found = small.nearest(counts, 15, 7)
+        assert [(round(s, 9), d) for s, d, _ in found] == [(round(s, 9), d) for s, d, _ in whole.nearest(counts, 15, 7)]
+        assert len(found) == 15 and 7 not in {d for _, d, _ in found}
+        visited.append(small.visited[0])
+    assert small.n_blocks == 125 and np.mean(visited) < 40
+
+
+def test_whole_query_against_a_plain_loop(spark):
+    """op8's search over all documents of the small table equals cosines over all examples, one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    sample = labelled.sample_labels(labels, F.col("toxic"), ~common.held_out(F.col("doc_id")), toxicity.MAX_EXAMPLES, "t")
+    terms = toxicity.choose_terms(labelled.sample_texts(docs, sample))
+    at = {t: i for i, t in enumerate(terms)}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    counted = {d: Counter(at[x] for w in t.lower().split() for x in toxicity.terms_of(w) if x in at) for d, t in texts.items()}
+    df = Counter(t for c in counted.values() for t in c)
+    idf = [math.log((1 + len(texts)) / (1 + df[i])) + 1.0 for i in range(len(terms))]
+
+    def unit(c):
+        raw = {t: (1 + math.log(n)) * idf[t] for t, n in c.items()}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        return {t: w / norm for t, w in raw.items()}
+
+    examples = [(r["doc_id"], r["label"], unit(counted[r["doc_id"]])) for r in sample.collect() if r["doc_id"] in counted]
+    rate = sum(y for _, y, _ in examples) / len(examples)
+    without = [y for _, y, v in examples if not v]
+    found = {r["doc_id"]: r["toxicity"] for r in rows_of(toxicity.classify(docs, sample))}
+    assert found.keys() == texts.keys()
+    for d, c in counted.items():
+        q = unit(c)
+        near = sorted((-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12), i, y) for i, y, v in examples)
+        near = [x for x in near if x[0] < 0][:toxicity.NEIGHBOURS]
+        total = -sum(s for s, _, _ in near)
+        want = (-sum(s * y for s, _, y in near) + rate) / (total + 1) if near else (sum(without) + rate) / (len(without) + 1)
+        assert found[d]["score"] == pytest.approx(want, abs=1e-9)
+        assert [round(e["cosine"], 9) for e in found[d]["evidence"]] == [round(-s, 9) for s, _, _ in near]
 
 
 def test_every_labelled_example_can_be_found(spark):
