@@ -19,21 +19,36 @@ def attach_daily(bars: DataFrame, daily: DataFrame) -> DataFrame:
     return bars.join(unique_rows(daily.withColumnRenamed("code", "StockCode"), SESSION), list(SESSION), "left")
 
 
+def active_covers(periods: DataFrame) -> DataFrame:
+    """(code, start_date, end_date): the days on which any interval of a code is open, as disjoint closed intervals.
+
+    A sweep over the ends of the intervals: each start counts one up, each end
+    one down after its day, and a cover lasts from the first start to where
+    the running count is zero again. A missing start or end is open; an
+    interval that ends before it starts has no days. One shuffle on code.
+    """
+    start, end = F.coalesce("start_date", F.lit(0)), F.least("end_date", F.lit(99991231))
+    events = periods.withColumns({"_a": start, "_b": end}).where(F.col("_a") <= F.col("_b")).select(
+        "code", F.inline(F.array(F.struct(F.col("_a").alias("_at"), F.lit(1).alias("_step")),
+                                 F.struct(F.col("_b").alias("_at"), F.lit(-1).alias("_step")))))
+    # Of one day the starts come first: intervals are closed.
+    swept = Window.partitionBy("code").orderBy("_at", F.desc("_step"))
+    counted = events.withColumn("_open", F.sum("_step").over(swept.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = counted.where((F.col("_open") == 0) | ((F.col("_open") == 1) & (F.col("_step") == 1)))
+    paired = edges.withColumn("_end", F.lead("_at").over(swept))
+    return paired.where(F.col("_step") == 1).select("code", F.col("_at").alias("start_date"), F.col("_end").alias("end_date"))
+
+
 def active_days(periods: DataFrame, calendar: DataFrame) -> DataFrame:
     """(code, Date) pairs on which an interval [start_date, end_date] is open.
 
-    Intervals are cut at the last date of the calendar and laid out day by
-    day, which turns the range condition into an equality on Date. The
-    calendar is reduced to its dates once and stored.
+    The covers of a code are disjoint, so each pair comes once; the dates of
+    the calendar travel as one array, a number a trade date.
     """
-    dates = stored(calendar.select("Date").distinct())
-    last = dates.select(F.max(S.date_col("Date"))).scalar()
-    first = dates.select(F.min(S.date_col("Date"))).scalar()
-    start, end = F.greatest(S.date_col("start_date"), first), S.date_col(F.least("end_date", F.lit(99991231)))
-    days = (periods.withColumns({"_a": start, "_b": F.least(end, last)}).where(F.col("_a") <= F.col("_b"))
-            .select("code", F.explode(F.sequence("_a", "_b")).alias("_d")))
-    keyed = days.select("code", (F.year("_d") * 10000 + F.month("_d") * 100 + F.dayofmonth("_d")).cast("int").alias("Date"))
-    return keyed.distinct().join(dates, "Date", "left_semi").select("code", "Date")
+    dates = calendar.select(F.collect_set(F.col("Date").cast("int")))
+    laid = active_covers(periods).withColumn("_dates", dates.scalar())
+    inside = F.filter("_dates", lambda d: (d >= F.col("start_date")) & (d <= F.col("end_date")))
+    return laid.select("code", F.explode(inside).alias("Date"))
 
 
 def with_trailing_adv(daily: DataFrame, days: int = 20) -> DataFrame:
@@ -116,21 +131,6 @@ def _own_trade() -> list[Column]:
     return [F.col("MinuteIndex").alias("minute"), F.col("Open").cast("double").alias("open"), F.col("vwap").alias("vwap")]
 
 
-def locked_all_day(df: DataFrame) -> DataFrame:
-    """Whether every bar of the session sits on a limit.
-
-    The flag looks at the whole session, also past the current bar; it is a
-    conservative rule, not a tradable signal.
-    """
-    return df.withColumns({"is_limit_up_all_day": _locked("up_limit"), "is_limit_down_all_day": _locked("down_limit")})
-
-
-def intraday_sigma(df: DataFrame, window: int = 20, min_count: int = 5) -> DataFrame:
-    """Trailing deviation (ddof 1) of one-bar simple returns."""
-    return (df.withColumn("_ret", _simple_return())
-            .withColumn("sigma_intraday", _trailing_std("_ret", window, min_count)).drop("_ret"))
-
-
 def next_trade(df: DataFrame) -> DataFrame:
     """Minute, open and VWAP of the next tradable bar."""
     return df.withColumn("_next", _next_tradable(F.struct(*_own_trade()))).withColumns({

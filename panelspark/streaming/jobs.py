@@ -59,6 +59,51 @@ def ingest_days(
     return run_available(stream, out, checkpoint, DATE_COLUMN)
 
 
+def ingest_versions(
+    spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, date: str = "Date",
+    version: str = "version", files_per_trigger: int = 64,
+) -> DataFrame:
+    """Days that may arrive again: the rows of a day's highest ``version`` replace all its earlier ones.
+
+    Every micro-batch writes the partitions (date, version, batch) it brings,
+    and then the ledger of them. A batch that is run again after a failure
+    overwrites its own partitions only, so it counts once; one version may come
+    in many files and batches; an older version that comes late changes
+    nothing. Rows without a date are left out; no version counts as 0.
+    """
+    keys = [DATE_COLUMN, version, "batch"]
+
+    def land(rows: DataFrame, batch_id: int) -> None:
+        dated = rows.where(F.col(date).isNotNull()).withColumns({
+            DATE_COLUMN: F.col(date).cast("int"), version: F.coalesce(F.col(version).cast("int"), F.lit(0)),
+            "batch": F.lit(batch_id).cast("bigint")})
+        for table, part, by in ((dated, "days", keys), (dated.select(*keys).distinct(), "ledger", ["batch"])):
+            (table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(*by).parquet(f"{out}/{part}"))
+
+    stream = read_stream(spark, source, schema, files_per_trigger)
+    query = (stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return read_versions(spark, out, schema, version)
+
+
+def read_versions(spark: SparkSession, out: str, schema: T.StructType, version: str = "version") -> DataFrame:
+    """The current rows of a table of ``ingest_versions``: the batches in the ledger that hold a day's highest version.
+
+    The ledger has a row a day and batch; it prunes the partitions that are read.
+    """
+    keys = [T.StructField(DATE_COLUMN, T.IntegerType()), T.StructField(version, T.IntegerType()), T.StructField("batch", T.LongType())]
+    kinds = T.StructType([f for f in schema.fields if f.name != version] + keys)
+    ledger = spark.read.schema(f"{DATE_COLUMN} int, {version} int, batch bigint").parquet(f"{out}/ledger")
+    latest = ledger.groupBy(DATE_COLUMN).agg(F.max(version).alias(version))
+    live = ledger.join(latest, [DATE_COLUMN, version], "left_semi")
+    days = spark.read.schema(kinds).parquet(f"{out}/days")
+    return days.join(live, [DATE_COLUMN, version, "batch"], "left_semi").drop("batch")
+
+
 def bars_from_events(
     events: DataFrame, ts: str = "ts", code: str = "user_id", price: str = "value", size: Column | None = None,
     width: str = "1 minute", delay: str = "10 minutes",

@@ -248,6 +248,23 @@ def test_interval_days(spark):
     assert got == {(3, 20240105), (3, 20240108), (3, 20240112), (7, 20240112), (7, 20240115)}
 
 
+def test_overlapping_and_open_intervals(spark):
+    import random
+
+    r = random.Random(9)
+    days = [20240100 + d for d in range(1, 29)]
+    cal = spark.createDataFrame([(d,) for d in r.sample(days, 20)] * 2, "Date int")
+    rows = [(c, r.choice([None, *days[:20]]), r.choice([None, 99991231, *days])) for c in range(40) for _ in range(r.randint(1, 5))]
+    periods = spark.createDataFrame(rows, "code int, start_date int, end_date int")
+    dates = {x["Date"] for x in cal.collect()}
+    want = sorted({(c, d) for c, a, b in rows for d in dates if (a or 0) <= d <= (b or 99991231)})
+    found = M.active_days(periods, cal)
+    assert sorted((x["code"], x["Date"]) for x in found.collect()) == want
+    covers = sorted((x["code"], x["start_date"], x["end_date"]) for x in M.active_covers(periods).collect())
+    assert all(p[0] != q[0] or p[2] < q[1] for p, q in zip(covers, covers[1:]))
+    assert "sequence" not in found._jdf.queryExecution().toString() and M.active_days(periods, cal.where("false")).count() == 0
+
+
 def test_drawdown_starts_at_the_first_wealth(spark):
     df = spark.createDataFrame([(1, -0.5), (2, 0.1), (3, -0.2)], "date int, gross_return double")
     got = rows_of(R.equity_curve(df), "date")

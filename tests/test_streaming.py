@@ -22,6 +22,29 @@ def test_days_are_ingested_once(spark, tmp_path):
     assert {r["trade_date"]: r["count"] for r in table.groupBy("trade_date").count().collect()} == {20240102: 3, 20240103: 3}
 
 
+def test_resent_days_replace_themselves_once(spark, tmp_path):
+    src, out, chk = (str(tmp_path / n) for n in ("src", "out", "chk"))
+    schema = "Date int, code int, x int, version int"
+
+    def send(rows, progress=chk):
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(src)
+        table = X.ingest_versions(spark, src, spark.createDataFrame([], schema).schema, out, progress, files_per_trigger=1)
+        return sorted((r["Date"], r["code"], r["x"], r["version"]) for r in table.collect())
+
+    first = [(d, c, c, 1) for d in (1, 2) for c in range(5)]
+    assert send(first) == first  # a version in several files and batches is whole
+    assert send([(2, 7, 70, 2), (2, 8, 80, 2)]) == first[:5] + [(2, 7, 70, 2), (2, 8, 80, 2)]
+    assert send([(2, 9, 90, 3), (None, 1, 1, 9)]) == first[:5] + [(2, 9, 90, 3)]
+    assert send([(2, 5, 50, 1), (3, 1, 1, None)]) == first[:5] + [(2, 9, 90, 3), (3, 1, 1, 0)]  # late and old
+    # A batch whose progress was lost runs again and overwrites only its own partitions.
+    import pathlib
+
+    last = max((p for p in pathlib.Path(chk, "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    pathlib.Path(chk, "commits", f".{last.name}.crc").unlink(missing_ok=True)
+    last.unlink()
+    assert send([(4, 1, 1, 1)]) == first[:5] + [(2, 9, 90, 3), (3, 1, 1, 0), (4, 1, 1, 1)]
+
+
 def test_bars_drop_late_ticks(spark, tmp_path):
     src = str(tmp_path / "src")
     schema = "ts timestamp_ntz, user_id int, value double"
