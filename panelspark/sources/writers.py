@@ -28,6 +28,19 @@ def write_bars(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .write.mode(mode).partitionBy(DATE_COLUMN).parquet(path))
 
 
+def write_bucketed_bars(df: DataFrame, table: str, path: str, buckets: int, mode: str = "overwrite") -> DataFrame:
+    """Bars as a table in buckets of (StockCode, Date), for the many jobs over sessions.
+
+    Windows and joins by session then read their bucket and need no exchange;
+    the one shuffle is paid here. The layout does not prune dates: where jobs
+    read few of them, ``write_bars`` is the better one. Choose ``buckets`` so
+    that one holds a few hundred MB; a session is never split.
+    """
+    (df.repartition(buckets, "StockCode", "Date").write.mode(mode).option("path", path)
+     .bucketBy(buckets, "StockCode", "Date").sortBy("StockCode", "Date", "MinuteIndex").saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
 def write_predictions(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, mode: str = "overwrite") -> dict[str, Any]:
     """Prediction table in files of bounded size, plus ``manifest.yaml``.
 

@@ -9,6 +9,7 @@ from ..functions.ranks import add_positions, add_value_ranks
 from ..operators import datasets as D, features as P, ic as I, partials, quality as Q, windows as window_tables
 from ..plans.dataset import split_training_rows
 from ..session import scratch, stored
+from ..sources import writers as W
 from . import adapters as A
 from .adapters import tidy
 from .catalog import query
@@ -46,6 +47,14 @@ def bar_features(spark, sf):
     return tidy(P.bar_features(A.bars(spark, sf), A.FEATURES).select(*KEYS, *COLS))
 
 
+@query("bucketed_bars", oracle(f"SELECT StockCode, Date, MinuteIndex, {ALL} FROM feature_rows", FLOATS))
+def bucketed_bars(spark, sf):
+    """The same features, from bars stored in buckets of their sessions: nothing is exchanged after the write."""
+    path = scratch(spark)
+    bars = W.write_bucketed_bars(A.bars(spark, sf), path.rsplit("/", 1)[1].replace("-", "_"), path, buckets=16)
+    return tidy(P.bar_features(bars, A.FEATURES).select(*KEYS, *COLS))
+
+
 @query("forward_label", oracle("SELECT StockCode, Date, MinuteIndex, label_ret FROM labels", "label_ret"))
 def forward_label(spark, sf):
     return tidy(P.forward_label(A.bars(spark, sf), 4, 1).select(*KEYS, "label_ret"))

@@ -26,6 +26,21 @@ def scores(bars):
     return P.with_short_keys(bars).select("date", "time", "code", (F.col("Close") % 1).alias("prediction"))
 
 
+def test_sessions_in_buckets_are_not_exchanged(spark, bars, tmp_path):
+    from panelspark.operators import market as M
+    from panelspark.sources import writers as W
+
+    table = W.write_bucketed_bars(bars, "bars_in_buckets", str(tmp_path / "bars"), 4)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    featured = P.bar_features(table)
+    assert "Exchange" not in plan(featured) and "Exchange" in plan(P.bar_features(bars))
+    state = M.next_trade(M.tradable_flags(table.withColumns({
+        "vwap": F.col("Close"), "up_limit": F.lit(99.0), "down_limit": F.lit(1.0), "is_st": F.lit(False), "adv_amount": F.lit(1e6)})))
+    assert "Exchange" not in plan(state)
+    assert featured.exceptAll(P.bar_features(bars)).count() == 0 and featured.count() == bars.count()
+    spark.sql("DROP TABLE bars_in_buckets")
+
+
 def test_adv_history_covers_scored_dates_only(spark, bars):
     daily = bars.groupBy(F.col("StockCode").alias("code"), "Date").agg(
         (F.max("High") * 2).alias("up_limit"), (F.min("Low") / 2).alias("down_limit"), F.sum("Amount").alias("daily_amount"))
