@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
+from .radix import select_quantiles
 
 WINDOW, RANGED = "window", "ranged"
 #: Key columns that bound a group by its meaning.
@@ -256,29 +257,28 @@ def group_quantiles(
 
     The window-sized plan uses the built-in exact percentile, whose state is
     one group's distinct values; the ranged plan looks the two neighbouring
-    values up by position instead and keeps no such state.
+    values up by position instead and keeps no such state. Over all rows the
+    ranged plan is a radix selection, which moves no values.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
     if choose_plan(keys, plan) == WINDOW:
         return rows.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in points.items()])
+    if not keys:
+        return select_quantiles(rows, {value: points})
     distinct = rows.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_ties"))
     placed = _with_running_total(distinct, keys, ["_v"], F.col("_ties"))
     picks, made = _interpolated(points, F.lit(True))
     return placed.groupBy(*keys).agg(*picks).select(*keys, *made)
 
 
-def column_quantiles(df: DataFrame, points: dict[str, dict[str, float]]) -> DataFrame:
-    """Exact quantiles of several columns over all rows, in one ranged pass; one row."""
-    columns = list(points)
-    cells = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("_c", "_v"))
-    distinct = cells.where(F.col("_v").isNotNull()).groupBy("_c", "_v").agg(F.count("*").alias("_ties"))
-    placed = _with_running_total(distinct, ["_c"], ["_v"], F.col("_ties"))
-    picks, made = [], []
-    for i, column in enumerate(columns):
-        own_picks, own_made = _interpolated(points[column], F.col("_c") == i)
-        picks, made = picks + own_picks, made + own_made
-    return placed.agg(*picks).select(*made)
+def column_quantiles(df: DataFrame, points: dict[str, dict[str, float]], store: bool = True) -> DataFrame:
+    """Exact quantiles of several columns over all rows by radix selection; one row.
+
+    Values are not moved, only counts of their digits. ``df`` is read a few
+    times; pass ``store=False`` if it is stored already.
+    """
+    return select_quantiles(df, points, store)
 
 
 def _interpolated(points: dict[str, float], own: Column) -> tuple[list[Column], list[Column]]:

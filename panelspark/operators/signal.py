@@ -134,7 +134,7 @@ def extreme_target_profile(df: DataFrame, hi: float = 0.995, lo: float = 0.005,
     The input is read once: the rows with their deciles are stored.
     """
     base = stored(_with_deciles(df, "signal_bucket", 10, plan).select("signal_bucket", F.col("target").cast("double")))
-    edges = column_quantiles(base, {"target": {"lo": lo, "hi": hi}}).select(F.array("lo", "hi")).scalar()
+    edges = column_quantiles(base, {"target": {"lo": lo, "hi": hi}}, store=False).select(F.array("lo", "hi")).scalar()
     total = base.select(F.count("*")).scalar()
     target = F.col("target")
     kinds = F.array_compact(F.array(
@@ -158,7 +158,7 @@ def prediction_scale(df: DataFrame, ddof: int = 1) -> DataFrame:
             F.avg(c).alias(f"{c}_mean"), T.spread(c, ddof).alias(f"{c}_std"), F.avg(F.abs(c)).alias(f"{c}_abs_mean"))
     ]).withColumn("_k", F.lit(0))
     tails = column_quantiles(rows, {
-        c: {f"{c}_p01": 0.01, f"{c}_p50": 0.50, f"{c}_p99": 0.99} for c in ("prediction", "target")}).withColumn("_k", F.lit(0))
+        c: {f"{c}_p01": 0.01, f"{c}_p50": 0.50, f"{c}_p99": 0.99} for c in ("prediction", "target")}, store=False).withColumn("_k", F.lit(0))
     return moments.join(tails, "_k").drop("_k").withColumn("std_ratio", S.ratio("prediction_std", "target_std"))
 
 

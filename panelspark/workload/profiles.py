@@ -242,7 +242,7 @@ SIDE = "SELECT unnest(['mean', 'std', 'p50']) AS metric, unnest([avg({c}), stdde
     a=SIDE.format(c="prediction"), b=SIDE.format(c="target")))
 def compare_to_parent(spark, sf):
     rows = stored(A.xsec(spark, sf).select("prediction", "target"))
-    middle = column_quantiles(rows, {c: {c: 0.5} for c in rows.columns})
+    middle = column_quantiles(rows, {c: {c: 0.5} for c in rows.columns}, store=False)
 
     def side(c):
         row = rows.agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")).withColumn("p50", middle.select(c).scalar())
