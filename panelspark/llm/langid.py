@@ -147,7 +147,12 @@ def fit(sample: DataFrame) -> Model:
 
 
 class Labeller:
-    """Applies a model; keeps the scores of words it has met."""
+    """Applies a model; keeps the scores of words it has met.
+
+    New words of a text are scored together: their letters form one array of
+    code points, a trigram is three of these in one 64-bit number, and all
+    trigrams are looked up at once.
+    """
 
     def __init__(self, model: Model, switch: float = SWITCH):
         import numpy as np
@@ -155,37 +160,62 @@ class Labeller:
         self.np, self.model, self.switch = np, model, switch
         self.width = len(model.languages)
         self.kept = min(KEPT_WORDS, KEPT_CELLS // (self.width + 2))
-        self.neutral = np.zeros(self.width)
-        self.masks = {s: np.where(ok, 0.0, WRONG_SCRIPT) for s, ok in model.scripts.items()}
+        codes = self.codes_of("".join(model.grams)).reshape(-1, 3)
+        codes = self.trigrams(codes[:, 0], codes[:, 1], codes[:, 2])
+        order = np.argsort(codes)
+        self.gram_codes, self.gram_at = codes[order], np.array(list(model.grams.values()), np.int64)[order]
+        # The masks of the script ranges in their order, then of letters outside them and of scripts without a sample.
+        self.firsts, self.lasts = (np.array([s[i] for s in SCRIPTS]) for i in (1, 2))
+        rows = [model.scripts.get(name) for name in [*(s[0] for s in SCRIPTS), "other", None]]
+        self.has_mask = np.array([r is not None for r in rows])
+        self.masks = np.array([np.zeros(self.width) if r is None else np.where(r, 0.0, WRONG_SCRIPT) for r in rows])
+        self.evident = self.masks.any(1)
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
         self.used, self.matrix = 0, self.np.zeros((1024, self.width + 2))
 
+    def codes_of(self, text: str):
+        return self.np.frombuffer(text.encode("utf-32-le"), self.np.uint32).astype(self.np.int64)
+
+    def trigrams(self, a, b, c):
+        return (a << 42) | (b << 21) | c  # a code point has 21 binary digits
+
     def rows_of(self, words: list[str]):
         """For each word a row: its score under each language, its number of letters, whether there is evidence."""
-        np = self.np
-        masks, grams, ends, sizes = [], [], [], []
-        lookup = self.model.grams
-        for word in words:
-            letters = letters_of(word)
-            mask = self.masks.get(script_of(letters)) if letters else None
-            if mask is not None:
-                grams.extend([g for x in grams_of(letters) if (g := lookup.get(x)) is not None])
-            masks.append(self.neutral if mask is None else mask)
-            ends.append(len(grams))
-            sizes.append(len(letters))
-        model, grams = self.model, np.array(grams, np.int64)
-        found = np.diff([0, *ends])  # known trigrams of each word
-        first, many = model.first[grams], model.first[grams + 1] - model.first[grams]
-        entries = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
-        cells = np.repeat(np.repeat(np.arange(len(words)), found), many) * self.width + model.at[entries]
-        gains = np.bincount(cells, model.gain[entries], len(words) * self.width).reshape(len(words), self.width)
+        np, model = self.np, self.model
+        letters = [letters_of(w) for w in words]
+        sizes = np.array([len(x) for x in letters], np.int64)
+        padded = np.where(sizes > 0, sizes + 2, 0)
+        codes = self.codes_of("".join([f"^{x}$" for x in letters if x]))
+        firsts = np.cumsum(padded) - padded
+        # The script of a word is that of its first letter; words without letters take the last, empty mask.
+        script = np.full(len(words), len(self.masks) - 1)
+        filled = np.flatnonzero(sizes)
+        lead = codes[firsts[filled] + 1]
+        at = np.searchsorted(self.firsts, lead, side="right") - 1
+        script[filled] = np.where((at >= 0) & (lead <= self.lasts[at]), at, len(SCRIPTS))
+        # Trigram starts: all places of a word but its last two.
+        known = np.where(self.has_mask[script], sizes, 0)
+        owner = np.repeat(np.arange(len(words)), known)
+        starts = np.arange(known.sum()) + np.repeat(firsts - np.cumsum(known) + known, known)
+        found = np.zeros(len(words), np.int64)
+        gains = np.zeros((len(words), self.width))
+        if len(starts) and len(self.gram_codes):
+            asked = self.trigrams(codes[starts], codes[starts + 1], codes[starts + 2])
+            place = np.minimum(np.searchsorted(self.gram_codes, asked), len(self.gram_codes) - 1)
+            hit = self.gram_codes[place] == asked
+            grams, owner = self.gram_at[place[hit]], owner[hit]
+            found = np.bincount(owner, minlength=len(words))
+            first, many = model.first[grams], model.first[grams + 1] - model.first[grams]
+            entries = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+            cells = np.repeat(owner, many) * self.width + model.at[entries]
+            gains = np.bincount(cells, model.gain[entries], len(words) * self.width).reshape(len(words), self.width)
         rows = np.empty((len(words), self.width + 2))
-        rows[:, :-2] = gains + found[:, None] * model.unseen + np.array(masks)
+        rows[:, :-2] = gains + found[:, None] * model.unseen + self.masks[script]
         rows[:, -2] = sizes
-        rows[:, -1] = (found > 0) | np.array([bool(m.any()) for m in masks])
+        rows[:, -1] = (found > 0) | self.evident[script]
         return rows
 
     def look_up(self, words: list[str]):
@@ -211,10 +241,12 @@ class Labeller:
     def path(self, scores):
         """The best language of each word."""
         np = self.np
-        best = int(scores.sum(0).argmax())
-        gained = np.cumsum(scores - scores[:, best:best + 1], 0)
-        low = np.minimum.accumulate(np.vstack([np.zeros(self.width), gained[:-1]]), 0)
-        opening, closing = gained.max(), (gained[-1] - np.minimum(low.min(0), gained[-1])).max()
+        by_lang = np.ascontiguousarray(scores.T)  # sums run along the words of a language
+        best = int(np.cumsum(by_lang, 1)[:, -1].argmax())
+        gained = np.cumsum(by_lang - by_lang[best], 1)
+        low = np.zeros_like(gained)
+        np.minimum.accumulate(np.minimum(gained[:, :-1], 0.0), 1, out=low[:, 1:])
+        opening, closing = gained.max(), (gained[:, -1] - np.minimum(low[:, -1], gained[:, -1])).max()
         if (gained - low).max() <= self.switch and max(opening, 0.0) + closing <= self.switch:
             return np.full(len(scores), best)
         rows, value, back = scores.tolist(), [0.0] * self.width, []
