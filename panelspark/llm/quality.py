@@ -24,6 +24,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from operator import eq
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,6 +38,7 @@ L2 = 2e-4
 MARK = 4.0
 BINS = (0.0, 0.01, 0.03, 0.1, 0.2, 0.4, 0.6, 0.8, 0.95)
 KEPT_WORDS = 100_000
+KEPT_SHAPES = 10_000
 LONGEST_KEPT = 64
 
 
@@ -44,41 +46,54 @@ class Features:
     """Hashed features of texts; keeps the buckets of words it has met."""
 
     def __init__(self, buckets: int = BUCKETS):
-        self.buckets, self.known = buckets, {}
+        self.buckets, self.known, self.shapes = buckets, {}, {}
 
     def bucket(self, name: str) -> int:
         return zlib.crc32(name.encode("utf-8", "surrogatepass")) % self.buckets
 
-    def of_word(self, word: str) -> tuple[int, int, tuple[bool, bool, bool]]:
-        """Buckets of the word and its shape, and its marks: shouted, signed (more than one closing sign), wordless."""
+    def of_word(self, word: str) -> tuple[int, int, tuple[bool, bool, bool] | None]:
+        """Buckets of the word and its shape, and its marks if any: shouted, signed (more than one closing sign), wordless."""
+        if word.isascii() and word.isalpha() and (word.islower() or word.isupper()):  # most words: no signs, one shape
+            upper = word.isupper()
+            return self.bucket("w:" + word.lower()), self.shape("A" if upper else "a"), (True, False, False) if upper and len(word) > 1 else None
         letters = re.sub(r"[\W_]+", "", word)
         folded = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
-        shape = re.sub(r"(.)\1+", r"\1", folded)[:LONGEST_KEPT]
         marks = (len(letters) > 1 and letters.isupper(), bool(re.search(r"[^\w\s]{2,}", word)), not letters)
-        return self.bucket("w:" + letters.lower()), self.bucket("s:" + shape), marks
+        return (self.bucket("w:" + letters.lower()), self.shape(re.sub(r"(.)\1+", r"\1", folded)[:LONGEST_KEPT]),
+                marks if any(marks) else None)
+
+    def shape(self, name: str) -> int:
+        found = self.shapes.get(name)
+        if found is None:
+            if len(self.shapes) >= KEPT_SHAPES:
+                self.shapes.clear()
+            found = self.shapes[name] = self.bucket("s:" + name)
+        return found
 
     def of_text(self, text: str | None):
         """(buckets, weights), weights of unit length."""
         import numpy as np
 
-        counts: Counter = Counter()
+        counts: dict[int, int] = {}
         words = text.split() if text else []
         once, marked = Counter(words), [0, 0, 0]
+        have = self.known
         for word, n in once.items():
-            known = self.known.get(word)
+            known = have.get(word)
             if known is None:
                 known = self.of_word(word)
                 if len(word) <= LONGEST_KEPT:
-                    if len(self.known) >= KEPT_WORDS:
-                        self.known.clear()
-                    self.known[word] = known
-            counts[known[0]] += n
-            counts[known[1]] += n
-            if any(known[2]):
-                marked = [m + n * k for m, k in zip(marked, known[2], strict=True)]
-        weights = {b: 1.0 + math.log(n) for b, n in counts.items()}
+                    if len(have) >= KEPT_WORDS:
+                        have.clear()
+                    have[word] = known
+            own, shape, marks = known
+            counts[own] = counts.get(own, 0) + n
+            counts[shape] = counts.get(shape, 0) + n
+            if marks:
+                marked = [m + n * k for m, k in zip(marked, marks, strict=True)]
+        weights = {b: 1.0 + math.log(n) if n > 1 else 1.0 for b, n in counts.items()}
         if words:
-            shares = (sum(map(str.__eq__, words, words[1:])), *marked, len(once))
+            shares = (sum(map(eq, words, words[1:])), *marked, len(once))
             for name, share in zip(("repeated", "shouted", "signed", "wordless", "distinct"), shares, strict=True):
                 b = self.bucket(f"{name}:{bisect.bisect_left(BINS, share / len(words))}")
                 weights[b] = weights.get(b, 0.0) + MARK
