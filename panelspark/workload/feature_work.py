@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.ranks import add_positions, add_value_ranks
+from ..functions.tables import register_session_function, register_session_metrics
 from ..operators import datasets as D, features as P, ic as I, partials, quality as Q, windows as window_tables
 from ..plans.dataset import split_training_rows
 from ..session import scratch, stored
@@ -226,6 +227,49 @@ def batch_score_windows(spark, sf):
     return tidy(D.batch_score(A.bars(spark, sf), score, ["Date", "MinuteIndex", "StockCode"], (0.1, 0.5), ["Close", "Vol"], 3), 4)
 
 
+@query("session_metrics_sql", oracle(
+    """SELECT StockCode, Date, max(CAST(climb AS DOUBLE)) AS longest_rise, min(fall) AS worst_fall FROM
+    (SELECT *, sum(CAST(up AS INT)) OVER (PARTITION BY StockCode, Date, run ORDER BY MinuteIndex) AS climb FROM
+    (SELECT *, sum(CASE WHEN up THEN 0 ELSE 1 END) OVER s AS run FROM
+    (SELECT *, coalesce(Close > lag(Close) OVER s, false) AS up, Close / max(Close) OVER s - 1 AS fall FROM bars
+    WINDOW s AS (PARTITION BY StockCode, Date ORDER BY MinuteIndex))
+    WINDOW s AS (PARTITION BY StockCode, Date ORDER BY MinuteIndex)))
+    GROUP BY StockCode, Date""", "worst_fall"))
+def session_metrics_sql(spark, sf):
+    """Metrics in Python that follow the order of a session, called from SQL."""
+    def longest_rise(session):
+        best = run = 0
+        for a, b in zip(session["Close"], session["Close"][1:]):
+            run = run + 1 if b > a else 0
+            best = max(best, run)
+        return float(best)
+
+    def worst_fall(session):
+        top, worst = 0.0, 0.0
+        for x in session["Close"]:
+            top = max(top, x)
+            worst = min(worst, x / top - 1)
+        return worst
+
+    register_session_metrics(spark, "panel_shape", {"longest_rise": longest_rise, "worst_fall": worst_fall}, ["Close"])
+    return tidy(spark.sql("SELECT * FROM panel_shape(TABLE({bars}))", bars=A.bars(spark, sf)))
+
+
+@query("session_model_sql", oracle(
+    """SELECT StockCode, Date, MinuteIndex, Close / (sum(Amount) OVER s / sum(Vol) OVER s) - 1 AS gap FROM bars
+    WINDOW s AS (PARTITION BY StockCode, Date ORDER BY MinuteIndex)""", "gap"))
+def session_model_sql(spark, sf):
+    """A model of whole sessions called from SQL: the close against the session's average price so far."""
+    def gap(session):
+        import numpy as np
+
+        close, vol, amount = (np.array(session[c], float) for c in ("Close", "Vol", "Amount"))
+        return {"gap": close / (np.cumsum(amount) / np.cumsum(vol)) - 1}
+
+    register_session_function(spark, "panel_gap", gap, ["Close", "Vol", "Amount"], {"gap": "double"})
+    return tidy(spark.sql("SELECT * FROM panel_gap(TABLE({bars}))", bars=A.bars(spark, sf)))
+
+
 @query("window_blocks", oracle(
     """SELECT StockCode, Date, CAST(count(*) AS BIGINT) AS windows, CAST(sum(run_len + 0) AS BIGINT) AS places FROM runs WHERE run_len >= 3 GROUP BY ALL""",
     runs=RUNS))
