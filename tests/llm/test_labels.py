@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -264,3 +265,46 @@ def test_every_labelled_example_can_be_found(spark):
 
 def test_numerals_are_no_letters():
     assert [langid.letters_of(w) for w in ("½", "²①", "x²y", "Été,", "_a1b")] == ["", "", "xy", "été", "ab"]
+
+
+def test_word_scores_equal_a_plain_loop():
+    languages = ["el", "en", "zh"]
+    rng = np.random.default_rng(5)
+    grams = ["^th", "the", "he^", "he$", "^κα", "καλ", "^我", "^我$", "爱$$", "^a$"]
+    grams = {g: i for i, g in enumerate(g for g in grams if len(g) == 3)}
+    many = rng.integers(1, 4, len(grams))
+    at = np.concatenate([rng.permutation(3)[:m] for m in many]).astype(np.int32)
+    scripts = {"latin": [False, True, False], "greek": [True, False, False], "han": [False, False, True]}
+    model = langid.Model(languages, scripts, grams, rng.normal(-9, 1, 3), np.cumsum([0, *many]), at, rng.uniform(1, 9, len(at)))
+    labeller = langid.Labeller(model)
+    words = ["the", "The,", "a", "καλή", "我", "我爱", "123", "!", "½", "мир", "𐐀𐐁", "th", "theκα", "İ", "x" * 90, "the"]
+    for words in (words, ["12"], ["the"], [w for w in words for _ in range(3)]):
+        got = labeller.rows_of(words)
+        for word, row in zip(words, got, strict=True):
+            letters = langid.letters_of(word)
+            ok = scripts.get(langid.script_of(letters)) if letters else None
+            own = [grams[g] for g in langid.grams_of(letters) if g in grams] if ok else []
+            want = len(own) * model.unseen
+            for g in own:
+                for e in range(model.first[g], model.first[g + 1]):
+                    want[at[e]] += model.gain[e]
+            if ok:
+                want = want + np.where(ok, 0.0, langid.WRONG_SCRIPT)
+            assert np.allclose(row[:-2], want, atol=1e-9) and row[-2] == len(letters)
+            assert row[-1] == (bool(own) or ok is not None)
+    empty = langid.Labeller(langid.Model([], {}, {}, np.zeros(0), np.zeros(1, int), np.zeros(0, np.int32), np.zeros(0)))
+    assert empty.label("some text") == {"lang": "und", "score": 0.0, "spans": []}
+
+
+def test_quality_features_equal_their_definition():
+    """Every word's buckets and marks by the plain rules, also for the words that take the short way."""
+    made = quality.Features()
+    words = ["word", "Word", "WORD", "wOrd", "a", "A", "aa", "AB", "x1", "12", "don't", "--", "ß", "ÄÖ", "Äö", "½", "a_b", "!!!", "é" * 80]
+    for word in words * 2:
+        letters = re.sub(r"[\W_]+", "", word)
+        shape = re.sub(r"(.)\1+", r"\1", "".join(
+            "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word))[:quality.LONGEST_KEPT]
+        marks = (len(letters) > 1 and letters.isupper(), bool(re.search(r"[^\w\s]{2,}", word)), not letters)
+        got = made.of_word(word)
+        assert got[:2] == (made.bucket("w:" + letters.lower()), made.bucket("s:" + shape))
+        assert (got[2] or (False, False, False)) == marks
