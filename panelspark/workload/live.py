@@ -85,17 +85,18 @@ def stream_ic(spark, sf):
 
 @query("stream_band_state", oracle("SELECT date, code, bar FROM band WHERE active", **BAND))
 def stream_band_state(spark, sf):
-    """Files of a year each arrive one by one and out of order, each pair reversed; nothing is lost."""
+    """Years arrive one by one and out of order, each pair reversed, in any number of files; nothing is lost."""
     rows = stored(A.pred(spark, sf).select(
         "code", "date", F.floor((F.col("time") - 93000) / 100).cast("int").alias("bar"),
         S.timestamp_key("date", "time", False).alias("ts"),
         (F.col("prediction") >= 0.2).alias("enter"), (F.col("prediction") >= -0.2).alias("hold")))
     path, out = scratch(spark), scratch(spark)
-    year = F.floor(F.col("date") / 10000)  # dates are yymmdd; the first file has all years before, the last all after
-    bounds = {12: year <= 12, **{y: year == y for y in range(13, 19)}, 19: year >= 19}
-    for first in (12, 14, 16, 18):
-        for y in (first + 1, first):
-            rows.where(bounds[y]).repartition("code").write.mode("append").parquet(path)
-    stream = X.band_state_stream(X.read_stream(spark, path, rows.schema, 1), delay="800 days")
-    done = X.run_available(stream, f"{out}/held", f"{out}/progress")
+    year = F.floor(F.col("date") / 10000).cast("int")
+    years = [r["year"] for r in rows.select(year.alias("year")).distinct().orderBy("year").collect()]
+    for i in range(0, len(years), 2):
+        for y in reversed(years[i:i + 2]):
+            rows.where(year == y).repartition("code").write.mode("append").parquet(path)
+            # The stream goes on with what has arrived: a year is one batch, however many files it has.
+            stream = X.band_state_stream(X.read_stream(spark, path, rows.schema), delay="800 days")
+            done = X.run_available(stream, f"{out}/held", f"{out}/progress")
     return X.close_bands(done, rows, delay="800 days").select("date", "code", "bar")

@@ -125,3 +125,18 @@ def test_finished_streams_are_closed(spark, tmp_path):
     whole = X.close_windows(done, spark.read.schema(df.schema).parquet(src), X.running_ic)
     assert done.count() < 30 and whole.count() == 30
     assert_same(rows_of(whole, "start"), rows_of(X.running_ic(df), "start"))
+
+
+def test_years_in_many_files_lose_nothing(spark):
+    from panelspark.workload import load
+
+    queries, _ = load()
+    sf = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a year is four files
+    try:
+        got = queries["stream_band_state"](spark, sf).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = queries["band_state"](spark, sf).collect()
+    pick = lambda rows: sorted((r["date"], r["code"], r["bar"]) for r in rows)
+    assert len(want) > 100 and pick(got) == pick(want)
