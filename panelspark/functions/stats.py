@@ -24,6 +24,19 @@ def pearson(x: ColumnLike, y: ColumnLike) -> Column:
     return F.when(F.abs(c) < 1e-12, 0.0).otherwise(c)
 
 
+def exact_avg(x: ColumnLike) -> Column:
+    """Mean that does not hang on the order of summation, so that equal sets of values have equal means.
+
+    Values are summed as decimals of 18 places. That is finer than sums of
+    doubles where the greatest magnitude is from 0.001 to 1e9; beyond that the
+    plain mean is taken.
+    """
+    v = col(x).cast("double")
+    most = F.max(F.abs(v))
+    total = F.sum(F.when(F.abs(v) < 1e9, v).cast("decimal(38,18)")).cast("double")
+    return F.when((most == 0) | most.between(1e-3, 1e9 - 1), total / F.count(v)).otherwise(F.avg(v))
+
+
 def spread(x: ColumnLike, ddof: int = 1) -> Column:
     return F.stddev_samp(col(x)) if ddof == 1 else F.stddev_pop(col(x))
 

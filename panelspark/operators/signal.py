@@ -163,9 +163,10 @@ def prediction_scale(df: DataFrame, ddof: int = 1) -> DataFrame:
 
 
 def mse(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean squared error and row count per candidate; candidates with the same errors have the same mean."""
     rows = finite_pairs(df)
     e = F.col("prediction").cast("double") - F.col("target").cast("double")
-    return rows.groupBy(*by).agg(F.avg(e * e).alias("mse"), F.count("*").alias("count"))
+    return rows.groupBy(*by).agg(T.exact_avg(e * e).alias("mse"), F.count("*").alias("count"))
 
 
 def best_candidate(scores: DataFrame, metric: str = "mse") -> DataFrame:

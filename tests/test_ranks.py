@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -155,3 +156,26 @@ def test_pearson_edge_cases(spark):
     got = {r["g"]: r["c"] for r in df.groupBy("g").agg(T.pearson("x", "y").alias("c")).collect()}
     assert got["flat"] is None and got["one"] is None
     assert got["nan"] == pytest.approx(1.0) and got["up"] == pytest.approx(1.0)
+
+
+def test_equal_candidates_tie_in_any_order(spark):
+    """Two candidates with the same errors, summed in opposite orders."""
+    import random
+
+    from panelspark.operators import signal
+
+    rng = random.Random(3)
+    errors = [round(rng.uniform(0, 0.1), 4) for _ in range(400)]
+    rows = [(c, e, 0.0) for c, part in (("a", errors), ("b", errors[::-1]), ("c", sorted(errors))) for e in part]
+    df = spark.createDataFrame([*rows, ("d", 1.0, 0.0)], "model string, prediction double, target double").coalesce(1)
+    ranks = {r["model"]: r["metric_rank"] for r in signal.best_candidate(signal.mse(df, ["model"])).collect()}
+    assert ranks == {"a": 1, "b": 1, "c": 1, "d": 4}
+
+
+def test_exact_avg_over_magnitudes(spark):
+    from panelspark.functions import stats
+
+    for values in ([1e-9, 3e-9], [1e12, 3e12], [0.0, 0.0], [None, 2.0], [-5e8, 5e8]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = df.agg(stats.exact_avg("v").alias("m"), F.avg("v").alias("w")).first()
+        assert math.isclose(got["m"], got["w"], rel_tol=1e-12, abs_tol=1e-30)
