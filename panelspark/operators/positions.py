@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S
-from ..functions.ranks import add_group_stats, add_positions, add_value_ranks, choose_plan
+from ..functions.ranks import WINDOW, add_group_stats, add_positions, add_value_ranks, choose_plan
 from ..schema import POSITIONS
+from ..session import by_groups
 from ..settings import CostSettings
 from .ic import CROSS_SECTION
 from .signal import cost_tier
@@ -56,14 +57,19 @@ def number_bars(df: DataFrame, by: Sequence[str], name: str = "slot_bar_id", ord
     return df.join(bars.withColumn(name, F.row_number().over(w)), keys)
 
 
-def _numbered_terciles(rows: DataFrame, plan: str | None) -> DataFrame:
+def _numbered_terciles(rows: DataFrame, plan: str | None, copies: int = 1) -> DataFrame:
     """Liquidity terciles and slot_bar_id of eligible rows.
 
     Every cross-section has a row in its first tercile and every selection
     keeps at least one row, so the bars are the same for all plans and are
-    numbered once, before rows are laid out per plan.
+    numbered once, before rows are laid out per plan, ``copies`` times each.
+    All windows of a cross-section then run in tasks of bounded rows, counted
+    first: the features should be stored.
     """
-    return liquidity_tercile(number_bars(rows, ["minute_slot"]), plan)
+    numbered = number_bars(rows, ["minute_slot"])
+    if plan == WINDOW:
+        numbered = by_groups(numbered, CROSS_SECTION, rows.count(), copies)
+    return liquidity_tercile(numbered, plan)
 
 
 def top_bottom_select(
@@ -140,7 +146,7 @@ def build_position_variants(
     """Target positions of many trade plans in one job, keyed by ``variant``."""
     rows = eligible_signals(features)
     plan = choose_plan(CROSS_SECTION, plan)
-    return _positions(lay_out_variants(_numbered_terciles(rows, plan), variants), ["variant"], price, costs, plan)
+    return _positions(lay_out_variants(_numbered_terciles(rows, plan, len(variants)), variants), ["variant"], price, costs, plan)
 
 
 # --- bands --------------------------------------------------------------------
@@ -156,7 +162,7 @@ def buffer_bands(
     """
     rows = eligible_signals(features)
     plan = choose_plan(CROSS_SECTION, plan)
-    rows = lay_out_variants(_numbered_terciles(rows, plan), variants).where(F.col("liq_bucket") <= F.col("max_liq_bucket"))
+    rows = lay_out_variants(_numbered_terciles(rows, plan, len(variants)), variants).where(F.col("liq_bucket") <= F.col("max_liq_bucket"))
     rows = add_positions(rows, ["variant", *CROSS_SECTION], ["prediction", "code"], rn="_rank", n="_n", plan=plan)
     enter, hold = keep_count(F.col("entry_frac"), F.col("_n")), keep_count(F.col("hold_frac"), F.col("_n"))
     from_top = F.col("_n") - F.col("_rank") + 1
@@ -174,7 +180,7 @@ def cost_bands(
     """
     rows = eligible_signals(features, positive_sigma=True)
     plan = choose_plan(CROSS_SECTION, plan)
-    rows = _numbered_terciles(rows, plan).where(F.col("liq_bucket") <= max_liq_bucket)
+    rows = _numbered_terciles(rows, plan, len(variants)).where(F.col("liq_bucket") <= max_liq_bucket)
     rows = rows.withColumn("_cost", F.col("sigma_intraday") / F.sqrt("adv_amount"))
     rows = add_value_ranks(rows, CROSS_SECTION, "_cost", {"percent": "cost_pct", "n": "_n"}, plan)
     rows = lay_out_variants(rows, variants)
