@@ -15,7 +15,7 @@ from ..functions.ranks import (
     RANGED, WINDOW, add_group_stats, add_member_ranks, add_positions, add_ranks_of, add_value_ranks, choose_plan, group_quantiles,
 )
 from ..schema import unique_rows
-from ..session import stored
+from ..session import by_groups, stored
 from .features import finite_pairs, forward_vol, linear_score, with_short_keys
 
 CROSS_SECTION = ("date", "time")
@@ -202,6 +202,10 @@ def _rolling_windows(
     rows = finite_pairs(df).withColumns({c: S.clean(c) for c in ("prediction", "target", label)})
     rows = rows.where(F.col(label).isNotNull())
     plan = choose_plan(keys, plan)
+    if plan == WINDOW:
+        # The windows of a cross-section sort its rows several times; tasks hold a bounded number of narrow rows.
+        rows = stored(rows.select(*dict.fromkeys([*keys, "prediction", "target", label, *order])))
+        rows = by_groups(rows, keys, rows.count())
     rows = add_ranks_of(rows, keys, {"prediction": {"avg": "_r"}, "target": {"avg": "_s"}}, plan)
     rows = add_positions(rows, keys, [label, *order], rn="_rn", n="_n", plan=plan)
     rows = add_group_stats(rows, keys, {"_mx": F.avg("prediction"), "_my": F.avg("target")}, plan)

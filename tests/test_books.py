@@ -286,3 +286,36 @@ def test_rebalance_gates(spark):
 def test_variant_matrix():
     assert len(TRADE_PLANS) == 11 and len(feature_groups()) == 4
     assert set(plan_parameters()[0]) == {"variant", "top_frac", "long_enabled", "short_enabled", "max_liq_bucket"}
+
+
+def test_cross_section_tasks_hold_bounded_rows(spark, monkeypatch):
+    """Variants and windows of cross-sections run in tasks whose rows are bounded, with the same rows as in one task."""
+    from panelspark import session
+    from panelspark.operators import ic, positions
+    from tests.helpers import feature_frame, random_features, rows_of
+
+    feats = feature_frame(spark, random_features(4)).cache()
+    costs = [{"variant": n, "sizing_method": n, "entry_cost_penalty": p} for n, p in (("equal", 0.0), ("cost_aware", 0.3))]
+    scores = feats.select("date", "time", "code", "prediction", F.col("ret_vwap_exec_10").alias("target"), "signal_amount")
+    runs = {
+        "bands": lambda: positions.cost_bands(feats, costs, max_liq_bucket=3, entry_frac=0.3, hold_frac=0.5),
+        "rolling": lambda: ic.rolling_group_ic(scores, "signal_amount", 4, 2).select("rank_bin", "count"),
+    }
+    order = {"bands": ("variant", "date", "time", "code"), "rolling": ("rank_bin",)}
+    whole = {name: rows_of(run(), *order[name]) for name, run in runs.items()}
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 60)
+    for name, run in runs.items():
+        df = run()
+        asked = [line for line in df._jdf.queryExecution().toString().splitlines() if "REPARTITION_BY_NUM" in line]
+        assert asked and "hashpartitioning(date" in asked[-1], name
+        assert rows_of(df, *order[name]) == whole[name] and whole[name]
+
+
+def test_unmatched_keys_with_nulls(spark):
+    from panelspark.operators import quality
+
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (4, None)], "k int, s string")
+    right = spark.createDataFrame([(1, "a"), (3, "b"), (None, "c")], "k int, s string")
+    got = sorted(quality.unmatched(left, right, ["k", "s"]).collect(), key=str)
+    want = [(2, "b", "left"), (3, "b", "right"), (4, None, "left"), (None, "c", "left"), (None, "c", "right")]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
