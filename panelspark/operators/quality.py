@@ -192,9 +192,15 @@ def join_validation(left: DataFrame, right: DataFrame, keys: Sequence[str], hori
 def unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys found on one side only, tagged by side."""
     keys = list(keys)
-    l, r = left.select(*keys).distinct(), right.select(*keys).distinct()
-    return (l.join(r, keys, "left_anti").withColumn("side", F.lit("left"))
-            .unionByName(r.join(l, keys, "left_anti").withColumn("side", F.lit("right"))))
+    rows = left.select(*keys, F.lit(1).alias("_side")).unionByName(right.select(*keys, F.lit(2).alias("_side")))
+    sides = rows.groupBy(*keys).agg(F.bit_or("_side").alias("_sides"))
+    # A NULL in a key matches nothing, as in a join: such keys stand on each side that has them.
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    found = (F.when(F.col("_sides") == 1, F.array(F.lit("left"))).when(F.col("_sides") == 2, F.array(F.lit("right")))
+             .when(~known, F.array(F.lit("left"), F.lit("right"))))
+    return sides.select(*keys, F.explode(found).alias("side"))
 
 
 def label_coverage(features: DataFrame, price: str = "vwap") -> DataFrame:
