@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S
@@ -138,17 +140,19 @@ def next_trade(df: DataFrame) -> DataFrame:
         "next_trade_vwap": F.col("_next.vwap")}).drop("_next")
 
 
-def entry_and_exit(df: DataFrame, delay: int, holding: int) -> DataFrame:
+def entry_and_exit(df: DataFrame, delay: int, holding: int, more: Sequence[int] = ()) -> DataFrame:
     """Execution of a signal at each bar: entry at the next tradable bar
     ``delay`` minutes on, exit at the one ``holding`` minutes after the entry.
 
     Seen from the entry bar the exit lies at a fixed offset, so each tradable
     bar carries its own exit along and the signal bar finds both through one
     keyed frame. No lookup join is needed. ``_next`` is the struct of the next
-    tradable bar.
+    tradable bar. With ``more`` holdings their exits follow from the same entry,
+    as the array ``exits`` of (minute, open, vwap), all NULL without an entry.
     """
-    rows = df.withColumn("_exit", _ahead("_next", holding))
-    rows = rows.withColumn("_trip", _next_tradable(F.struct(*_own_trade(), F.col("_exit").alias("exit"))))
+    rows = df.withColumns({"_exit": _ahead("_next", holding), **{f"_exit{i}": _ahead("_next", h) for i, h in enumerate(more)}})
+    others = [F.array(*[f"_exit{i}" for i in range(len(more))]).alias("exits")] if more else []
+    rows = rows.withColumn("_trip", _next_tradable(F.struct(*_own_trade(), F.col("_exit").alias("exit"), *others)))
     rows = rows.withColumn("_entry", _ahead("_trip", delay))
     return rows.withColumns({
         "entry_schedule_minute": F.col("MinuteIndex") + delay,
@@ -156,16 +160,19 @@ def entry_and_exit(df: DataFrame, delay: int, holding: int) -> DataFrame:
         "exit_schedule_minute": F.col("_entry.minute") + holding,
         "exit_exec_minute": F.col("_entry.exit.minute"),
         "exit_open": F.col("_entry.exit.open"), "exit_vwap": F.col("_entry.exit.vwap"),
-    }).drop("_exit", "_trip", "_entry")
+        **({"exits": F.col("_entry.exits")} if more else {}),
+    }).drop("_exit", "_trip", "_entry", *[f"_exit{i}" for i in range(len(more))])
 
 
 def market_state(
     bars: DataFrame, daily: DataFrame, st_days: DataFrame | None = None, cfg: MarketSettings = MarketSettings(),
+    more_holdings: Sequence[int] = (),
 ) -> DataFrame:
     """Bars with limits, trailing ADV, flags, sigma, and entry and exit trades.
 
     ADV is added to the daily table itself. The bars are shuffled once, on
-    (code, Date), for the joins and every window after them.
+    (code, Date), for the joins and every window after them. ``more_holdings``
+    add ``exits``, see :func:`entry_and_exit`.
     """
     side = with_trailing_adv(daily, cfg.adv_days).select("code", "Date", "up_limit", "down_limit", "adv_amount")
     out = attach_daily(bars, side)
@@ -180,7 +187,7 @@ def market_state(
         "is_limit_up_all_day": _locked("up_limit"), "is_limit_down_all_day": _locked("down_limit"),
         "_ret": _simple_return(), "_next": _next_tradable(F.struct(*_own_trade()))})
     out = out.withColumn("sigma_intraday", _trailing_std("_ret", cfg.sigma_window, cfg.sigma_min_count))
-    out = entry_and_exit(out, cfg.entry_delay, cfg.holding)
+    out = entry_and_exit(out, cfg.entry_delay, cfg.holding, more_holdings)
     return out.withColumns({
         "next_trade_minute": F.col("_next.minute"), "next_trade_open": F.col("_next.open"),
         "next_trade_vwap": F.col("_next.vwap")}).drop("_ret", "_next")
@@ -190,14 +197,14 @@ LEG_COLUMNS = [
     f"{leg}_{c}" for leg in ("entry", "exit") for c in ("schedule_minute", "exec_minute", "open", "vwap")]
 
 
-def universe(state: DataFrame) -> DataFrame:
-    """The signal-time columns of a market state, keyed by (date, time, code)."""
+def universe(state: DataFrame, *more: str | Column) -> DataFrame:
+    """The signal-time columns of a market state, keyed by (date, time, code), and ``more`` of its columns."""
     return state.select(
         F.col("StockCode").cast("int").alias("code"), S.short_date("Date").alias("date"), "time",
         F.col("MinuteIndex").alias("base_minute"),
         F.col("Open").alias("signal_open"), F.col("Close").alias("signal_close"), F.col("Vol").alias("signal_vol"),
         F.col("Amount").alias("signal_amount"), "adv_amount", "current_tradable", "sigma_intraday", "up_limit",
-        "down_limit", "is_limit_up_all_day", "is_limit_down_all_day", *LEG_COLUMNS)
+        "down_limit", "is_limit_up_all_day", "is_limit_down_all_day", *LEG_COLUMNS, *more)
 
 
 def next_trade_table(state: DataFrame) -> DataFrame:
@@ -238,6 +245,25 @@ def signal_left_join(rows: DataFrame, pred: DataFrame) -> DataFrame:
         "prediction_available", S.is_finite("prediction"))
 
 
+def scored_universe(state: DataFrame, pred: DataFrame, *more: str | Column) -> DataFrame:
+    """``universe`` at the times the scores cover, with the scores of :func:`signal_left_join`.
+
+    The wide rows of a state lie by session, and there they stay: the narrow
+    scores are brought to them, and a row finds its score among the few of its
+    session. The time is therefore matched by two bounds and not as a key of
+    the join. Short dates are days of the 2000s.
+    """
+    rows = allowed_times(universe(state, F.col("Date").alias("_day"), *more), pred)
+    keys = ["date", "time", "code"]
+    side = pred.select(*keys, "prediction", S.full_date("date").alias("_day")).repartition("code", "_day")
+    side = unique_rows(side, [*keys, "_day"])
+    same = (F.col("l.code") == F.col("r.code")) & (F.col("l._day") == F.col("r._day"))
+    for key in ("date", "time"):
+        same = same & F.col(f"l.{key}").between(F.col(f"r.{key}"), F.col(f"r.{key}"))
+    found = rows.alias("l").join(side.alias("r"), same, "left").select("l.*", "r.prediction").drop("_day")
+    return found.withColumn("prediction_available", S.is_finite("prediction"))
+
+
 def fillable_flags(df: DataFrame) -> DataFrame:
     return df.withColumns({
         f"fillable_{p}": F.col(f"entry_{p}").isNotNull() & F.col(f"exit_{p}").isNotNull() for p in ("open", "vwap")})
@@ -258,6 +284,5 @@ def execution_returns(df: DataFrame) -> DataFrame:
 
 def execution_features(pred: DataFrame, state: DataFrame, cfg: MarketSettings = MarketSettings()) -> DataFrame:
     """Scores joined to entry and exit executions: the fixed feature columns."""
-    rows = signal_left_join(allowed_times(universe(state), pred), pred).withColumn(
-        "minute_slot", S.minute_slot("base_minute", cfg.slot_mod))
+    rows = scored_universe(state, pred).withColumn("minute_slot", S.minute_slot("base_minute", cfg.slot_mod))
     return limit_touch_flags(fillable_flags(execution_returns(rows))).select(*EXECUTION_COLUMNS)

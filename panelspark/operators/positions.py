@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import scalar as S
 from ..functions.ranks import WINDOW, add_group_stats, add_positions, add_value_ranks, choose_plan
 from ..schema import POSITIONS
-from ..session import by_groups
+from ..session import by_groups, stored
 from ..settings import CostSettings
+from . import market as M
 from .ic import CROSS_SECTION
 from .signal import cost_tier
 
@@ -49,12 +50,26 @@ def liquidity_tercile(df: DataFrame, plan: str | None = None) -> DataFrame:
 def number_bars(df: DataFrame, by: Sequence[str], name: str = "slot_bar_id", order: Sequence[str] = ("date", "time")) -> DataFrame:
     """Dense 1-based bar number within ``by``.
 
-    Only the distinct bars are ordered, a few per date; they are joined back.
+    Only the distinct bars are ordered, a few per date; they are stored, so
+    that their size is known and the rows need not move to be joined to them.
     """
+    bars = number_table(df, by, name, order)
+    return df.join(bars, [c for c in bars.columns if c != name])
+
+
+def number_table(df: DataFrame, by: Sequence[str], name: str = "slot_bar_id", order: Sequence[str] = ("date", "time")) -> DataFrame:
+    """The distinct bars of ``df`` with their numbers within ``by``, stored."""
     keys = [*by, *[c for c in order if c not in by]]
-    bars = df.select(*keys).distinct()
     w = Window.partitionBy(*by).orderBy(*[c for c in order if c not in by])
-    return df.join(bars.withColumn(name, F.row_number().over(w)), keys)
+    return stored(df.select(*keys).distinct().withColumn(name, F.row_number().over(w)))
+
+
+def signal_columns(rows: DataFrame, price: str) -> DataFrame:
+    """What positions and bands need of the execution features at ``price``; the plans move these rows several times."""
+    return rows.select(
+        "date", "time", "code", "minute_slot", "prediction", "prediction_available", "current_tradable", "signal_amount",
+        "sigma_intraday", "adv_amount", F.col(f"ret_{price}_exec_10").cast("double").alias("simple_return"),
+        directional_fillable(LONG, price).alias("long_fillable"), directional_fillable(SHORT, price).alias("short_fillable"))
 
 
 def _numbered_terciles(rows: DataFrame, plan: str | None, copies: int = 1) -> DataFrame:
@@ -96,15 +111,14 @@ def top_bottom_select(
 PLAN_COLUMNS = ("top_frac", "long_enabled", "short_enabled", "max_liq_bucket")
 
 
-def _positions(rows: DataFrame, by: Sequence[str], price: str, costs: CostSettings, plan: str | None) -> DataFrame:
+def _positions(rows: DataFrame, by: Sequence[str], costs: CostSettings, plan: str | None) -> DataFrame:
     """Selection, weights and fill rules; ``rows`` carry liq_bucket, the bar
     number and the plan columns."""
     kept = rows.where(F.col("liq_bucket") <= F.col("max_liq_bucket"))
     kept = top_bottom_select(kept, F.col("top_frac"), F.col("long_enabled"), F.col("short_enabled"), by, plan)
     kept = kept.withColumns({
         "spread_bps": cost_tier("liq_bucket", costs),
-        "fillable": F.when(F.col("_at_low_end"), directional_fillable(SHORT, price)).otherwise(directional_fillable(LONG, price)),
-        "simple_return": F.col(f"ret_{price}_exec_10").cast("double"),
+        "fillable": F.when(F.col("_at_low_end"), F.col("short_fillable")).otherwise(F.col("long_fillable")),
     })
     return kept.select(*by, *POSITIONS.fieldNames())
 
@@ -120,12 +134,12 @@ def build_positions(
     """
     if not (long_enabled or short_enabled):
         raise ValueError("at least one side must be enabled")
-    rows = eligible_signals(features)
+    rows = signal_columns(eligible_signals(features), price)
     plan = choose_plan(CROSS_SECTION, plan)
     rows = _numbered_terciles(rows, plan).withColumns({
         "top_frac": F.lit(top_frac), "long_enabled": F.lit(long_enabled), "short_enabled": F.lit(short_enabled),
         "max_liq_bucket": F.lit(max_liq_bucket)})
-    return _positions(rows, [], price, costs, plan)
+    return _positions(rows, [], costs, plan)
 
 
 def lay_out_variants(rows: DataFrame, variants: Sequence[dict], name: str = "variant") -> DataFrame:
@@ -144,9 +158,42 @@ def build_position_variants(
     plan: str | None = None,
 ) -> DataFrame:
     """Target positions of many trade plans in one job, keyed by ``variant``."""
-    rows = eligible_signals(features)
+    rows = signal_columns(eligible_signals(features), price)
     plan = choose_plan(CROSS_SECTION, plan)
-    return _positions(lay_out_variants(_numbered_terciles(rows, plan, len(variants)), variants), ["variant"], price, costs, plan)
+    return _positions(lay_out_variants(_numbered_terciles(rows, plan, len(variants)), variants), ["variant"], costs, plan)
+
+
+def signal_trips(rows: DataFrame, slots: Sequence[int], price: str = "vwap") -> DataFrame:
+    """Eligible rows with ``trips``: slot, return and fill rules of each of their ``exits``, for slots of these lengths."""
+    for i, length in enumerate(slots):
+        rows = rows.withColumns({f"exit_{p}": F.col("exits")[i][p] for p in ("open", "vwap")} | {
+            "minute_slot": S.minute_slot("base_minute", length)})
+        rows = M.limit_touch_flags(M.fillable_flags(M.execution_returns(rows)))
+        rows = rows.withColumn(f"_trip{i}", F.struct(
+            "minute_slot", F.col(f"ret_{price}_exec_10").cast("double").alias("simple_return"),
+            directional_fillable(LONG, price).alias("long_fillable"), directional_fillable(SHORT, price).alias("short_fillable")))
+    return rows.select(
+        "date", "time", "code", "prediction", "prediction_available", "current_tradable", "signal_amount", "sigma_intraday",
+        "adv_amount", F.array(*[f"_trip{i}" for i in range(len(slots))]).alias("trips"))
+
+
+def build_trip_variants(signals: DataFrame, variants: Sequence[dict], costs: CostSettings = CostSettings()) -> DataFrame:
+    """Target positions of many trade plans with several holding times and slot lengths.
+
+    ``signals`` come stored from :func:`signal_trips`; ``variants`` name the
+    trip they take beside their plan columns. Names are ranked before a trip
+    is chosen; its bar numbers are joined to the selected rows.
+    """
+    slot = F.posexplode("trips.minute_slot").alias("trip", "minute_slot")
+    bars = number_table(signals.select("date", "time", slot), ["trip", "minute_slot"])
+    rows = liquidity_tercile(by_groups(signals, CROSS_SECTION, signals.count(), len(variants)))
+    rows = lay_out_variants(rows, variants).where(F.col("liq_bucket") <= F.col("max_liq_bucket"))
+    kept = top_bottom_select(rows, F.col("top_frac"), F.col("long_enabled"), F.col("short_enabled"), ["variant"])
+    kept = kept.withColumn("_trip", F.get("trips", F.col("trip"))).withColumns({
+        "spread_bps": cost_tier("liq_bucket", costs), "minute_slot": F.col("_trip.minute_slot"),
+        "simple_return": F.col("_trip.simple_return"),
+        "fillable": F.when(F.col("_at_low_end"), F.col("_trip.short_fillable")).otherwise(F.col("_trip.long_fillable"))})
+    return kept.join(bars, ["trip", "minute_slot", "date", "time"]).select("variant", *POSITIONS.fieldNames())
 
 
 # --- bands --------------------------------------------------------------------
@@ -160,13 +207,13 @@ def buffer_bands(
     ``variants`` give entry_frac, hold_frac and max_liq_bucket. Only rows in a
     hold band are kept; no other row can be held.
     """
-    rows = eligible_signals(features)
+    rows = signal_columns(eligible_signals(features), price)
     plan = choose_plan(CROSS_SECTION, plan)
     rows = lay_out_variants(_numbered_terciles(rows, plan, len(variants)), variants).where(F.col("liq_bucket") <= F.col("max_liq_bucket"))
     rows = add_positions(rows, ["variant", *CROSS_SECTION], ["prediction", "code"], rn="_rank", n="_n", plan=plan)
     enter, hold = keep_count(F.col("entry_frac"), F.col("_n")), keep_count(F.col("hold_frac"), F.col("_n"))
     from_top = F.col("_n") - F.col("_rank") + 1
-    return _band_rows(rows, F.col("_rank"), from_top, enter, hold, cost_tier("liq_bucket", costs), price)
+    return _band_rows(rows, F.col("_rank"), from_top, enter, hold, cost_tier("liq_bucket", costs))
 
 
 def cost_bands(
@@ -178,7 +225,7 @@ def cost_bands(
     ``variants`` give entry_cost_penalty and sizing_method. The cost rank is
     percent_rank of sigma / sqrt(ADV) within the liquid names.
     """
-    rows = eligible_signals(features, positive_sigma=True)
+    rows = signal_columns(eligible_signals(features, positive_sigma=True), price)
     plan = choose_plan(CROSS_SECTION, plan)
     rows = _numbered_terciles(rows, plan, len(variants)).where(F.col("liq_bucket") <= max_liq_bucket)
     rows = rows.withColumn("_cost", F.col("sigma_intraday") / F.sqrt("adv_amount"))
@@ -190,16 +237,14 @@ def cost_bands(
     rows = add_positions(rows, keys, [("_long", False), "code"], rn="_rank_long", plan=plan)
     rows = add_positions(rows, keys, ["_short", "code"], rn="_rank_short", plan=plan)
     enter, hold = keep_count(F.lit(entry_frac), F.col("_n")), keep_count(F.lit(hold_frac), F.col("_n"))
-    return _band_rows(rows, F.col("_rank_short"), F.col("_rank_long"), enter, hold, F.lit(costs.spread_high), price)
+    return _band_rows(rows, F.col("_rank_short"), F.col("_rank_long"), enter, hold, F.lit(costs.spread_high))
 
 
-def _band_rows(rows: DataFrame, from_low: Column, from_top: Column, enter: Column, hold: Column, spread: Column, price: str) -> DataFrame:
+def _band_rows(rows: DataFrame, from_low: Column, from_top: Column, enter: Column, hold: Column, spread: Column) -> DataFrame:
     out = rows.withColumns({
         "spread_bps": spread,
-        "simple_return": F.col(f"ret_{price}_exec_10").cast("double"),
         "long_entry": from_top <= enter, "long_hold": from_top <= hold,
         "short_entry": from_low <= enter, "short_hold": from_low <= hold,
-        "long_fillable": directional_fillable(LONG, price), "short_fillable": directional_fillable(SHORT, price),
     }).where(F.col("long_hold") | F.col("short_hold"))
     sizing = ["sizing_method"] if "sizing_method" in rows.columns else []
     return out.select(

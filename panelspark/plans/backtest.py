@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,14 +14,15 @@ from .variants import TRADE_PLANS, feature_groups, plan_parameters
 
 
 def build_features(pred: DataFrame, bars: DataFrame, daily: DataFrame, st_days: DataFrame | None = None, cfg: MarketSettings = MarketSettings()) -> DataFrame:
-    """Execution features; the ADV history runs over the dates with scores only.
+    """Execution features; the ADV history runs over the dates with scores only."""
+    return M.execution_features(pred, M.market_state(bars, scored_history(pred, daily), st_days, cfg), cfg)
 
-    Amounts of other dates are blanked: a missing amount never counts.
-    """
+
+def scored_history(pred: DataFrame, daily: DataFrame) -> DataFrame:
+    """Amounts of dates without scores are blanked: a missing amount never counts."""
     scored = pred.select(S.full_date("date").alias("Date")).distinct().withColumn("_scored", F.lit(True))
-    history = daily.join(scored, "Date", "left").withColumn(
+    return daily.join(scored, "Date", "left").withColumn(
         "daily_amount", F.when(F.col("_scored"), F.col("daily_amount"))).drop("_scored")
-    return M.execution_features(pred, M.market_state(bars, history, st_days, cfg), cfg)
 
 
 def run_backtest(
@@ -58,14 +57,17 @@ def trade_plan_matrix(
 ) -> DataFrame:
     """One ranked row per shipped trade plan.
 
-    Plans that share a holding time and a slot length share one stored table
-    of execution features; all ledgers are summarised and ranked together.
+    Which names are eligible, their terciles and their ranks hang on neither
+    the holding time nor the slot length. So the state of the market and the
+    scores are joined once, a row carries one trip for each pair of the two,
+    and only selected rows are laid out by plan.
     """
-    ledgers = []
-    for (holding, slots), group in feature_groups(plans).items():
-        features = stored(build_features(pred, bars, daily, st_days, replace(cfg, holding=holding, slot_mod=slots)))
-        ledgers.append(B.run_variants(features, plan_parameters(group), costs=costs))
-    return rank_ledgers(reduce(DataFrame.unionByName, ledgers), aum, costs)
+    groups = list(feature_groups(plans))
+    state = M.market_state(bars, scored_history(pred, daily), st_days, cfg, [holding for holding, _ in groups])
+    signals = stored(P.signal_trips(P.eligible_signals(M.scored_universe(state, pred, "exits")), [slots for _, slots in groups]))
+    variants = [v | {"trip": groups.index((p["holding_bars"], p["slot_mod_bars"]))} for p, v in zip(plans, plan_parameters(plans), strict=True)]
+    positions = P.build_trip_variants(signals, variants, costs)
+    return rank_ledgers(B.slot_book_fast(positions, costs, ["variant"]), aum, costs)
 
 
 def rank_ledgers(ledger: DataFrame, aum: float = 10e6, costs: CostSettings = CostSettings()) -> DataFrame:

@@ -47,7 +47,9 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
     line = F.shiftleft(F.col("l_orderkey") * 8 + F.col("l_linenumber"), 23)
     order = (F.shiftleft(((F.day("l_shipdate") - 1) % 2).cast("bigint"), 62) + line
              + F.floor((F.col("px") - 100) / 20 * 8388608).cast("bigint"))
-    rows = trades(spark, sf).withColumn("_order", order)
+    # Nearly every bar is one trade: the narrow trades are moved, to their sessions, not states of six aggregates each.
+    rows = trades(spark, sf).withColumn("_order", order).select("StockCode", "Date", "MinuteIndex", "px", "qty", "_order")
+    rows = rows.repartition("StockCode", "Date")
     return rows.groupBy("StockCode", "Date", "MinuteIndex").agg(
         F.min_by("px", "_order").alias("Open"), F.max_by("px", "_order").alias("Close"),
         F.max("px").alias("High"), F.min("px").alias("Low"), F.sum("qty").alias("Vol"),
