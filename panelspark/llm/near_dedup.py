@@ -17,13 +17,19 @@ are merged by skipping rather than by listing their pairs:
 
 1. equal sets are one entry from the start, lists with one entry are dropped;
 2. every entry of a list meets three pivots of the list, no other entry;
-3. pairs pass the length bound, the match threshold, and then an exact
-   comparison of their full shingle sets; links give components;
+3. pairs pass the length bound, the match threshold, the parity bound, and
+   then an exact comparison of their full shingle sets; links give components;
 4. lists that still span several components are merged once more: entries
    outside the list's largest component meet the entries of other components
    in full, so no link between different components can be left out. Pairs
    inside one component are skipped, as they cannot change it.
 
+The parity bound loses no link: shingles are dealt over ``PARITY_BITS`` bins and
+a bit of a set tells whether its bin holds an odd number of them. Two sets whose
+bits differ in d bins differ in at least d shingles. It parts the members of a
+large family of texts just below the threshold, up to some 2,500 shingles a set;
+of longer sets the bits fill up, and more pairs are left to the exact comparison.
+
 The result is one row per document with its component, so copies are never
 expanded into pairs.
 
@@ -46,7 +52,9 @@ Shingles are compared as 64-bit hashes of five 64-bit word hashes.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from math import comb
+from operator import add
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -58,6 +66,7 @@ PERCENT = 85
 MINIMA = 4
 MATCHES = 4
 MISSED = 4.5e-7
+PARITY_BITS = 1024
 PIVOT_SALTS = (1, 2)
 KEPT_WORDS = 200_000
 LONGEST_KEPT = 64
@@ -136,6 +145,12 @@ class Shingler:
             low = values if low is None else np.minimum(low, values)
         return self.mixed((low.reshape(self.coordinates, self.minima) * self.fold).sum(1, dtype=np.uint64) ^ self.base)
 
+    def parities(self, shingles):
+        """``PARITY_BITS`` bits in 64-bit numbers: whether a bin has an odd number of shingles."""
+        np = self.np
+        odd = np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+        return np.packbits(odd.astype(np.uint8)).view("int64")
+
 
 def _sign(coordinates: int):
     own = Shingler(coordinates)
@@ -144,7 +159,8 @@ def _sign(coordinates: int):
         found = own.shingles(text)
         some = len(found) > 0
         return {"n": len(found), "set_id": own.set_id(found) if some else None,
-                "coordinates": own.signature(found).view("int64") if some else None}
+                "coordinates": own.signature(found).view("int64") if some else None,
+                "parities": own.parities(found) if some else None}
 
     return lambda texts: [sign(t) for t in texts]
 
@@ -160,11 +176,12 @@ def _digest(text_col: str):
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES) -> DataFrame:
-    """doc_id, sha, n, set_id, coordinates of every document."""
+    """doc_id, sha, n, set_id, coordinates, parities of every document."""
     import pyarrow as pa
 
-    kind = pa.struct([("n", pa.int64()), ("set_id", pa.binary()), ("coordinates", pa.list_(pa.int64()))])
-    udf = list_udf(lambda: _sign(coordinates), kind, "n bigint, set_id binary, coordinates array<bigint>")
+    kind = pa.struct([("n", pa.int64()), ("set_id", pa.binary()), ("coordinates", pa.list_(pa.int64())),
+                      ("parities", pa.list_(pa.int64()))])
+    udf = list_udf(lambda: _sign(coordinates), kind, "n bigint, set_id binary, coordinates array<bigint>, parities array<bigint>")
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), _digest(text_col).alias("sha"), udf(F.col(f"`{text_col}`")).alias("s")
                        ).select("doc_id", "sha", "s.*")
 
@@ -174,6 +191,12 @@ def _close_sizes(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _close_parities(a: str, b: str, size_a: str, size_b: str, percent: int):
+    """The parity bound: sets at the threshold differ in at most (100 - percent) / (100 + percent) of both sizes."""
+    differ = reduce(add, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PARITY_BITS // 64)])
+    return differ * (100 + percent) <= (F.col(size_a) + F.col(size_b)) * (100 - percent)
+
+
 def _pairs_by_pivot(shared: DataFrame, percent: int) -> DataFrame:
     """(x, y) of every entry of a posting list with the list's pivots."""
     entry = F.struct("v", "n")
@@ -196,7 +219,7 @@ def _equal(a: str, b: str):
 def _pairs_across(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(x, y) of entries of one posting list in different components that agree in ``MATCHES`` coordinates.
 
-    A pair is taken from the list of the first coordinate it agrees in and
+    The sizes and parities of a pair let it reach the threshold. A pair is taken from the list of the first coordinate it agrees in and
     skipped in all others, so it comes out once.
     """
     entries = shared.join(labels.withColumnRenamed("node", "v"), "v", "left").select(
@@ -204,22 +227,24 @@ def _pairs_across(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent
     largest = entries.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(
         F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("top")).where("parts > 1")
     open_lists = entries.join(largest.select("token", F.col("top.c").alias("top")), "token")
-    open_lists = stored(open_lists.join(sets.select("v", F.col("coordinates").alias("s")), "v"))
-    minor = open_lists.where("c <> top").select("token", *[F.col(c).alias(f"a{c}") for c in ("v", "n", "c", "s")])
+    open_lists = stored(open_lists.join(sets.select("v", F.col("coordinates").alias("s"), "parities"), "v"))
+    minor = open_lists.where("c <> top").select("token", *[F.col(c).alias(f"a{c}") for c in ("v", "n", "c", "s", "parities")])
     equal = _equal("as", "s")
     apart = (F.col("ac") != F.col("c")) & ((F.col("c") == F.col("top")) | (F.col("av") < F.col("v")))
-    met = apart & _close_sizes("an", "n", percent)
+    met = apart & _close_sizes("an", "n", percent) & _close_parities("aparities", "parities", "an", "n", percent)
     first = F.array_position(equal, True) == F.col("at") + 1
     enough = F.size(F.filter(equal, lambda e: e)) >= MATCHES
     return minor.join(open_lists.withColumnRenamed("token", "_token"), (F.col("token") == F.col("_token")) & met & first & enough).select(
         F.least("av", "v").alias("x"), F.greatest("av", "v").alias("y")).distinct()
 
 
-def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that agree in at least ``MATCHES`` coordinates."""
-    side = lambda c: sets.select(F.col("v").alias(c), F.col("coordinates").alias(f"s{c}"))
-    equal = F.size(F.filter(_equal("sx", "sy"), lambda e: e))
-    return pairs.join(side("x"), "x").join(side("y"), "y").where(equal >= MATCHES).select("x", "y")
+def _matching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that agree in at least ``MATCHES`` coordinates and whose parities let them reach the threshold."""
+    side = lambda c: sets.select(
+        F.col("v").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("n", "coordinates", "parities")])
+    equal = F.size(F.filter(_equal("coordinates_x", "coordinates_y"), lambda e: e))
+    near = _close_parities("parities_x", "parities_y", "n_x", "n_y", percent)
+    return pairs.join(side("x"), "x").join(side("y"), "y").where(near & (equal >= MATCHES)).select("x", "y")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -254,13 +279,13 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")
     # v numbers the sets; it is stored before anything else reads it.
     sets = stored(rows.where("n > 0").groupBy("set_id").agg(
-        F.min(first).alias("first"), F.first("n").alias("n"), F.first("coordinates").alias("coordinates")
-    ).withColumn("v", F.monotonically_increasing_id()))
+        F.min(first).alias("first"), F.first("n").alias("n"), F.first("coordinates").alias("coordinates"),
+        F.first("parities").alias("parities")).withColumn("v", F.monotonically_increasing_id()))
     prefix = coordinates - MATCHES + 1
     posts = sets.select("v", "n", F.posexplode(F.slice("coordinates", 1, prefix)).alias("at", "token"))
     lists = posts.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     shared = stored(posts.join(lists, "token"))
-    first = stored(_matching(_pairs_by_pivot(shared, percent), sets))
+    first = stored(_matching(_pairs_by_pivot(shared, percent), sets, percent))
     # Full sets of the documents that share a coordinate with another: one pass over their texts for both merges.
     wanted = sets.select("v", "first.doc_id", "first.sha").join(shared.select("v").distinct(), "v")
     full = stored(shingle_sets(docs, wanted, id_col, text_col))

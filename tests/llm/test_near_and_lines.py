@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.llm import line_dedup, near_dedup
 from panelspark.llm.components import components
@@ -85,6 +86,41 @@ def test_large_group_of_near_copies(spark):
     check(spark, list(enumerate(rows)))
 
 
+def below_threshold(seed, many):
+    """A family whose members all miss the threshold pairwise, but share most coordinates' values."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(many):
+        now = list(base)
+        for at in r.sample(range(5, 145), 3):
+            now[at] = f"x{k}_{at}"
+        rows.append(" ".join(now))
+    return list(enumerate(rows))
+
+
+def test_family_below_the_threshold_makes_few_pairs(spark):
+    rows = below_threshold(9, 120)
+    sets = {i: shingles(t) for i, t in rows}
+    links = sum(100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for i in sets for j in range(i))
+    signed = near_dedup.signed(documents(spark, [(i, t, "en", "s") for i, t in rows])).withColumnRenamed("doc_id", "v")
+    posts = signed.select("v", "n", F.posexplode("coordinates").alias("at", "token"))
+    alone = spark.createDataFrame([], "node bigint, component bigint")
+    pairs = near_dedup._pairs_across(posts, alone, signed, 85)
+    assert links <= pairs.count() <= links + 60 < len(rows) * (len(rows) - 1) / 2 / 10
+    check(spark, rows)
+
+
+def test_parities_lose_no_link():
+    r, own = random.Random(3), near_dedup.Shingler()
+    for n in (1, 20, 400, 5000):
+        a = {r.randrange(1 << 64) for _ in range(n)}
+        b = {x for x in a if r.random() < 0.93} | {r.randrange(1 << 64) for _ in range(n // 20)}
+        bits = [own.parities(own.np.array(sorted(x), "uint64")).tobytes() for x in (a, b)]
+        assert len(bits[0]) * 8 == near_dedup.PARITY_BITS
+        assert (int.from_bytes(bits[0]) ^ int.from_bytes(bits[1])).bit_count() <= len(a ^ b)
+
+
 def test_connected_components(spark):
     r = random.Random(4)
     chain = [(i, i + 1) for i in range(200)]
