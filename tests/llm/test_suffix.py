@@ -71,6 +71,34 @@ def test_repeats_against_brute_force(spark, monkeypatch, seed, large, huge):
     check(spark, texts(seed))
 
 
+def aligned(seed, many):
+    """(lead, context) of one anchor: a common middle of random reach, some contexts alike at one side, some cut short."""
+    r, size = random.Random(seed), LENGTH - suffix_dedup.GRAM
+    draw = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    base, out = draw(size + LENGTH), set()
+    for _ in range(many):
+        a, b = r.randint(0, size), r.randint(size + suffix_dedup.GRAM, size + LENGTH)
+        text = draw(a) + base[a:b] + draw(size + LENGTH - b)
+        out.add((size, text))
+        if r.random() < 0.4:
+            out.add((size, text[:-1] + b"_"))
+        if r.random() < 0.3:
+            cut = r.randint(0, size)
+            out.add((size - cut, text[cut:size + r.randint(suffix_dedup.GRAM, LENGTH)]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_stretches_by_hash_are_one_span_a_context(spark, seed):
+    group = aligned(seed, 40)
+    wide = spark.createDataFrame([(7, k, lead, bytearray(x)) for k, (lead, x) in enumerate(group)],
+                                 "h bigint, c bigint, lead int, context binary")
+    huge = spark.createDataFrame([(7,)], "h bigint")
+    found = {r["c"]: [(s["low"], s["high"]) for s in r["spans"]] for r in suffix_dedup._stretches(wide, huge).collect()}
+    expected = suffix_dedup.repeated_in_large_group(group)
+    assert found == {k: spans for k, spans in enumerate(expected) if spans}
+
+
 def test_documents_against_brute_force(spark):
     check(spark, [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()])
 
