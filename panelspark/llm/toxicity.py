@@ -12,8 +12,11 @@ sample. Document frequencies
 cover all documents. Examples are kept in blocks; an inverted index holds the
 postings of each term by block, with the largest weight in the block. A query
 adds these maxima to an upper bound for each block, visits blocks from the
-highest bound down, scores their postings exactly, and stops when no block
-left can reach the k-th best cosine. The neighbours vote with their cosine as
+highest bound down and stops when no block left can reach the k-th best cosine.
+Blocks are scored in single precision: postings of the ``FREQUENT`` terms that
+most examples have are multiplied as tables, those of all other terms are few and
+are added up one by one. Examples that the error of that leaves in reach of the
+k-th best are scored again in double precision. The neighbours vote with their cosine as
 weight, smoothed towards the rate of the sample:
 
     score = (sum of weight * label + PRIOR * rate) / (sum of weight + PRIOR)
@@ -52,6 +55,9 @@ LONGEST_KEPT = 64
 NEIGHBOURS = 15
 PRIOR = 1.0
 BLOCK = 64
+FREQUENT = 1024
+GROUP = 32
+LETTERS = 1 << 17
 CELLS = 1 << 21
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W_]+")
@@ -68,6 +74,82 @@ def terms_of(token: str) -> list[str]:
     return out
 
 
+class TermFinder:
+    """Finds the chosen terms of many tokens at once.
+
+    The letters of all words form one array of code points. Three letters are
+    one 64-bit number; the place of these among the beginnings of chosen pieces
+    and the next letter are the next number, and so on to the longest piece.
+    """
+
+    def __init__(self, at: dict[str, int]):
+        self.at = at
+        chosen = [t for t in at if len(t) in PIECES]
+        heads = sorted({t[:3] for t in chosen})  # by code point, as their numbers are
+        place = {h: i for i, h in enumerate(heads)}
+        self.heads, self.steps = self._heads(self._codes("".join(heads)), np.arange(len(heads)) * 3), []
+        for size in range(4, max(PIECES) + 1):
+            pieces = {(place[t[:size - 1]] << 21) | ord(t[size - 1]): t[:size] for t in chosen if len(t) >= size}
+            keys = sorted(pieces)
+            own = [at.get(pieces[k], -1) if size in PIECES else -1 for k in keys]
+            self.steps.append((np.array(keys, np.int64), np.array(own, np.int64)))
+            place = {pieces[k]: i for i, k in enumerate(keys)}
+
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+    @staticmethod
+    def _heads(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return (codes[starts] << 42) | (codes[starts + 1] << 21) | codes[starts + 2]  # a code point has 21 binary digits
+
+    def find(self, tokens: list[str]) -> list[tuple[int, ...]]:
+        """For each token the numbers of its chosen terms, as often as they occur."""
+        out, i = [], 0
+        while i < len(tokens):
+            first, letters = i, 0
+            while i < len(tokens) and (i == first or letters + len(tokens[i]) <= LETTERS):
+                letters += len(tokens[i])
+                i += 1
+            out += self._find(tokens[first:i])
+        return out
+
+    def _find(self, tokens: list[str]) -> list[tuple[int, ...]]:
+        words, owner = [], []
+        for i, token in enumerate(tokens):
+            if token.isalnum():
+                words.append(token)
+                owner.append(i)
+            else:
+                own = WORDS.findall(token)
+                words += own
+                owner += [i] * len(own)
+        owner = np.array(owner, np.int64)
+        whole = np.array([self.at.get(w, -1) for w in words], np.int64)
+        found, owners = [whole[whole >= 0]], [owner[whole >= 0]]
+        codes = self._codes("".join([f"^{w}$" for w in words]))
+        sizes = np.array([len(w) + 2 for w in words], np.int64)
+        ends = np.cumsum(sizes)
+        many = np.maximum(sizes - 3, 0)
+        starts = np.arange(many.sum()) + np.repeat(ends - sizes - np.cumsum(many) + many, many)
+        word, keys, known = np.repeat(np.arange(len(words)), many), self._heads(codes, starts), self.heads
+        for size, (following, numbers) in enumerate(self.steps, 4):
+            if not len(known) or not len(starts):
+                break
+            place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            on = (known[place] == keys) & (starts + size <= ends[word])
+            starts, word, place = starts[on], word[on], place[on]
+            known, keys = following, (place << 21) | codes[starts + size - 1]
+            place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            own = np.where(known[place] == keys, numbers[place], -1)
+            found.append(own[own >= 0])
+            owners.append(owner[word[own >= 0]])
+        owners = np.concatenate(owners)
+        order = np.argsort(owners, kind="stable")
+        numbers, cuts = np.concatenate(found)[order].tolist(), np.searchsorted(owners[order], np.arange(len(tokens) + 1)).tolist()
+        return [tuple(numbers[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _term_counts(batches):
     """(label, text) to (term, a, m): texts with the term and a label of 1, and all texts with it."""
     import pyarrow as pa
@@ -146,28 +228,25 @@ def with_counts(docs: DataFrame, terms: list[str], text_col: str = "text", out:
     def count_all(batches):
         import pyarrow as pa
 
-        at, known = shared(), {}
+        finder, known = TermFinder(shared()), {}
 
-        def hits_of(token: str) -> tuple[int, ...]:
-            hits = tuple([at[x] for x in terms_of(token) if x in at])
-            if len(token) <= LONGEST_KEPT:
-                if len(known) >= KEPT_TOKENS:
-                    known.clear()
-                known[token] = hits
-            return hits
-
-        def counts_of(text: str | None) -> list[tuple[int, int]]:
-            tokens = text.lower().split() if text and at else []
-            found = [known.get(w) for w in tokens]
-            if None in found:
-                found = [hits_of(w) if hits is None else hits for w, hits in zip(tokens, found, strict=True)]
-            return sorted(Counter(chain.from_iterable(found)).items())
+        def counts_of(texts: list[str | None]) -> Iterator[list[tuple[int, int]]]:
+            if len(known) >= KEPT_TOKENS:
+                known.clear()
+            tokens = [t.lower().split() if t and finder.at else [] for t in texts]
+            fresh = list(dict.fromkeys([w for own in tokens for w in own if w not in known]))
+            known.update(zip(fresh, finder.find(fresh), strict=True))
+            for own in tokens:
+                yield sorted(Counter(chain.from_iterable(map(known.__getitem__, own))).items())
+            for w in fresh:
+                if len(w) > LONGEST_KEPT:
+                    del known[w]
 
         for batch in batches:
             ends, terms, counts = [0], [], []
-            for i in range(0, len(batch), SLICE):
-                for text in batch.slice(i, SLICE).to_pylist():
-                    if pairs := counts_of(text):
+            for i in range(0, len(batch), GROUP):
+                for pairs in counts_of(batch.slice(i, GROUP).to_pylist()):
+                    if pairs:
                         own, times = zip(*pairs, strict=True)
                         terms.extend(own)
                         counts.extend(times)
@@ -186,10 +265,10 @@ def with_counts(docs: DataFrame, terms: list[str], text_col: str = "text", out:
 class BlockMaxIndex:
     """Examples as unit TF-IDF vectors in blocks, as flat arrays.
 
-    For each term a list of (block, largest weight in it); for each block its
-    postings (example, term, weight), ordered by term. Queries are answered
-    many at a time. ``visited`` has the number of blocks that each query of the
-    last search scored.
+    For each term a list of (block, largest weight in it); for each example its
+    postings (term, weight); for each block those of ``frequent`` terms again, and
+    for each other term its own. Queries are answered many at a time. ``visited``
+    has the number of blocks that each query of the last search scored.
     """
 
     def __init__(self, examples: Iterable[tuple[int, int, dict[int, int]]], idf: Sequence[float], block: int = BLOCK):
@@ -206,15 +285,28 @@ class BlockMaxIndex:
         terms = np.array([t for x in filled for t in x[2]], np.int32)
         weights = np.array([w for x in filled for w in x[2].values()], np.float64)
         order = np.lexsort((rows, terms, rows // block))
-        self.rows, self.terms, self.weights = rows[order], terms[order], weights[order]
-        self.block_at = np.searchsorted(self.rows // block, np.arange(self.n_blocks + 1))
+        rows, terms, weights = rows[order], terms[order], weights[order]
         # A list entry is a run of one term in one block; the lists are then laid out by term.
-        at = self.rows // block
-        starts = np.flatnonzero(np.r_[True, (np.diff(self.terms) != 0) | (np.diff(at) != 0)]) if len(at) else np.zeros(0, np.int64)
-        tops = np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0)
-        by_term = np.lexsort((at[starts], self.terms[starts]))
+        at = rows // block
+        starts = np.flatnonzero(np.r_[True, (np.diff(terms) != 0) | (np.diff(at) != 0)]) if len(at) else np.zeros(0, np.int64)
+        tops = np.maximum.reduceat(weights, starts) if len(starts) else np.zeros(0)
+        by_term = np.lexsort((at[starts], terms[starts]))
         self.list_blocks, self.list_tops = at[starts][by_term], tops[by_term]
-        self.list_at = np.searchsorted(self.terms[starts][by_term], np.arange(len(self.idf) + 1))
+        self.list_at = np.searchsorted(terms[starts][by_term], np.arange(len(self.idf) + 1))
+        # Frequent terms by block, all others by term.
+        self.frequent = np.sort(np.argsort(-np.bincount(terms, minlength=len(self.idf)), kind="stable")[:FREQUENT])
+        column = np.full(len(self.idf), -1)
+        column[self.frequent] = np.arange(len(self.frequent))
+        often = column[terms] >= 0
+        self.often_rows, self.often_columns, self.often_weights = rows[often], column[terms[often]], weights[often].astype(np.float32)
+        self.block_at = np.searchsorted(self.often_rows // block, np.arange(self.n_blocks + 1))
+        others = np.flatnonzero(~often)
+        others = others[np.argsort(terms[others], kind="stable")]
+        self.other_rows, self.other_weights = rows[others], weights[others]
+        self.other_at = np.searchsorted(terms[others], np.arange(len(self.idf) + 1))
+        by_row = np.argsort(rows, kind="stable")
+        self.terms, self.weights = terms[by_row], weights[by_row]
+        self.row_at = np.searchsorted(rows[by_row], np.arange(len(filled) + 1))
         n = len(vectors)
         self.rate = sum(label for _, label, _ in vectors) / n if n else 0.0
         self.rate_without_terms = (sum(empty) + PRIOR * self.rate) / (len(empty) + PRIOR) if n else 0.0
@@ -236,16 +328,36 @@ class BlockMaxIndex:
             self.dense[np.repeat(np.arange(len(self.idf)), np.diff(self.list_at)), self.list_blocks] = self.list_tops
         return self.dense
 
-    def _score(self, queries: np.ndarray, wanted: np.ndarray, scores: np.ndarray) -> None:
-        """Exact cosines of the wanted (query, block) pairs; each block is opened once for all its queries."""
+    def _others(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """queries x examples: what the terms that are not frequent add to the cosines."""
+        found = np.zeros((len(ends) - 1, len(self.ids)), np.float32)
+        for i in range(0, len(found), GROUP):
+            own = ends[i:i + GROUP + 1]
+            asked, first = terms[own[0]:own[-1]], self.other_at[terms[own[0]:own[-1]]]
+            sizes = self.other_at[asked + 1] - first
+            entries = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+            query = np.repeat(np.arange(len(own) - 1), np.diff(own))
+            cells = np.repeat(query * len(self.ids), sizes) + self.other_rows[entries]
+            added = np.repeat(weights[own[0]:own[-1]], sizes) * self.other_weights[entries]
+            found[i:i + GROUP] = np.bincount(cells, added, (len(own) - 1) * len(self.ids)).reshape(len(own) - 1, -1)
+        return found
+
+    def _score(self, often: np.ndarray, others: np.ndarray, wanted: np.ndarray, scores: np.ndarray) -> None:
+        """Cosines of the wanted (query, block) pairs; each block is opened once for all its queries."""
         for b in np.flatnonzero(wanted.any(axis=0)).tolist():
             part = slice(self.block_at[b], self.block_at[b + 1])
             first, last = b * self.block, min((b + 1) * self.block, len(self.ids))
-            terms, column = np.unique(self.terms[part], return_inverse=True)
-            opened = np.zeros((len(terms), last - first))
-            opened[column, self.rows[part] - first] = self.weights[part]
+            opened = np.zeros((len(self.frequent), last - first), np.float32)
+            opened[self.often_columns[part], self.often_rows[part] - first] = self.often_weights[part]
             asked = np.flatnonzero(wanted[:, b])
-            scores[asked, first:last] = np.round(queries[np.ix_(asked, terms)] @ opened, 12)
+            scores[asked, first:last] = often[asked] @ opened + others[asked, first:last]
+
+    def _exact(self, query: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Cosines of a query with the examples ``at``, in double precision."""
+        sizes = self.row_at[at + 1] - self.row_at[at]
+        starts = np.cumsum(sizes) - sizes
+        entries = np.arange(sizes.sum()) + np.repeat(self.row_at[at] - starts, sizes)
+        return np.round(np.add.reduceat(query[self.terms[entries]] * self.weights[entries], starts), 12) if len(at) else np.zeros(0)
 
     def search(self, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS):
         """For each query i, with the terms ends[i] to ends[i + 1]: cosines and positions of its k nearest examples.
@@ -254,31 +366,44 @@ class BlockMaxIndex:
         visits its blocks of highest bound, enough for k examples twice, and
         then those whose bound reaches its k-th best cosine so far.
         """
-        n = len(ends) - 1
-        queries = np.zeros((n, len(self.idf)))
-        for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-            queries[i, terms[a:b]] = self._weights(terms[a:b], counts[a:b])
-        scores, none = np.zeros((n, len(self.ids))), (np.zeros(0), np.zeros(0, np.int64))
+        n, begin = len(ends) - 1, ends[0]
+        ends, terms, counts = ends - begin, terms[begin:ends[-1]], counts[begin:ends[-1]]
+        weights = np.zeros(len(terms))
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            weights[a:b] = self._weights(terms[a:b], counts[a:b])
+        none = (np.zeros(0), np.zeros(0, np.int64))
         self.visited = np.zeros(n, np.int64)
         if not self.n_blocks:
             return [none] * n
-        bounds = queries @ self._maxima()
+        queries, scores = np.zeros((n, len(self.idf))), np.zeros((n, len(self.ids)), np.float32)
+        queries[np.repeat(np.arange(n), np.diff(ends)), terms] = weights
+        bounds, often = queries @ self._maxima(), queries[:, self.frequent].astype(np.float32)
+        others = self._others(ends, terms, weights)
+        # Unit vectors of m shared terms: each cosine is off by (m + 3) roundings at most, so twice that is between two of them.
+        slack = 2.0 * (np.diff(ends) + 3) * 2.0**-24
         first = min(self.n_blocks, 2 * -(-k // self.block))
         wanted = np.zeros(bounds.shape, bool)
-        np.put_along_axis(wanted, np.argpartition(-bounds, first - 1, axis=1)[:, :first], True, axis=1)
+        opened = np.argpartition(-bounds, first - 1, axis=1)[:, :first]
+        np.put_along_axis(wanted, opened, True, axis=1)
         wanted &= bounds > 0
-        self._score(queries, wanted, scores)
+        self._score(often, others, wanted, scores)
         k = min(k, len(self.ids))
-        least = np.partition(scores, -k, axis=1)[:, -k]
-        rest = (bounds > 0) & (bounds >= least[:, None] - 1e-9) & ~wanted
-        self._score(queries, rest, scores)
+        # The k-th best of the opened blocks; places behind the last example count as 0.
+        places = (opened[:, :, None] * self.block + np.arange(self.block)).reshape(n, -1)
+        seen = np.where(places < len(self.ids), np.take_along_axis(scores, np.minimum(places, len(self.ids) - 1), axis=1), 0.0)
+        least = np.partition(seen, -k, axis=1)[:, -k] if k <= seen.shape[1] else np.zeros(n)
+        rest = (bounds > 0) & (bounds >= (least - slack)[:, None]) & ~wanted
+        self._score(often, others, rest, scores)
         self.visited = (wanted | rest).sum(axis=1)
-        least = np.partition(scores, -k, axis=1)[:, -k]
         out = []
-        for own, floor in zip(scores, least, strict=True):
-            at = np.flatnonzero((own >= floor) & (own > 0))
-            at = at[np.lexsort((self.ids[at], -own[at]))[:k]]
-            out.append((own[at], at))
+        for query, own, floor, off in zip(queries, scores, least, slack, strict=True):
+            at = np.flatnonzero((own >= floor - off) & (own > 0))
+            if len(at) > k:
+                at = at[own[at] >= np.partition(own[at], -k)[-k] - off]
+            cosines = self._exact(query, at)
+            order = np.lexsort((self.ids[at], -cosines))
+            order = order[cosines[order] > 0][:k]
+            out.append((cosines[order], at[order]))
         return out
 
     def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int, int]]:

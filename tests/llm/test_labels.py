@@ -308,3 +308,33 @@ def test_quality_features_equal_their_definition():
         got = made.of_word(word)
         assert got[:2] == (made.bucket("w:" + letters.lower()), made.bucket("s:" + shape))
         assert (got[2] or (False, False, False)) == marks
+
+
+def test_search_multiplies_frequent_terms_only_and_stays_exact():
+    """More terms than FREQUENT: only frequent ones are laid out as tables, and neighbours and cosines are those of a full scan."""
+    r = random.Random(21)
+    n_terms = 3 * toxicity.FREQUENT
+    idf = [r.uniform(1, 5) for _ in range(n_terms)]
+    draw = lambda: {int(n_terms * r.random() ** 3): r.randint(1, 4) for _ in range(60)}
+    examples = [(i, i % 2, draw()) for i in range(600)]
+    examples += [(600 + i, 0, examples[i][2]) for i in range(100)]  # copies tie
+    index = toxicity.BlockMaxIndex(examples, idf, block=16)
+    assert len(index.frequent) == toxicity.FREQUENT and len(index.other_rows)
+    units = {doc: index.unit(counts) for doc, _, counts in examples}
+    for counts in [draw() for _ in range(40)] + [examples[5][2], {}, {n_terms - 1: 1}]:
+        q = index.unit(counts)
+        exact = sorted((-round(c, 12), doc) for doc, v in units.items() if (c := sum(w * v.get(t, 0.0) for t, w in q.items())) > 0)[:15]
+        found = index.nearest(counts, 15)
+        assert [round(s, 10) for s, _, _ in found] == [round(-s, 10) for s, _ in exact]
+        assert [d for _, d, _ in found] == [d for _, d in exact]
+
+
+def test_terms_of_many_tokens_at_once():
+    r = random.Random(22)
+    letters = "abcdeé日😀"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(2000)]
+    tokens = ["", "^", "$^ab", "ab_cd", "a-bcde.fgh", "x" * 500, *words, *[f"{a},{b}" for a, b in zip(words, words[1:])]]
+    every = sorted({t for w in tokens for t in toxicity.terms_of(w)})
+    for chosen in ([], r.sample(every, 300), every):
+        at = {t: i for i, t in enumerate(chosen)}
+        assert [sorted(x) for x in toxicity.TermFinder(at).find(tokens)] == [sorted(at[t] for t in toxicity.terms_of(w) if t in at) for w in tokens]
