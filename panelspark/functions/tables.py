@@ -67,16 +67,15 @@ def register_session_function(
                 select=[SelectedColumn(n) for n in sent])
 
         def __init__(self):
-            self.columns = [[] for _ in sent]
+            self.rows = []
 
         def eval(self, row):
-            for column, value in zip(self.columns, row, strict=False):
-                column.append(value)
+            self.rows.append(row)  # a row is one step; the columns are made once a session
 
         def terminate(self):
-            if not self.columns[0]:
+            if not self.rows:
                 return
-            session = dict(zip(sent, self.columns, strict=True))
+            session = dict(zip(sent, map(list, zip(*self.rows, strict=True)), strict=False))
             found = function({n: session[n] for n in reads})
             if set(found) != set(outputs):
                 raise ValueError(f"{name} gave {sorted(found)} and not {sorted(outputs)}")
@@ -84,7 +83,7 @@ def register_session_function(
             if not per_row:
                 yield tuple(session[n][0] for n in keys) + tuple(plain)
                 return
-            size = len(self.columns[0])
+            size = len(self.rows)
             if any(len(values) != size for values in plain):
                 raise ValueError(f"{name} must give a value for each of the {size} rows")
             yield from zip(*[session[n] for n in shown], *plain, strict=True)

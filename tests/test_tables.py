@@ -80,3 +80,29 @@ def test_empty_tables_and_mistakes(spark, rows):
     register_session_function(spark, "short", lambda s: {"x": [1.0]}, ["Close"], {"x": "double"})
     with pytest.raises(Exception, match="for each of the"):
         spark.sql("SELECT * FROM short(TABLE(session_rows))").collect()
+
+
+def test_a_row_is_one_step():
+    """Rows are kept as they come; the values of a session are touched once, when its columns are made."""
+    class Udtf:
+        def register(self, name, udtf):
+            self.kind = udtf.func
+
+    class Session:
+        udtf = Udtf()
+
+    class Counted(tuple):
+        looked = 0
+
+        def __iter__(self):
+            Counted.looked += 1
+            return super().__iter__()
+
+    register_session_function(Session(), "f", lambda s: {"twice": [2 * x for x in s["Close"]]}, ["Close"], {"twice": "double"})
+    own = Session.udtf.kind()
+    for minute in range(3):
+        own.eval(Counted((7, 20200101, minute, 1.5 + minute)))
+    assert Counted.looked == 0
+    assert list(own.terminate()) == [(7, 20200101, 0, 3.0), (7, 20200101, 1, 5.0), (7, 20200101, 2, 7.0)]
+    assert Counted.looked == 3
+    assert list(Session.udtf.kind().terminate()) == []
